@@ -25,11 +25,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import linked_classes
+
+    return linked_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import query
 
     return query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op4_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op4_decontaminate, op6_jaccard, op10_quality)}
 ORACLE: dict[str, str] = {}
