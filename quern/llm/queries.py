@@ -19,6 +19,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -37,5 +43,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op4_decontaminate, op6_jaccard, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_language_model, op4_decontaminate, op6_jaccard, op10_quality)}
 ORACLE: dict[str, str] = {}
