@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat
 from ._tables import table
 
 
@@ -31,17 +32,41 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import query
+
+    return query(table(spark, sf_dir, "conversations"))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import linked_classes
 
     return linked_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import query
+
+    return query(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import query
+
+    return query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import query
+
+    return query(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import query
 
     return query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_language_model, op4_decontaminate, op6_jaccard, op10_quality)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_language_model, op4_decontaminate, op5_chat, op6_jaccard, op7_personal_data, op8_quality_rules, op9_licenses, op10_quality)}
+ORACLE = {"op5_chat": chat.ORACLE}
