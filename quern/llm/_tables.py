@@ -69,24 +69,25 @@ def in_bitmap(words, keys):
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges(a, b): component is the smallest node within reach.
 
-    Minimum labels pass over the edges and each label then jumps to its own label, so
-    the rounds grow with the logarithm of the longest path.  Each round is written to
-    the shared folder; only a count comes back to the driver.
+    Each round hangs every node's smaller neighbours, then its larger ones, on its least
+    neighbour, until nothing moves and every component is a star.  Edges shrink on the way and rounds grow with the
+    logarithm of the longest path.  Least neighbours are aggregated before they are joined, so a
+    node with very many neighbours gathers in no task.  Each round is written to the shared folder; only a
+    count and a checksum come back to the driver.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = None
     while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        low = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
-        new = written(low.join(jump, "low").select("node", "old", F.least("low", "far").alias("component")))
-        changed = new.where("old <> component").limit(1).count()
-        drop(labels)
-        labels = new
-        if not changed:
-            drop(both)
-            return labels.select("node", "component")
+        least = now.groupBy("a").agg(F.min("b").alias("least"))
+        small = now.join(least, "a").select("a", "b", "least")
+        small = small.select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        small = written(small)
+        both = small.union(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
+        large = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct())
+        drop(now)
+        drop(small)
+        now, before = large, state
+        state = large.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
