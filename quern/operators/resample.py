@@ -69,10 +69,11 @@ def cluster_bootstrap(df: DataFrame, cluster: str, delta: str, replicates: int,
 
 def sign_flip(df: DataFrame, key: str, delta: str, replicates: int, seed: str, slack: float = 1e-15) -> DataFrame:
     """Observed mean and two-sided p of random sign flips, (1 + hits) / (replicates + 1)."""
-    observed = df.agg(F.avg(delta).alias("observed"), F.count("*").alias("n"))
+    observed, n = df.agg(F.avg(delta), F.count("*")).first()
     sign = F.when(draw(seed, F.col("b"), F.col(key)) % 2 == 0, 1).otherwise(-1)
     flips = df.select(key, delta, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")).groupBy("b").agg((F.sum(F.col(delta) * sign) / F.count("*")).alias("null"))
-    return flips.join(F.broadcast(observed)).groupBy("observed", "n").agg(((1 + F.count_if(F.abs("null") >= F.abs("observed") - slack)) / (F.count("*") + 1)).alias("p"))
+    hits = F.count_if(F.abs("null") >= abs(observed or 0.0) - slack)
+    return flips.agg(F.lit(observed).cast("double").alias("observed"), F.lit(n).cast("bigint").alias("n"), ((1 + hits) / (F.count("*") + 1)).alias("p"))
 
 
 def exact_sign_flip(df: DataFrame, key: str, delta: str) -> DataFrame:
@@ -81,11 +82,12 @@ def exact_sign_flip(df: DataFrame, key: str, delta: str) -> DataFrame:
     if k > 20:
         raise ValueError("exact sign flips are for at most 20 rows")
     placed = numbered(df, key)
-    observed = df.agg(F.avg(delta).alias("observed"))
+    observed = df.agg(F.avg(delta)).first()[0]
     bit = F.expr("shiftright(pattern, cast(place as int)) & 1")
     patterns = placed.select(delta, "place", F.explode(F.sequence(F.lit(0), F.lit(2**k - 1))).alias("pattern"))
     null = patterns.groupBy("pattern").agg((F.sum(F.col(delta) * (1 - 2 * bit)) / F.lit(k)).alias("null"))
-    return null.join(F.broadcast(observed)).groupBy("observed").agg((F.count_if(F.abs("null") >= F.abs("observed") - 1e-15) / F.count("*")).alias("p"))
+    hits = F.count_if(F.abs("null") >= abs(observed or 0.0) - 1e-15)
+    return null.agg(F.lit(observed).cast("double").alias("observed"), (hits / F.count("*")).alias("p"))
 
 
 def blocked_bootstrap_ap(df: DataFrame, block: str, label: str, score: str, replicates: int, seed: str) -> DataFrame:

@@ -1 +1,332 @@
-"""Queries."""
+"""Scalar functions, geometry and features."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..operators import features as X
+from ..operators import rank_metrics as M
+from .fixtures import ATOMS, ITEMS, atoms, ranked_items, table
+from .registry import query
+from .resampling import draw_sql
+
+
+def _r(c, n=6):
+    return F.round(c, n)
+
+
+def _sql(names_exprs: dict) -> str:
+    return ", ".join(f"round({e}, 6) AS {n}" for n, e in names_exprs.items())
+
+
+@query(f"WITH {ITEMS} SELECT g, idx, round(exp(-d / 10), 6) AS e, round(ln(1 + sb), 6) AS l, round(sqrt(d), 6) AS s, round(ln(greatest(least(sa, 1 - 1e-5), 1e-5) / (1 - greatest(least(sa, 1 - 1e-5), 1e-5))), 6) AS logit FROM items")
+def x1_math(spark, sf_dir):
+    from ..operators.calibration import logit
+
+    return ranked_items(spark, sf_dir).select("g", "idx", _r(F.exp(-F.col("d") / 10)).alias("e"), _r(F.log1p("sb")).alias("l"), _r(F.sqrt("d")).alias("s"), _r(logit(F.col("sa"))).alias("logit"))
+
+
+_PRIORS = {f"prior_{t:g}": f"exp(-d / {t})" for t in X.TAUS}
+_CROSS = {"cross_inverse": "sa / (1 + d)"} | {f"cross_{t:g}": f"sa * exp(-d / {t})" for t in X.TAUS}
+
+
+@query(f"WITH {ITEMS} SELECT g, idx, {_sql({'distance': 'd', 'inverse': '1 / (1 + d)'} | _PRIORS | _CROSS)} FROM items")
+def x2_fe4_distance_and_cross(spark, sf_dir):
+    """The 12 distance and 11 cross columns of the item matrix."""
+    i = ranked_items(spark, sf_dir)
+    out = i.select("g", "idx", *X.distance_features(F.col("d")), *X.cross_features(F.col("sa"), F.col("d")))
+    return out.select("g", "idx", *(_r(c).alias(c) for c in out.columns[2:]))
+
+
+@query(f"WITH {ITEMS} SELECT g, idx, round(0.55 * sa + 0.45 * exp(-d / 12), 6) AS fusion, -d AS raw_distance, round(exp(-d / 12), 6) AS prior FROM items")
+def x3_fe6_fixed_fusion(spark, sf_dir):
+    d = F.col("d")
+    return ranked_items(spark, sf_dir).select("g", "idx", _r(0.55 * F.col("sa") + 0.45 * F.exp(-d / 12)).alias("fusion"), (-d).alias("raw_distance"), _r(F.exp(-d / 12)).alias("prior"))
+
+
+_GRID = "grid AS (SELECT a / 4.0::DOUBLE AS alpha, t AS tau FROM range(5) x(a) CROSS JOIN (VALUES (4.0::DOUBLE), (12.0)) v(t))"
+
+
+def _grid():
+    return F.explode(F.array(*(F.struct(F.lit(a / 4).alias("alpha"), F.lit(t).alias("tau")) for a in range(5) for t in (4.0, 12.0)))).alias("p")
+
+
+@query(
+    f"""WITH {ITEMS}, {_GRID}, s AS (SELECT alpha, tau, y, round(alpha * sa + (1 - alpha) * exp(-d / tau), 9) AS s FROM items CROSS JOIN grid), t AS (SELECT alpha, tau, s, sum(y) AS tp, count(*) AS n FROM s GROUP BY ALL),
+ w AS (SELECT alpha, tau, tp, sum(tp) OVER (PARTITION BY alpha, tau ORDER BY s DESC) AS ctp, sum(n) OVER (PARTITION BY alpha, tau ORDER BY s DESC) AS cn, sum(tp) OVER (PARTITION BY alpha, tau) AS p FROM t),
+ a AS (SELECT alpha, tau, round(sum(tp::DOUBLE / p * (ctp::DOUBLE / cn)), 6) AS ap FROM w GROUP BY ALL) SELECT alpha, tau, ap, row_number() OVER (ORDER BY ap DESC, alpha, tau) AS place FROM a"""
+)
+def x4_ml10_grid_tuning(spark, sf_dir):
+    """AP of each (alpha, tau) of a grid, in order; the first is the choice.  The grid is exploded, not joined."""
+    s = ranked_items(spark, sf_dir).select("y", "sa", "d", _grid()).select("y", F.col("p.alpha").alias("alpha"), F.col("p.tau").alias("tau"), F.round(F.col("p.alpha") * F.col("sa") + (1 - F.col("p.alpha")) * F.exp(-F.col("d") / F.col("p.tau")), 9).alias("s"))
+    a = M.average_precision(s, ["alpha", "tau"], "y", "s").select("alpha", "tau", _r(F.col("ap")).alias("ap"))
+    return a.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc("ap"), "alpha", "tau")).cast("bigint"))
+
+
+@query(f"WITH {ITEMS} SELECT g, idx, " + ", ".join(f"round(exp(-((d - {c}) / 1.5) * ((d - {c}) / 1.5) / 2), 6) AS rbf_{i}" for i, c in enumerate((2, 3, 4, 5, 6, 8, 10))) + ", round(d / 10, 6) AS scaled FROM items WHERE d <= 12")
+def x5_radial_basis(spark, sf_dir):
+    centres = [2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0]
+    i = ranked_items(spark, sf_dir).where("d <= 12").withColumn("rbf", G.radial_basis(F.col("d"), centres, 1.5))
+    return i.select("g", "idx", *(_r(F.col("rbf")[k]).alias(f"rbf_{k}") for k in range(len(centres))), _r(F.col("d") / 10).alias("scaled"))
+
+
+_D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+
+
+@query(
+    f"""WITH {ATOMS}, c AS (SELECT g, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM atoms WHERE ligand = 1 GROUP BY g), m AS (SELECT a.g, a.id, min({_D}) AS d FROM atoms a JOIN atoms b ON a.g = b.g AND a.ligand = 0 AND b.ligand = 1 GROUP BY 1, 2)
+ SELECT a.g, a.id, round(m.d, 5) AS min_distance, round({_D}, 5) AS centroid_distance FROM atoms a JOIN m USING (g, id) JOIN c b ON a.g = b.g"""
+)
+def x6_j10_distances(spark, sf_dir):
+    """Least distance to the ligand's atoms (a product within the complex, by its key) and distance to its centroid."""
+    p = atoms(spark, sf_dir)
+    res, lig = p.where("ligand = 0"), p.where("ligand = 1")
+    xyz = lambda prefix="": [F.col(prefix + c) for c in "xyz"]
+    named = lig.select("g", *(F.col(c).alias(f"l_{c}") for c in "xyz"))
+    least = res.join(named, "g").groupBy("g", "id", "x", "y", "z").agg(F.min(G.distance(xyz(), xyz("l_"))).alias("m"))
+    centre = lig.groupBy("g").agg(*(F.avg(c).alias(f"c_{c}") for c in "xyz"))
+    return least.join(centre, "g").select("g", "id", _r(F.col("m"), 5).alias("min_distance"), _r(G.distance(xyz(), xyz("c_")), 5).alias("centroid_distance"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id AS id, embedding[1:3]::DOUBLE[] AS a, embedding[4:6]::DOUBLE[] AS b FROM embeddings) SELECT id, round(list_dot_product(a, b), 6) AS dot, round(sqrt(list_dot_product(a, a)), 6) AS norm,
+ round(degrees(acos(least(abs(list_dot_product(a, b)) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 1.0))), 4) AS angle FROM e"""
+)
+def x7_vector_algebra(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 3).alias("a"), F.slice("embedding", 4, 3).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return e.select("id", _r(G.dot(a, b)).alias("dot"), _r(G.norm(a)).alias("norm"), _r(G.plane_angle(a, b), 4).alias("angle"))
+
+
+_ROT = G.rotation((1.0, 2.0, 2.0), 30.0)
+
+
+@query(f"WITH {ATOMS} SELECT g, id, " + ", ".join(f"round(({s}) + x * ({m[0]}) + y * ({m[1]}) + z * ({m[2]}), 5) AS {n}" for n, m, s in zip(("nx", "ny", "nz"), _ROT, (1.0, -0.5, 0.25))) + " FROM atoms WHERE ligand = 1")
+def x8_rigid_motion(spark, sf_dir):
+    """Ligand atoms turned about an axis and shifted."""
+    p = atoms(spark, sf_dir).where("ligand = 1")
+    new = G.moved([F.col(c) for c in "xyz"], _ROT, (1.0, -0.5, 0.25))
+    return p.select("g", "id", *(_r(c, 5).alias(n) for n, c in zip(("nx", "ny", "nz"), new)))
+
+
+@query(
+    f"""WITH {ATOMS}, c AS (SELECT g, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM atoms WHERE ligand = 1 GROUP BY g), r AS (SELECT a.g, a.id, round({_D}, 5) AS d FROM atoms a JOIN c b ON a.g = b.g WHERE a.ligand = 0),
+ q AS (SELECT g, quantile_cont(d, 0.7) AS cut FROM r GROUP BY g), t AS (SELECT r.g, id, d, row_number() OVER (PARTITION BY r.g ORDER BY {draw_sql("'x9'", 'id')}, id) AS k FROM r JOIN q ON r.g = q.g AND d >= cut)
+ SELECT g, id, d FROM t WHERE k = 1"""
+)
+def x9_wrong_pocket(spark, sf_dir):
+    """A residue beyond the 70th percentile of distance, by hash: where the wrong pose goes."""
+    from ..operators.resample import draw
+
+    p = atoms(spark, sf_dir)
+    centre = p.where("ligand = 1").groupBy("g").agg(*(F.avg(c).alias(f"c_{c}") for c in "xyz"))
+    r = p.where("ligand = 0").join(centre, "g").select("g", "id", _r(G.distance([F.col(c) for c in "xyz"], [F.col(f"c_{c}") for c in "xyz"]), 5).alias("d"))
+    cut = r.groupBy("g").agg(F.percentile("d", 0.7).alias("cut"))
+    far = r.join(cut, "g").where("d >= cut")
+    return far.groupBy("g").agg(F.min_by(F.struct("id", "d"), F.struct(draw("x9", F.col("id")), F.col("id"))).alias("m")).select("g", "m.id", "m.d")
+
+
+@query("SELECT s_suppkey, sha256(s_name) AS h256, sha1(s_name) AS h1, substr(sha256(s_name), 1, 24) AS file_key, ('0x' || substr(sha1(s_name), 1, 12))::BIGINT AS seed FROM supplier")
+def x10_hashes(spark, sf_dir):
+    b = F.col("s_name").cast("binary")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.sha2(b, 256).alias("h256"), F.sha1(b).alias("h1"), F.substring(F.sha2(b, 256), 1, 24).alias("file_key"), F.conv(F.substring(F.sha1(b), 1, 12), 16, 10).cast("bigint").alias("seed"))
+
+
+@query(
+    """WITH f AS (SELECT vec_id AS id, list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN (1::HUGEINT << (i - 1)::INT) ELSE 0::HUGEINT END)), lambda a, b: a + b)::BIGINT AS w FROM embeddings),
+ p AS (SELECT a.id, b.id AS train, coalesce(bit_count(a.w & b.w)::DOUBLE / nullif(bit_count(a.w | b.w), 0), 1) AS t FROM f a JOIN f b ON a.id % 10 = 1 AND b.id % 2 = 0)
+ SELECT id, round(max(t), 6) AS max_tanimoto, min(train) FILTER (t = m) AS nearest FROM (SELECT *, max(t) OVER (PARTITION BY id) AS m FROM p) GROUP BY id"""
+)
+def x11_tanimoto(spark, sf_dir):
+    """Greatest Tanimoto similarity of each of a query set's fingerprints to the training ones, block by block."""
+    f = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), G.sign_bits(F.col("embedding"), 32).alias("w"))
+    blocks = 16
+    train = f.where("id % 2 = 0").select(F.col("id").alias("train"), F.col("w").alias("tw"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    # the query set is stated and small: a copy of it goes to each block of training rows
+    queries = f.where("id % 10 = 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    p = queries.join(train, "block")
+    best = p.groupBy("id").agg(F.max(F.struct(G.tanimoto(F.col("w"), F.col("tw")).alias("t"), (-F.col("train")).alias("n"))).alias("m"))
+    return best.select("id", _r(F.col("m.t")).alias("max_tanimoto"), (-F.col("m.n")).alias("nearest"))
+
+
+@query("""SELECT p_partkey, upper(trim(p_name)) AS name, split_part(p_type, ' ', 1) AS head, reverse(split_part(reverse(p_type), ' ', 1)) AS tail, unnest(string_split(p_brand || '+' || p_type, '+')) AS part FROM part""")
+def x12_strings(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.upper(F.trim("p_name")).alias("name"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("head"), F.substring_index("p_type", " ", -1).alias("tail"), F.explode(F.split(F.concat_ws("+", "p_brand", "p_type"), r"\+")).alias("part"))
+
+
+@query(
+    """WITH l AS (SELECT vec_id AS id, embedding[1:(vec_id % 4) + 1]::DOUBLE[] AS a, embedding[1:3]::DOUBLE[] AS b FROM embeddings), n AS (SELECT id, a, b, least(len(a), len(b)) AS n FROM l)
+ SELECT id, k AS place, round(a[k + 1], 6) AS a, round(b[k + 1], 6) AS b FROM (SELECT *, unnest(range(n)) AS k FROM n)"""
+)
+def x13_zip_shorter(spark, sf_dir):
+    """Two lists cut to the shorter one, row by row."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", F.lit(1), (F.col("vec_id") % 4 + 1).cast("int")).alias("a"), F.slice("embedding", 1, 3).alias("b"))
+    n = F.least(F.size("a"), F.size("b"))
+    z = e.select("id", F.posexplode(F.arrays_zip(F.slice("a", F.lit(1), n).alias("a"), F.slice("b", F.lit(1), n).alias("b"))).alias("place", "z"))
+    return z.select("id", F.col("place").cast("bigint").alias("place"), _r(F.col("z.a").cast("double")).alias("a"), _r(F.col("z.b").cast("double")).alias("b"))
+
+
+@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing FROM events")
+def x14_json_default(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(-1)).alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("missing"))
+
+
+@query("SELECT l_suppkey AS g, round(sum(l_tax) / nullif(sum(CASE WHEN l_quantity > 49.5 AND l_discount > 0.095 THEN l_discount END), 0), 6) AS ratio FROM lineitem GROUP BY 1")
+def x15_safe_division(spark, sf_dir):
+    few = F.sum(F.when((F.col("l_quantity") > 49.5) & (F.col("l_discount") > 0.095), F.col("l_discount")))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("g")).agg(_r(F.try_divide(F.sum("l_tax"), few)).alias("ratio"))
+
+
+@query("SELECT conv_id, string_agg(upper(substr(role, 1, 1)), '' ORDER BY turn) AS sequence, count(DISTINCT role) AS roles FROM conversations GROUP BY 1")
+def x18_sequence(spark, sf_dir):
+    """A one-letter sequence from rows in order."""
+    letters = F.array_sort(F.collect_list(F.struct("turn", F.upper(F.substring("role", 1, 1)).alias("c"))))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(letters, lambda s: s["c"]), "").alias("sequence"), F.countDistinct("role").alias("roles"))
+
+
+@query("SELECT s_suppkey, printf('%+.2f', s_acctbal) AS signed, printf('%.2f [%.2f, %.2f]', s_acctbal, s_acctbal - 1, s_acctbal + 1) AS ci FROM supplier")
+def x19_formatting(spark, sf_dir):
+    v = F.col("s_acctbal")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.format_string("%+.2f", v).alias("signed"), F.format_string("%.2f [%.2f, %.2f]", v, v - 1, v + 1).alias("ci"))
+
+
+@query(
+    f"""WITH {ITEMS}, p AS (SELECT a.g, a.idx AS pos, b.idx AS neg, a.sa - b.sa AS gap, abs(a.d - b.d) AS dd FROM items a JOIN items b ON a.g = b.g AND a.y = 1 AND b.y = 0 AND abs(a.d - b.d) <= 0.75 AND a.sa > b.sa WHERE a.d <= 4 AND b.d <= 4)
+ SELECT g, count(*) AS pairs, round(max(gap - 0.1 * dd), 6) AS best FROM p GROUP BY g"""
+)
+def j11_matched_contrast(spark, sf_dir):
+    """Best (positive, negative) contrast of each complex at nearly the same distance: a band join on rounded distances."""
+    i = ranked_items(spark, sf_dir).where("d <= 4")
+    pos = i.where("y = 1").select("g", "d", "sa", F.floor(F.col("d") / 0.75).alias("band"))
+    neg = i.where("y = 0").select("g", F.col("d").alias("nd"), F.col("sa").alias("ns"), F.explode(F.array(*(F.floor(F.col("d") / 0.75) + s for s in (-1, 0, 1)))).alias("band"))
+    p = pos.join(neg, ["g", "band"]).where((F.abs(F.col("d") - F.col("nd")) <= 0.75) & (F.col("sa") > F.col("ns")))
+    return p.groupBy("g").agg(F.count("*").alias("pairs"), _r(F.max(F.col("sa") - F.col("ns") - 0.1 * F.abs(F.col("d") - F.col("nd")))).alias("best"))
+
+
+@query(
+    f"""WITH {ATOMS}, d AS (SELECT a.g, a.id, b.id AS target, {_D} AS d FROM atoms a JOIN atoms b ON a.g = b.g AND a.ligand = 1 AND b.ligand = 0), m AS (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY d, target) AS r FROM d WHERE d <= 8) SELECT g, id, target, round(d, 5) AS distance FROM m WHERE r = 1"""
+)
+def j12_nearest_within(spark, sf_dir):
+    p = atoms(spark, sf_dir)
+    return X.nearest_within(p.where("ligand = 1"), p.where("ligand = 0"), "g", 8.0).select("g", "id", "target", _r(F.col("distance"), 5).alias("distance"))
+
+
+@query(f"WITH {ATOMS}, d AS (SELECT a.g, a.id AS a_key, b.id AS b_key, {_D} AS d FROM atoms a JOIN atoms b ON a.g = b.g AND a.id <> b.id AND a.ligand = 0 AND b.ligand = 0) SELECT g, a_key, count(*) AS neighbours, round(min(d), 5) AS nearest, round(sum(d), 3) AS total FROM d WHERE d <= 10 GROUP BY 1, 2")
+def j13_neighbours(spark, sf_dir):
+    p = X.pairs_within(atoms(spark, sf_dir).where("ligand = 0"), "g", "id", 10.0)
+    return p.groupBy("g", "a_key").agg(F.count("*").alias("neighbours"), _r(F.min("distance"), 5).alias("nearest"), _r(F.sum("distance"), 3).alias("total"))
+
+
+@query(f"WITH {ATOMS}, d AS (SELECT a.g, a.id, b.id AS other, {_D} AS d FROM atoms a JOIN atoms b ON a.g = b.g AND a.id <> b.id AND a.ligand = 0 AND b.ligand = 0), k AS (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY d, other) AS k FROM d) SELECT g, id, other, k, round(d, 5) AS distance FROM k WHERE k <= 3")
+def j13_fe2_knn(spark, sf_dir):
+    """Three nearest residues of each, by the complex's key; residues of a complex are few."""
+    p = atoms(spark, sf_dir).where("ligand = 0")
+    q = p.select("g", F.col("id").alias("other"), *(F.col(c).alias(f"o_{c}") for c in "xyz"))
+    d = p.join(q, "g").where("id <> other").withColumn("d", G.distance([F.col(c) for c in "xyz"], [F.col(f"o_{c}") for c in "xyz"]))
+    k = d.withColumn("k", F.row_number().over(Window.partitionBy("g", "id").orderBy("d", "other"))).where("k <= 3")
+    return k.select("g", "id", "other", F.col("k").cast("bigint").alias("k"), _r(F.col("d"), 5).alias("distance"))
+
+
+_PAIRS = "pairs AS (SELECT l_suppkey AS g, l_partkey % 20 AS res, l_quantity / 5 AS d, l_discount * 10 AS c1, l_tax * 12 AS c2, CAST(l_linenumber AS DOUBLE) / 7 AS c3 FROM lineitem)"
+
+
+def _pairs(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as g", "l_partkey % 20 as res", "l_quantity / 5 as d", "l_discount * 10 as c1", "l_tax * 12 as c2", "cast(l_linenumber as double) / 7 as c3")
+
+
+def _typed_sql(channels: list[str]) -> str:
+    s = f"greatest({', '.join(channels)})"
+    out = ["count(*) AS pairs", "min(d) AS min_distance"]
+    for r in X.RADII:
+        out += [f"count(*) FILTER (d <= {r}) AS count_{r:g}", f"avg(CAST(d <= {r} AS DOUBLE)) AS part_{r:g}"]
+    out += [f"sum(exp(-d / {t})) AS soft_{t:g}" for t in X.SOFT_TAUS]
+    out += [f"max({s}) AS any_max", f"avg({s}) AS any_mean", f"list_avg(list_reverse_sort(list({s}))[1:3]) AS any_top3", *(f"count(*) FILTER ({s} >= {t}) AS any_ge_{t:g}".replace("_0.", "_0_") for t in (0.25, 0.5, 0.75))]
+    for t in X.WEIGHT_TAUS:
+        out += [f"sum({s} * exp(-d / {t})) AS any_sum_{t:g}", f"sum({s} * exp(-d / {t})) / count(*) AS any_mean_{t:g}"]
+    for c in channels:
+        out += [f"max({c}) AS {c}_max", f"avg({c}) AS {c}_mean", f"sum({c} * exp(-d / 6.0)) / count(*) AS {c}_near"]
+    inner = ", ".join(out)
+    rounded = ", ".join((n if n == "pairs" or n.startswith(("count_", "any_ge")) else f"round({n}, 6) AS {n}") for n in (o.rsplit(" AS ", 1)[1] for o in out))
+    return f"WITH {_PAIRS}, f AS (SELECT g, res, {inner} FROM pairs GROUP BY g, res) SELECT g, res, {rounded} FROM f"
+
+
+def _typed(spark, sf_dir, channels):
+    f = X.typed_features(_pairs(spark, sf_dir), ["g", "res"], channels, "d")
+    f = f.withColumnsRenamed({c: c.replace("_0.", "_0_") for c in f.columns})
+    return f.select("g", "res", *(_r(F.col(c)).alias(c) if t == "double" else c for c, t in f.dtypes if c not in ("g", "res")))
+
+
+@query(_typed_sql(["c1", "c2", "c3"]))
+def fe1_typed_features(spark, sf_dir):
+    """Multi-scale typed features of each residue in one aggregation."""
+    return _typed(spark, sf_dir, ["c1", "c2", "c3"])
+
+
+@query(_typed_sql(["c1", "c3"]))
+def fe5_type_removal(spark, sf_dir):
+    """The same without one channel, shared columns made anew."""
+    return _typed(spark, sf_dir, ["c1", "c3"])
+
+
+@query(
+    f"""WITH {_PAIRS}, m AS (SELECT g, res, d, c1, c2, c3 FROM pairs), k AS (SELECT g, res, d AS pk, unnest([c1 / 2, c2 / 2, c3 / 2]) AS p FROM m), q AS (SELECT g, res, pk, avg(p) AS mean, stddev_pop(p) AS sd, max(p) - min(p) AS "range" FROM k GROUP BY ALL)
+ SELECT g, res, round(max(mean), 6) AS mean_max, round(avg(mean), 6) AS mean_mean, round(max(sd), 6) AS sd_max, round(avg(sd), 6) AS sd_mean, round(max("range"), 6) AS range_max, round(list_avg(list_reverse_sort(list(sd))[1:3]), 6) AS sd_top3 FROM q GROUP BY g, res"""
+)
+def fe3_ensemble_uncertainty(spark, sf_dir):
+    long = _pairs(spark, sf_dir).select("g", "res", F.col("d").alias("pk"), F.posexplode(F.array(F.col("c1") / 2, F.col("c2") / 2, F.col("c3") / 2)).alias("model", "p"))
+    u = X.ensemble_uncertainty(long, ["g", "res"], "pk", "model", "p")
+    return u.select("g", "res", *(_r(F.col(c)).alias(c) for c in ("mean_max", "mean_mean", "sd_max", "sd_mean", "range_max", "sd_top3")))
+
+
+@query(
+    f"""WITH {ITEMS}, s AS (SELECT *, CAST(sa > 0.095 AND d < 8 AS INT) AS pos FROM items), t AS (SELECT *, sum(pos) OVER (PARTITION BY g) AS p, row_number() OVER (PARTITION BY g, pos ORDER BY d, idx) AS r FROM s)
+ SELECT g, idx, pos FROM t WHERE pos = 1 OR r <= CASE WHEN p = 0 THEN 32 ELSE least(greatest(p * 4, 1), 20) END"""
+)
+def fe7_pair_sampling(spark, sf_dir):
+    s = ranked_items(spark, sf_dir).withColumn("pos", ((F.col("sa") > 0.095) & (F.col("d") < 8)).cast("int"))
+    return X.sampled_pairs(s, "g", "pos", ["d", "idx"], 4, 20).select("g", "idx", "pos")
+
+
+@query(
+    f"""WITH {ATOMS}, m AS (SELECT a.g, a.id, min({_D}) AS d FROM atoms a JOIN atoms b ON a.g = b.g AND a.ligand = 0 AND b.ligand = 1 GROUP BY 1, 2), r AS (SELECT g, count(*) FILTER (d <= 15) AS candidates, count(*) AS residues, count(*) FILTER (d <= 15 AND id % 7 = 0) AS positives FROM m GROUP BY g)
+ SELECT g, residues, candidates, positives, CASE WHEN candidates = 0 THEN 'no residue in range' WHEN positives = 0 THEN 'no positive' ELSE 'ok' END AS reason FROM r"""
+)
+def fe8_candidate_record(spark, sf_dir):
+    """Residues near the ligand of each complex, their positives, and why a complex is skipped."""
+    p = atoms(spark, sf_dir)
+    lig = p.where("ligand = 1").select("g", *(F.col(c).alias(f"l_{c}") for c in "xyz"))
+    m = p.where("ligand = 0").join(lig, "g").groupBy("g", "id").agg(F.min(G.distance([F.col(c) for c in "xyz"], [F.col(f"l_{c}") for c in "xyz"])).alias("d"))
+    near = F.col("d") <= 15
+    r = m.groupBy("g").agg(F.count("*").alias("residues"), F.count_if(near).alias("candidates"), F.count_if(near & (F.col("id") % 7 == 0)).alias("positives"))
+    return r.withColumn("reason", F.when(F.col("candidates") == 0, "no residue in range").when(F.col("positives") == 0, "no positive").otherwise("ok"))
+
+
+@query(
+    f"""WITH {ATOMS}, c AS (SELECT g, -1 AS id, 0 AS kind, round(avg(x), 4) AS x FROM atoms WHERE ligand = 0 GROUP BY g), n AS (SELECT * FROM c UNION ALL SELECT g, id, 1 + ligand, round(x, 4) FROM atoms)
+ SELECT g, id, kind, row_number() OVER (PARTITION BY g ORDER BY kind, id) - 1 AS node FROM n"""
+)
+def fe9_graph_nodes(spark, sf_dir):
+    """Nodes of each complex: its centroid, then residues, then ligand atoms, numbered."""
+    p = atoms(spark, sf_dir)
+    centre = p.where("ligand = 0").select("g").distinct().select("g", F.lit(-1).cast("bigint").alias("id"), F.lit(0).alias("kind"))
+    nodes = centre.union(p.select("g", "id", (1 + F.col("ligand")).alias("kind")))
+    return nodes.withColumn("node", (F.row_number().over(Window.partitionBy("g").orderBy("kind", "id")) - 1).cast("bigint"))
+
+
+@query(
+    f"""WITH {ITEMS}, a AS (SELECT g, idx, sa, row_number() OVER (PARTITION BY g ORDER BY idx) AS k FROM items), b AS (SELECT g, sa AS permuted, row_number() OVER (PARTITION BY g ORDER BY {draw_sql("'fe11'", 'g', 'idx')}, idx) AS k FROM items) SELECT g, idx, sa, permuted FROM a JOIN b USING (g, k)"""
+)
+def fe11_permutation_control(spark, sf_dir):
+    from ..operators.resample import draw
+
+    i = ranked_items(spark, sf_dir).select("g", "idx", "sa")
+    return X.permuted(i, "g", "idx", "sa", draw("fe11", F.col("g"), F.col("idx"))).select("g", "idx", "sa", "permuted")
+
+
+@query("SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def fe12_residue_positives(spark, sf_dir):
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_orderpriority in ('1-URGENT', '2-HIGH')").select("o_custkey", "o_orderpriority").distinct()

@@ -1 +1,120 @@
-"""Queries."""
+"""Fusion heads: fitted models are checked by rows and invariants, plain expressions by SQL."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..operators import learning as L
+from ..operators import rank_metrics
+from .fixtures import ITEMS, ranked_items, table
+from .registry import query
+
+
+def _matrix(spark, sf_dir):
+    d = F.col("d")
+    i = ranked_items(spark, sf_dir).select("g", "idx", ((F.col("y") == 1) != (F.col("d") < 10)).cast("int").alias("y"), F.col("sa").alias("v"), F.exp(-d / 12).alias("prior"), (1 / (1 + d)).alias("inverse"), (F.col("sb") / 1e5).alias("price"))
+    return i.where("g % 3 = 0"), i.where("g % 3 = 1"), i.where("g % 3 = 2")
+
+
+@query()
+def ml1_logistic_head(spark, sf_dir):
+    """C and validation AP of each head of the grid, and which is chosen."""
+    train, valid, _ = _matrix(spark, sf_dir)
+    features = ["v", "prior", "inverse", "price"]
+    c, _, table_ = L.logistic_head(L.standardised(train, features, train), L.standardised(valid, features, train), features, "y")
+    return spark.createDataFrame([(a, float(b), a == c) for a, b in table_], "c double, ap double, chosen boolean")
+
+
+@query()
+def ml2_two_input_head(spark, sf_dir):
+    """Test AP of a head on [score, prior]."""
+    train, valid, test = _matrix(spark, sf_dir)
+    f = ["v", "prior"]
+    c, model, _ = L.logistic_head(L.standardised(train, f, train), L.standardised(valid, f, train), f, "y")
+    return rank_metrics.pooled(L.score_with(model, L.standardised(test, f, train), f), "y", "score").withColumn("c", F.lit(c))
+
+
+@query()
+def ml3_ml4_boosted_head(spark, sf_dir):
+    train, _, test = _matrix(spark, sf_dir)
+    f = ["v", "prior", "inverse", "price"]
+    return rank_metrics.pooled(L.score_with(L.boosted_head(train, f, "y", trees=5), test, f), "y", "score")
+
+
+@query()
+def ml5_set_head(spark, sf_dir):
+    """A perceptron on mean and max pools of encoded pairs."""
+    p = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as g", "l_partkey % 20 as res", "l_quantity / 5 as d", "l_discount * 10 as c1", "l_tax * 12 as c2", "l_returnflag")
+    d = F.col("d")
+    x = L.pooled_set(p, ["g", "res"], ["c1", "c2"], [F.exp(-d / 2), F.exp(-d / 6)])
+    y = p.groupBy("g", "res").agg((F.avg((F.col("l_returnflag") == "R").cast("int")) > 0.33).cast("int").alias("y"))
+    rows = x.join(y, ["g", "res"])
+    f = [c for c in x.columns if c not in ("g", "res")]
+    train, test = rows.where("g % 2 = 0"), rows.where("g % 2 = 1")
+    model = L.perceptron_head(L.standardised(train, f, train), f, "y", rounds=20)
+    return rank_metrics.pooled(L.score_with(model, L.standardised(test, f, train), f), "y", "score")
+
+
+@query()
+def ml6_ml8_perceptron_head(spark, sf_dir):
+    train, _, test = _matrix(spark, sf_dir)
+    f = ["v", "prior", "inverse", "price"]
+    model = L.perceptron_head(L.standardised(train, f, train), f, "y", rounds=20)
+    return rank_metrics.pooled(L.score_with(model, L.standardised(test, f, train), f), "y", "score")
+
+
+@query(
+    """WITH p AS (SELECT l_suppkey AS g, l_partkey % 20 AS res, (1 / (1 + exp(-l_discount)) + 1 / (1 + exp(-l_tax))) / 2 AS p1, (1 / (1 + exp(-l_quantity / 50)) + 1 / (1 + exp(l_tax))) / 2 AS p2 FROM lineitem) SELECT g, res, round(max(greatest(p1, p2)), 6) AS score FROM p GROUP BY g, res"""
+)
+def ml9_ensemble_scores(spark, sf_dir):
+    """Mean of sigmoids over models, then the greatest over pairs and channels of a residue."""
+    s = lambda e: 1 / (1 + F.exp(-F.expr(e)))
+    p1, p2 = (s("l_discount") + s("l_tax")) / 2, (s("l_quantity / 50") + s("-l_tax")) / 2
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), (F.col("l_partkey") % 20).alias("res"), F.greatest(p1, p2).alias("p"))
+    return p.groupBy("g", "res").agg(F.round(F.max("p"), 6).alias("score"))
+
+
+@query()
+def ml12_guarded_inference(spark, sf_dir):
+    """Batched scoring by a vectorised function; a score that is not finite stops the job."""
+
+    @F.pandas_udf("double")
+    def score(v: pd.Series, d: pd.Series) -> pd.Series:
+        out = 0.55 * v + 0.45 * np.exp(-d / 12)
+        if not np.isfinite(out).all():
+            raise ValueError("a score is not finite")
+        return out
+
+    return ranked_items(spark, sf_dir).select("g", "idx", F.round(score("sa", "d"), 6).alias("score"))
+
+
+@query(
+    f"""WITH {ITEMS}, m AS (SELECT g, y, greatest(least(sa * 8, 1 - 1e-7), 1e-7) AS p, CAST(d < 25 AS INT) AS mask FROM items) SELECT g, round(sum(mask * CASE WHEN y = 1 THEN -ln(p) ELSE -ln(1 - p) END) / greatest(sum(mask), 1), 5) AS loss FROM m GROUP BY g"""
+)
+def ml13_masked_loss(spark, sf_dir):
+    return ranked_items(spark, sf_dir).groupBy("g").agg(F.round(L.masked_loss(F.col("y"), F.col("sa") * 8, (F.col("d") < 25).cast("int")), 5).alias("loss"))
+
+
+@query()
+def r13_grouped_out_of_fold(spark, sf_dir):
+    """One out-of-fold score of each item from group-disjoint folds, and how many each item has."""
+    items = ranked_items(spark, sf_dir).select("g", "idx", "y", F.col("sa").alias("v"), F.exp(-F.col("d") / 12).alias("prior"))
+    folds = L.stratified_folds(items, "g", "y", 3, "r13")
+    both = items.join(folds, "g")
+    parts = []
+    for k in range(3):
+        model = L.boosted_head(both.where(F.col("fold") != k), ["v", "prior"], "y", trees=2, depth=2)
+        parts.append(L.score_with(model, both.where(F.col("fold") == k), ["v", "prior"]).select("g", "idx", "fold", F.round("score", 6).alias("score")))
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+@query("SELECT DISTINCT l_suppkey AS g, 1 AS folds FROM lineitem")
+def r13_fold_audit(spark, sf_dir):
+    """Every group lies in one fold."""
+    items = ranked_items(spark, sf_dir)
+    f = L.stratified_folds(items, "g", "y", 5, "r13")
+    return f.groupBy("g").agg(F.countDistinct("fold").cast("int").alias("folds"))
