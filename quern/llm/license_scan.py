@@ -129,7 +129,7 @@ def license_places(docs: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.size(words).cast("bigint").alias("n_words"),
-        F.when(F.array_contains("known", "license"), base).otherwise(none("array<struct<label:string,start:int>>")).alias("base"),
+        F.when(F.array_contains(words, "license"), base).otherwise(none("array<struct<label:string,start:int>>")).alias("base"),
         F.when(known, F.array_distinct(F.transform(F.filter(phrases, lambda p: F.contains(F.col("text"), p["phrase"])), lambda p: p["label"]))).otherwise(none("array<string>")).alias("verified"),
         F.when(
             known,
