@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat
+from . import chat, decontaminate, jaccard
 from ._tables import table
 
 
@@ -27,21 +27,15 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontaminate import contamination
-
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import query
-
-    return query(table(spark, sf_dir, "conversations"))
+    return chat.query(table(spark, sf_dir, "conversations"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .jaccard import linked_classes
-
-    return linked_classes(table(spark, sf_dir, "documents"))
+    return jaccard.linked_classes(table(spark, sf_dir, "documents"))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +63,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_language_model, op4_decontaminate, op5_chat, op6_jaccard, op7_personal_data, op8_quality_rules, op9_licenses, op10_quality)}
-ORACLE = {"op5_chat": chat.ORACLE}
+ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op6_jaccard": jaccard.ORACLE}
