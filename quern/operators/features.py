@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import distance
 
-#: Ranges of the distance priors, of the soft counts and of the weighted any-channel sums (fixed values).
-TAUS = (2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 12.0, 16.0, 20.0)
-SOFT_TAUS = (2.0, 4.0, 6.0, 8.0)
+# Ranges of the distance priors, and cut-offs, soft ranges and thresholds of the pair pools.
+TAUS = (1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 10.0, 12.0, 16.0, 20.0)
+CUTOFFS = (3.0, 4.0, 5.0, 6.0, 8.0, 10.0)
+SOFT_TAUS = (1.0, 2.0, 4.0, 8.0)
 WEIGHT_TAUS = (4.0, 8.0)
-RADII = (4.0, 6.0, 8.0, 10.0)
+THRESHOLDS = (0.3, 0.5, 0.7)
+SPATIAL_RADII = (6.0, 8.0, 10.0, 12.0)
+NEIGHBOURS = (3, 5, 8)
+#: Distance of what has no neighbour.
+FAR = 80.0
 
 
 def pairs_within(points: DataFrame, group: str, key: str, cell: float, coords: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
@@ -44,53 +49,135 @@ def nearest_within(points: DataFrame, targets: DataFrame, group: str, tolerance:
     return near.groupBy(group, "id").agg(F.min(F.struct("distance", "target")).alias("m")).select(group, "id", "m.target", "m.distance")
 
 
-def range_priors(d: Column) -> list[Column]:
-    return [F.exp(-d / t).alias(f"prior_{t:g}") for t in TAUS]
+def tag(v: float) -> str:
+    return f"{v:g}".replace(".", "_")
 
 
 def distance_features(d: Column) -> list[Column]:
-    """Twelve: distance, inverse distance and the priors."""
-    return [d.alias("distance"), (1 / (1 + d)).alias("inverse"), *range_priors(d)]
+    """Twelve: distance within [0, 80], its log1p and a prior exp(-d / tau) for each range."""
+    near = F.greatest(F.least(d, F.lit(FAR)), F.lit(0.0))
+    return [near.alias("distance"), F.log1p(near).alias("log_distance"), *(F.exp(-d / t).alias(f"prior_{tag(t)}") for t in TAUS)]
+
+
+def score_features(score: Column) -> list[Column]:
+    """Two: the score within [0, 1] and its logit."""
+    v = F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0))
+    q = F.greatest(F.least(v, F.lit(1 - 1e-5)), F.lit(1e-5))
+    return [v.alias("score"), F.log(q / (1 - q)).alias("score_logit")]
 
 
 def cross_features(score: Column, d: Column) -> list[Column]:
-    """Eleven: the score over 1 + distance, and times each prior."""
-    return [(score / (1 + d)).alias("cross_inverse"), *((score * F.exp(-d / t)).alias(f"cross_{t:g}") for t in TAUS)]
+    """Eleven: the score times each prior, and over 1 + distance."""
+    v = F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0))
+    return [*((v * F.exp(-d / t)).alias(f"cross_{tag(t)}") for t in TAUS), (v / (1 + d)).alias("cross_inverse")]
 
 
-def _top3(c: Column) -> Column:
+def _top3(c) -> Column:
     top = F.slice(F.sort_array(F.collect_list(c), False), 1, 3)
     return F.aggregate(top, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(top), F.lit(0))
 
 
-def typed_features(pairs: DataFrame, keys: list[str], channels: list[str], distance_col: str) -> DataFrame:
-    """Multi-scale features of each residue from its pairs, in one aggregation.
+def typed_features(residues: DataFrame, pairs: DataFrame, keys: list[str], channels: list[str], least: str, centroid: str) -> DataFrame:
+    """Multi-scale features of each residue from its pairs: one aggregation, then 0 for residues without pairs.
 
-    Of the pairs: count and least distance, counts and fractions within radii, soft counts; of the greatest
-    channel: max, mean, top-3 mean, counts above thresholds and weighted sums; of each channel max, mean and a weighted sum.
-    Pairs of a residue are bounded by its ligand, so the top-3 lists are short.
+    Two of the pairs (log1p count, mean centroid distance), twelve contact counts and parts, eight soft counts and means, and of
+    the greatest channel max, mean, two weighted means, six counts and parts above thresholds and the top-3 mean; then max,
+    mean and a weighted mean of each channel: 33 + 3 * channels.  A residue's pairs are as many as its ligand has
+    atoms, so the top-3 lists are short.
     """
-    d = F.col(distance_col)
+    d = F.col(least)
     shared = F.greatest(*channels) if len(channels) > 1 else F.col(channels[0])
     n = F.count("*")
-    out = [n.alias("pairs"), F.min(d).alias("min_distance")]
-    for r in RADII:
-        out += [F.count_if(d <= r).alias(f"count_{r:g}"), F.avg((d <= r).cast("double")).alias(f"part_{r:g}")]
-    out += [F.sum(F.exp(-d / t)).alias(f"soft_{t:g}") for t in SOFT_TAUS]
-    out += [F.max(shared).alias("any_max"), F.avg(shared).alias("any_mean"), _top3(shared).alias("any_top3"), *(F.count_if(shared >= t).alias(f"any_ge_{t:g}") for t in (0.25, 0.5, 0.75))]
-    for t in WEIGHT_TAUS:
-        out += [F.sum(shared * F.exp(-d / t)).alias(f"any_sum_{t:g}"), (F.sum(shared * F.exp(-d / t)) / n).alias(f"any_mean_{t:g}")]
+    out = [F.log1p(n).alias("log_pairs"), F.avg(centroid).alias("centroid_mean")]
+    for r in CUTOFFS:
+        out += [F.count_if(d <= r).cast("double").alias(f"contacts_{tag(r)}"), F.avg((d <= r).cast("double")).alias(f"contact_part_{tag(r)}")]
+    for t in SOFT_TAUS:
+        out += [F.sum(F.exp(-d / t)).alias(f"soft_{tag(t)}"), F.avg(F.exp(-d / t)).alias(f"soft_mean_{tag(t)}")]
+    out += [F.max(shared).alias("any_max"), F.avg(shared).alias("any_mean"), *(F.avg(shared * F.exp(-d / t)).alias(f"any_weighted_{tag(t)}") for t in WEIGHT_TAUS)]
+    for t in THRESHOLDS:
+        out += [F.count_if(shared >= t).cast("double").alias(f"any_count_{tag(t)}"), F.avg((shared >= t).cast("double")).alias(f"any_part_{tag(t)}")]
+    out.append(_top3(shared).alias("any_top3"))
     for c in channels:
-        out += [F.max(c).alias(f"{c}_max"), F.avg(c).alias(f"{c}_mean"), (F.sum(F.col(c) * F.exp(-d / 6.0)) / n).alias(f"{c}_near")]
-    return pairs.groupBy(*keys).agg(*out)
+        out += [F.max(c).alias(f"{c}_max"), F.avg(c).alias(f"{c}_mean"), F.avg(F.col(c) * F.exp(-d / 4.0)).alias(f"{c}_weighted_4")]
+    return residues.select(*keys).join(pairs.groupBy(*keys).agg(*out), keys, "left").fillna(0.0)
+
+
+def item_matrix(items: DataFrame, keys: list[str], score: str, d: str, typed: list[str]) -> DataFrame:
+    """Distance 12, score 2, cross 11 and the typed columns: 73 with five channels."""
+    return items.select(*keys, *distance_features(F.col(d)), *score_features(F.col(score)), *cross_features(F.col(score), F.col(d)), *typed)
 
 
-def ensemble_uncertainty(pairs: DataFrame, keys: list[str], pair_key: str, model: str, p: str) -> DataFrame:
-    """Of the models' probabilities of each pair: mean, deviation, range, entropy of the mean; then max, mean and top-3 mean over pairs."""
-    q = F.greatest(F.least(F.avg(p), F.lit(1 - 1e-6)), F.lit(1e-6))
-    per = pairs.groupBy(*keys, pair_key).agg(F.avg(p).alias("mean"), F.stddev_pop(p).alias("sd"), (F.max(p) - F.min(p)).alias("range"), (-(q * F.log(q) + (1 - q) * F.log(1 - q))).alias("entropy"))
-    names = ("mean", "sd", "range", "entropy")
-    return per.groupBy(*keys).agg(*(f(n).alias(f"{n}_{s}") for n in names for s, f in (("max", F.max), ("mean", F.avg), ("top3", lambda c: _top3(F.col(c))))))
+def spatial_features(residues: DataFrame, group: str, key: str, score: str, d: str) -> DataFrame:
+    """Of the residues around each one: count, mean and greatest score and least ligand distance within each radius, and mean and greatest
+    score and mean distance of its nearest 3, 5 and 8: 25 columns.  0, and 80 for distances, without neighbours.
+
+    Radii meet by cubes; the nearest few meet by the complex's key, whose residues a protein bounds.
+    """
+    values = residues.select(group, F.col(key).alias("b_key"), F.col(score).alias("_s"), F.col(d).alias("_d"))
+    near = pairs_within(residues, group, key, max(SPATIAL_RADII)).join(values, [group, "b_key"])
+    within = []
+    for r in SPATIAL_RADII:
+        hit = F.col("distance") <= r
+        pick = lambda c, hit=hit: F.when(hit, F.col(c))
+        within += [F.count_if(hit).cast("double").alias(f"n_{tag(r)}"), F.avg(pick("_s")).alias(f"mean_{tag(r)}"), F.max(pick("_s")).alias(f"max_{tag(r)}"), F.min(pick("_d")).alias(f"nearest_{tag(r)}")]
+    a = near.groupBy(group, F.col("a_key").alias(key)).agg(*within)
+    xyz = ("x", "y", "z")
+    other = residues.select(group, F.col(key).alias("b_key"), F.col(score).alias("_s"), F.col(d).alias("_d"), *(F.col(c).alias(f"o_{c}") for c in xyz))
+    pairs = residues.select(group, key, *xyz).join(other, group).where(F.col(key) != F.col("b_key")).withColumn("_far", distance([F.col(c) for c in xyz], [F.col(f"o_{c}") for c in xyz]))
+    pairs = pairs.withColumn("_k", F.row_number().over(Window.partitionBy(group, key).orderBy("_far", "b_key"))).where(F.col("_k") <= max(NEIGHBOURS))
+    of = lambda c, k: F.when(F.col("_k") <= k, F.col(c))
+    b = pairs.groupBy(group, key).agg(*(x for k in NEIGHBOURS for x in (F.avg(of("_s", k)).alias(f"knn{k}_mean"), F.max(of("_s", k)).alias(f"knn{k}_max"), F.avg(of("_d", k)).alias(f"knn{k}_distance"))))
+    out = residues.select(group, key).join(a, [group, key], "left").join(b, [group, key], "left")
+    far = {c: FAR for c in out.columns if c.startswith("nearest_") or c.endswith("_distance")}
+    return out.fillna(far).fillna(0.0)
+
+
+def context_features(df: DataFrame, group: list[str], tie: str, sources: list[str]) -> DataFrame:
+    """df with the within-group rank and standard score of each source column."""
+    from .rank_metrics import group_rank, group_zscore
+
+    return df.select("*", *(x for s in sources for x in (group_rank(group, [s, tie]).alias(f"rank_{s}"), group_zscore(group, s).alias(f"zscore_{s}"))))
+
+
+def ensemble_uncertainty(pairs: DataFrame, keys: list[str], pair: str, channels: list[str]) -> DataFrame:
+    """How models agree on each pair (rows: pair and model), pooled by max, mean and top-3 mean over a residue's pairs: 21 columns.
+
+    Of the greatest channel: least, mean less deviation, deviation and range over models; of the channels' deviations the mean and the greatest;
+    and the greatest of the channels' least probabilities.  Deviations are population ones.
+    """
+    p = pairs.withColumn("_any", F.greatest(*channels) if len(channels) > 1 else F.col(channels[0]))
+    sds = [F.stddev_pop(c) for c in channels]
+    greatest = lambda cs: F.greatest(*cs) if len(cs) > 1 else cs[0]
+    per = p.groupBy(*keys, pair).agg(
+        F.min("_any").alias("any_min"),
+        (F.avg("_any") - F.stddev_pop("_any")).alias("any_low"),
+        F.stddev_pop("_any").alias("any_sd"),
+        (F.max("_any") - F.min("_any")).alias("any_range"),
+        (sum(sds[1:], sds[0]) / len(channels)).alias("channel_sd_mean"),
+        greatest(sds).alias("channel_sd_max"),
+        greatest([F.min(c) for c in channels]).alias("consensus"),
+    )
+    names = per.columns[len(keys) + 1 :]
+    return per.groupBy(*keys).agg(*(x for n in names for x in (F.max(n).alias(f"{n}_max"), F.avg(n).alias(f"{n}_mean"), _top3(n).alias(f"{n}_top3"))))
+
+
+def ring_geometry(pairs: DataFrame, protein: DataFrame, ligand: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each (residue, ligand atom) pair its nearest ring pair: [1, distance / 10 up to 2, angle / 90 up to 1, offset / 5 up to 2], zeros without one.
+
+    protein and ligand: rings with the residue's or atom's key, centre and unit normal (arrays of three).
+    """
+    from ..functions.geometry import dot, norm, plane_angle
+
+    both = pairs.join(protein, keys[:2], "left").join(ligand, [keys[0], keys[2]], "left")
+    delta = F.zip_with("p_centre", "l_centre", lambda a, b: a - b)
+    aside = lambda n: norm(F.zip_with(delta, F.transform(n, lambda v: v * dot(delta, F.col(n))), lambda a, b: a - b))
+    found = F.when(
+        F.col("p_centre").isNotNull() & F.col("l_centre").isNotNull(),
+        F.struct(norm(delta).alias("d"), plane_angle(F.col("p_normal"), F.col("l_normal")).alias("angle"), F.least(aside("p_normal"), aside("l_normal")).alias("offset")),
+    )
+    best = both.groupBy(*keys).agg(F.min(found).alias("m"))
+    part = lambda f, by, most: F.coalesce(F.least(F.col(f"m.{f}") / by, F.lit(most)), F.lit(0.0))
+    return best.select(*keys, F.col("m").isNotNull().cast("double").alias("has_ring"), part("d", 10, 2.0).alias("ring_distance"), part("angle", 90, 1.0).alias("ring_angle"), part("offset", 5, 2.0).alias("ring_offset"))
 
 
 def sampled_pairs(pairs: DataFrame, group: str, label: str, order: list, ratio: int, cap: int) -> DataFrame:

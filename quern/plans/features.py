@@ -18,7 +18,7 @@ def _r(c, n=6):
 
 
 def _sql(names_exprs: dict) -> str:
-    return ", ".join(f"round({e}, 6) AS {n}" for n, e in names_exprs.items())
+    return ", ".join(f"round({e}, 8) AS {n}" for n, e in names_exprs.items())
 
 
 @query(f"WITH {ITEMS} SELECT g, idx, round(exp(-d / 10), 6) AS e, round(ln(1 + sb), 6) AS l, round(sqrt(d), 6) AS s, round(ln(greatest(least(sa, 1 - 1e-5), 1e-5) / (1 - greatest(least(sa, 1 - 1e-5), 1e-5))), 6) AS logit FROM items")
@@ -28,16 +28,22 @@ def x1_math(spark, sf_dir):
     return ranked_items(spark, sf_dir).select("g", "idx", _r(F.exp(-F.col("d") / 10)).alias("e"), _r(F.log1p("sb")).alias("l"), _r(F.sqrt("d")).alias("s"), _r(logit(F.col("sa"))).alias("logit"))
 
 
-_PRIORS = {f"prior_{t:g}": f"exp(-d / {t})" for t in X.TAUS}
-_CROSS = {"cross_inverse": "sa / (1 + d)"} | {f"cross_{t:g}": f"sa * exp(-d / {t})" for t in X.TAUS}
+_CLIP = "greatest(least(sa * 9, 1.0), 0.0)"
+_BASE = (
+    {"distance": "greatest(least(d, 80.0), 0.0)", "log_distance": "ln(1 + greatest(least(d, 80.0), 0.0))"}
+    | {f"prior_{X.tag(t)}": f"exp(-d / {t})" for t in X.TAUS}
+    | {"score": _CLIP, "score_logit": f"ln(greatest(least({_CLIP}, 1 - 1e-5), 1e-5) / (1 - greatest(least({_CLIP}, 1 - 1e-5), 1e-5)))"}
+    | {f"cross_{X.tag(t)}": f"{_CLIP} * exp(-d / {t})" for t in X.TAUS}
+    | {"cross_inverse": f"{_CLIP} / (1 + d)"}
+)
 
 
-@query(f"WITH {ITEMS} SELECT g, idx, {_sql({'distance': 'd', 'inverse': '1 / (1 + d)'} | _PRIORS | _CROSS)} FROM items")
-def x2_fe4_distance_and_cross(spark, sf_dir):
-    """The 12 distance and 11 cross columns of the item matrix."""
-    i = ranked_items(spark, sf_dir)
-    out = i.select("g", "idx", *X.distance_features(F.col("d")), *X.cross_features(F.col("sa"), F.col("d")))
-    return out.select("g", "idx", *(_r(c).alias(c) for c in out.columns[2:]))
+@query(f"WITH {ITEMS} SELECT g, idx, {_sql(_BASE)} FROM items")
+def x2_distance_and_cross(spark, sf_dir):
+    """The 12 distance, 2 score and 11 cross columns of the item matrix."""
+    i = ranked_items(spark, sf_dir).withColumn("s", F.col("sa") * 9)
+    out = X.item_matrix(i, ["g", "idx"], "s", "d", [])
+    return out.select("g", "idx", *(_r(c, 8).alias(c) for c in out.columns[2:]))
 
 
 @query(f"WITH {ITEMS} SELECT g, idx, round(0.55 * sa + 0.45 * exp(-d / 12), 6) AS fusion, -d AS raw_distance, round(exp(-d / 12), 6) AS prior FROM items")
@@ -65,11 +71,16 @@ def x4_ml10_grid_tuning(spark, sf_dir):
     return a.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc("ap"), "alpha", "tau")).cast("bigint"))
 
 
-@query(f"WITH {ITEMS} SELECT g, idx, " + ", ".join(f"round(exp(-((d - {c}) / 1.5) * ((d - {c}) / 1.5) / 2), 6) AS rbf_{i}" for i, c in enumerate((2, 3, 4, 5, 6, 8, 10))) + ", round(d / 10, 6) AS scaled FROM items WHERE d <= 12")
+_CENTRES = (2.0, 3.5, 5.0, 6.5, 8.0, 10.0, 12.0)
+
+
+@query(f"WITH {ITEMS}, c AS (SELECT g, idx, greatest(least(d, 20.0), 0.0) AS d, sa * 50 AS e FROM items) SELECT g, idx, round(d / 20, 6) AS scaled, round(1 / (1 + d), 6) AS inverse, " + ", ".join(f"round(exp(-((d - {c}) * (d - {c})) / 4.5), 6) AS rbf_{i}" for i, c in enumerate(_CENTRES)) + ", " + ", ".join(f"round(exp(-((e - {i / 3!r}) * (e - {i / 3!r})) / (2 * {1 / 3!r} * {1 / 3!r})), 6) AS radial_{i}" for i in range(16)) + " FROM c")
 def x5_radial_basis(spark, sf_dir):
-    centres = [2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0]
-    i = ranked_items(spark, sf_dir).where("d <= 12").withColumn("rbf", G.radial_basis(F.col("d"), centres, 1.5))
-    return i.select("g", "idx", *(_r(F.col("rbf")[k]).alias(f"rbf_{k}") for k in range(len(centres))), _r(F.col("d") / 10).alias("scaled"))
+    """Seven centres of width 1.5 on distances up to 20, and sixteen on [0, 5]."""
+    d = F.greatest(F.least(F.col("d"), F.lit(20.0)), F.lit(0.0))
+    i = ranked_items(spark, sf_dir).select("g", "idx", d.alias("d"), (F.col("sa") * 50).alias("e"))
+    i = i.withColumn("rbf", G.radial_basis(F.col("d"), list(_CENTRES), 1.5)).withColumn("radial", G.radial_basis(F.col("e"), [k / 3 for k in range(16)], 1 / 3))
+    return i.select("g", "idx", _r(F.col("d") / 20).alias("scaled"), _r(1 / (1 + F.col("d"))).alias("inverse"), *(_r(F.col("rbf")[k]).alias(f"rbf_{k}") for k in range(7)), *(_r(F.col("radial")[k]).alias(f"radial_{k}") for k in range(16)))
 
 
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
@@ -231,55 +242,129 @@ def j13_fe2_knn(spark, sf_dir):
     return k.select("g", "id", "other", F.col("k").cast("bigint").alias("k"), _r(F.col("d"), 5).alias("distance"))
 
 
-_PAIRS = "pairs AS (SELECT l_suppkey AS g, l_partkey % 20 AS res, l_quantity / 5 AS d, l_discount * 10 AS c1, l_tax * 12 AS c2, CAST(l_linenumber AS DOUBLE) / 7 AS c3 FROM lineitem)"
+_CHANNELS = ["c1", "c2", "c3", "c4", "c5"]
+_PAIRS = """pairs AS (SELECT l_suppkey AS g, l_partkey % 40 AS res, l_quantity / 5 AS d, l_quantity / 5 + l_tax * 20 AS e, l_discount * 10 AS c1, l_tax * 12 AS c2, l_linenumber::DOUBLE / 8 AS c3, l_discount * 5 AS c4, l_tax * 6 AS c5,
+  l_partkey AS pair FROM lineitem WHERE l_partkey % 40 < 30), residues AS (SELECT s_suppkey AS g, r AS res FROM supplier CROSS JOIN range(40) t(r))"""
 
 
 def _pairs(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as g", "l_partkey % 20 as res", "l_quantity / 5 as d", "l_discount * 10 as c1", "l_tax * 12 as c2", "cast(l_linenumber as double) / 7 as c3")
+    return table(spark, sf_dir, "lineitem").where("l_partkey % 40 < 30").selectExpr(
+        "l_suppkey as g", "l_partkey % 40 as res", "l_quantity / 5 as d", "l_quantity / 5 + l_tax * 20 as e", "l_discount * 10 as c1", "l_tax * 12 as c2", "cast(l_linenumber as double) / 8 as c3", "l_discount * 5 as c4", "l_tax * 6 as c5", "l_partkey as pair"
+    )
+
+
+def _residues(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("g"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(39).cast("bigint"))).alias("res"))
 
 
 def _typed_sql(channels: list[str]) -> str:
     s = f"greatest({', '.join(channels)})"
-    out = ["count(*) AS pairs", "min(d) AS min_distance"]
-    for r in X.RADII:
-        out += [f"count(*) FILTER (d <= {r}) AS count_{r:g}", f"avg(CAST(d <= {r} AS DOUBLE)) AS part_{r:g}"]
-    out += [f"sum(exp(-d / {t})) AS soft_{t:g}" for t in X.SOFT_TAUS]
-    out += [f"max({s}) AS any_max", f"avg({s}) AS any_mean", f"list_avg(list_reverse_sort(list({s}))[1:3]) AS any_top3", *(f"count(*) FILTER ({s} >= {t}) AS any_ge_{t:g}".replace("_0.", "_0_") for t in (0.25, 0.5, 0.75))]
-    for t in X.WEIGHT_TAUS:
-        out += [f"sum({s} * exp(-d / {t})) AS any_sum_{t:g}", f"sum({s} * exp(-d / {t})) / count(*) AS any_mean_{t:g}"]
+    out = {"log_pairs": "ln(1 + count(*))", "centroid_mean": "avg(e)"}
+    for r in X.CUTOFFS:
+        out |= {f"contacts_{X.tag(r)}": f"count(*) FILTER (d <= {r})::DOUBLE", f"contact_part_{X.tag(r)}": f"avg(CAST(d <= {r} AS DOUBLE))"}
+    for t in X.SOFT_TAUS:
+        out |= {f"soft_{X.tag(t)}": f"sum(exp(-d / {t}))", f"soft_mean_{X.tag(t)}": f"avg(exp(-d / {t}))"}
+    out |= {"any_max": f"max({s})", "any_mean": f"avg({s})"} | {f"any_weighted_{X.tag(t)}": f"avg({s} * exp(-d / {t}))" for t in X.WEIGHT_TAUS}
+    for t in X.THRESHOLDS:
+        out |= {f"any_count_{X.tag(t)}": f"count(*) FILTER ({s} >= {t})::DOUBLE", f"any_part_{X.tag(t)}": f"avg(CAST({s} >= {t} AS DOUBLE))"}
+    out["any_top3"] = f"list_avg(list_reverse_sort(list({s}))[1:3])"
     for c in channels:
-        out += [f"max({c}) AS {c}_max", f"avg({c}) AS {c}_mean", f"sum({c} * exp(-d / 6.0)) / count(*) AS {c}_near"]
-    inner = ", ".join(out)
-    rounded = ", ".join((n if n == "pairs" or n.startswith(("count_", "any_ge")) else f"round({n}, 6) AS {n}") for n in (o.rsplit(" AS ", 1)[1] for o in out))
-    return f"WITH {_PAIRS}, f AS (SELECT g, res, {inner} FROM pairs GROUP BY g, res) SELECT g, res, {rounded} FROM f"
+        out |= {f"{c}_max": f"max({c})", f"{c}_mean": f"avg({c})", f"{c}_weighted_4": f"avg({c} * exp(-d / 4.0))"}
+    inner = ", ".join(f"{e} AS {n}" for n, e in out.items())
+    return f"WITH {_PAIRS}, f AS (SELECT g, res, {inner} FROM pairs GROUP BY g, res) SELECT g, res, " + ", ".join(f"round(coalesce({n}, 0), 8) AS {n}" for n in out) + " FROM residues LEFT JOIN f USING (g, res)"
 
 
 def _typed(spark, sf_dir, channels):
-    f = X.typed_features(_pairs(spark, sf_dir), ["g", "res"], channels, "d")
-    f = f.withColumnsRenamed({c: c.replace("_0.", "_0_") for c in f.columns})
-    return f.select("g", "res", *(_r(F.col(c)).alias(c) if t == "double" else c for c, t in f.dtypes if c not in ("g", "res")))
+    f = X.typed_features(_residues(spark, sf_dir), _pairs(spark, sf_dir), ["g", "res"], channels, "d", "e")
+    return f.select("g", "res", *(_r(F.col(c), 8).alias(c) for c in f.columns[2:]))
 
 
-@query(_typed_sql(["c1", "c2", "c3"]))
+@query(_typed_sql(_CHANNELS))
 def fe1_typed_features(spark, sf_dir):
-    """Multi-scale typed features of each residue in one aggregation."""
-    return _typed(spark, sf_dir, ["c1", "c2", "c3"])
+    """The 48 multi-scale typed features of each residue in one aggregation."""
+    return _typed(spark, sf_dir, _CHANNELS)
 
 
-@query(_typed_sql(["c1", "c3"]))
+@query(_typed_sql(["c1", "c3", "c4", "c5"]))
 def fe5_type_removal(spark, sf_dir):
-    """The same without one channel, shared columns made anew."""
-    return _typed(spark, sf_dir, ["c1", "c3"])
+    """The same without one channel: its three columns go and the shared ones are made anew."""
+    return _typed(spark, sf_dir, ["c1", "c3", "c4", "c5"])
 
 
 @query(
-    f"""WITH {_PAIRS}, m AS (SELECT g, res, d, c1, c2, c3 FROM pairs), k AS (SELECT g, res, d AS pk, unnest([c1 / 2, c2 / 2, c3 / 2]) AS p FROM m), q AS (SELECT g, res, pk, avg(p) AS mean, stddev_pop(p) AS sd, max(p) - min(p) AS "range" FROM k GROUP BY ALL)
- SELECT g, res, round(max(mean), 6) AS mean_max, round(avg(mean), 6) AS mean_mean, round(max(sd), 6) AS sd_max, round(avg(sd), 6) AS sd_mean, round(max("range"), 6) AS range_max, round(list_avg(list_reverse_sort(list(sd))[1:3]), 6) AS sd_top3 FROM q GROUP BY g, res"""
+    f"""WITH {_PAIRS}, m AS (SELECT g, res, pair, d, unnest([1.0, 0.9, 0.7]) AS f, c1, c2, c3 FROM pairs), p AS (SELECT g, res, pair || '|' || d AS k, c1 * f AS a, least(c2 * f, 1) AS b, c3 * f + (1 - f) AS c FROM m),
+ s AS (SELECT g, res, k, min(greatest(a, b, c)) AS any_min, avg(greatest(a, b, c)) - stddev_pop(greatest(a, b, c)) AS any_low, stddev_pop(greatest(a, b, c)) AS any_sd, max(greatest(a, b, c)) - min(greatest(a, b, c)) AS any_range,
+ (stddev_pop(a) + stddev_pop(b) + stddev_pop(c)) / 3 AS channel_sd_mean, greatest(stddev_pop(a), stddev_pop(b), stddev_pop(c)) AS channel_sd_max, greatest(min(a), min(b), min(c)) AS consensus FROM p GROUP BY ALL)
+ SELECT g, res, """
+    + ", ".join(f"round(max({n}), 8) AS {n}_max, round(avg({n}), 8) AS {n}_mean, round(list_avg(list_reverse_sort(list({n}))[1:3]), 8) AS {n}_top3" for n in ("any_min", "any_low", "any_sd", "any_range", "channel_sd_mean", "channel_sd_max", "consensus"))
+    + " FROM s GROUP BY g, res"
 )
 def fe3_ensemble_uncertainty(spark, sf_dir):
-    long = _pairs(spark, sf_dir).select("g", "res", F.col("d").alias("pk"), F.posexplode(F.array(F.col("c1") / 2, F.col("c2") / 2, F.col("c3") / 2)).alias("model", "p"))
-    u = X.ensemble_uncertainty(long, ["g", "res"], "pk", "model", "p")
-    return u.select("g", "res", *(_r(F.col(c)).alias(c) for c in ("mean_max", "mean_mean", "sd_max", "sd_mean", "range_max", "sd_top3")))
+    """How three models agree: seven statistics of each pair, pooled three ways."""
+    m = _pairs(spark, sf_dir).withColumn("f", F.explode(F.array(F.lit(1.0), F.lit(0.9), F.lit(0.7))))
+    f = F.col("f")
+    p = m.select("g", "res", F.concat_ws("|", "pair", "d").alias("k"), (F.col("c1") * f).alias("a"), F.least(F.col("c2") * f, F.lit(1.0)).alias("b"), (F.col("c3") * f + (1 - f)).alias("c"))
+    u = X.ensemble_uncertainty(p, ["g", "res"], "k", ["a", "b", "c"])
+    return u.select("g", "res", *(_r(F.col(c), 8).alias(c) for c in u.columns[2:]))
+
+
+def _spatial_sql() -> str:
+    within, knn = {}, {}
+    for r in X.SPATIAL_RADII:
+        within |= {f"n_{X.tag(r)}": (f"count(*) FILTER (d <= {r})::DOUBLE", "0"), f"mean_{X.tag(r)}": (f"avg(s) FILTER (d <= {r})", "0"), f"max_{X.tag(r)}": (f"max(s) FILTER (d <= {r})", "0"), f"nearest_{X.tag(r)}": (f"min(l) FILTER (d <= {r})", "80")}
+    for k in X.NEIGHBOURS:
+        knn |= {f"knn{k}_mean": (f"avg(s) FILTER (k <= {k})", "0"), f"knn{k}_max": (f"max(s) FILTER (k <= {k})", "0"), f"knn{k}_distance": (f"avg(l) FILTER (k <= {k})", "80")}
+    every = within | knn
+    return f"""WITH {ATOMS}, r AS (SELECT g, id, x, y, z, (id % 97) / 97.0::DOUBLE AS s, (id % 31)::DOUBLE AS l FROM atoms WHERE ligand = 0),
+ p AS (SELECT a.g, a.id, b.s, b.l, {_D} AS d, row_number() OVER (PARTITION BY a.g, a.id ORDER BY {_D}, b.id) AS k FROM r a JOIN r b ON a.g = b.g AND a.id <> b.id),
+ f AS (SELECT g, id, {", ".join(f"{e} AS {n}" for n, (e, _) in every.items())} FROM p GROUP BY g, id) SELECT g, id, {", ".join(f"round(coalesce({n}, {z}), 6) AS {n}" for n, (_, z) in every.items())} FROM r LEFT JOIN f USING (g, id)"""
+
+
+@query(_spatial_sql())
+def fe2_spatial_context(spark, sf_dir):
+    """The 25 features of the residues around each one."""
+    r = atoms(spark, sf_dir).where("ligand = 0").select("g", "id", "x", "y", "z", ((F.col("id") % 97) / 97.0).alias("s"), (F.col("id") % 31).cast("double").alias("l"))
+    f = X.spatial_features(r, "g", "id", "s", "l")
+    return f.select("g", "id", *(_r(F.col(c)).alias(c) for c in f.columns[2:]))
+
+
+@query(
+    f"""WITH {ITEMS} SELECT g, idx, """
+    + ", ".join(f"round((row_number() OVER (PARTITION BY g ORDER BY {s}, idx) - 1)::DOUBLE / nullif(count(*) OVER (PARTITION BY g) - 1, 0), 6) AS rank_{s}, round(({s} - avg({s}) OVER (PARTITION BY g)) / stddev_pop({s}) OVER (PARTITION BY g), 5) AS zscore_{s}" for s in ("sa", "sb", "d"))
+    + " FROM items"
+)
+def fe4_context(spark, sf_dir):
+    """Rank and standard score within the complex of several sources."""
+    f = X.context_features(ranked_items(spark, sf_dir), ["g"], "idx", ["sa", "sb", "d"])
+    return f.select("g", "idx", *(_r(F.col(c), 6 if c.startswith("rank") else 5).alias(c) for c in f.columns if c.startswith(("rank_", "zscore_"))))
+
+
+@query("SELECT 73::BIGINT AS columns, count(*) AS rows FROM supplier CROSS JOIN range(40)")
+def fe4_matrix(spark, sf_dir):
+    """The whole item matrix: 12 distance, 2 score, 11 cross and 48 typed columns of each residue."""
+    f = X.typed_features(_residues(spark, sf_dir), _pairs(spark, sf_dir), ["g", "res"], _CHANNELS, "d", "e")
+    m = X.item_matrix(f, ["g", "res"], "any_max", "centroid_mean", f.columns[2:])
+    every = F.struct(*m.columns[2:])
+    return m.agg(F.lit(len(m.columns) - 2).cast("bigint").alias("columns"), F.count_if(every.isNotNull()).alias("rows"))
+
+
+@query(
+    """WITH e AS (SELECT label AS g, vec_id AS id, embedding[1:3]::DOUBLE[] AS c, embedding[4:6]::DOUBLE[] AS n FROM embeddings), u AS (SELECT g, id, [c[1] * 20, c[2] * 20, c[3] * 20] AS c, [n[1] / sqrt(list_dot_product(n, n)), n[2] / sqrt(list_dot_product(n, n)), n[3] / sqrt(list_dot_product(n, n))] AS n FROM e),
+ p AS (SELECT g, id % 6 AS res, c, n FROM u WHERE id % 2 = 0), l AS (SELECT g, id % 3 AS atom, c, n FROM u WHERE id % 2 = 1), k AS (SELECT DISTINCT g, r AS res, a AS atom FROM u CROSS JOIN range(7) x(r) CROSS JOIN range(3) y(a)),
+ j AS (SELECT k.g, k.res, k.atom, [p.c[1] - l.c[1], p.c[2] - l.c[2], p.c[3] - l.c[3]] AS d, p.n AS pn, l.n AS ln FROM k JOIN p USING (g, res) JOIN l ON l.g = k.g AND l.atom = k.atom),
+ m AS (SELECT g, res, atom, sqrt(list_dot_product(d, d)) AS dist, degrees(acos(least(abs(list_dot_product(pn, ln)), 1.0))) AS angle, least(sqrt(greatest(list_dot_product(d, d) - pow(list_dot_product(d, pn), 2), 0)), sqrt(greatest(list_dot_product(d, d) - pow(list_dot_product(d, ln), 2), 0))) AS off FROM j)
+ SELECT g, res, atom, CAST(min(dist) IS NOT NULL AS INT)::DOUBLE AS has_ring, round(coalesce(least(min(dist) / 10, 2.0), 0), 4) AS ring_distance, round(coalesce(least(arg_min(angle, dist) / 90, 1.0), 0), 4) AS ring_angle, round(coalesce(least(arg_min(off, dist) / 5, 2.0), 0), 4) AS ring_offset FROM k LEFT JOIN m USING (g, res, atom) GROUP BY ALL"""
+)
+def fe10_ring_geometry(spark, sf_dir):
+    """Nearest ring pair of each (residue, ligand atom): rings come as tables of centres and normals."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("g"), F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double") * 20).alias("c"), F.transform(F.slice("embedding", 4, 3), lambda v: v.cast("double")).alias("n"))
+    e = e.withColumn("n", F.transform("n", lambda v: v / G.norm(F.col("n"))))
+    protein = e.where("id % 2 = 0").select("g", (F.col("id") % 6).alias("res"), F.col("c").alias("p_centre"), F.col("n").alias("p_normal"))
+    ligand = e.where("id % 2 = 1").select("g", (F.col("id") % 3).alias("atom"), F.col("c").alias("l_centre"), F.col("n").alias("l_normal"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    pairs = e.select("g").distinct().withColumn("res", numbers(7)).withColumn("atom", numbers(3))
+    r = X.ring_geometry(pairs, protein, ligand, ["g", "res", "atom"])
+    return r.select("g", "res", "atom", "has_ring", *(_r(F.col(c), 4).alias(c) for c in ("ring_distance", "ring_angle", "ring_offset")))
 
 
 @query(

@@ -117,11 +117,20 @@ def test_near_pairs_equal_brute_force(spark):
 
 
 def test_type_removal_makes_shared_columns_anew(spark):
-    df = spark.createDataFrame([(0, 0, float(i), 0.99, 0.2, 0.2) for i in range(6)], "g int, res int, d double, c1 double, c2 double, c3 double")
-    whole = features.typed_features(df, ["g", "res"], ["c1", "c2", "c3"], "d")
-    less = features.typed_features(df, ["g", "res"], ["c2", "c3"], "d")
-    assert len(whole.columns) - len(less.columns) == 3
-    assert (whole.first()["any_max"], less.first()["any_max"]) == (0.99, 0.2)
+    df = spark.createDataFrame([(0, 0, float(i), float(i), 0.99, 0.2, 0.2, 0.2, 0.2) for i in range(6)], "g int, res int, d double, e double, c1 double, c2 double, c3 double, c4 double, c5 double")
+    residues = spark.createDataFrame([(0, 0), (0, 1)], "g int, res int")
+    whole = features.typed_features(residues, df, ["g", "res"], ["c1", "c2", "c3", "c4", "c5"], "d", "e")
+    less = features.typed_features(residues, df, ["g", "res"], ["c2", "c3", "c4", "c5"], "d", "e")
+    assert (len(whole.columns) - 2, len(less.columns) - 2) == (48, 45)
+    a, b = {r["res"]: r for r in whole.collect()}, {r["res"]: r for r in less.collect()}
+    assert (a[0]["any_max"], b[0]["any_max"], a[1]["any_max"], a[1]["log_pairs"]) == (0.99, 0.2, 0.0, 0.0)
+
+
+def test_spatial_features_of_one_residue(spark):
+    r = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0, 0.7, 3.0)], "g int, id int, x double, y double, z double, s double, l double")
+    f = features.spatial_features(r, "g", "id", "s", "l")
+    got = f.first()
+    assert len(f.columns) == 27 and got["nearest_6"] == got["knn8_distance"] == 80.0 and got["n_12"] == got["knn3_max"] == 0.0
 
 
 def test_describe_and_label_overlap_edges(spark):
