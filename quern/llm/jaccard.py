@@ -8,7 +8,7 @@
 3. Inside a group, sets are compared within size bands: bitmaps of their shingles bound the
    overlap from above, and what passes is intersected exactly, as sorted arrays.  A
    search from node to node only compares with nodes not yet reached, so a group of n near copies takes
-   about n intersections and gives n - 1 links, not n squared.
+   about n intersections and gives n - 1 links, not n squared; see links() for large groups.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ SHINGLE = 3
 NUM, DEN = 90, 100
 #: Bits of the filter of documents whose sets are fetched: 1 MB.
 FILTER_BITS = 1 << 23
-#: Nodes that one task compares; larger candidate groups are cut into blocks and every two blocks meet.
+#: Sets of a block; a task of a large candidate group holds two blocks.
 BLOCK = 20_000
 _BAND = 1.3
 
@@ -128,16 +128,46 @@ def _sets(docs: DataFrame, what: str, known=None, n: int = SHINGLE) -> DataFrame
     return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint{more}")
 
 
+class _Tile:
+    """Sets in order of size with bitmaps of their shingles."""
+
+    def __init__(self, sets: list[np.ndarray], num: int = NUM, den: int = DEN):
+        self.num, self.den = num, den
+        size = np.array([len(s) for s in sets], np.int64)
+        self.order = np.argsort(size, kind="stable")
+        self.size = size[self.order]
+        self.sets = [sets[i] for i in self.order]
+        width = 1 << int(np.ceil(np.log2(max(64, min(4 * size.max(initial=1), 4096)))))
+        self.bits = np.zeros((len(sets), width // 64), np.uint64)
+        for row, own in zip(self.bits, self.sets):
+            slot = own & np.uint64(width - 1)
+            np.bitwise_or.at(row, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+
+    def linked(self, at: int, wanted: np.ndarray) -> list[int]:
+        """Sets that link with set `at`, among those wanted: those of a fitting size whose bitmap does not
+        rule the link out are intersected."""
+        lo = np.searchsorted(self.size, -(-self.num * self.size[at] // self.den))
+        hi = np.searchsorted(self.size, self.den * self.size[at] // self.num, "right")
+        other = lo + np.flatnonzero(wanted[lo:hi])
+        if not len(other):
+            return []
+        need = -(-self.num * (self.size[at] + self.size[other]) // (self.den + self.num))
+        mine, theirs = self.bits[at], self.bits[other]
+        bound = np.minimum(
+            self.size[at] - np.bitwise_count(mine & ~theirs).sum(1).astype(np.int64), self.size[other] - np.bitwise_count(~mine & theirs).sum(1).astype(np.int64)
+        )
+        out, own = [], self.sets[at]
+        for to, least in zip(other[bound >= need], need[bound >= need]):
+            place = np.searchsorted(own, self.sets[to])
+            place[place == len(own)] = 0
+            if int((own[place] == self.sets[to]).sum()) >= least:
+                out.append(int(to))
+        return out
+
+
 def compare(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> np.ndarray:
     """Of each of these sets (sorted distinct uint64), the least index among the sets it is linked with over any links."""
-    size = np.array([len(s) for s in sets])
-    order = np.argsort(size, kind="stable")
-    size = size[order]
-    width = 1 << int(np.ceil(np.log2(max(64, min(4 * size.max(initial=1), 4096)))))
-    bits = np.zeros((len(sets), width // 64), np.uint64)
-    for row, i in enumerate(order):
-        slot = sets[i] & np.uint64(width - 1)
-        np.bitwise_or.at(bits[row], (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+    tile = _Tile(sets, num, den)
     root = np.full(len(sets), -1)
     left = np.ones(len(sets), bool)
     for seed in range(len(sets)):
@@ -146,37 +176,92 @@ def compare(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> np.ndarra
         left[seed] = False
         reached, work = [seed], [seed]
         while work:
-            at = work.pop()
-            lo = np.searchsorted(size, -(-num * size[at] // den))
-            hi = np.searchsorted(size, den * size[at] // num, "right")
-            other = lo + np.flatnonzero(left[lo:hi])
-            if not len(other):
-                continue
-            need = -(-num * (size[at] + size[other]) // (den + num))
-            only = np.bitwise_count(bits[at] & ~bits[other]).sum(1)
-            theirs = np.bitwise_count(~bits[at] & bits[other]).sum(1)
-            passes = np.minimum(size[at] - only.astype(np.int64), size[other] - theirs.astype(np.int64)) >= need
-            mine = sets[order[at]]
-            for to, least in zip(other[passes], need[passes]):
-                theirs_ = sets[order[to]]
-                place = np.searchsorted(mine, theirs_)
-                place[place == len(mine)] = 0
-                if int((mine[place] == theirs_).sum()) >= least:
-                    left[to] = False
-                    reached.append(to)
-                    work.append(to)
-        members = order[reached]
+            new = tile.linked(work.pop(), left)
+            left[new] = False
+            reached += new
+            work += new
+        members = tile.order[reached]
         root[members] = members.min()
     return root
 
 
-def _compare(table: pa.Table) -> pa.Table:
+def _sets_of(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(s.as_py(), np.uint64) for s in table.column("set")]
+
+
+def _within(table: pa.Table) -> pa.Table:
+    """Links (a, b) that hold the classes of one block together."""
     nodes = table.column("node").to_numpy()
-    root = compare([np.frombuffer(s.as_py(), np.uint64) for s in table.column("set")])
+    root = compare(_sets_of(table))
     linked = root != np.arange(len(root))
     return pa.table({"a": nodes[linked], "b": nodes[root[linked]]})
 
 
+def _across(table: pa.Table) -> pa.Table:
+    """Links between the asking sets of a block pair and sets of other classes, one for each two classes at least."""
+    nodes, asks = table.column("node").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
+    tile = _Tile(_sets_of(table))
+    klass = table.column("class").to_numpy()[tile.order].copy()
+    a, b = [], []
+    for at in np.flatnonzero(asks[tile.order]):
+        for to in tile.linked(int(at), klass != klass[at]):
+            if klass[to] != klass[at]:
+                a.append(nodes[tile.order[at]])
+                b.append(nodes[tile.order[to]])
+                klass[klass == klass[to]] = klass[at]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _block(by: str = "blocks"):
+    return F.pmod(F.xxhash64("node"), F.col(by))
+
+
+def _numbers(count: str):
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+
+
+def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links (a, b) that hold together the classes of candidate groups: sets (component, node, set), distinct nodes;
+    groups (component, node) of the same nodes.
+
+    A group of up to BLOCK sets is searched in one task.  A larger one goes in three steps.  Each block is searched by itself;
+    one set of every class found is then compared with those of all other blocks, block pair by block pair; and what does
+    not belong to the group's largest class by then is compared with all sets of other classes, again block pair by
+    block pair.  No pair of different classes is left out, and near copies, which come to be one class in the
+    first two steps, are not compared pair by pair.
+    """
+    size = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = sets.join(size, "component").withColumn("mine", _block())
+    inside = tables.written(placed.select("component", "mine", "node", "set").groupBy("component", "mine").applyInArrow(_within, "a bigint, b bigint"))
+    if not size.where("blocks > 1").limit(1).count():
+        return inside
+    large = tables.written(placed.where("blocks > 1"))
+
+    def classes(edges: DataFrame) -> DataFrame:
+        """large with the class of each node so far."""
+        found = tables.connected_components(edges.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
+        return large.join(found.select("node", F.col("component").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+    def meet(asking: DataFrame, all_: DataFrame) -> DataFrame:
+        """Links of asking sets with sets of other classes; both sides in blocks, every two of which meet once."""
+        n = asking.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("ask_blocks"))
+        columns = ["component", "i", "j", "node", "class", "set", "asks"]
+        ask = asking.join(n, "component").withColumn("j", _block("ask_blocks")).withColumn("asks", F.lit(True)).withColumn("i", _numbers("blocks")).select(*columns)
+        rest = all_.join(n, "component").withColumn("i", _block()).withColumn("asks", F.lit(False)).withColumn("j", _numbers("ask_blocks")).select(*columns)
+        return ask.union(rest).groupBy("component", "i", "j").applyInArrow(_across, "a bigint, b bigint")
+
+    once = tables.written(classes(inside))
+    firsts = once.where("node = class")
+    counts = firsts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    firsts = firsts.drop("blocks").join(counts, "component")
+    edges = inside.union(tables.written(meet(firsts, firsts)))
+    twice = tables.written(classes(edges))
+    sizes = twice.groupBy("component", "class").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("component").agg(F.max_by("class", F.struct("n", "class")).alias("largest"))
+    stray = twice.join(largest, "component").where(F.col("class") != F.col("largest")).drop("largest")
+    return edges.union(tables.written(meet(stray, twice)))
+
+
 def candidate_groups(docs: DataFrame) -> DataFrame:
     """(node, component): nodes that share tiles, directly or over others."""
     tiles = _sets(docs, "tiles").where("n_shingles > 0").select("node", F.explode("tiles").alias("tile"))
@@ -200,13 +285,7 @@ def linked_classes(docs: DataFrame) -> DataFrame:
     known = spark.sparkContext.broadcast(tables.bitmap(wanted.select(F.xxhash64("first").alias("key")), "key", FILTER_BITS))
     sets = _sets(docs, "set", known).select(F.col("doc_id").alias("first"), "node", "set")
     sets = sets.join(wanted, ["first", "node"]).dropDuplicates(["node"])
-    size = wanted.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    # block i of a group of k blocks meets each block j, as the pair (min, max); one block meets itself
-    blocks = sets.join(size, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    met = blocks.select("component", "mine", "node", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks")
-    met = met.where("blocks = 1 or mine <> other").select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "set")
-    links = met.groupBy("component", "i", "j").applyInArrow(_compare, "a bigint, b bigint")
-    classes = tables.connected_components(tables.written(links))
+    classes = tables.connected_components(links(sets.select("component", "node", "set"), wanted))
     named = firsts.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     ids = named.groupBy("class").agg(F.min("first").alias("component_id"))
     of_node = named.join(ids, "class").select("node", "component_id")
