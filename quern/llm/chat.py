@@ -174,8 +174,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = formatted.schema["conv_id"].dataType
-    parts = formatted.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = formatted.repartition(int(parts), "conv_id").sortWithinPartitions("conv_id", "turn", "rendered")
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "rendered")
     return ordered.select("conv_id", "rendered").mapInArrow(
         _read_back(to_arrow_type(kind)), f"conv_id {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )

@@ -158,7 +158,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of docs without a benchmark passage.  doc_id identifies a row here: if one of several
     rows of an id is contaminated, all of them go.  Rows without an id are kept."""
     bad = contaminated_words(docs, benchmark).where("size(hits) > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
 _SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"

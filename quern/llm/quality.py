@@ -179,24 +179,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     return Classifier(learn((x - mean) / spread, first, y), mean, spread, float(y.mean()))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of docs, or all its columns besides (keep).
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row of docs.
 
     The score reads the text alone: whole, null as empty; empty texts get the score of a
     passage of zeros.  A null doc_id is not held out.  Equal texts have equal scores.
     """
     model = fit(docs, labels, sample)
-    names = docs.columns if keep else ["doc_id"]
 
     def run(batches):
         for batch in W.steps(batches):
-            score = pa.array(model.score(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), score], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(batch.column("text")))], ["doc_id", "score"])
 
-    schema = docs.select(*names).schema.add("score", "double")
-    scored = docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
-    return scored.withColumn("held_out", F.coalesce(remainder() == 0, F.lit(False))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    held_out = F.coalesce(remainder() == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, whole, that are not rejected."""
+    model = fit(docs, labels, sample)
 
+    def run(batches):
+        for batch in W.steps(batches):
+            yield batch.filter(pa.array(model.score(batch.column("text")) >= THRESHOLD))
 
-def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return quality_scores(docs, labels).select("doc_id", "held_out", "score", "predicted")
+    return docs.mapInArrow(run, docs.schema)

@@ -497,7 +497,7 @@ def test_attention_gradient_is_right():
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    rows = quality.query(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    rows = quality.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
     right = sum(r["predicted"] == r["quality"] for r in rows)
     assert len(rows) > 50 and right / len(rows) > 0.95
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
@@ -506,9 +506,12 @@ def test_quality_held_out_accuracy(spark):
 def test_quality_reads_the_text_alone(spark):
     docs = docs_of(spark, [None, "", "same text here", "same text here"])
     labels = spark.createDataFrame([(2, 1, 0), (1, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
-    got = {r["doc_id"]: r["score"] for r in quality.query(docs, labels).collect()}
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, labels).collect()}
     assert got[2] == got[3] and got[0] == got[1] and all(0 <= s <= 1 for s in got.values())
-    assert quality.query(docs, labels.where("false")).where("predicted = 1").count() == 4
+    assert quality.quality_scores(docs, labels.where("false")).where("predicted = 1").count() == 4
+    odd = docs.withColumn("score", docs.doc_id).withColumn("predicted", docs.text)
+    kept = quality.accepted(odd, labels.where("false"))
+    assert kept.schema == odd.schema and kept.count() == 4
 
 
 # pipeline and registry
@@ -527,7 +530,7 @@ def test_pipeline_stages(spark):
             now = spark.read.parquet(path)
     left = {r["doc_id"] for r in now.collect()}
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    predicted = {r["doc_id"]: r["predicted"] for r in quality.query(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    predicted = {r["doc_id"]: r["predicted"] for r in quality.quality_scores(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     good = [(i, t) for i, t in texts if predicted[i] == 1]
     first = {i for i, (_, c) in brute_links(good).items() if i == c}
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
