@@ -68,6 +68,12 @@ def pooled(df: DataFrame, label: str, score: str, pieces: int = 64) -> DataFrame
     )
 
 
+def with_both_classes(df: DataFrame, group: list[str], label: str) -> DataFrame:
+    """Rows of groups that have positives and negatives; other evaluations keep groups of positives alone (their AP is 1)."""
+    w = Window.partitionBy(*group)
+    return df.withColumn("_lo", F.min(label).over(w)).withColumn("_hi", F.max(label).over(w)).where("_lo = 0 and _hi = 1").drop("_lo", "_hi")
+
+
 def top_order(df: DataFrame, group: list[str], score: str, tie: list[str], name: str = "rank") -> DataFrame:
     """Place of each row in its group: score descending, then the tie columns; NULL scores last."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(F.desc_nulls_last(score), *tie)))

@@ -41,6 +41,19 @@ def resampled(df: DataFrame, key: str, replicates: int, seed: str, n: int | None
     return numbered(df, key).join(counts, "place").drop("place")
 
 
+def resampled_within(df: DataFrame, group: str, key: str, replicates: int, seed: str) -> DataFrame:
+    """Rows of each group drawn with replacement from the group, as many as it has, for each replicate: df's columns, b and times.
+
+    Methods that stand side by side in df share their draws; groups have draws of their own.  A group's rows are
+    numbered in one window, so groups should be strata of complexes, not of their rows.
+    """
+    w = Window.partitionBy(group)
+    placed = df.withColumn("place", (F.row_number().over(w.orderBy(key)) - 1).cast("bigint")).withColumn("_n", F.count("*").over(w))
+    draws = placed.select(group, F.col("place").alias("i"), "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    draws = draws.select(group, "b", (draw(seed, F.col(group), F.col("b"), F.col("i")) % F.col("_n")).alias("place"))
+    return placed.drop("_n").join(draws.groupBy(group, "b", "place").agg(F.count("*").alias("times")), [group, "place"]).drop("place")
+
+
 def interval(df: DataFrame, value: str, group: list[str] = []) -> DataFrame:  # noqa: B006
     """Percentile interval (linear interpolation), part above 0, one-sided p and deviation of replicate values."""
     v = F.col(value)

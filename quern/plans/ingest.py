@@ -233,3 +233,35 @@ def b7_coverage(spark, sf_dir):
     return n.groupBy(F.when(F.col("k") == 0, "missing").when(F.col("k") > 25, "too large").otherwise("supported").alias("reason")).agg(F.count("*").alias("n"))
 
 
+
+
+@query("SELECT n_regionkey AS split, count(*) AS n, min(n_name) AS first FROM nation GROUP BY 1")
+def snk2_partitioned_archive(spark, sf_dir):
+    """A columnar archive with a folder a split, read back by split."""
+    path = sinks.scratch(spark, "archive")
+    sinks.write_archive(table(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "split"), path, ["split"])
+    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"), F.min("n_name").alias("first"))
+
+
+@query("SELECT '[{\"r_name\": \"' || r_name || '\", \"r_regionkey\": ' || r_regionkey || '}]' AS document FROM region WHERE r_regionkey = 1")
+def snk4_json_document(spark, sf_dir):
+    """A small result as one document, keys sorted."""
+    return spark.createDataFrame([(sinks.to_json(table(spark, sf_dir, "region").where("r_regionkey = 1")),)], "document string")
+
+
+@query("SELECT s_suppkey, round(s_acctbal * 2, 2) AS v FROM supplier")
+def src15_saved_model(spark, sf_dir):
+    """A pipeline saved and loaded again."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer
+
+    path = sinks.scratch(spark, "model")
+    s = table(spark, sf_dir, "supplier")
+    Pipeline(stages=[SQLTransformer(statement="SELECT s_suppkey, round(s_acctbal * 2, 2) AS v FROM __THIS__")]).fit(s).write().save(path)
+    return files.load_model(path).transform(s)
+
+
+@query("SELECT o_orderpriority AS split, o_orderkey FROM orders WHERE o_totalprice > 300000 ORDER BY 1, 2")
+def k7_sorted_sink(spark, sf_dir):
+    """Rows in global order by (split, id), as a sink wants them: one range exchange, no single task."""
+    return table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_orderpriority").alias("split"), "o_orderkey").orderBy("split", "o_orderkey")

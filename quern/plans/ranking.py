@@ -282,3 +282,19 @@ def k1_topk_recovery(spark, sf_dir):
     t = M.top_order(t, ["g"], "score", ["chain", "number"])
     top = lambda k: F.sum(F.when(F.col("rank") <= k, F.col("y")).otherwise(0))
     return t.groupBy("g").agg(F.sum("y").alias("positives"), top(5).alias("top5"), top(10).alias("top10")).where("positives > 0")
+
+
+_SITES = "sites AS (SELECT o_custkey AS g, CAST(o_orderstatus <> 'F' AS INT) AS y, o_totalprice AS s FROM orders)"
+
+
+@query(
+    f"""WITH {_SITES}, k AS (SELECT g FROM sites GROUP BY g HAVING min(y) = 0 AND max(y) = 1), both AS (SELECT sites.* FROM sites JOIN k USING (g)), a AS ({_ap_sql('both', 'g', 's')}), u AS ({_ap_sql('sites', 'g', 's')})
+ SELECT (SELECT count(ap) FROM a) AS strict_groups, (SELECT round(avg(ap), 6) FROM a) AS strict_ap, count(ap) AS groups, count(*) AS ids, round(avg(ap), 6) AS mean_ap FROM u"""
+)
+def m6_both_class_groups(spark, sf_dir):
+    """Mean AP over groups with both classes, and over all groups with positives; ids counts the undefined ones too."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("g"), (F.col("o_orderstatus") != "F").cast("int").alias("y"), F.col("o_totalprice").alias("s"))
+    one = lambda df: df.withColumn("_", F.lit(1))
+    strict = M.average_precision(M.with_both_classes(o, ["g"], "y"), ["g"], "y", "s").agg(F.count("ap").alias("strict_groups"), F.round(F.avg("ap"), 6).alias("strict_ap"))
+    every = M.average_precision(o, ["g"], "y", "s").agg(F.count("ap").alias("groups"), F.count("*").alias("ids"), F.round(F.avg("ap"), 6).alias("mean_ap"))
+    return one(strict).join(one(every), "_").drop("_")

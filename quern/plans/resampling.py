@@ -88,19 +88,17 @@ def r8_budget_bootstrap(spark, sf_dir):
 
 
 @query(
-    f"""WITH {DELTAS}, d AS (SELECT *, CAST(id % 3 AS BIGINT) AS stratum FROM deltas), f AS (SELECT stratum, b, sum(delta * t) / nullif(sum(t), 0) AS v FROM (SELECT stratum, b, delta,
- CASE WHEN u < 1580030168 THEN 0 WHEN u < 3160060337 THEN 1 WHEN u < 3950075421 THEN 2 WHEN u < 4213413783 THEN 3 ELSE 4 END AS t FROM (SELECT stratum, b, delta, {draw_sql("'r9'", 'stratum', 'b', 'id')} AS u FROM d CROSS JOIN range({B}) r(b))) GROUP BY stratum, b)
- SELECT stratum, {_INTERVAL} FROM f GROUP BY stratum"""
+    f"""WITH {DELTAS}, d AS (SELECT *, CAST(id % 3 AS BIGINT) AS stratum, delta * 0.5 + 0.01 AS other FROM deltas), p AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY stratum) AS n FROM d),
+ r AS (SELECT stratum, b, {draw_sql("'r9'", 'stratum', 'b', 'place')} % n AS place FROM p CROSS JOIN range({B}) r(b)), f AS (SELECT r.stratum, b, avg(delta) AS delta, avg(other) AS other FROM r JOIN p USING (stratum, place) GROUP BY r.stratum, b),
+ u AS (SELECT stratum, 'delta' AS method, delta AS v FROM f UNION ALL SELECT stratum, 'other', other FROM f) SELECT stratum, method, {_INTERVAL} FROM u GROUP BY stratum, method"""
 )
 def r9_strata_bootstrap(spark, sf_dir):
-    """Interval in each stratum by Poisson multiplicities: each row draws its own, so nothing is joined."""
-    d = deltas(spark, sf_dir).withColumn("stratum", (F.col("id") % 3).cast("bigint"))
-    u = R.draw("r9", F.col("stratum"), F.col("b"), F.col("id"))
-    # the cumulative Poisson(1) chances of 0 to 3, times 2^32
-    t = F.when(u < 1580030168, 0).when(u < 3160060337, 1).when(u < 3950075421, 2).when(u < 4213413783, 3).otherwise(4)
-    f = d.select("stratum", "id", "delta", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("b")).withColumn("t", t)
-    means = f.groupBy("stratum", "b").agg((F.sum(F.col("delta") * F.col("t")) / F.nullif(F.sum("t"), F.lit(0))).alias("mean"))
-    return _rounded(R.interval(means, "mean", ["stratum"]), ["stratum"])
+    """Intervals of two methods in each stratum, on the same draws."""
+    d = deltas(spark, sf_dir).withColumn("stratum", (F.col("id") % 3).cast("bigint")).withColumn("other", F.col("delta") * 0.5 + 0.01)
+    mean = lambda c: (F.sum(F.col(c) * F.col("times")) / F.sum("times")).alias(c)
+    means = R.resampled_within(d.select("stratum", "id", "delta", "other"), "stratum", "id", B, "r9").groupBy("stratum", "b").agg(mean("delta"), mean("other"))
+    long = means.selectExpr("stratum", "stack(2, 'delta', delta, 'other', other) as (method, mean)")
+    return _rounded(R.interval(long, "mean", ["stratum", "method"]), ["stratum", "method"])
 
 
 @query(
