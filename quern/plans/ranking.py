@@ -288,7 +288,7 @@ _SITES = "sites AS (SELECT o_custkey AS g, CAST(o_orderstatus <> 'F' AS INT) AS
 
 
 @query(
-    f"""WITH {_SITES}, k AS (SELECT g FROM sites GROUP BY g HAVING min(y) = 0 AND max(y) = 1), both AS (SELECT sites.* FROM sites JOIN k USING (g)), a AS ({_ap_sql('both', 'g', 's')}), u AS ({_ap_sql('sites', 'g', 's')})
+    f"""WITH {_SITES}, k AS (SELECT g FROM sites GROUP BY g HAVING min(y) = 0 AND max(y) = 1), kept AS (SELECT sites.* FROM sites JOIN k USING (g)), a AS ({_ap_sql('kept', 'g', 's')}), u AS ({_ap_sql('sites', 'g', 's')})
  SELECT (SELECT count(ap) FROM a) AS strict_groups, (SELECT round(avg(ap), 6) FROM a) AS strict_ap, count(ap) AS groups, count(*) AS ids, round(avg(ap), 6) AS mean_ap FROM u"""
 )
 def m6_both_class_groups(spark, sf_dir):
