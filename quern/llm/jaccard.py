@@ -71,15 +71,15 @@ def _node(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return size, W.mix(total[first[1:]] - total[first[:-1]] + size.astype(np.uint64) * W._BASE)
 
 
-def _tiles(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tile keys of each set, one after another, and where each set's begin."""
+def _tiles(hashes: np.ndarray, first: np.ndarray, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Tile keys of each set (of the fresh ones only), one after another, and where each set's begin."""
     size = np.diff(first)
     low, parts, reach = bands(int(size.max(initial=1)))
     band = np.searchsorted(low, size, "right") - 1
     keys, owner = [], []
     for down in (0, 1):
         tile = band - down
-        use = np.flatnonzero((size > 0) & (tile >= 0) & ((down == 0) | (size <= reach[tile])) & (parts[tile] > 1))
+        use = np.flatnonzero((size > 0 if fresh is None else fresh) & (tile >= 0) & ((down == 0) | (size <= reach[tile])) & (parts[tile] > 1))
         if not len(use):
             continue
         n = parts[tile[use]]
@@ -107,6 +107,7 @@ def _sets(docs: DataFrame, what: str, known=None, n: int = SHINGLE) -> DataFrame
     """doc_id and size, node, and with what: tiles (tile keys) or set (sorted hashes, of documents in the filter known)."""
 
     def run(batches):
+        seen: set[int] = set()  # nodes whose tiles this task has given: copies give them once a task
         for batch in W.steps(batches):
             if known is not None:
                 key = batch.column("key").to_numpy().view(np.uint64)
@@ -116,7 +117,12 @@ def _sets(docs: DataFrame, what: str, known=None, n: int = SHINGLE) -> DataFrame
             columns = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0)]
             names = ["doc_id", "n_shingles", "node"]
             if what == "tiles":
-                keys, begin = _tiles(hashes, first)
+                fresh = size > 0
+                for i, digest in enumerate(node.tolist()):
+                    if fresh[i]:
+                        fresh[i] = digest not in seen
+                        seen.add(digest)
+                keys, begin = _tiles(hashes, first, fresh)
                 columns, names = [*columns, W.lists(W.longs(keys), begin)], [*names, "tiles"]
             elif what == "set":
                 raw = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
