@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that one step handles; bounds the memory of a task.
@@ -118,7 +119,7 @@ def steps(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterator
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.cumsum(np.diff(buffers(batch.column(text_col))[1]))
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             done = size[at - 1] if at else 0
