@@ -103,6 +103,22 @@ def _tiles(hashes: np.ndarray, first: np.ndarray, fresh: np.ndarray | None = Non
     return keys[order], np.searchsorted(owner[order], np.arange(len(size) + 1))
 
 
+def _combined(keys: np.ndarray, begin: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tiles of the sets of a batch, combined before they are shuffled: a tile stays with the first set of the batch that
+    has it.  Each other set that has it shares a tile of their own with that first set instead, one for all that they
+    have in common.  So a tile that very many sets have leaves a batch once."""
+    owner = np.repeat(np.arange(len(node)), np.diff(begin))
+    _, head, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    leader = owner[head][inverse]
+    first = leader == owner
+    pairs = np.unique(owner[~first] * len(node) + leader[~first])
+    a, b = pairs // len(node), pairs % len(node)
+    pair = W.mix(node[a] ^ W.mix(node[b] ^ W._BASE))
+    owner, keys = np.concatenate([owner[first], a, b]), np.concatenate([keys[first], pair, pair])
+    order = np.argsort(owner, kind="stable")
+    return keys[order], np.searchsorted(owner[order], np.arange(len(node) + 1))
+
+
 def _sets(docs: DataFrame, what: str, known=None, n: int = SHINGLE) -> DataFrame:
     """doc_id and size, node, and with what: tiles (tile keys) or set (sorted hashes, of documents in the filter known)."""
 
@@ -122,7 +138,7 @@ def _sets(docs: DataFrame, what: str, known=None, n: int = SHINGLE) -> DataFrame
                     if fresh[i]:
                         fresh[i] = digest not in seen
                         seen.add(digest)
-                keys, begin = _tiles(hashes, first, fresh)
+                keys, begin = _combined(*_tiles(hashes, first, fresh), node)
                 columns, names = [*columns, W.lists(W.longs(keys), begin)], [*names, "tiles"]
             elif what == "set":
                 raw = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
