@@ -26,8 +26,9 @@ SHINGLE = 3
 NUM, DEN = 90, 100
 #: Bits of the filter of documents whose sets are fetched: 1 MB.
 FILTER_BITS = 1 << 23
-#: Sets of a block; a task of a large candidate group holds two blocks.
+#: Sets of a block, and bytes of their hashes, on average; a task of a large candidate group holds two blocks.
 BLOCK = 20_000
+BLOCK_BYTES = 1 << 26
 _BAND = 1.3
 
 
@@ -238,21 +239,26 @@ def _block(by: str = "blocks"):
     return F.pmod(F.xxhash64("node"), F.col(by))
 
 
+def _block_count(shingles):
+    """Blocks that sets need, from their total number of shingles."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(shingles) * 8 / BLOCK_BYTES))
+
+
 def _numbers(count: str):
     return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
 
 
 def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """Links (a, b) that hold together the classes of candidate groups: sets (component, node, set), distinct nodes;
-    groups (component, node) of the same nodes.
+    groups (component, node, n_shingles) of the same nodes.
 
-    A group of up to BLOCK sets is searched in one task.  A larger one goes in three steps.  Each block is searched by itself;
+    A group of up to BLOCK sets and BLOCK_BYTES is searched in one task.  A larger one goes in three steps.  Each block is searched by itself;
     one set of every class found is then compared with those of all other blocks, block pair by block pair; and what does
     not belong to the group's largest class by then is compared with all sets of other classes, again block pair by
     block pair.  No pair of different classes is left out, and near copies, which come to be one class in the
     first two steps, are not compared pair by pair.
     """
-    size = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    size = groups.groupBy("component").agg(_block_count("n_shingles").alias("blocks"))
     placed = sets.join(size, "component").withColumn("mine", _block())
     inside = tables.written(placed.select("component", "mine", "node", "set").groupBy("component", "mine").applyInArrow(_within, "a bigint, b bigint"))
     if not size.where("blocks > 1").limit(1).count():
@@ -266,7 +272,7 @@ def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
 
     def meet(asking: DataFrame, all_: DataFrame) -> DataFrame:
         """Links of asking sets with sets of other classes; both sides in blocks, every two of which meet once."""
-        n = asking.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("ask_blocks"))
+        n = asking.groupBy("component").agg(_block_count(F.length("set") / 8).alias("ask_blocks"))
         columns = ["component", "i", "j", "node", "class", "set", "asks"]
         ask = asking.join(n, "component").withColumn("j", _block("ask_blocks")).withColumn("asks", F.lit(True)).withColumn("i", _numbers("blocks")).select(*columns)
         rest = all_.join(n, "component").withColumn("i", _block()).withColumn("asks", F.lit(False)).withColumn("j", _numbers("ask_blocks")).select(*columns)
@@ -274,7 +280,7 @@ def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
 
     once = tables.written(classes(inside))
     firsts = once.where("node = class")
-    counts = firsts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    counts = firsts.groupBy("component").agg(_block_count(F.length("set") / 8).alias("blocks"))
     firsts = firsts.drop("blocks").join(counts, "component")
     edges = inside.union(tables.written(meet(firsts, firsts)))
     twice = tables.written(classes(edges))
@@ -302,8 +308,8 @@ def linked_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sized = tables.written(_sets(docs, "node"))
     groups = candidate_groups(docs)
-    firsts = sized.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    wanted = tables.written(groups.join(firsts, "node"))  # node, component, first
+    firsts = sized.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"))
+    wanted = tables.written(groups.join(firsts, "node"))  # node, component, first, n_shingles
     known = spark.sparkContext.broadcast(tables.bitmap(wanted.select(F.xxhash64("first").alias("key")), "key", FILTER_BITS))
     sets = _sets(docs, "set", known).select(F.col("doc_id").alias("first"), "node", "set")
     sets = sets.join(wanted, ["first", "node"]).dropDuplicates(["node"])

@@ -340,9 +340,10 @@ def brute_links(rows):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
-@pytest.mark.parametrize("block", [20_000, 7])
-def test_jaccard_classes_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "size"), [(20_000, 1 << 26), (7, 1 << 26), (20_000, 600)])
+def test_jaccard_classes_equal_brute_force(spark, monkeypatch, block, size):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -377,6 +378,30 @@ def test_jaccard_tiles_miss_no_pair_at_the_threshold():
                 assert shared or set(x.tolist()) == set(y.tolist()), (n, m, drop)
 
 
+def test_jaccard_combined_tiles_connect_the_same_sets():
+    """Sets that share a tile stay connected over the combined ones, and sets that share none stay apart."""
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(rng.integers(1, 12))
+        each = [rng.choice(15, int(rng.integers(0, 5)), replace=False).astype(np.uint64) for _ in range(n)]
+        begin = np.concatenate([[0], np.cumsum([len(k) for k in each])])
+        keys, at = jaccard._combined(np.concatenate(each), begin, np.arange(100, 100 + n, dtype=np.uint64))
+        after = [keys[a:b] for a, b in zip(at[:-1], at[1:])]
+
+        def parts(tiles):
+            group = list(range(n))
+            for _ in range(n):
+                for i in range(n):
+                    for j in range(n):
+                        if set(tiles[i].tolist()) & set(tiles[j].tolist()):
+                            group[i] = group[j] = min(group[i], group[j])
+            return group
+
+        assert parts(each) == parts(after)
+        kept = [k for tiles in after for k in tiles.tolist() if k < 15]
+        assert len(kept) == len(set(kept)) and set(kept) == {k for tiles in each for k in tiles.tolist()}
+
+
 def test_jaccard_hot_copies_and_empty(spark):
     near = [" ".join(f"t{k}" for k in range(80) if k != i % 40 + 20) if i % 2 else " ".join(f"t{k}" for k in range(80)) for i in range(400)]
     got = jaccard.linked_classes(docs_of(spark, near, 10)).collect()
