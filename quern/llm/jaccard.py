@@ -105,12 +105,17 @@ def _tiles(hashes: np.ndarray, first: np.ndarray, fresh: np.ndarray | None = Non
 
 
 def _combined(keys: np.ndarray, begin: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tiles of the sets of a batch, combined before they are shuffled: a tile stays with the first set of the batch that
-    has it.  Each other set that has it shares a tile of their own with that first set instead, one for all that they
+    """Tiles of the sets of a batch, combined before they are shuffled: a tile stays with the least node of the batch that
+    has it.  Each other set that has it shares a tile of their own with that least one instead, one for all that they
     have in common.  So a tile that very many sets have leaves a batch once."""
     owner = np.repeat(np.arange(len(node)), np.diff(begin))
-    _, head, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    leader = owner[head][inverse]
+    order = np.argsort(node.view(np.int64), kind="stable")
+    place = np.empty(len(node), np.int64)
+    place[order] = np.arange(len(node))
+    by_node = np.argsort(place[owner], kind="stable")
+    _, head, inverse = np.unique(keys[by_node], return_index=True, return_inverse=True)
+    leader = np.empty(len(keys), np.int64)
+    leader[by_node] = owner[by_node][head][inverse]
     first = leader == owner
     pairs = np.unique(owner[~first] * len(node) + leader[~first])
     a, b = pairs // len(node), pairs % len(node)
