@@ -2,9 +2,10 @@
 
 Templates are passages of licences.  Their words are weighed by inverse document frequency
 over the scanned corpus; postings (word, template, place) of the rarer half form the index.
-Of each file, the words of highest weight are looked up; where hits agree on file place minus template place they
-line up, and the weight that lines up against the template's whole weight is the score.  A licence is
-named if its score reaches COVER and a mandatory key phrase stands in the file.
+Of each file that holds a mandatory key phrase, all index words of that phrase's licence are looked up; where hits
+agree on file place minus template place they line up, and the weight that lines up against the template's whole
+weight is the score.  A licence is named if its score reaches COVER; without a key phrase it cannot be, so no other
+word is looked up.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 from . import _tables as tables
 
 COVER = 0.5
-#: Words of a file, by weight, that are looked up; every place of them counts.
-LOOKED_UP = 12
 
 #: Base phrases and their labels (fixed values of the contract).
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -118,21 +117,24 @@ def license_places(docs: DataFrame) -> DataFrame:
         ),
         lambda p: p.isNotNull(),
     )
-    # the index's words by weight: the first of them that the text holds are its words of highest weight
-    by_weight = _strings(sorted(rare, key=lambda w: (-weights[w], w)))
-    looked_up = F.slice(F.array_intersect(by_weight, F.col("known")), 1, LOOKED_UP)
     text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     phrases = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(f" {p} ").alias("phrase")) for label, (keys, _) in TEMPLATES.items() for p in keys))
-    got = got.withColumn("top", F.when(known, looked_up)).withColumn("text", F.when(known, text))
+    got = got.withColumn("text", F.when(known, text))
+    verified = F.array_distinct(F.transform(F.filter(phrases, lambda p: F.contains(F.col("text"), p["phrase"])), lambda p: p["label"]))
     none = lambda kind: F.array().cast(kind)
+    got = got.withColumn("verified", F.when(known, verified).otherwise(none("array<string>")))
+    own_words = F.array(*(F.struct(F.lit(label).alias("label"), _strings(sorted({p[0] for p in postings if p[1] == label})).alias("words")) for label in TEMPLATES))
+    looked_up = F.array_distinct(F.flatten(F.transform(F.filter(own_words, lambda t: F.array_contains("verified", t["label"])), lambda t: t["words"])))
+    found = F.size("verified") > 0
+    got = got.withColumn("top", F.when(found, F.array_intersect(looked_up, F.col("known"))))
     marked = got.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.size(words).cast("bigint").alias("n_words"),
         F.when(F.array_contains(words, "license"), base).otherwise(none("array<struct<label:string,start:int>>")).alias("base"),
-        F.when(known, F.array_distinct(F.transform(F.filter(phrases, lambda p: F.contains(F.col("text"), p["phrase"])), lambda p: p["label"]))).otherwise(none("array<string>")).alias("verified"),
+        "verified",
         F.when(
-            known,
+            found,
             F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda s: F.array_contains("top", s["word"])),
         ).alias("hits"),
     )
@@ -140,12 +142,12 @@ def license_places(docs: DataFrame) -> DataFrame:
     # a row a hit and posting; files without hits keep one row
     hits = marked.select(*own, F.explode_outer("hits").alias("h")).select(*own, F.col("h.word").alias("word"), F.col("h.at").alias("at"))
     lined = (
-        hits.join(F.broadcast(index), "word", "left")
+        hits.join(F.broadcast(index), (hits["word"] == index["word"]) & F.array_contains(hits["verified"], index["label"]), "left")
         .withColumn("shift", F.col("at") - F.col("place"))
         .groupBy(*own, "template", "label", "shift", "total")
         .agg(F.sum("weight").alias("weight"))
     )
-    fits = F.when(F.array_contains("verified", F.col("label")), F.least(F.col("weight") / F.col("total"), F.lit(1.0)))
+    fits = F.when(F.col("label").isNotNull(), F.least(F.col("weight") / F.col("total"), F.lit(1.0)))
     best = lined.withColumn("cover", fits).groupBy(*own).agg(
         F.max("cover").alias("cover"), F.collect_set(F.when(F.col("cover") >= COVER, F.col("label"))).alias("found")
     )

@@ -508,6 +508,21 @@ def test_license_places_and_labels(spark):
     assert license_scan.query(docs_of(spark, [])).count() == 0
 
 
+def test_license_passages_side_by_side_and_in_long_text(spark):
+    passage = {label: max(passages, key=len) for label, (_, passages) in license_scan.TEMPLATES.items()}
+    sets = [("mit", "apache"), ("mit", "bsd", "isc"), ("apache", "bsd", "gpl", "isc", "mit", "mpl")]
+    texts = [" and then ".join(passage[label] for label in own) for own in sets]
+    # one passage in a long text that holds the words of all the others, but not their order
+    strewn = sorted({w for label, p in passage.items() if label != "isc" for w in p.split()})
+    random.Random(4).shuffle(strewn)
+    texts.append(" filler ".join(strewn * 20) + " " + passage["isc"] + " " + "word " * 20_000)
+    got = {r["doc_id"]: r for r in license_scan.query(docs_of(spark, texts + [f"plain text {i}" for i in range(200)])).collect()}
+    for i, own in enumerate([*sets, ("isc",)]):
+        assert set(own) <= set(got[i]["labels"].split(",")), (i, got[i]["labels"])
+        assert got[i]["base_labels"] != "" or got[i]["score"] > 0.99
+    assert got[3]["labels"] == "isc" and all(got[i]["labels"] == "" and got[i]["score"] == 0 for i in range(4, 204))
+
+
 # 10
 
 
