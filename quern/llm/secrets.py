@@ -2,7 +2,8 @@
 
 A worklist holds the layers of a text: the text itself, then whatever unwraps from it -
 percent escapes, Unicode and HTML escapes, base64 and compressed runs - until nothing
-new comes out.  Layers that were seen before are not taken again.  Every layer carries,
+new comes out.  Layers that were seen before are not taken again.  Compressed runs unpack
+as streams, in overlapping pieces, however long they are.  Every layer carries,
 for each of its characters, the span of the original text that it came from.
 """
 
@@ -12,20 +13,22 @@ import base64
 import bz2
 import hashlib
 import html
+import itertools
 import lzma
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
 
 KINDS = ("assign", "access", "hex")
-#: Bytes that one compressed run may unpack to; the rest of a larger one is not read (decompression bombs).
-UNPACKED_BYTES = 1 << 24
+#: Bytes of a piece of an unpacked stream, and what it shares with the piece before.
+PIECE, OVERLAP = 1 << 24, 1 << 22
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -33,6 +36,19 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|apos|amp|lt|gt|equals|colon);)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")
+#: Base64 over line breaks: lines of 16 or more, and a last line of any length.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]{16,}+)*+(?:\r?\n[A-Za-z0-9+/_-]++)?")
+_BREAK = re.compile(r"[\r\n]")
+_LINE = re.compile(r"[^\r\n]+")
+#: Bytes written with escapes, among characters that escaping leaves as they are.
+_PERCENT_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/!*'()+-])++")
+_ESCAPE_BYTES = re.compile(r"""(?:\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,2}\}|\\U000000[0-9A-Fa-f]{2}|\\[nrtabfv0\\'"]|&#[0-9]{1,3};|&#[xX][0-9A-Fa-f]{1,2};|&(?:quot|apos|amp|lt|gt|equals|colon);|[\x20-\x5B\x5D-\x7E])++""")
+_PERCENT_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|(\+)")
+_ESCAPED_BYTE = re.compile(r"\\(?:x|u00|U000000)([0-9A-Fa-f]{2})|(\\[nrtabfv0\\'\"]|&(?:quot|apos|amp|lt|gt|equals|colon);)|\\u\{([0-9A-Fa-f]{1,2})\}|&#[xX]([0-9A-Fa-f]{1,2});|&#([0-9]{1,3});")
+#: Control and high bytes, which compressed runs and UTF-16 have.
+_UNPRINTED = re.compile(r"(?:%|\\x|\\u00|\\u\{|\\U000000)[0189a-fA-F]|&#|\\0")
+_SIMPLE = dict(zip("nrtabfv0\\'\"", "\n\r\t\a\b\f\v\0\\'\""))
+_MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -50,12 +66,21 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 class Layer:
     def __init__(self, text: str, start, end, path: tuple[str, ...]):
         self.text, self.start, self.end, self.path = text, start, end, path
+        self.source = None  # of an unpacked stream's first piece: gives the stream's bytes anew
+        self.goes_on = False  # whether it is a later piece, which may begin within a run
+        self.more = False  # whether the next piece begins with this one's last OVERLAP bytes
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         if self.start is None:
             return start, end
+        if isinstance(self.start, int):  # unpacked: all of it comes from the whole run
+            return self.start, self.end
         return int(self.start[start:end].min()), int(self.end[start:end].max())
 
+    def in_next(self, start: int, end: int) -> bool:
+        """Whether what reaches a piece's end stands whole in the next piece, as it does unless longer than both share."""
+        return self.more and end == len(self.text) and start > end - OVERLAP // 2
+
     def replaced(self, pieces: list[tuple[int, int, str, list[tuple[int, int]]]], how: str) -> Layer:
         """This layer with pieces (start, end, new text, span within this layer of each new character) put in."""
         text, spans, at = [], [], 0
@@ -63,12 +88,16 @@ class Layer:
             text += [self.text[at:start], new]
             spans += [np.stack([np.arange(at, start), np.arange(at, start) + 1], 1), np.array(own, np.int64).reshape(-1, 2)]
             at = end
-        return self.within("".join(text), np.concatenate(spans), how)
+        new = self.within("".join(text), np.concatenate(spans), how)
+        new.more, new.goes_on = self.more, self.goes_on
+        return new
 
     def within(self, text: str, spans: np.ndarray, how: str) -> Layer:
         """A layer whose characters come from these spans of this one."""
         if self.start is None:
             return Layer(text, spans[:, 0], spans[:, 1], (*self.path, how))
+        if isinstance(self.start, int):
+            return Layer(text, self.start, self.end, (*self.path, how))
         return Layer(text, self.start[spans[:, 0]], self.end[spans[:, 1] - 1], (*self.path, how))
 
 
@@ -106,72 +135,220 @@ def _escapes(layer: Layer) -> Layer | None:
     return layer.replaced(pieces, "unicode") if pieces else None
 
 
-def unpack(raw: bytes) -> tuple[str, bytes] | None:
-    """What raw bytes are compressed with, by their first bytes, and what they unpack to."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return "gzip", zlib.decompressobj(31).decompress(raw, UNPACKED_BYTES)
-        if raw[:1] == b"\x78" and raw[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
-            return "zlib", zlib.decompressobj().decompress(raw, UNPACKED_BYTES)
-        if raw[:3] == b"BZh":
-            return "bz2", bz2.BZ2Decompressor().decompress(raw, UNPACKED_BYTES)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return "xz", lzma.LZMADecompressor().decompress(raw, UNPACKED_BYTES)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return "zstd", zstandard.ZstdDecompressor().decompressobj().decompress(raw)[:UNPACKED_BYTES]
-    except Exception:  # noqa: BLE001  whatever a codec raises: these bytes are not of its format
-        return None
-    return None
+def codec(raw: bytes) -> str | None:
+    """What bytes are compressed with, by the first of them."""
+    m = _MAGIC.match(raw)
+    return {b"\x1f": "gzip", b"\x78": "zlib", b"B": "bz2", b"\xfd": "xz", b"\x28": "zstd"}[m[0][:1]] if m else None
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+class _Zstd:
+    """A zstandard frame with the interface of the other decompressors."""
+
+    def __init__(self):
+        self.own = zstandard.ZstdDecompressor().decompressobj()
+
+    eof = property(lambda self: self.own.eof)
+    unused_data = property(lambda self: self.own.unused_data)
 
+    def decompress(self, raw: bytes, _most: int) -> bytes:
+        return self.own.decompress(raw)
 
-def _base64(layer: Layer) -> list[Layer]:
-    out = []
-    for m in _BASE64.finditer(layer.text):
-        run = m[0]
+
+_CODECS = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor, "zstd": _Zstd}
+_FAILS = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError)
+
+
+def unpack(chunks, used: list[int] | None = None):
+    """What a stream of bytes unpacks to, in pieces of bounded size, member after member; what came before an error stays.
+    used becomes the number of bytes of whole members, and of all that was read."""
+    chunks = iter(chunks)
+    data, at, whole, read = memoryview(next(chunks, b"")), 0, 0, 0
+    name = codec(data)
+    try:
+        while name and codec(data[at : at + 6]) == name:
+            own = _CODECS[name]()
+            while not own.eof:
+                if at == len(data):
+                    data, at = memoryview(next(chunks, b"")), 0
+                    if not len(data):
+                        return
+                # zstandard bounds no output, so it gets little input at a time
+                part = data[at : at + (1 << (10 if name == "zstd" else 16))]
+                at, read = at + len(part), read + len(part)
+                if out := own.decompress(part, PIECE):
+                    yield out
+                while not own.eof and name != "zstd" and (out := own.decompress(getattr(own, "unconsumed_tail", b""), PIECE)):
+                    yield out
+            at, read = at - len(own.unused_data), read - len(own.unused_data)
+            whole = read
+            if len(data) - at < 6:
+                data, at = memoryview(bytes(data[at:]) + next(chunks, b"")), 0
+    except _FAILS:
+        return  # bytes that are not of this format, or a damaged member: what it gave stays
+    finally:
+        if used is not None:
+            used[:] = [whole, read]
+
+
+def _texts(raw: bytes) -> list[tuple[str, np.ndarray]]:
+    """Texts that bytes may be, with the bytes of each character: UTF-8 or else Latin-1; and where there are NULs,
+    UTF-16 in both byte orders from both places.  What secrets are made of is ASCII, so others can't hold any."""
+    text, own = _characters(raw)
+    return [(text, np.array(own, np.int64).reshape(-1, 2)), *(_texts_wide(raw) if b"\0" in raw else ())]
+
+
+def _texts_wide(raw: bytes):
+    for order in ("<u2", ">u2"):
+        for at in (0, 1):
+            if len(raw) > at + 1:
+                units = np.frombuffer(raw, order, (len(raw) - at) // 2, at)
+                begin = at + 2 * np.arange(len(units))
+                yield units.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), np.stack([begin, begin + 2], 1)
+
+
+def _pieces(layer: Layer, start: int, end: int, path: tuple[str, ...], source):
+    """Layers of an unpacked stream in turn, all from this span of layer."""
+    start, end = layer.span(start, end)
+    held, first, later = b"", True, False
+
+    def layers(raw: bytes, more: bool):
+        nonlocal first
+        for text in itertools.chain([raw.decode("latin-1")], (t for t, _ in _texts_wide(raw)) if b"\0" in raw else ()):
+            new = Layer(text, start, end, path)
+            new.more, new.goes_on = more, later
+            if first:
+                new.source, first = source, False
+            yield new
+
+    for part in source():
+        held += part
+        while len(held) > PIECE + OVERLAP:
+            yield from layers(held[: PIECE + OVERLAP], True)
+            held, later = held[PIECE:], True
+    if held:
+        yield from layers(held, False)
+
+
+def _blocks(m: re.Match):
+    """Spans of wrapped base64 in lines that follow one another: lines of one length and a shorter last one, also with
+    the line before where that is shorter, as it is if other text begins it."""
+    lines = [(m.start() + x.start(), m.start() + x.end()) for x in _LINE.finditer(m[0])]
+    size = [b - a for a, b in lines]
+    i = 0
+    while i < len(lines):
+        full = i + 1
+        while full < len(lines) and size[full] == size[i]:
+            full += 1
+        upto = full + (full < len(lines) and size[full] < size[i])
+        if upto > i + 1:
+            yield lines[i][0], lines[upto - 1][1]
+        if i and size[i - 1] < size[i]:
+            yield lines[i - 1][0], lines[upto - 1][1]
+        i = full
+
+
+def _base64(layer: Layer) -> tuple[list[Layer], list]:
+    """Layers of base64 runs, and streams of those that are compressed."""
+    out, streams = [], []
+    runs = [(m.start(), m.end(), m[0]) for m in _BASE64.finditer(layer.text)]
+    if layer.goes_on and runs and runs[0][0] == 0:
+        runs += [(k, runs[0][1], runs[0][2][k:]) for k in (1, 2, 3)]
+    if "\n" in layer.text and runs:
+        runs += [(a, b, layer.text[a:b]) for m in _WRAPPED.finditer(layer.text) if "\n" in m[0] for a, b in _blocks(m)]
+    for start, end, run in runs:
+        if layer.in_next(start, end):
+            continue
+        place = None
+        if "\n" in run:
+            place = np.array([i for i, c in enumerate(run) if c not in "\r\n"])
+            run = _BREAK.sub("", run)
         run = run[: len(run) - (len(run) % 4 == 1)]
         try:
             raw = base64.b64decode(run.translate({45: 43, 95: 47}) + "=" * (-len(run) % 4))
         except ValueError:
             continue
-        how, whole = ("base64",), False
-        while packed := unpack(raw):
-            how, raw, whole = (*how, packed[0]), packed[1], True
-        text = _readable(raw)
-        if text is None:
-            continue
-        if whole:
-            spans = np.tile([m.start(), m.end()], (len(text), 1))
-        else:
-            own = np.array(_characters(raw)[1]).reshape(-1, 2)
-            spans = np.stack([m.start() + own[:, 0] * 4 // 3, m.start() + np.minimum(len(run), -(-own[:, 1] * 4 // 3))], 1)
-        out.append(layer.within(text, spans, ">".join(how)))
-    return out
+        used = [0]
+        if codec(raw):
+            for _ in unpack([raw], used):
+                pass
+            size = min(len(run), -(-used[0] * 4 // 3)) or len(run)
+            upto = start + (size if place is None else int(place[size - 1]) + 1)
+            streams.append(_pieces(layer, start, upto, (*layer.path, f"base64>{codec(raw)}"), lambda raw=raw: unpack([raw])))
+        # whole members are no text; what follows them may be
+        for text, own in _texts(raw[used[0] :]) if used[0] < len(raw) else ():
+            own = own + used[0]
+            a, b = own[:, 0] * 4 // 3, np.minimum(len(run), -(-own[:, 1] * 4 // 3))
+            if place is not None:
+                a, b = place[a], place[b - 1] + 1
+            out.append(layer.within(text, np.stack([start + a, start + b], 1), "base64"))
+    return out, streams
+
+
+def _escaped_bytes(layer: Layer) -> tuple[list[Layer], list]:
+    """UTF-16 layers, and streams of compressed bytes, of runs of bytes written with escapes."""
+    out, streams = [], []
+    if not _UNPRINTED.search(layer.text):
+        return out, streams
+    for pattern, one, how in ((_PERCENT_BYTES, _PERCENT_BYTE, "url"), (_ESCAPE_BYTES, _ESCAPED_BYTE, "unicode")):
+        for m in pattern.finditer(layer.text):
+            if not _UNPRINTED.search(m[0]) or not one.search(m[0]):
+                continue
+            raw, place, at = [], [], 0
+            for e in [*one.finditer(m[0]), None]:
+                upto = e.start() if e else len(m[0])
+                raw.append(m[0][at:upto].encode())
+                place += range(at, upto)
+                if e:
+                    g = [*e.groups(), None, None, None]
+                    code = int(g[0] or g[2] or g[3] or "0", 16) if not g[1] and not g[4] else int(g[4]) if g[4] else ord(" " if g[1] == "+" else _SIMPLE[g[1][1:]] if g[1][0] == "\\" else html.unescape(g[1]))
+                    raw.append(bytes([code]) if code < 256 else b"?")
+                    place.append(upto)
+                    at = e.end()
+            raw, place = b"".join(raw), np.array([*place, len(m[0])], np.int64) + m.start()
+            for text, own in _texts_wide(raw) if b"\0" in raw else ():
+                out.append(layer.within(text, np.stack([place[own[:, 0]], place[own[:, 1]]], 1), how))
+            done = 0
+            for x in _MAGIC.finditer(raw):
+                packed, used = memoryview(raw)[x.start() :], []
+                if x.start() < done or not sum(map(len, unpack([packed], used))):
+                    continue
+                done = x.start() + used[0]
+                packed = packed[: used[0] or used[1]]
+                end = int(place[x.start() + len(packed)])
+                streams.append(_pieces(layer, int(place[x.start()]), end, (*layer.path, f"{how}>{codec(packed)}"), lambda packed=packed: unpack([packed])))
+    return out, streams
 
 
 def find(text: str) -> list[tuple[str, int, int, int, str, str]]:
     """kind, start, end (in the text), depth, path of decoders, and the secret as it stands in its layer."""
-    work, seen, found, taken = [Layer(text, None, None, ())], {hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest()}, [], set()
-    while work:
-        layer = work.pop(0)
-        for kind, a, b in scan(layer.text):
-            start, end = layer.span(a, b)
-            if (kind, start, end) not in taken:
-                taken.add((kind, start, end))
-                found.append((kind, start, end, len(layer.path), ">".join(layer.path), layer.text[a:b]))
-        for new in (_percent(layer), _escapes(layer), *_base64(layer)):
-            if new is not None and (key := hashlib.sha1(new.text.encode("utf-8", "surrogatepass")).digest()) not in seen:
-                seen.add(key)
-                work.append(new)
+    seen, found, taken = set(), [], set()
+    stack = [iter([Layer(text, None, None, ())])]
+    while stack:
+        top = next(stack[-1], None)
+        if top is None:
+            stack.pop()
+            continue
+        work, streams = [top], []
+        while work:
+            layer = work.pop(0)
+            key = hashlib.sha1(layer.text.encode("utf-8", "surrogatepass")).digest()
+            if key in seen:
+                continue
+            seen.add(key)
+            for kind, a, b in scan(layer.text):
+                if layer.in_next(a, b):
+                    continue
+                start, end = layer.span(a, b)
+                if (kind, start, end) not in taken:
+                    taken.add((kind, start, end))
+                    found.append((kind, start, end, len(layer.path), ">".join(layer.path), layer.text[a:b]))
+            if layer.source is not None and (name := codec(layer.text[:6].encode("latin-1"))):
+                streams.append(_pieces(layer, 0, 1, (*layer.path[:-1], f"{layer.path[-1]}>{name}"), lambda source=layer.source: unpack(source())))
+            new, packed = _base64(layer)
+            more, also = _escaped_bytes(layer)
+            work += [x for x in (_percent(layer), _escapes(layer), *new, *more) if x is not None]
+            streams += packed + also
+        stack += reversed(streams)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -1,18 +1,22 @@
 """The operators for training data against brute force, and their edge cases."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import math
 import random
 import re
+import urllib.parse
 import zlib
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from quern.llm import _words, chat, decontaminate, jaccard, language_model, license_scan, mixing, pii, quality, queries, rules, secrets
 
@@ -103,6 +107,57 @@ def test_nested_secrets_are_found_in_place(depth):
     assert secrets.find(f"x {wraps[5](secret)} y")[0][:3] == ("assign", 2, 2 + len(wraps[5](secret)) - len("&quot;"))
 
 
+SECRET = 'password = "abcDEF123456xyz"'
+
+
+@pytest.mark.parametrize("odd", ["\0", "\x1b", " ", "​", "　", "﻿"])
+@pytest.mark.parametrize("code", ["utf-8", "utf-16", "utf-16-le", "utf-16-be"])
+def test_secrets_in_layers_with_odd_characters(odd, code):
+    raw = f"{odd} some text {SECRET} more".encode(code)
+    for run in (base64.b64encode(raw).decode(), base64.b64encode(gzip.compress(raw)).decode(), "".join(f"%{b:02x}" for b in raw), "".join(f"\\x{b:02x}" for b in raw)):
+        assert any(k == "assign" and 6 <= a < b <= 6 + len(run) for k, a, b, *_ in secrets.find(f"héllo {run} end")), run
+    assert secrets.find(f"x {base64.b64encode('é '.encode('latin-1') + SECRET.encode()).decode()} y")
+
+
+@pytest.mark.parametrize("line_break", ["\n", "\r\n"])
+@pytest.mark.parametrize("width", [64, 76])
+def test_secrets_in_wrapped_base64(width, line_break):
+    rng = random.Random(width)
+    for before in range(0, 60, 3):
+        for pack in (bytes, gzip.compress):
+            noise = "".join(rng.choice("ghijklmnop ") for _ in range(200))
+            raw = pack((noise[:before] + SECRET + noise).encode())
+            run = base64.b64encode(raw).decode()
+            run = line_break.join(run[i : i + width] for i in range(0, len(run), width))
+            got = [f for f in secrets.find(f"héllo {run}\nend") if f[0] == "assign" and f[5] == SECRET[:-1]]
+            assert got and 6 <= got[0][1] < got[0][2] <= 7 + len(run), run
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_secrets_in_compressed_bytes_of_escape_runs(pack):
+    raw = pack(random.Random(1).randbytes(100).hex(" ").encode() + SECRET.encode())
+    for run in ("".join(f"%{b:02X}" for b in raw), urllib.parse.quote(raw), urllib.parse.quote_plus(raw), "".join(f"\\x{b:02x}" for b in raw), repr(raw)[2:-1], "".join(f"&#{b};" for b in raw)):
+        got = [f for f in secrets.find(f"é {run}\nend") if f[0] == "assign"]
+        assert got and got[0][1:3] == (2, 2 + len(run)), (run, got)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_secrets_anywhere_in_long_and_many_streams(pack, monkeypatch):
+    long = base64.b64encode(pack(("é filler" * 2_000_000 + SECRET + "z " * 9_000_000).encode())).decode()
+    assert [f[5] for f in secrets.find(long) if f[0] == "assign"] == [SECRET[:-1]]
+    two = base64.b64encode(pack(b"nothing here") + pack(SECRET.encode())).decode()
+    if pack is not zlib.compress:
+        assert [f[1:3] for f in secrets.find(f"x {two} y") if f[0] == "assign"] == [(2, 2 + len(two.rstrip("=")))]
+    monkeypatch.setattr(secrets, "PIECE", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 200)
+    inner = base64.b64encode(SECRET.encode()).decode()
+    for before in range(940, 1240, 7):
+        for secret in (SECRET, inner):
+            raw = pack(("." * before + " " + secret + " " + "." * 3000).encode())
+            for run in (raw, pack(raw)):
+                assert [f[5] for f in secrets.find(base64.b64encode(run).decode()) if f[0] == "assign"] == [SECRET[:-1]], before
+
+
 def test_secret_worklist_ends_on_cycles_and_bombs():
     bomb = base64.b64encode(gzip.compress(b"a " * 20_000_000)).decode()
     assert secrets.find("%25" * 50 + " " + bomb) is not None
