@@ -1,6 +1,6 @@
 """Exact Jaccard join on word shingles, by size-banded tiles and bitmap signatures.
 
-1. A document is the set of hashes of its distinct SHINGLE-word shingles; equal sets are one node.
+1. A document is the set of hashes of its distinct shingles of n words; equal sets are one node.
 2. Sizes fall into bands.  Two sets that link lie in one band or in neighbours, and differ
    in at most d shingles, where d follows from the band.  Hashing shingles into d + 1
    parts, linked sets agree on some whole part: a tile is (band, part, content of the part).
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from . import _tables as tables
 from . import _words as W
 
+#: Words of a shingle, and linked if NUM * |A or B| <= DEN * |A and B|: the contract of the query; operators take others.
 SHINGLE = 3
-#: Linked if NUM * |A or B| <= DEN * |A and B|.
 NUM, DEN = 90, 100
 #: Bits of the filter of documents whose sets are fetched: 1 MB.
 FILTER_BITS = 1 << 23
@@ -72,10 +72,10 @@ def _node(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return size, W.mix(total[first[1:]] - total[first[:-1]] + size.astype(np.uint64) * W._BASE)
 
 
-def _tiles(hashes: np.ndarray, first: np.ndarray, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _tiles(hashes: np.ndarray, first: np.ndarray, fresh: np.ndarray | None = None, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
     """Tile keys of each set (of the fresh ones only), one after another, and where each set's begin."""
     size = np.diff(first)
-    low, parts, reach = bands(int(size.max(initial=1)))
+    low, parts, reach = bands(int(size.max(initial=1)), num, den)
     band = np.searchsorted(low, size, "right") - 1
     keys, owner = [], []
     for down in (0, 1):
@@ -125,7 +125,7 @@ def _combined(keys: np.ndarray, begin: np.ndarray, node: np.ndarray) -> tuple[np
     return keys[order], np.searchsorted(owner[order], np.arange(len(node) + 1))
 
 
-def _sets(docs: DataFrame, what: str, known=None, n: int = SHINGLE) -> DataFrame:
+def _sets(docs: DataFrame, what: str, known=None, n: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id and size, node, and with what: tiles (tile keys) or set (sorted hashes, of documents in the filter known)."""
 
     def run(batches):
@@ -144,7 +144,7 @@ def _sets(docs: DataFrame, what: str, known=None, n: int = SHINGLE) -> DataFrame
                     if fresh[i]:
                         fresh[i] = digest not in seen
                         seen.add(digest)
-                keys, begin = _combined(*_tiles(hashes, first, fresh), node)
+                keys, begin = _combined(*_tiles(hashes, first, fresh, num, den), node)
                 columns, names = [*columns, W.lists(W.longs(keys), begin)], [*names, "tiles"]
             elif what == "set":
                 raw = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
@@ -217,18 +217,18 @@ def _sets_of(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(s.as_py(), np.uint64) for s in table.column("set")]
 
 
-def _within(table: pa.Table) -> pa.Table:
+def _within(table: pa.Table, num: int, den: int) -> pa.Table:
     """Links (a, b) that hold the classes of one block together."""
     nodes = table.column("node").to_numpy()
-    root = compare(_sets_of(table))
+    root = compare(_sets_of(table), num, den)
     linked = root != np.arange(len(root))
     return pa.table({"a": nodes[linked], "b": nodes[root[linked]]})
 
 
-def _across(table: pa.Table) -> pa.Table:
+def _across(table: pa.Table, num: int, den: int) -> pa.Table:
     """Links between the asking sets of a block pair and sets of other classes, one for each two classes at least."""
     nodes, asks = table.column("node").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
-    tile = _Tile(_sets_of(table))
+    tile = _Tile(_sets_of(table), num, den)
     klass = table.column("class").to_numpy()[tile.order].copy()
     a, b = [], []
     for at in np.flatnonzero(asks[tile.order]):
@@ -253,7 +253,7 @@ def _numbers(count: str):
     return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
 
 
-def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
+def links(sets: DataFrame, groups: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Links (a, b) that hold together the classes of candidate groups: sets (component, node, set), distinct nodes;
     groups (component, node, n_shingles) of the same nodes.
 
@@ -265,7 +265,7 @@ def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """
     size = groups.groupBy("component").agg(_block_count("n_shingles").alias("blocks"))
     placed = sets.join(size, "component").withColumn("mine", _block())
-    inside = tables.written(placed.select("component", "mine", "node", "set").groupBy("component", "mine").applyInArrow(_within, "a bigint, b bigint"))
+    inside = tables.written(placed.select("component", "mine", "node", "set").groupBy("component", "mine").applyInArrow(lambda t: _within(t, num, den), "a bigint, b bigint"))
     if not size.where("blocks > 1").limit(1).count():
         return inside
     large = tables.written(placed.where("blocks > 1"))
@@ -281,7 +281,7 @@ def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
         columns = ["component", "i", "j", "node", "class", "set", "asks"]
         ask = asking.join(n, "component").withColumn("j", _block("ask_blocks")).withColumn("asks", F.lit(True)).withColumn("i", _numbers("blocks")).select(*columns)
         rest = all_.join(n, "component").withColumn("i", _block()).withColumn("asks", F.lit(False)).withColumn("j", _numbers("ask_blocks")).select(*columns)
-        return ask.union(rest).groupBy("component", "i", "j").applyInArrow(_across, "a bigint, b bigint")
+        return ask.union(rest).groupBy("component", "i", "j").applyInArrow(lambda t: _across(t, num, den), "a bigint, b bigint")
 
     once = tables.written(classes(inside))
     firsts = once.where("node = class")
@@ -295,40 +295,40 @@ def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     return edges.union(tables.written(meet(stray, twice)))
 
 
-def candidate_groups(docs: DataFrame) -> DataFrame:
+def candidate_groups(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(node, component): nodes that share tiles, directly or over others."""
-    tiles = _sets(docs, "tiles").where("n_shingles > 0").select("node", F.explode("tiles").alias("tile"))
+    tiles = _sets(docs, "tiles", None, n, num, den).where("n_shingles > 0").select("node", F.explode("tiles").alias("tile"))
     least = F.first("node").over(Window.partitionBy("tile").orderBy("node"))
     edges = tiles.select(F.col("node").alias("a"), least.alias("b")).where("a <> b").distinct()
     return tables.connected_components(tables.written(edges))
 
 
-def linked_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs.
+def linked_classes(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs, linked over shingles of n words at a Jaccard of num / den.
 
     component_id is the least doc_id that links reach.  Documents without words (null and empty
     texts) have size 0 and are their own.  Rows with equal sets are linked; rows that share a
     doc_id keep a row each.  A row without doc_id gets the component of an equal set, else null.
     """
     spark = docs.sparkSession
-    sized = tables.written(_sets(docs, "node"))
-    groups = candidate_groups(docs)
+    sized = tables.written(_sets(docs, "node", None, n))
+    groups = candidate_groups(docs, n, num, den)
     firsts = sized.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"))
     wanted = tables.written(groups.join(firsts, "node"))  # node, component, first, n_shingles
     known = spark.sparkContext.broadcast(tables.bitmap(wanted.select(F.xxhash64("first").alias("key")), "key", FILTER_BITS))
-    sets = _sets(docs, "set", known).select(F.col("doc_id").alias("first"), "node", "set")
+    sets = _sets(docs, "set", known, n).select(F.col("doc_id").alias("first"), "node", "set")
     sets = sets.join(wanted, ["first", "node"]).dropDuplicates(["node"])
-    classes = tables.connected_components(links(sets.select("component", "node", "set"), wanted))
+    classes = tables.connected_components(links(sets.select("component", "node", "set"), wanted, num, den))
     named = firsts.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     ids = named.groupBy("class").agg(F.min("first").alias("component_id"))
     of_node = named.join(ids, "class").select("node", "component_id")
     return sized.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
+def first_of_each(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """docs with one document, that of least doc_id, of each class.  Rows that share the id that stays all
     stay; so do rows without an id."""
-    classes = linked_classes(docs)
+    classes = linked_classes(docs, n, num, den)
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -413,6 +413,29 @@ def test_jaccard_classes_equal_brute_force(spark, monkeypatch, block, size):
     assert got == brute_links(rows)
 
 
+def test_near_copies_of_five_words_at_four_fifths(spark):
+    rng, texts = random.Random(3), []
+    for k in range(60):
+        words = [f"k{k}w{i}" for i in range(rng.choice([4, 5, 30, 120, 400]))]
+        texts.append(" ".join(words))
+        for edits in range(1, 6):
+            for at in rng.sample(range(len(words)), min(edits, len(words))):
+                words[at] = f"e{rng.random()}"
+            texts.append(" ".join(words))
+    texts += ["", None, texts[0].upper(), "a b", "A b"]
+    grams = [[tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))] if w else [] for w in ((t or "").translate(LOW).split() for t in texts)]
+    sets, first = [set(g) for g in grams], list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((first[a], first[b]))
+                first = [low if x == high else x for x in first]
+    kept = {i for i, x in enumerate(first) if i == x}
+    assert 60 < len(kept) < len(texts) - 60
+    assert {r["doc_id"] for r in jaccard.first_of_each(docs_of(spark, texts), 5, 80, 100).collect()} == kept
+    assert {r["doc_id"] for r in jaccard.first_of_each(docs_of(spark, texts)).collect()} != kept
+
+
 def test_jaccard_tiles_miss_no_pair_at_the_threshold():
     """Any two sets that link share a digest or a tile, for many sizes."""
     rng = np.random.default_rng(4)
