@@ -2,7 +2,8 @@
 
 A worklist holds the layers of a text: the text itself, then whatever unwraps from it -
 percent escapes, Unicode and HTML escapes, base64 and compressed runs - until nothing
-new comes out.  Layers that were seen before are not taken again.  Compressed runs unpack
+new comes out.  A layer that was seen before in the same place of the text is not taken again, which ends
+cycles; the same content in another place is.  Compressed runs unpack
 as streams, in overlapping pieces, however long they are.  Every layer carries,
 for each of its characters, the span of the original text that it came from.
 """
@@ -36,6 +37,10 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|apos|amp|lt|gt|equals|colon);)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")
+#: Decoders whose layers are rewritten texts, and how many in a row are undone one by one before all that are left go at once.
+_ESCAPERS, _ONE_BY_ONE = ("url", "unicode"), 3
+_LAST_ESCAPE = re.compile(r"(?:%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|apos|amp|lt|gt|equals|colon);))\Z")
+_ENDS_ESCAPE = frozenset("0123456789abcdefABCDEF;}")
 #: Base64 over line breaks: lines of 16 or more, and a last line of any length.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]{16,}+)*+(?:\r?\n[A-Za-z0-9+/_-]++)?")
 _BREAK = re.compile(r"[\r\n]")
@@ -49,6 +54,9 @@ _ESCAPED_BYTE = re.compile(r"\\(?:x|u00|U000000)([0-9A-Fa-f]{2})|(\\[nrtabfv0\\'
 _UNPRINTED = re.compile(r"(?:%|\\x|\\u00|\\u\{|\\U000000)[0189a-fA-F]|&#|\\0")
 _SIMPLE = dict(zip("nrtabfv0\\'\"", "\n\r\t\a\b\f\v\0\\'\""))
 _MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+#: What bytes hold that can have a secret or an encoded one: 12 ASCII characters in a row, in UTF-8 or UTF-16, or a compressed stream.
+_HOLDS = re.compile(rb"[\t\n\r\x20-\x7E]{12}|(?:[\t\n\r\x20-\x7E]\0){12}|(?:\0[\t\n\r\x20-\x7E]){12}|" + _MAGIC.pattern)
+_ALL_TEXT = re.compile(rb"[\t\n\r\x20-\x7E]*")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -77,6 +85,16 @@ class Layer:
             return self.start, self.end
         return int(self.start[start:end].min()), int(self.end[start:end].max())
 
+    def key(self) -> bytes:
+        """Of the text and of where each of its characters comes from."""
+        out = hashlib.sha1(self.text.encode("utf-8", "surrogatepass"))
+        if isinstance(self.start, int):
+            out.update(b"%d:%d" % (self.start, self.end))
+        elif self.start is not None:
+            out.update(self.start.tobytes())
+            out.update(self.end.tobytes())
+        return out.digest()
+
     def in_next(self, start: int, end: int) -> bool:
         """Whether what reaches a piece's end stands whole in the next piece, as it does unless longer than both share."""
         return self.more and end == len(self.text) and start > end - OVERLAP // 2
@@ -86,7 +104,7 @@ class Layer:
         text, spans, at = [], [], 0
         for start, end, new, own in [*pieces, (len(self.text), len(self.text), "", [])]:
             text += [self.text[at:start], new]
-            spans += [np.stack([np.arange(at, start), np.arange(at, start) + 1], 1), np.array(own, np.int64).reshape(-1, 2)]
+            spans += [np.stack([np.arange(at, start, dtype=np.int32), np.arange(at + 1, start + 1, dtype=np.int32)], 1), np.array(own, np.int32).reshape(-1, 2)]
             at = end
         new = self.within("".join(text), np.concatenate(spans), how)
         new.more, new.goes_on = self.more, self.goes_on
@@ -129,12 +147,37 @@ def _escapes(layer: Layer) -> Layer | None:
         if m[5]:
             new = html.unescape(m[5])
         else:
-            code = int(next(g for g in m.groups() if g), 16)
-            new = chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else "�"
+            new = _unescaped(int(next(g for g in m.groups() if g), 16))
         pieces.append((m.start(), m.end(), new, [(m.start(), m.end())] * len(new)))
     return layer.replaced(pieces, "unicode") if pieces else None
 
 
+def _unescaped(code: int) -> str:
+    return chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else "\ufffd"
+
+
+def _all_escapes(layer: Layer) -> Layer | None:
+    """All percent, Unicode and HTML escapes undone until none is left: each character is put down once, and whenever the
+    last ones form an escape they give way to what it stands for.  So a chain of any depth takes one pass."""
+    out, begin, end = [], [], []
+    for at, c in enumerate(layer.text):
+        out.append(c)
+        begin.append(at)
+        end.append(at + 1)
+        while out[-1] in _ENDS_ESCAPE and (m := _LAST_ESCAPE.search("".join(out[-12:]))):
+            new = html.unescape(m[6]) if m[6] else _unescaped(int(next(g for g in m.groups() if g), 16))
+            first = begin[-len(m[0])]
+            del out[-len(m[0]) :], begin[-len(m[0]) :], end[-len(m[0]) :]
+            out += new
+            begin += [first] * len(new)
+            end += [at + 1] * len(new)
+    if len(out) == len(layer.text):
+        return None
+    new = layer.within("".join(out), np.array([begin, end], np.int32).T, "escapes")
+    new.more, new.goes_on = layer.more, layer.goes_on
+    return new
+
+
 def codec(raw: bytes) -> str | None:
     """What bytes are compressed with, by the first of them."""
     m = _MAGIC.match(raw)
@@ -248,42 +291,51 @@ def _blocks(m: re.Match):
 
 
 def _base64(layer: Layer) -> tuple[list[Layer], list]:
-    """Layers of base64 runs, and streams of those that are compressed."""
+    """Layers of base64 runs, and streams of those that are compressed.
+
+    A run may begin anywhere in one of the pattern, as other characters can be glued to it, so that all four ways to part
+    it in fours are tried; but the first alone where all that it gives is text.
+    """
     out, streams = [], []
     runs = [(m.start(), m.end(), m[0]) for m in _BASE64.finditer(layer.text)]
-    if layer.goes_on and runs and runs[0][0] == 0:
-        runs += [(k, runs[0][1], runs[0][2][k:]) for k in (1, 2, 3)]
     if "\n" in layer.text and runs:
         runs += [(a, b, layer.text[a:b]) for m in _WRAPPED.finditer(layer.text) if "\n" in m[0] for a, b in _blocks(m)]
     for start, end, run in runs:
         if layer.in_next(start, end):
             continue
-        place = None
+        place = np.arange(start, end, dtype=np.int32)
         if "\n" in run:
-            place = np.array([i for i, c in enumerate(run) if c not in "\r\n"])
+            place = place[[c not in "\r\n" for c in run]]
             run = _BREAK.sub("", run)
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        try:
-            raw = base64.b64decode(run.translate({45: 43, 95: 47}) + "=" * (-len(run) % 4))
-        except ValueError:
-            continue
-        used = [0]
-        if codec(raw):
-            for _ in unpack([raw], used):
-                pass
-            size = min(len(run), -(-used[0] * 4 // 3)) or len(run)
-            upto = start + (size if place is None else int(place[size - 1]) + 1)
-            streams.append(_pieces(layer, start, upto, (*layer.path, f"base64>{codec(raw)}"), lambda raw=raw: unpack([raw])))
-        # whole members are no text; what follows them may be
-        for text, own in _texts(raw[used[0] :]) if used[0] < len(raw) else ():
-            own = own + used[0]
-            a, b = own[:, 0] * 4 // 3, np.minimum(len(run), -(-own[:, 1] * 4 // 3))
-            if place is not None:
-                a, b = place[a], place[b - 1] + 1
-            out.append(layer.within(text, np.stack([start + a, start + b], 1), "base64"))
+        run = run.translate({45: 43, 95: 47})
+        for skip in range(4):
+            own = run[skip : len(run) - ((len(run) - skip) % 4 == 1)]
+            raw = base64.b64decode(own + "=" * (-len(own) % 4))
+            if _HOLDS.search(raw):
+                _of_base64(layer, raw, place[skip : skip + len(own)], out, streams)
+            if _ALL_TEXT.fullmatch(raw):
+                break
     return out, streams
 
 
+def _of_base64(layer: Layer, raw: bytes, place: np.ndarray, out: list[Layer], streams: list) -> None:
+    """Put texts and streams of decoded bytes to out and streams; place has where each base64 character stands in layer."""
+    done = whole = 0
+    for x in _MAGIC.finditer(raw):
+        packed, used = memoryview(raw)[x.start() :], []
+        if x.start() < done or not sum(map(len, unpack([packed], used))):
+            continue
+        done = x.start() + used[0]
+        whole = whole or (0 if x.start() else used[0])
+        first, last = x.start() * 4 // 3, min(len(place), -(-(done if used[0] else len(raw)) * 4 // 3))
+        streams.append(_pieces(layer, int(place[first]), int(place[last - 1]) + 1, (*layer.path, f"base64>{codec(packed)}"), lambda packed=packed: unpack([packed])))
+    # whole members are no text; what follows them may be
+    for text, own in _texts(raw[whole:]) if whole < len(raw) else ():
+        own = own + whole
+        a, b = own[:, 0] * 4 // 3, np.minimum(len(place), -(-own[:, 1] * 4 // 3))
+        out.append(layer.within(text, np.stack([place[a], place[b - 1] + 1], 1), "base64"))
+
+
 def _escaped_bytes(layer: Layer) -> tuple[list[Layer], list]:
     """UTF-16 layers, and streams of compressed bytes, of runs of bytes written with escapes."""
     out, streams = [], []
@@ -331,8 +383,7 @@ def find(text: str) -> list[tuple[str, int, int, int, str, str]]:
         work, streams = [top], []
         while work:
             layer = work.pop(0)
-            key = hashlib.sha1(layer.text.encode("utf-8", "surrogatepass")).digest()
-            if key in seen:
+            if (key := layer.key()) in seen:
                 continue
             seen.add(key)
             for kind, a, b in scan(layer.text):
@@ -346,7 +397,9 @@ def find(text: str) -> list[tuple[str, int, int, int, str, str]]:
                 streams.append(_pieces(layer, 0, 1, (*layer.path[:-1], f"{layer.path[-1]}>{name}"), lambda source=layer.source: unpack(source())))
             new, packed = _base64(layer)
             more, also = _escaped_bytes(layer)
-            work += [x for x in (_percent(layer), _escapes(layer), *new, *more) if x is not None]
+            deep = len(layer.path) >= _ONE_BY_ONE and all(how in _ESCAPERS for how in layer.path[-_ONE_BY_ONE:])
+            unescaped = [_all_escapes(layer)] if deep else [_percent(layer), _escapes(layer)]
+            work += [x for x in (*unescaped, *new, *more) if x is not None]
             streams += packed + also
         stack += reversed(streams)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))

@@ -9,6 +9,7 @@ import lzma
 import math
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -164,6 +165,56 @@ def test_secret_worklist_ends_on_cycles_and_bombs():
     assert secrets.find("%41" * 3) == []
 
 
+def test_every_copy_of_an_encoded_secret_is_found_and_redacted():
+    """Copies, glued to words on either side, nested and packed: as many spans as copies, each around its own copy, and none left."""
+    run = base64.b64encode(SECRET.encode()).decode().rstrip("=")
+    packed = base64.b64encode(gzip.compress(SECRET.encode())).decode().rstrip("=")
+    quoted = "".join(f"%{b:02X}" for b in SECRET.encode())
+    twice = base64.b64encode(quoted.encode()).decode().rstrip("=")
+    for one in (run, packed, quoted, twice):
+        for glue in ("x {} B {} z", "key-{} id_{}", "a/{} bb+{}", "ab{} abc{}", "{}, {}\n{}"):
+            n = glue.count("{}")
+            text = glue.format(*[one] * n)
+            found = [f for f in secrets.find(text) if f[0] == "assign"]
+            spans = sorted({f[1:3] for f in found if f[5] == SECRET[:-1]})
+            begins = [m.start() for m in re.finditer(re.escape(one), text)]
+            assert len(begins) == n and all(any(a < b0 + len(one) and b > b0 for a, b in spans) for b0 in begins), (one, glue, spans)
+            assert not secrets.find(secrets.redact(text, secrets.find(text))), (one, glue)
+
+
+def test_escape_chains_of_any_depth_take_one_pass():
+    for chain in ("%" + "25" * 300_000, "\\u0025" + "25" * 100_000, "&amp;" + "amp;" * 50_000, "%5Cu0025" + "5Cu0025" * 40_000):
+        begin = time.perf_counter()
+        assert all(f[0] == "hex" for f in secrets.find(chain))
+        assert time.perf_counter() - begin < 20
+    for wrap in (lambda s: s.replace("%", "%25"), lambda s: s.replace("%", "\\u0025"), lambda s: s.replace("%", "&#37;")):
+        inner = "".join(f"%{b:02X}" for b in SECRET.encode())
+        for depth in range(12):
+            got = [f for f in secrets.find(f"é {inner} end") if f[0] == "assign"]
+            assert got and got[0][1] == 2 and got[0][2] <= 2 + len(inner), depth
+            inner = wrap(inner) if depth < 7 else "".join(f"%{b:02X}" for b in inner.encode()) if len(inner) < 30_000 else inner
+
+
+def test_a_stream_that_unpacks_to_itself_ends(monkeypatch):
+    def same(chunks, used=None):
+        raw = b"".join(map(bytes, chunks))
+        if secrets.codec(raw) != "gzip":
+            return
+        if used is not None:
+            used[:] = [len(raw), len(raw)]
+        yield raw
+
+    monkeypatch.setattr(secrets, "unpack", same)
+    assert secrets.find("x " + base64.b64encode(gzip.compress(SECRET.encode())).decode()) == []
+
+
+def test_secrets_in_a_long_text_of_many_runs():
+    run = base64.b64encode(b"nothing to see here " * 3).decode()
+    text = " ".join(f"{run} w{i}" for i in range(20_000)) + " " + base64.b64encode(SECRET.encode()).decode()
+    begin = time.perf_counter()
+    assert [f[5] for f in secrets.find(text)] == [SECRET[:-1]] and time.perf_counter() - begin < 60
+
+
 def test_redaction_keeps_rows_and_other_columns(spark):
     t = "key token=abcdefghijklmno and AKIA" + "Z" * 16
     got = secrets.redact_secrets(docs_of(spark, [t, None, "", "clean"])).orderBy("doc_id").collect()
