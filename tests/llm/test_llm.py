@@ -663,6 +663,86 @@ def test_attention_gradient_is_right():
     assert loss(quality.learn(x, first, y, rounds=60)) < 0.3 * loss(weights)
 
 
+def test_attention_gradient_equals_differences():
+    rng = np.random.default_rng(5)
+    x, first, y = rng.normal(size=(11, 6)), np.array([0, 3, 4, 11]), np.array([1.0, 0.0, 1.0])
+    weights = [w.astype(float) for w in quality._start(6)]
+    loss = lambda w: -np.mean(y * np.log(p := quality.forward(w, x, first)[0]) + (1 - y) * np.log(1 - p))
+    for i, grad in enumerate(quality.gradient(weights, x, first, y)):
+        flat = grad.reshape(-1)
+        for k in rng.choice(len(flat), min(8, len(flat)), replace=False):
+            up, down = ([w.copy() for w in weights] for _ in range(2))
+            up[i].reshape(-1)[k] += 1e-5
+            down[i].reshape(-1)[k] -= 1e-5
+            assert flat[k] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-6)
+
+
+def test_quality_scores_equal_a_plain_forward_pass():
+    """Passage by passage in loops, also over several blocks and for texts without words."""
+    rng = random.Random(6)
+    texts = [None, "", " ".join(rng.choice(["Alpha", "be", "gamma,", "é", "x|y"]) for _ in range(1500)), "one two", "z" * 5000]
+    weights = [w.astype(float) for w in quality._start(quality.FEATURES + quality.LEXICAL)]
+    got = quality.passages(pa.array(texts, pa.string()))
+    mean, spread = got.format.mean(0), got.format.std(0) + 1e-3
+    w1, b1, v, u, a_, c, c0 = weights
+    for i, t in enumerate(texts):
+        words = SPACED.findall(t or "")
+        parts = [words[k : k + quality.PASSAGE] for k in range(0, len(words), quality.PASSAGE)] or [[]]
+        assert got.first[i + 1] - got.first[i] == len(parts)
+        h, gate = [], []
+        for k, part in enumerate(parts):
+            lexical = np.zeros(quality.LEXICAL)
+            for at, bucket in got.tokens:
+                for b in bucket[at == got.first[i] + k]:
+                    lexical[b] += 1
+            follows = k < len(parts) - 1
+            assert lexical.sum() == max(0, 4 * len(part) - (len(part) > 0 and not follows))  # words, pairs, beginnings, endings
+            row = np.concatenate([(got.format[got.first[i] + k] - mean) / spread, np.sqrt(lexical / max(1, lexical.sum()))])
+            h.append(np.maximum(0, row @ w1 + b1))
+            gate.append((np.tanh(h[-1] @ v) / (1 + np.exp(-(h[-1] @ u)))) @ a_)
+        share = np.exp(np.array(gate) - max(gate))
+        z = sum(s * x for s, x in zip(share / share.sum(), h))
+        want = 1 / (1 + np.exp(-(z @ c + c0[0])))
+        for block in (1024, 5):
+            quality.BLOCK, before = block, quality.BLOCK
+            assert quality.Classifier(weights, mean, spread, 0.5).score(pa.array(texts, pa.string()))[i] == pytest.approx(want, abs=1e-5)
+            quality.BLOCK = before
+
+
+def test_quality_learns_from_words_alone(spark):
+    """Labels that follow from a word in one passage of many, texts alike in format: held-out rows are told apart."""
+    rng = random.Random(9)
+    filler = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(900):
+        words, good = [rng.choice(filler) for _ in range(400)], i % 2
+        at = rng.randrange(0, 370)
+        for k in range(30):
+            words[at + k] = ["plumy", "crest", "glint"][k % 3] if good else ["murky", "sludg", "grime"][k % 3]
+        rows.append((i, " ".join(words)))
+        labels.append((i, good, 0))
+    got = quality.quality_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    held = [(r["score"], r["doc_id"] % 2) for r in got.collect() if r["held_out"]]
+    above = np.mean([(a > b) + 0.5 * (a == b) for a, x in held for b, y in held if x > y])
+    assert len(held) > 100 and above > 0.97
+
+
+def test_quality_sample_is_whole_rows_within_its_bounds(spark):
+    docs = spark.createDataFrame([(i, "w " * (10 + 40 * i)) for i in range(50)] + [(7, "copy")] * 30, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id bigint, quality int, toxic int")
+    whole = {"w " * (10 + 40 * i) for i in range(50)} | {"copy"}
+    for most in (50, 3000, 1 << 30):
+        got = quality.sample_of(docs, labels, 40, most)
+        assert len(got) <= 40 and sum(len(t) for _, t in got) <= most and {t for _, t in got} <= whole
+    assert len(got) == 40
+
+
+def test_quality_held_out_auc(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = [(r["score"], r["quality"]) for r in quality.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()]
+    assert np.mean([(a > b) + 0.5 * (a == b) for a, x in rows for b, y in rows if x > y]) > 0.97
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
