@@ -572,6 +572,61 @@ def test_pii_base_equals_plain_scan(spark, documents):
         assert r["n_email"] == sum(w.startswith("email") for w in want)
 
 
+def planted_pii(spark, n=160):
+    """Documents of a corpus, and texts with personal data that no base rule sees, or with what only looks like it: (text, kind, start, end) or (text, None)."""
+    rng = random.Random(8)
+    some = ["over", "there", "call", "then", "lies", "nothing", "here", "ask"]
+    say = lambda: " ".join(rng.choice(some) for _ in range(rng.randrange(3, 9)))
+    digits = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+    out = []
+    for i in range(n):
+        card = digits(15)
+        card += next(c for c in "0123456789" if luhn(card + c))
+        wrong = card[:-1] + str((int(card[-1]) + 1 + i % 9) % 10)
+        fours = lambda c, by: by.join(c[k : k + 4] for k in range(0, 16, 4))
+        right = [
+            ("email", f"jane{i}{rng.choice([' [at] ', '(at)'])}example{rng.choice([' [dot] ', '.'])}org"),
+            ("phone", f"({digits(3)}) {digits(3)}-{digits(4)}"),
+            ("card", fours(card, rng.choice([".", "  "]))),
+            ("ip", f"{rng.randrange(1, 250)}[.]{rng.randrange(250)}[.]{rng.randrange(250)}[.]{rng.randrange(250)}"),
+        ]
+        fake = [f"{digits(11)}", fours(wrong, "."), f"2{digits(3)}[.]{digits(2)}[.]{digits(2)}[.]{digits(2)}", f"20{digits(2)}-{digits(2)}-{digits(2)} {digits(2)}"]
+        for kind, span in (*right, *((None, f) for f in fake)):
+            begin = say()
+            out.append((f"{begin} {span} {say()}", kind, len(begin) + 1, len(begin) + 1 + len(span)))
+    return out
+
+
+def test_pii_trees_add_spans_that_the_base_rules_miss(spark):
+    planted = planted_pii(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1 - i, p[0]) for i, p in enumerate(planted)], "doc_id bigint, text string"))
+    got = {r["doc_id"]: r for r in pii.find_personal_data(docs).where("doc_id < 0").collect()}
+    hit, said, right = collections.Counter(), collections.Counter(), 0
+    for i, (_, kind, start, end) in enumerate(planted):
+        r = got[-1 - i]
+        assert not r["base"] or kind is None
+        added = [(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in r["spans"] if s not in r["base"]]
+        hit[kind] += any(k == kind and a <= start and b >= end for k, a, b in added)
+        said[kind] += bool(added)
+    kinds = pii.KINDS
+    recall = {k: hit[k] / sum(p[1] == k for p in planted) for k in kinds}
+    precision = sum(hit[k] for k in kinds) / max(1, sum(said.values()))
+    assert all(recall[k] >= 0.9 for k in kinds), recall
+    assert precision >= 0.95, (precision, said)
+
+
+def test_pii_of_texts_with_very_many_matches(spark):
+    many = " ".join(f"a{i}@b{i}.org 1.2.3.{i % 256} +49 (170) 123-{i:05d}" for i in range(20_000))
+    loose = " ".join(f"b{i} [at] c [dot] org 170 123 {i:05d}" for i in range(20_000))
+    docs = docs_of(spark, [many, loose])
+    begin = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.query(docs).collect()}
+    assert time.perf_counter() - begin < 90
+    want = [f"{n}:{a}:{b}" for a, _, n, b in plain_pii(many)]
+    assert got[0]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest() and len(want) == 60_000
+    assert (got[0]["n_email"], got[1]["n_email"]) == (20_000, 0)
+
+
 def test_pii_without_proposals(spark):
     assert [tuple(r)[1:5] for r in pii.query(docs_of(spark, ["nothing", None])).collect()] == [(0, 0, 0, 0)] * 2
     assert pii.query(docs_of(spark, [])).collect() == []
