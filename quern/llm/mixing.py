@@ -3,7 +3,7 @@
 The words of each source, its documents end to end, are packed into blocks of BLOCK words.
 Output slots are dealt in shards of SHARD slots: a shard's count of a source is the whole
 part of its expected share, and one multinomial draw, seeded by the shard, deals the slots
-that remain.  A source's j-th slot takes block permutation(j mod blocks) of that
+that remain (over DRAWN sources or fewer; more are drawn as groups first, then within each group).  A source's j-th slot takes block permutation(j mod blocks) of that
 source, in its (j div blocks)-th pass; blocks are then joined by index.
 """
 
@@ -23,9 +23,14 @@ SEED = 11
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-#: Pieces that a source's documents are dealt into for running totals; no task holds all of a source.
+#: Pieces that a source's documents are dealt into for running totals at least, and rows of a piece beyond that; no task holds all of a source.
 PIECES = 512
+PIECE_ROWS = 500_000
+#: Sources up to which their table is broadcast, and sources that one draw is over; many sources are drawn in two steps.
 BROADCAST_SOURCES = 50_000
+DRAWN = 4096
+#: Slots that a task lays out.
+TASK_SLOTS = 1 << 18
 _ROUND = W.mix(np.arange(1, 5, dtype=np.uint64))
 
 
@@ -104,22 +109,42 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _draws(table, slots: int, seed: int):
-    """Rows shard, rank, count for each shard: whole shares and one multinomial draw of the rest."""
-    rank = np.array([r["rank"] for r in table])
-    part = np.array([r["slots"] for r in table])
+def _dealt(n: int, part: np.ndarray, seed: list[int]) -> np.ndarray:
+    """n slots dealt by shares: the whole part of each, and one multinomial draw of what remains."""
     part = part / part.sum()
+    out = np.floor(n * part).astype(np.int64)
+    rest, over = n * part - out, int(n - out.sum())
+    if over:
+        out += np.random.default_rng(seed).multinomial(over, rest / rest.sum())
+    return out
+
+
+def _draw_groups(groups: list, slots: int, seed: int):
+    """Rows shard, group, count for each shard: slots that fall to each group of DRAWN sources."""
+    number = np.array([r["group"] for r in groups])
+    part = np.array([r["slots"] for r in groups])
 
     def run(batches):
         for batch in batches:
             for shard in batch.column("id").to_pylist():
-                n = min(SHARD, slots - shard * SHARD)
-                fixed = np.floor(n * part).astype(np.int64)
-                rest = n * part - fixed
-                over = int(n - fixed.sum())
-                if over:
-                    fixed += np.random.default_rng([seed, shard]).multinomial(over, rest / rest.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rank), shard)), pa.array(rank, pa.int32()), pa.array(fixed)], ["shard", "rank", "count"])
+                count = _dealt(min(SHARD, slots - shard * SHARD), part, [seed, shard])
+                kept = count > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(kept.sum(), shard)), pa.array(number[kept], pa.int64()), pa.array(count[kept])], ["shard", "group", "count"])
+
+    return run
+
+
+def _draw_sources(seed: int):
+    """Rows shard, rank, count from rows shard, group, count and the sources of the group."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, group, n = (batch.column(c)[i].as_py() for c in ("shard", "group", "count"))
+                rank, part = (batch.column("sources")[i].values.field(c).to_numpy() for c in ("rank", "slots"))
+                count = _dealt(n, part, [seed, shard, group])
+                kept = count > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(kept.sum(), shard)), pa.array(rank[kept], pa.int32()), pa.array(count[kept])], ["shard", "rank", "count"])
 
     return run
 
@@ -164,23 +189,29 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
         .withColumn("blocks", F.ceil(F.col("source_size") / block))
         .withColumn("slots", F.col("blocks") * F.col("target") / F.col("source_size"))
     )
-    few = sources.limit(BROADCAST_SOURCES + 1).count()
-    if few > BROADCAST_SOURCES:
-        raise ValueError(f"over {BROADCAST_SOURCES} sources: too many for one multinomial draw")
-    table = sorted(plan.select("rank", "slots").collect(), key=lambda r: r["rank"])  # one row a source, at most BROADCAST_SOURCES
-    slots = round(sum(r["slots"] for r in table))
-    named = F.broadcast(sources)
-    placed = sized.join(named, sized.source.eqNullSafe(sources.source)).select("doc_id", "size", "rank", "source_size", "target")
-    placed = running_total(placed, "rank", ["doc_id", "size"], "size", "begin", PIECES)
+    few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    small = F.broadcast if few else lambda df: df
+    groups = plan.groupBy(F.floor(F.col("rank") / DRAWN).alias("group")).agg(
+        F.sum("slots").alias("slots"), F.array_sort(F.collect_list(F.struct(F.col("rank").cast("bigint").alias("rank"), F.col("slots").cast("double").alias("slots")))).alias("sources")
+    )
+    groups = tables.written(groups)
+    totals = sorted(groups.select("group", "slots").collect(), key=lambda r: r["group"])  # one row for each DRAWN sources
+    slots = round(sum(r["slots"] for r in totals))
+    pieces_of = lambda rows: max(PIECES, -(-rows // PIECE_ROWS))
+    placed = sized.join(small(sources), sized.source.eqNullSafe(sources.source)).select("doc_id", "size", "rank", "source_size", "target")
+    placed = running_total(placed, "rank", ["doc_id", "size"], "size", "begin", pieces_of(sized.count()))
     pieces = placed.where("size > 0").select(
         "rank", "doc_id", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block")
     )
     fragments = pieces.withColumn("words", F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("begin", F.col("block") * block)).select("rank", "block", "doc_id", "begin", "words")
     if not slots:
         return placed, fragments, spark.createDataFrame([], "shard bigint, rank int, slot bigint, block bigint")
-    shards = spark.range(-(-slots // SHARD)).mapInArrow(_draws(table, slots, seed), "shard bigint, rank int, count bigint")
-    shards = running_total(shards, "rank", ["shard"], "count", "begin", PIECES)
-    shards = shards.join(F.broadcast(plan.select("rank", "blocks", F.lit(int(most)).alias("passes"))), "rank")
+    shards = spark.range(-(-slots // SHARD)).mapInArrow(_draw_groups(totals, slots, seed), "shard bigint, group bigint, count bigint")
+    shards = shards.join(small(groups.select("group", "sources")), "group").select("shard", "group", "count", "sources").mapInArrow(_draw_sources(seed), "shard bigint, rank int, count bigint")
+    shards = running_total(shards, "rank", ["shard"], "count", "begin", pieces_of(-(-slots // SHARD)))
+    shards = shards.join(small(plan.select("rank", "blocks", F.lit(int(most)).alias("passes"))), "rank")
+    # a shard and source makes up to SHARD rows: as many tasks as the slots need, whatever their few rows here suggest
+    shards = shards.repartition(max(1, -(-slots // TASK_SLOTS)), "shard", "rank")
     dealt = shards.select("shard", "rank", "count", "begin", "blocks", "passes").mapInArrow(_slots(seed), "shard bigint, rank int, slot bigint, block bigint")
     return placed, fragments, dealt
 

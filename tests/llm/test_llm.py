@@ -302,6 +302,34 @@ def test_language_model_counts_and_base(spark):
         assert r["score"] < 0
 
 
+def test_language_model_scores_equal_a_plain_model(spark, monkeypatch):
+    """Counts in dictionaries, the same histogram and weights: each score to the last digits, over many batches and ranges."""
+    monkeypatch.setattr(language_model, "RANGE_KEYS", 40)
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["a", "B", "c", "dd", "é"]) for _ in range(rng.randrange(0, 40))) for _ in range(150)] + [None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(9, "doc_id")
+    got = {r["doc_id"]: r for r in language_model.score_documents(docs).collect()}
+    tokens = [[*SPACED.findall((t or "").translate(LOW)), "\n"] for t in texts]
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 1]
+    one = collections.Counter(w for i in train for w in tokens[i])
+    two = collections.Counter(p for i in train for p in zip(["\n", *tokens[i]], tokens[i]))
+    total, types = sum(one.values()), len(one)
+    places = collections.Counter()
+    for i in train:
+        for v, w in zip(["\n", *tokens[i]], tokens[i]):
+            p2 = np.array([(two[v, w] - 1) / (one[v] - 1) if one[v] > 1 else 0.0])
+            p1 = np.array([(one[w] - 1) / (total - 1)])
+            places[int(((language_model.bucket(np.array([one[v] - 1])) * 4096 + language_model._place(p2)) * 4096 + language_model._place(p1))[0])] += 1
+    at = sorted(places)
+    weights = language_model.learn_weights(np.array(at), np.array([float(places[x]) for x in at]), types)
+    for i, own in enumerate(tokens):
+        want = 0.0
+        for v, w in zip(["\n", *own], own):
+            a = weights[language_model.bucket(np.array([one[v]]))[0]]
+            want += math.log10(a[0] * two[v, w] / max(one[v], 1) + a[1] * one[w] / total + a[2] / (types + 1))
+        assert got[i]["score"] == pytest.approx(want, rel=1e-9)
+
+
 def test_language_model_probabilities_sum_to_one_and_beat_base(spark):
     """Over all words after one context, and an unknown one, chances sum to 1."""
     rng = random.Random(2)
@@ -364,6 +392,26 @@ def brute_contamination(texts, items):
     return out
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    """Drawn in groups, neither table broadcast: targets, bounds and reruns hold."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    monkeypatch.setattr(mixing, "DRAWN", 4)
+    monkeypatch.setattr(mixing, "PIECE_ROWS", 1)
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.randrange(0, 400), f"s{min(rng.randrange(60), 40):02d}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix_counts(docs).collect()
+    assert sorted(got) == sorted(mixing.mix_counts(docs.repartition(5)).collect()) and len(got) == 600
+    source = {i: s for i, _, s in rows}
+    sizes, taken = collections.Counter(), collections.Counter()
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        sizes[source[r["doc_id"]]] += r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+    want = water_level(dict(sizes), {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes))})
+    assert all(taken[s] == pytest.approx(want[s], rel=0.15, abs=3 * mixing.BLOCK) for s in sizes)
+
+
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_contamination_equals_brute_force(spark, monkeypatch, broadcast):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
@@ -413,14 +461,14 @@ def test_chat_round_trips_anything():
 
 def test_chat_query_equals_sql(spark):
     c = duckdb.connect()
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "### a</turn>\\"), (1, 1, "assistant", None), (2, 0, None, None), (2, 0, "we ird", "x\\"), (3, None, "user", "é"), (3, 0, "tool", "y")] + [(4, i % 7, "assistant", "t" * (i % 5)) for i in range(200)]
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "### a</turn>\\"), (1, 1, "assistant", None), (2, 0, None, None), (2, 0, "we ird", "x\\"), (2, 0, "user", "b"), (2, 0, "user", "### a"), (2, 0, "system", "x"), (3, None, "user", "é"), (3, 0, "tool", "y")] + [(4, i % 7, "assistant", "t" * (i % 5)) for i in range(200)]
     t = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     conversations = t.toPandas()  # noqa: F841  read by name below
     got = chat.query(t).toPandas().sort_values("conv_id").reset_index(drop=True)
     want = c.sql(chat.ORACLE).df().sort_values("conv_id").reset_index(drop=True)
-    assert got[got.conv_id != 2].astype(str).values.tolist() == want[want.conv_id != 2][got.columns].astype(str).values.tolist()
+    assert got.astype(str).values.tolist() == want[got.columns].astype(str).values.tolist()
     assert got[got.conv_id == -7].loss_chars.item() == len(chat.FIXED[1])
-    assert got[got.conv_id == 2].n_turns.item() == 2
+    assert got[got.conv_id == 2].n_turns.item() == 5
 
 
 # 6
@@ -707,6 +755,53 @@ def test_license_passages_side_by_side_and_in_long_text(spark):
     assert got[3]["labels"] == "isc" and all(got[i]["labels"] == "" and got[i]["score"] == 0 for i in range(4, 204))
 
 
+def plain_licenses(texts):
+    """labels and score of each text: weights, rarer halves, and every shift of every template, one by one."""
+    words = [ALNUM.findall((t or "").translate(LOW)) for t in texts]
+    vocabulary = {w for _, passages in license_scan.TEMPLATES.values() for p in passages for w in p.split()}
+    held = collections.Counter(w for ws in words for w in set(ws) & vocabulary)
+    weight = {w: math.log((1 + len(texts)) / (1 + held[w])) for w in vocabulary}
+    out = []
+    for ws in words:
+        whole, base = f" {' '.join(ws)} ", {b for p, b in license_scan.BASE.items() if f" {p} " in f" {' '.join(ws)} "}
+        labels, best = set(base), 0.0
+        for label, (keys, passages) in license_scan.TEMPLATES.items():
+            if not any(f" {k} " in whole for k in keys):
+                continue
+            for passage in passages:
+                own = passage.split()
+                rare = sorted(range(len(own)), key=lambda i: (-weight[own[i]], i))[: max(2, len(own) // 2)]
+                total = sum(weight[own[i]] for i in rare) or 1.0
+                for shift in range(-len(own), len(ws)):
+                    got = sum(weight[own[i]] for i in rare if 0 <= shift + i < len(ws) and ws[shift + i] == own[i]) / total
+                    best = max(best, min(got, 1.0))
+                    if got >= license_scan.COVER - 1e-12:
+                        labels.add(label)
+        out.append((",".join(sorted(labels)), 1.0 if base else best))
+    return out
+
+
+def test_license_labels_and_scores_equal_brute_force(spark):
+    rng = random.Random(7)
+    passages = [p for _, ps in license_scan.TEMPLATES.values() for p in ps]
+    keys = [k for ks, _ in license_scan.TEMPLATES.values() for k in ks]
+    texts = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            own = rng.choice(passages).split()
+            a = rng.randrange(len(own))
+            own = own[a : a + rng.choice([5, 15, 60])] if rng.random() < 0.6 else own
+            own = [w if rng.random() > 0.15 else rng.choice(["x", "the", "license"]) for w in own]
+            parts += [" ".join(own), rng.choice(keys + ["plain words stand here"])]
+        texts.append(rng.choice([" ", ", ", ".\n"]).join(parts))
+    texts += [None, "", " and ".join(passages), " and ".join(keys)]
+    got = {r["doc_id"]: r for r in license_scan.query(docs_of(spark, texts)).collect()}
+    for i, (labels, score) in enumerate(plain_licenses(texts)):
+        assert got[i]["labels"] == labels and got[i]["score"] == pytest.approx(score), (i, texts[i], labels, got[i])
+    assert got[len(texts) - 2]["labels"] == ",".join(sorted(license_scan.TEMPLATES))
+
+
 # 10
 
 
