@@ -5,8 +5,9 @@ estimates of two orders and a uniform one, mixed by weights of the bucket b of c
 of two.  The weights are learnt by expectation-maximisation: each training token is held out in turn,
 that is, one is taken off each of its counts before its probabilities are formed.
 
-Texts are read in batches.  A batch asks for the counts of its distinct words and word pairs: sorted
-64-bit keys, packed by range of key.  One task a range adds the counts of all batches and answers each batch in the
+Texts are read once, in batches, and written as what their tokens are and how they follow.  A batch asks for the
+counts of its distinct words and word pairs: sorted 64-bit keys, packed by range of key; there are as many ranges as the
+keys of all batches fill.  One task a range adds the counts of all batches and answers each batch in the
 order of its keys; answers meet their batch by a shuffle.  So each distinct key of a batch travels
 once each way, and no task holds more than a batch or a range, however frequent a word is.
 """
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 from . import _tables as tables
 from . import _words as W
 
-#: Bytes of text of a batch, and bytes of text for each range of keys.
+#: Bytes of text of a batch, and keys that the batches ask of a range on average.
 BATCH_BYTES = 1 << 23
-RANGE_BYTES = 1 << 24
+RANGE_KEYS = 1 << 21
 BUCKETS = 34
 _STEPS = 4  # of the histogram of held-out probabilities, to a power of two
 _NONE = 4095  # place in it of probability 0
@@ -89,35 +90,54 @@ class Tokens:
         return cls(distinct, code, length)
 
 
-def _number(tokens: Tokens, step: int) -> int:
-    """Of a batch: by its place and by its content, so that an answer never meets another batch."""
-    here = np.array([TaskContext.get().partitionId() << 20 | step], np.uint64)
-    return int(W.mix(here + tokens.distinct.sum(dtype=np.uint64) + tokens.pairs.sum(dtype=np.uint64)).view(np.int64)[0])
+def _tokens_of(row: dict) -> Tokens:
+    return Tokens(unpack_sorted(row["keys"]), unpack(row["counts"]).astype(np.int64), np.array(row["length"]))
 
 
-def _asks(ranges: int):
-    """Rows batch, kind (1: words, 2: pairs), range, keys, counts (in training texts)."""
-    edges = np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
+def _texts(batches):
+    """A row for each batch: what its tokens are and how they follow."""
+    for step, batch in enumerate(_batches(batches)):
+        tokens = Tokens.of(batch.column("text"))
+        one = np.array([0, batch.num_rows])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([TaskContext.get().partitionId() << 32 | step], pa.int64()),
+                W.lists(batch.column("doc_id").combine_chunks(), one),
+                W.lists(batch.column("held_out").combine_chunks(), one),
+                W.lists(pa.array(tokens.length, pa.int64()), one),
+                pa.array([pack_sorted(tokens.distinct)], pa.binary()),
+                pa.array([pack(tokens.code)], pa.binary()),
+                pa.array([len(tokens.distinct)], pa.int64()),
+                pa.array([len(tokens.pairs)], pa.int64()),
+            ],
+            ["batch", "doc_id", "held_out", "length", "keys", "counts", "n_words", "n_pairs"],
+        )
+
+
+def _asks(ranges: dict[int, int]):
+    """Rows batch, kind (1: words, 2: pairs), range, keys, counts (in training texts); ranges: how many of each kind."""
+    edges = {kind: np.array([(i << 64) // n for i in range(n)], np.uint64) for kind, n in ranges.items()}
 
     def run(batches):
-        for step, batch in enumerate(_batches(batches)):
-            tokens = Tokens.of(batch.column("text"))
-            train = np.repeat(~batch.column("held_out").to_numpy(), tokens.length).astype(float)
-            number = _number(tokens, step)
-            for kind, keys, code in ((1, tokens.distinct, tokens.code), (2, tokens.pairs, tokens.pair_code)):
-                count = np.bincount(code, train, len(keys)).astype(np.uint64)
-                cuts = np.append(np.searchsorted(keys, edges), len(keys))
-                rows = [(r, a, b) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number] * len(rows), pa.int64()),
-                        pa.array([kind] * len(rows), pa.int32()),
-                        pa.array([r for r, _, _ in rows], pa.int32()),
-                        pa.array([pack_sorted(keys[a:b]) for _, a, b in rows], pa.binary()),
-                        pa.array([pack(count[a:b]) for _, a, b in rows], pa.binary()),
-                    ],
-                    ["batch", "kind", "range", "keys", "counts"],
-                )
+        for rows in batches:
+            for row in (rows.slice(i, 1).to_pylist()[0] for i in range(rows.num_rows)):
+                tokens = _tokens_of(row)
+                train = np.repeat(~np.array(row["held_out"], bool), tokens.length).astype(float)
+                for kind, keys, code in ((1, tokens.distinct, tokens.code), (2, tokens.pairs, tokens.pair_code)):
+                    count = np.bincount(code, train, len(keys)).astype(np.uint64)
+                    cuts = np.append(np.searchsorted(keys, edges[kind]), len(keys))
+                    held = np.flatnonzero(np.diff(cuts))
+                    spans = list(zip(cuts[held], cuts[held + 1]))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row["batch"]] * len(held), pa.int64()),
+                            pa.array([kind] * len(held), pa.int32()),
+                            pa.array(held, pa.int32()),
+                            pa.array([pack_sorted(keys[a:b]) for a, b in spans], pa.binary()),
+                            pa.array([pack(count[a:b]) for a, b in spans], pa.binary()),
+                        ],
+                        ["batch", "kind", "range", "keys", "counts"],
+                    )
 
     return run
 
@@ -146,26 +166,6 @@ def _answer(asked: pa.Table) -> pa.Table:
     )
 
 
-def _texts(batches):
-    """A row for each batch: what its tokens are and how they follow."""
-    for step, batch in enumerate(_batches(batches)):
-        tokens = Tokens.of(batch.column("text"))
-        one = np.array([0, batch.num_rows])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([_number(tokens, step)], pa.int64()),
-                pa.array([0], pa.int32()),
-                pa.array([0], pa.int32()),
-                W.lists(batch.column("doc_id").combine_chunks(), one),
-                W.lists(batch.column("held_out").combine_chunks(), one),
-                W.lists(pa.array(tokens.length, pa.int64()), one),
-                pa.array([pack_sorted(tokens.distinct)], pa.binary()),
-                pa.array([pack(tokens.code)], pa.binary()),
-            ],
-            ["batch", "kind", "range", "doc_id", "held_out", "length", "keys", "counts"],
-        )
-
-
 def bucket(context: np.ndarray) -> np.ndarray:
     """0 for a context that training lacks, else 1 + its count's power of two."""
     return np.where(context > 0, np.minimum(1 + np.log2(np.maximum(context, 1)).astype(np.int64), BUCKETS - 1), 0)
@@ -182,10 +182,8 @@ def _gather(total: int):
     def run(rows: pa.Table) -> pa.Table:
         order = sorted(range(rows.num_rows), key=lambda i: (rows["kind"][i].as_py(), rows["range"][i].as_py()))
         kinds = [rows["kind"][i].as_py() for i in order]
-        if kinds.count(0) != 1:
-            raise RuntimeError("a batch and its counts come from different runs over the input; write the input to a table first")
         head = order[0]
-        tokens = Tokens(unpack_sorted(rows["keys"][head].as_py()), unpack(rows["counts"][head].as_py()).astype(np.int64), np.array(rows["length"][head].as_py()))
+        tokens = _tokens_of({c: rows[c][head].as_py() for c in ("keys", "counts", "length")})
         word, pair = (np.concatenate([unpack(rows["counts"][i].as_py()) for i, k in zip(order, kinds) if k == kind]).astype(np.int64) for kind in (1, 2))
         held = np.array(rows["held_out"][head].as_py(), bool)
         w, p, v = word[tokens.code], pair[tokens.pair_code], word[tokens.before]
@@ -263,24 +261,25 @@ def score_documents(docs: DataFrame, held_out: str = "coalesce(crc32(cast(cast(d
 
     Rows of the SQL condition held_out are scored only; all others are learnt from as well.  A null
     or empty text is one end.  Rows count one by one, also where ids or texts repeat; without any row to learn from
-    every token has probability 1.  docs must give the same rows in the same order each time it is read, as tables do.
+    every token has probability 1.  docs is read once.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.expr(held_out).alias("held_out"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(8, -(-size // RANGE_BYTES))
-    asks = docs.mapInArrow(_asks(ranges), "batch bigint, kind int, range int, keys binary, counts binary")
+    texts = tables.written(docs.mapInArrow(_texts, f"batch bigint, doc_id array<{kind}>, held_out array<boolean>, length array<bigint>, keys binary, counts binary, n_words bigint, n_pairs bigint"))
+    n, words, pairs = texts.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_pairs"), F.lit(0))).first()
+    ranges = {1: max(4, -(-words // RANGE_KEYS)), 2: max(8, -(-pairs // RANGE_KEYS))}
+    asks = texts.select("batch", "held_out", "length", "keys", "counts").mapInArrow(_asks(ranges), "batch bigint, kind int, range int, keys binary, counts binary")
     answers = tables.written(
-        asks.repartition(2 * ranges, "kind", "range").groupBy("kind", "range").applyInArrow(_answer, "batch bigint, kind int, range int, counts binary, tokens bigint, types bigint")
+        asks.repartition(sum(ranges.values()), "kind", "range").groupBy("kind", "range").applyInArrow(_answer, "batch bigint, kind int, range int, counts binary, tokens bigint, types bigint")
     )
     total, types = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    texts = docs.mapInArrow(_texts, f"batch bigint, kind int, range int, doc_id array<{kind}>, held_out array<boolean>, length array<bigint>, keys binary, counts binary")
-    both = texts.unionByName(answers.drop("tokens", "types"), allowMissingColumns=True)
+    both = texts.drop("n_words", "n_pairs").withColumns({"kind": F.lit(0), "range": F.lit(0)}).unionByName(answers.drop("tokens", "types"), allowMissingColumns=True)
     gathered = tables.written(
-        both.repartition(ranges, "batch")
+        both.repartition(max(8, n), "batch")
         .groupBy("batch")
         .applyInArrow(_gather(total), f"doc_id array<{kind}>, held_out array<boolean>, length array<bigint>, words binary, pairs binary, ends bigint, histogram array<struct<place:bigint,n:bigint>>")
     )
+    tables.drop(texts)
     tables.drop(answers)
     # at most BUCKETS x 4096 x 4096 places, in fact a few ten thousand, however much text there is
     histogram = gathered.select(F.explode("histogram").alias("h")).groupBy("h.place").agg(F.sum("h.n").alias("n")).orderBy("place").collect()
