@@ -106,8 +106,8 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     nothing; an item without an id does hit words but is not listed.  Rows that share an id are judged each for itself.
     Other columns of either table are not read.
 
-    Nothing of docs but hits is shuffled: a document row leaves its task with its
-    word count and with those fingerprints that pass a fixed-size bit filter of the benchmark.
+    Of docs, only rows with hits are shuffled: a row's word count and those of its fingerprints that pass a fixed-size bit
+    filter of the benchmark are written to a table, and what has none of these is done.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
@@ -121,8 +121,8 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     kind = docs.schema[id_col].dataType.simpleString()
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_mapper(known, short, False), f"id {kind}, n_words bigint, hits {_HIT}")
-    marked = marked.withColumn("row", F.monotonically_increasing_id())
-    hits = marked.select("id", "n_words", "row", F.explode_outer("hits").alias("h")).select("id", "n_words", "row", "h.*")
+    marked = tables.written(marked.withColumn("row", F.monotonically_increasing_id()))
+    hits = marked.where("size(hits) > 0").select("id", "n_words", "row", F.explode("hits").alias("h")).select("id", "n_words", "row", "h.*")
 
     def reach(a: str, b: str):
         miss = F.array_position(F.zip_with(a, b, lambda x, y: (x == y) & (x != 0)), False)
@@ -134,10 +134,13 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         left + right + K >= SPAN, F.struct((F.col("at") - left).alias("start"), (F.col("at") + K + right).alias("end"))
     )
     spans = joined.withColumn("span", F.when(F.col("item_before").isNotNull(), span))
-    return spans.groupBy("row", "id", "n_words").agg(
+    found = spans.groupBy("row", "id", "n_words").agg(
         F.array_sort(F.collect_set("span")).alias("hits"),
         F.array_sort(F.collect_set(F.when(F.col("span").isNotNull(), F.col("item").cast("string")))).alias("items"),
-    ).select(F.col("id").alias(id_col), "n_words", "hits", "items")
+    )
+    none = [F.array().cast(found.schema[c].dataType).alias(c) for c in ("hits", "items")]
+    rest = marked.where("size(hits) = 0").select("id", "n_words", *none)
+    return found.select("id", "n_words", "hits", "items").union(rest).withColumnRenamed("id", id_col)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
