@@ -109,7 +109,7 @@ def _render(batches):
 def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, rendered and escapes of each row (conv_id, turn, role, text); null texts and roles are empty.
 
-    Row by row and without a shuffle: the rendered turns of a conversation, in order, are the conversation.
+    Row by row, without a shuffle and in the order of turns: the rendered turns of a conversation, in order, are the conversation.
     """
     kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
     return turns.select("conv_id", "turn", "role", "text").mapInArrow(_render, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, rendered string, escapes int")
@@ -164,18 +164,24 @@ def _read_back(kind: pa.DataType):
     return run
 
 
+def in_order(turns: DataFrame) -> DataFrame:
+    """turns, each conversation's together and in order: by turn (nulls first), then role, then text, where a null role or text is empty."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    placed = turns.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"))
+    return placed.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """One row a conversation, read from rendered turns: conv_id, n_turns, turns_sha256 and, under the loss mask (assistant texts),
     loss_chars and loss_sha256, and formatted_chars.
 
-    Turns come sorted by turn (nulls first; equal ones by their rendered text) and are read one at a time: a
+    formatted is format_turns() of what in_order() gives.  Turns are read one at a time: a
     conversation of any length passes through its task without being held there.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = formatted.schema["conv_id"].dataType
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "rendered")
-    return ordered.select("conv_id", "rendered").mapInArrow(
+    return formatted.select("conv_id", "rendered").mapInArrow(
         _read_back(to_arrow_type(kind)), f"conv_id {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )
 
@@ -184,7 +190,7 @@ def query(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     turns = conversations.select("conv_id", "turn", "role", "text")
     fixed = spark.createDataFrame([(FIXED[0], i, r, FIXED[1]) for i, r in enumerate(("user", "assistant"))], turns.schema)
-    return read_back(format_turns(turns.unionByName(fixed)))
+    return read_back(format_turns(in_order(turns.unionByName(fixed))))
 
 
 #: The same digests from the source rows; lengths by the escapes that a turn with a control string or an
