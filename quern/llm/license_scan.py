@@ -22,13 +22,15 @@ COVER = 0.5
 #: Base phrases and their labels (fixed values of the contract).
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: label: (mandatory key phrases, any one of them; passages)
+#: label: (mandatory key phrases, any one of them; passages of the licence and of the notices that name it, in lower-case words)
 TEMPLATES = {
     "mit": (
         ["permission is hereby granted free of charge", "mit license"],
         [
             "released under the mit license",
             "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+            "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+            "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
         ],
     ),
     "apache": (
@@ -36,6 +38,8 @@ TEMPLATES = {
         [
             "licensed under the apache license version 2 0",
             "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
+            "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+            "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work",
         ],
     ),
     "gpl": (
@@ -43,17 +47,72 @@ TEMPLATES = {
         [
             "this work is licensed under the gnu general public license version 3",
             "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+            "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+            "you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses",
+            "the gnu general public license is a free copyleft license for software and other kinds of works",
+        ],
+    ),
+    "lgpl": (
+        ["lesser general public license", "library general public license"],
+        [
+            "under the terms of the gnu lesser general public license as published by the free software foundation",
+            "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license",
+            "you should have received a copy of the gnu lesser general public license along with this library",
+        ],
+    ),
+    "agpl": (
+        ["affero general public license"],
+        [
+            "under the terms of the gnu affero general public license as published by the free software foundation",
+            "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software",
         ],
     ),
-    "lgpl": (["lesser general public license", "library general public license"], ["under the terms of the gnu lesser general public license as published by the free software foundation"]),
     "bsd": (
         ["redistribution and use in source and binary forms", "bsd license"],
-        ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "released under the bsd license"],
+        [
+            "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+            "released under the bsd license",
+            "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+            "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ],
+    ),
+    "mpl": (
+        ["mozilla public license"],
+        [
+            "this source code form is subject to the terms of the mozilla public license v 2 0",
+            "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+        ],
+    ),
+    "isc": (
+        ["permission to use copy modify and or distribute this software"],
+        [
+            "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+            "provided that the above copyright notice and this permission notice appear in all copies",
+        ],
+    ),
+    "zlib": (
+        ["this software is provided as is without any express or implied warranty"],
+        [
+            "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+            "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+        ],
+    ),
+    "boost": (["boost software license"], ["distributed under the boost software license version 1 0"]),
+    "epl": (["eclipse public license"], ["this program and the accompanying materials are made available under the terms of the eclipse public license"]),
+    "unlicense": (
+        ["released into the public domain"],
+        [
+            "this is free and unencumbered software released into the public domain",
+            "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ],
+    ),
+    "cc": (
+        ["creative commons"],
+        [
+            "this work is licensed under a creative commons attribution 4 0 international license",
+            "this work is licensed under a creative commons attribution 4 0 international license you are free to share copy and redistribute the material in any medium or format and adapt remix transform and build upon the material",
+        ],
     ),
-    "mpl": (["mozilla public license"], ["this source code form is subject to the terms of the mozilla public license v 2 0"]),
-    "isc": (["permission to use copy modify and or distribute this software"], ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"]),
-    "unlicense": (["released into the public domain"], ["this is free and unencumbered software released into the public domain"]),
-    "cc": (["creative commons"], ["this work is licensed under a creative commons attribution 4 0 international license"]),
 }
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
