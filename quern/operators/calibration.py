@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rank_metrics import running_sums
+
 
 def clipped(p: Column, eps: float = 1e-6) -> Column:
     return F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps))
@@ -43,12 +45,15 @@ def ece(df: DataFrame, group: list[str], label: str, p: str, bins: int = 15) ->
 
 
 def risk_coverage_auc(df: DataFrame, group: list[str], label: str, p: str, tie: list[str]) -> DataFrame:
-    """Area under error rate against coverage, rows by confidence |p - 1/2| descending (then tie), trapezoids."""
-    w = Window.partitionBy(*group).orderBy(F.desc(F.abs(F.col(p) - 0.5)), *tie)
+    """Area under error rate against coverage, rows by confidence |p - 1/2| descending (then tie), trapezoids.
+
+    Each row's place and errors up to it give its risk and that of the row before, so confidences are ranked in pieces.
+    """
     wrong = ((F.col(p) >= 0.5).cast("int") != F.col(label)).cast("int")
-    t = df.withColumn("_k", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(*group))).withColumn("_risk", F.sum(wrong).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.col("_k"))
-    t = t.withColumn("_area", (F.col("_risk") + F.lag("_risk").over(w)) / 2 / F.col("_n"))
-    return t.groupBy(*group).agg(F.sum("_area").alias("risk_auc"))
+    t = df.select(*group, *tie, F.abs(F.col(p) - 0.5).alias("_sure"), wrong.alias("_wrong"), F.lit(1).alias("_one"))
+    t = running_sums(t, group, "_sure", {"_k": "_one", "_errors": "_wrong"}, tuple(tie))
+    both = F.col("_errors") / F.col("_k") + (F.col("_errors") - F.col("_wrong")) / F.nullif(F.col("_k") - 1, F.lit(0))
+    return t.groupBy(*group).agg((F.sum(both / 2) / F.count("*")).alias("risk_auc"))
 
 
 def temperature(df: DataFrame, label: str, z: str, grid: list[float]) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance
+from ..sources.sinks import kept_table
 
 # Ranges of the distance priors, and cut-offs, soft ranges and thresholds of the pair pools.
 TAUS = (1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 10.0, 12.0, 16.0, 20.0)
@@ -19,23 +22,49 @@ NEIGHBOURS = (3, 5, 8)
 FAR = 80.0
 
 
-def pairs_within(points: DataFrame, group: str, key: str, cell: float, coords: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
-    """Ordered pairs (a_key, b_key, distance) of different points of a group not further than `cell` apart.
+def pairs_within(points: DataFrame, group: str, key: str, cell: float, coords: tuple[str, str, str] = ("x", "y", "z"), of: DataFrame | None = None) -> DataFrame:
+    """Ordered pairs (a_key, b_key, distance) of different points of a group not further than `cell` apart; of: the points
+    (group, key) that a_key is taken from, all without it.
 
     Points fall into cubes of that edge; one side is exploded over the 27 cubes around its own and
     both meet in an equi join, so only near points meet.
     """
     cube = [F.floor(F.col(c) / cell).cast("bigint") for c in coords]
-    a = points.select(F.col(group), F.col(key).alias("a_key"), *(F.col(c).alias(f"a_{c}") for c in coords), *(q.alias(f"q{i}") for i, q in enumerate(cube)))
-    near = [F.explode(F.array(*(q + s for s in (-1, 0, 1)))).alias(f"q{i}") for i, q in enumerate(cube)]
+    own = points if of is None else points.join(of, [group, key], "left_semi")
+    a = own.select(F.col(group), F.col(key).alias("a_key"), *(F.col(c).alias(f"a_{c}") for c in coords), *(q.alias(f"q{i}") for i, q in enumerate(cube)))
     b = points.select(F.col(group), F.col(key).alias("b_key"), *(F.col(c).alias(f"b_{c}") for c in coords))
-    for i, q in enumerate(near):
-        base = F.floor(F.col(f"b_{coords[i]}") / cell).cast("bigint")
+    for i, c in enumerate(coords):
+        base = F.floor(F.col(f"b_{c}") / cell).cast("bigint")
         b = b.withColumn(f"q{i}", F.explode(F.array(*(base + s for s in (-1, 0, 1)))))
     d = distance([F.col(f"a_{c}") for c in coords], [F.col(f"b_{c}") for c in coords])
     return a.join(b, [group, "q0", "q1", "q2"]).where("a_key <> b_key").withColumn("distance", d).where(F.col("distance") <= cell).select(group, "a_key", "b_key", "distance")
 
 
+def nearest_k(points: DataFrame, group: str, key: str, k: int, cell: float) -> DataFrame:
+    """group, a_key, b_key, distance, k: the k nearest other points of each (all of them in a smaller group), ties by key.
+
+    Points meet by cubes of edge `cell`; those with fewer than k others within that distance meet again by cubes twice as
+    wide, until all have theirs.  The driver counts what is left, once a round; rounds grow with the logarithm of the extent.
+    Points without finite coordinates are nobody's neighbours and have none.
+    """
+    points = points.where(" and ".join(f"abs({c}) < double('infinity')" for c in ("x", "y", "z")))
+    size = points.groupBy(group).agg((F.count("*") - 1).alias("_others"))
+    todo = points.select(group, key)
+    order = Window.partitionBy(group, "a_key").orderBy("distance", "b_key")
+    rounds = []
+    while True:
+        near = pairs_within(points, group, key, cell, of=todo).withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
+        near = kept_table(near)
+        found = near.groupBy(group, F.col("a_key").alias(key)).agg(F.count("*").alias("_n"))
+        state = todo.join(size, group).join(found, [group, key], "left")
+        short = F.coalesce("_n", F.lit(0)) < F.least(F.lit(k), "_others")
+        rounds.append(near.join(state.where(~short).select(group, F.col(key).alias("a_key")), [group, "a_key"], "left_semi"))
+        todo = kept_table(state.where(short).select(group, key))
+        if not todo.limit(1).count():
+            return reduce(DataFrame.unionByName, rounds)
+        cell *= 2
+
+
 def nearest_within(points: DataFrame, targets: DataFrame, group: str, tolerance: float, coords: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
     """Each point with its nearest target of the group within the tolerance, by the same cubes: id, target, distance."""
     p = points.select(group, "id", *coords)
@@ -111,7 +140,7 @@ def spatial_features(residues: DataFrame, group: str, key: str, score: str, d: s
     """Of the residues around each one: count, mean and greatest score and least ligand distance within each radius, and mean and greatest
     score and mean distance of its nearest 3, 5 and 8: 25 columns.  0, and 80 for distances, without neighbours.
 
-    Radii meet by cubes; the nearest few meet by the complex's key, whose residues a protein bounds.
+    All meet by cubes, which widen for residues with few others near (nearest_k).
     """
     values = residues.select(group, F.col(key).alias("b_key"), F.col(score).alias("_s"), F.col(d).alias("_d"))
     near = pairs_within(residues, group, key, max(SPATIAL_RADII)).join(values, [group, "b_key"])
@@ -121,11 +150,8 @@ def spatial_features(residues: DataFrame, group: str, key: str, score: str, d: s
         pick = lambda c, hit=hit: F.when(hit, F.col(c))
         within += [F.count_if(hit).cast("double").alias(f"n_{tag(r)}"), F.avg(pick("_s")).alias(f"mean_{tag(r)}"), F.max(pick("_s")).alias(f"max_{tag(r)}"), F.min(pick("_d")).alias(f"nearest_{tag(r)}")]
     a = near.groupBy(group, F.col("a_key").alias(key)).agg(*within)
-    xyz = ("x", "y", "z")
-    other = residues.select(group, F.col(key).alias("b_key"), F.col(score).alias("_s"), F.col(d).alias("_d"), *(F.col(c).alias(f"o_{c}") for c in xyz))
-    pairs = residues.select(group, key, *xyz).join(other, group).where(F.col(key) != F.col("b_key")).withColumn("_far", distance([F.col(c) for c in xyz], [F.col(f"o_{c}") for c in xyz]))
-    pairs = pairs.withColumn("_k", F.row_number().over(Window.partitionBy(group, key).orderBy("_far", "b_key"))).where(F.col("_k") <= max(NEIGHBOURS))
-    of = lambda c, k: F.when(F.col("_k") <= k, F.col(c))
+    pairs = nearest_k(residues, group, key, max(NEIGHBOURS), max(SPATIAL_RADII)).withColumnRenamed("a_key", key).join(values, [group, "b_key"])
+    of = lambda c, k: F.when(F.col("k") <= k, F.col(c))
     b = pairs.groupBy(group, key).agg(*(x for k in NEIGHBOURS for x in (F.avg(of("_s", k)).alias(f"knn{k}_mean"), F.max(of("_s", k)).alias(f"knn{k}_max"), F.avg(of("_d", k)).alias(f"knn{k}_distance"))))
     out = residues.select(group, key).join(a, [group, key], "left").join(b, [group, key], "left")
     far = {c: FAR for c in out.columns if c.startswith("nearest_") or c.endswith("_distance")}

@@ -7,36 +7,45 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def _costs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least cost of matching all of x, in order, within the first j of y, for each j; one row of the table at a time."""
+    cost = np.zeros(len(y) + 1)
+    for v in x:
+        cost[1:] = np.minimum.accumulate(cost[:-1] + np.abs(v - y))
+        cost[0] = np.inf
+    return cost
+
+
 def match_on_line(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (i, j) that match all of the shorter side at the least total |a[i] - b[j]|.
 
-    On a line an optimal matching keeps order, so this is a table over sorted values: rows take
-    the short side, columns the long one, and a column is taken or passed over.
+    On a line an optimal matching keeps order.  Both sides are sorted; the shorter one is halved, and where its halves part the
+    longer one follows from the costs from either end.  So memory is that of the two sides, however large they are.
     """
     if len(a) > len(b):
         return [(i, j) for j, i in match_on_line(b, a)]
     oa, ob = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
     x, y = a[oa], b[ob]
-    n, m = len(x), len(y)
-    cost = np.zeros((n + 1, m + 1))
-    cost[1:, 0] = np.inf
-    for i in range(1, n + 1):
-        take = cost[i - 1, :-1] + np.abs(x[i - 1] - y)
-        cost[i, 1:] = np.minimum.accumulate(take)
-    out, j = [], m
-    for i in range(n, 0, -1):
-        while j > 1 and cost[i, j] == cost[i, j - 1]:
-            j -= 1
-        out.append((int(oa[i - 1]), int(ob[j - 1])))
-        j -= 1
-    return out[::-1]
+    out, work = [], [(0, len(x), 0, len(y))]
+    while work:
+        lo, hi, left, right = work.pop()
+        if hi - lo == right - left:
+            out += [(int(oa[lo + k]), int(ob[left + k])) for k in range(hi - lo)]
+        elif hi - lo == 1:
+            out.append((int(oa[lo]), int(ob[left + int(np.argmin(np.abs(x[lo] - y[left:right])))])))
+        elif hi > lo:
+            mid = (lo + hi) // 2
+            cost = _costs(x[lo:mid], y[left:right]) + _costs(x[mid:hi][::-1], y[left:right][::-1])[::-1]
+            cut = left + int(np.argmin(cost))
+            work += [(lo, mid, left, cut), (mid, hi, cut, right)]
+    return sorted(out)
 
 
 def matched_pairs(df: DataFrame, group: str, label: str, value: str, score: str, caliper: float) -> DataFrame:
     """group, value gap and score gap of each matched (positive, negative) pair within the caliper.
 
     Matching comes first and the caliper after it: a pair outside of it is lost, not matched again.
-    A group is one complex, whose size its protein bounds; it is solved in one task.
+    A group is one complex; it is solved in one task, in memory that grows with its rows and not with its pairs.
     """
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:

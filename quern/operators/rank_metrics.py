@@ -14,11 +14,52 @@ def _above(group: list[str], order: list) -> Window:
     return Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def average_precision(df: DataFrame, group: list[str], label: str, score: str, weight: str | None = None, name: str = "ap") -> DataFrame:
+def running_sums(df: DataFrame, group: list[str], value: str, sums: dict[str, str], tie: tuple[str, ...] = (), descending: bool = True, pieces: int = 64) -> DataFrame:
+    """df with the total of columns (name: column) over the rows of its group up to each row, in order of value, then tie.
+
+    Values are cut at approximate quantiles; each piece is summed by itself and starts from the totals of the pieces before
+    it, so no task orders all rows of a group.
+    """
+    cuts = df.agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 1000)).first()[0] or []
+    df = df.withColumn("_piece", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: F.col(value) > c)) if cuts else F.lit(0))
+    way = F.desc if descending else F.asc
+    before = Window.partitionBy(*group).orderBy(way("_piece")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*group, "_piece").agg(*(F.sum(c).alias(f"_t{n}") for n, c in sums.items()))  # at most `pieces` rows a group
+    starts = totals.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_piece").alias("_p"), *(F.coalesce(F.sum(f"_t{n}").over(before), F.lit(0)).alias(f"_s{n}") for n in sums))
+    within = Window.partitionBy(*group, "_piece").orderBy(way(value), *tie).rowsBetween(Window.unboundedPreceding, 0)
+    own = df.select("*", *(F.sum(c).over(within).alias(f"_w{n}") for n, c in sums.items()))
+    same = F.col("_piece") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    columns = [c for c in df.columns if c != "_piece"]
+    return own.join(starts, same).select(*columns, *((F.col(f"_s{n}") + F.col(f"_w{n}")).alias(n) for n in sums))
+
+
+def ap_and_auroc(df: DataFrame, group: list[str], label: str, score: str, pieces: int = 64) -> DataFrame:
+    """ap, auroc, prevalence and n of each group from the same partial sums, in one pass over the scores of large groups in pieces."""
+    t = df.groupBy(*group, score).agg(F.sum(label).cast("double").alias("_tp"), F.count("*").cast("double").alias("_n"))
+    t = running_sums(t, group, score, {"_ctp": "_tp", "_cn": "_n"}, pieces=pieces)
+    tp, fp = F.col("_tp"), F.col("_n") - F.col("_tp")
+    p, n = F.sum("_tp"), F.sum(fp)
+    # positives win against all negatives but those at their score, half, and above
+    lost = F.sum(tp * (F.col("_cn") - F.col("_ctp") - fp / 2))
+    return t.groupBy(*group).agg(
+        (F.sum(tp * F.col("_ctp") / F.col("_cn")) / F.nullif(p, F.lit(0.0))).alias("ap"),
+        (1 - lost / F.nullif(p * n, F.lit(0.0))).alias("auroc"),
+        (p / F.sum("_n")).alias("prevalence"),
+        F.sum("_n").cast("bigint").alias("n"),
+    )
+
+
+def average_precision(df: DataFrame, group: list[str], label: str, score: str, weight: str | None = None, name: str = "ap", pieces: int = 1) -> DataFrame:
     """Tie-aware average precision of each group; weights are multiplicities.  Partial sums by
-    (group, score) are formed before the shuffle."""
+    (group, score) are formed before the shuffle; pieces: as in running_sums(), for few groups of very many scores."""
     w = F.col(weight) if weight else F.lit(1)
     t = df.groupBy(*group, score).agg(F.sum(F.col(label) * w).alias("_tp"), F.sum(w).alias("_n"))
+    if pieces > 1:
+        t = running_sums(t, group, score, {"_ctp": "_tp", "_cn": "_n"}, pieces=pieces)
+        part = F.col("_ctp").cast("double") / F.nullif(F.col("_cn"), F.lit(0))
+        return t.groupBy(*group).agg((F.sum(F.col("_tp") * part) / F.nullif(F.sum("_tp"), F.lit(0))).alias(name))
     down = _above(group, [F.desc(score)])
     t = t.select(*group, "_tp", F.sum("_tp").over(down).alias("_ctp"), F.sum("_n").over(down).alias("_cn"), F.sum("_tp").over(Window.partitionBy(*group)).alias("_p"))
     term = F.col("_tp").cast("double") / F.nullif(F.col("_p"), F.lit(0)) * (F.col("_ctp").cast("double") / F.nullif(F.col("_cn"), F.lit(0)))
@@ -37,35 +78,8 @@ def auroc(df: DataFrame, group: list[str], label: str, score: str, weight: str |
 
 
 def pooled(df: DataFrame, label: str, score: str, pieces: int = 64) -> DataFrame:
-    """Average precision, AUROC, prevalence and count over all rows, as one row.
-
-    Scores are cut at approximate quantiles; each piece is ranked by itself and starts from the totals of
-    the pieces above it, so no task ranks all rows.
-    """
-    t = df.groupBy(F.col(score).alias("_s")).agg(F.sum(F.col(label)).cast("double").alias("_tp"), F.count("*").cast("double").alias("_n"))
-    cuts = df.agg(F.percentile_approx(score, [i / pieces for i in range(1, pieces)], 1000)).first()[0] or []
-    t = t.withColumn("_piece", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: F.col("_s") > c)) if cuts else F.lit(0))
-    sums = t.groupBy("_piece").agg(F.sum("_tp").alias("_ptp"), F.sum("_n").alias("_pn"))  # at most `pieces` rows
-    over = Window.partitionBy().orderBy(F.desc("_piece")).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    sums = sums.select(
-        "_piece",
-        F.coalesce(F.sum("_ptp").over(over), F.lit(0.0)).alias("_atp"),
-        F.coalesce(F.sum("_pn").over(over), F.lit(0.0)).alias("_an"),
-        F.sum("_ptp").over(everything).alias("_p"),
-        F.sum("_pn").over(everything).alias("_all"),
-    )
-    down = _above(["_piece"], [F.desc("_s")])
-    t = t.join(F.broadcast(sums), "_piece").select("_tp", "_n", "_p", "_all", (F.col("_atp") + F.sum("_tp").over(down)).alias("_ctp"), (F.col("_an") + F.sum("_n").over(down)).alias("_cn"))
-    negatives = F.first("_all") - F.first("_p")
-    # negatives below a score: all of them less those at it or above
-    below = (F.col("_all") - F.col("_p")) - (F.col("_cn") - F.col("_ctp"))
-    return t.agg(
-        F.sum(F.col("_tp") / F.nullif(F.col("_p"), F.lit(0.0)) * (F.col("_ctp") / F.col("_cn"))).alias("ap"),
-        (F.sum(F.col("_tp") * (below + (F.col("_n") - F.col("_tp")) / 2)) / F.nullif(F.first("_p") * negatives, F.lit(0.0))).alias("auroc"),
-        (F.first("_p") / F.first("_all")).alias("prevalence"),
-        F.first("_all").cast("bigint").alias("n"),
-    )
+    """Average precision, AUROC, prevalence and count over all rows, as one row; no task ranks all of them."""
+    return ap_and_auroc(df, [], label, score, pieces)
 
 
 def with_both_classes(df: DataFrame, group: list[str], label: str) -> DataFrame:

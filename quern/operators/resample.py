@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import rank_metrics
+
 
 def draw(*parts: Column | str | int) -> Column:
     """A number from 0 to 2^32 - 1 from the md5 of its parts."""
@@ -67,6 +69,20 @@ def interval(df: DataFrame, value: str, group: list[str] = []) -> DataFrame:  #
     )
 
 
+def validated_pairs(df: DataFrame, key: str, values: list[str], low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """df; a ValueError where it has no rows, a null or repeated key, or a value that is null, not finite or outside [low, high]."""
+    outside = lambda c: F.col(c).isNull() | F.isnan(c) | (F.col(c) < low) | (F.col(c) > high)
+    n, keys, *bad = df.agg(F.count("*"), F.count(key), *(F.count_if(outside(c)) for c in values)).first()
+    if not n:
+        raise ValueError("no pairs")
+    if keys < n or df.groupBy(key).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{key} must be there and unique")
+    for c, k in zip(values, bad):
+        if k:
+            raise ValueError(f"{k} values of {c} are missing, not finite or outside [{low}, {high}]")
+    return df
+
+
 def paired_bootstrap(df: DataFrame, key: str, delta: str, replicates: int, seed: str) -> DataFrame:
     """Interval of the mean of paired differences, resampling pairs whole."""
     means = resampled(df.select(key, delta), key, replicates, seed).groupBy("b").agg((F.sum(F.col(delta) * F.col("times")) / F.sum("times")).alias("mean"))
@@ -109,9 +125,8 @@ def blocked_bootstrap_ap(df: DataFrame, block: str, label: str, score: str, repl
     t = df.groupBy(block, score).agg(F.sum(label).alias("tp"), F.count("*").alias("n"))
     blocks = resampled(df.select(block).distinct(), block, replicates, seed)
     t = blocks.join(t, block).groupBy("b", score).agg(F.sum(F.col("tp") * F.col("times")).alias("tp"), F.sum(F.col("n") * F.col("times")).alias("n"))
-    down = Window.partitionBy("b").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.select("b", "tp", F.sum("tp").over(down).alias("ctp"), F.sum("n").over(down).alias("cn"), F.sum("tp").over(Window.partitionBy("b")).alias("p"))
-    return t.groupBy("b").agg(F.sum(F.col("tp") / F.nullif("p", F.lit(0)) * (F.col("ctp") / F.col("cn"))).alias("ap"))
+    t = rank_metrics.running_sums(t, ["b"], score, {"ctp": "tp", "cn": "n"}, pieces=16)
+    return t.groupBy("b").agg((F.sum(F.col("tp") * (F.col("ctp") / F.col("cn"))) / F.nullif(F.sum("tp"), F.lit(0))).alias("ap"))
 
 
 def capped(df: DataFrame, group: list[str], key: str, limit: int, seed: str) -> DataFrame:

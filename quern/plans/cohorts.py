@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import cohorts as C
+from ..operators import selection as S
 from .fixtures import ITEMS, ranked_items, table
 from .registry import query
 
@@ -135,11 +135,11 @@ def p18_whole_number(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", C.whole_number(raw).alias("number"))
 
 
-@query("SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def j1_j15_lookup_join(spark, sf_dir):
     """Key lookup; the small side is broadcast behind a check of its size."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    return table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").join(C.small(c), "o_custkey", "left").select("o_orderkey", "c_mktsegment")
+    return table(spark, sf_dir, "orders").join(C.small(c), "o_custkey", "left").select("o_orderkey", "c_mktsegment")
 
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000")
@@ -170,27 +170,27 @@ def j4_fallback_join(spark, sf_dir):
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def j5_semi_join(spark, sf_dir):
     ids = table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(ids, "c_custkey", "left_semi").select("c_custkey")
+    return S.covered(table(spark, sf_dir, "customer").select("c_custkey"), ids, "c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def j6_anti_join(spark, sf_dir):
     ids = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(ids, "c_custkey", "left_anti").select("c_custkey")
+    return S.covered(table(spark, sf_dir, "customer").select("c_custkey"), ids, "c_custkey", there=False)
 
 
 @query("SELECT o_custkey AS id FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 def j7_s3_common_coverage(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")).intersect(o.where("o_orderstatus = 'O'").select("o_custkey"))
+    return S.common_keys(*(o.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("id")) for s in "FO"))
 
 
 @query(
     """SELECT l_suppkey AS id, round(avg(l_discount) FILTER (l_returnflag = 'A'), 6) AS score_a, round(avg(l_discount) FILTER (l_returnflag = 'N'), 6) AS score_n, round(avg(l_discount) FILTER (l_returnflag = 'R'), 6) AS score_r FROM lineitem GROUP BY 1"""
 )
 def j8_wide_by_method(spark, sf_dir):
-    wide = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.round(F.avg("l_discount"), 6))
-    return wide.select("id", *(F.col(c).alias(f"score_{c.lower()}") for c in "ANR"))
+    got = S.wide(table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "id"), "id", "l_returnflag", ["A", "N", "R"], "l_discount")
+    return got.select("id", *(F.round(c, 6).alias(c) for c in got.columns[1:]))
 
 
 _TWO = "a AS (SELECT s_suppkey AS k, s_nationkey AS v FROM supplier WHERE s_suppkey % 10 <> 0), b AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 7 = 0 THEN -1 ELSE s_nationkey END AS v FROM supplier WHERE s_suppkey % 9 <> 0)"
@@ -233,14 +233,13 @@ def _runs(spark, sf_dir):
 @query(f"WITH {_RUNS} SELECT g, idx, round(avg(score), 6) AS score, count(*) AS runs FROM runs GROUP BY g, idx")
 def a3_a4_average_runs(spark, sf_dir):
     """Probability ensemble: mean of the scores of an item over runs."""
-    return _runs(spark, sf_dir).groupBy("g", "idx").agg(F.round(F.avg("score"), 6).alias("score"), F.count("*").alias("runs"))
+    return S.ensemble_mean(_runs(spark, sf_dir), ["g", "idx"], "score").withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_RUNS}, m AS (SELECT run, g, avg(score) AS v FROM runs GROUP BY 1, 2), r AS (SELECT run, avg(v) AS v FROM m GROUP BY 1) SELECT round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, count(*) AS runs FROM r")
 def a5_r17_seed_summary(spark, sf_dir):
     """Mean of run means, which is not the mean of the ensemble."""
-    per = _runs(spark, sf_dir).groupBy("run", "g").agg(F.avg("score").alias("v")).groupBy("run").agg(F.avg("v").alias("v"))
-    return per.agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("sd"), F.count("*").alias("runs"))
+    return S.run_summary(_runs(spark, sf_dir), "run", "g", "score").withColumns({c: F.round(c, 6) for c in ("mean", "sd")})
 
 
 @query(
@@ -249,9 +248,8 @@ def a5_r17_seed_summary(spark, sf_dir):
 )
 def a7_pool_pairs(spark, sf_dir):
     """Pools of a residue's pairs; a residue without pairs gets 0."""
-    pairs = table(spark, sf_dir, "lineitem").where("l_quantity > 49 and l_tax > 0.07").groupBy(F.col("l_suppkey").alias("s_suppkey"))
-    pools = pairs.agg(F.max("l_discount").alias("max_v"), F.min("l_discount").alias("min_v"), F.round(F.sum("l_discount"), 6).alias("sum_v"), F.round(F.avg("l_discount"), 6).alias("mean_v"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey").join(pools, "s_suppkey", "left").fillna(0.0)
+    pairs = table(spark, sf_dir, "lineitem").where("l_quantity > 49 and l_tax > 0.07").select(F.col("l_suppkey").alias("s_suppkey"), "l_discount")
+    return S.pooled_values(table(spark, sf_dir, "supplier"), pairs, ["s_suppkey"], "l_discount").withColumns({c: F.round(c, 6) for c in ("sum_v", "mean_v")})
 
 
 @query("SELECT g, round(avg(v), 6) AS top3 FROM (SELECT o_custkey AS g, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r FROM orders) WHERE r <= 3 GROUP BY g")
@@ -261,8 +259,7 @@ def a8_top3_mean(spark, sf_dir):
 
 @query(f"WITH {ITEMS} SELECT g, count(*) FILTER (d <= 4) AS le4, count(*) FILTER (d <= 8) AS le8, round(avg(CAST(sa >= 0.05 AS INT)), 6) AS frac, round(sum(sa * exp(-d / 4)) / count(*), 6) AS soft FROM items GROUP BY g")
 def a9_a10_counts_and_soft_counts(spark, sf_dir):
-    d = F.col("d")
-    return ranked_items(spark, sf_dir).groupBy("g").agg(F.count_if(d <= 4).alias("le4"), F.count_if(d <= 8).alias("le8"), F.round(F.avg((F.col("sa") >= 0.05).cast("int")), 6).alias("frac"), F.round(F.sum(F.col("sa") * F.exp(-d / 4)) / F.count("*"), 6).alias("soft"))
+    return S.contact_counts(ranked_items(spark, sf_dir), ["g"], "d", "sa", (4, 8), 0.05, 4).withColumns({c: F.round(c, 6) for c in ("frac", "soft")})
 
 
 @query("SELECT n_name, count(DISTINCT s_suppkey) AS groups, round(sum(s_acctbal), 2) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
@@ -287,16 +284,15 @@ def a13_stratified_means(spark, sf_dir):
 def a14_a15_tally_and_weights(spark, sf_dir):
     """Rows, positives and mask of each type, and its class weight min(50, negatives / positives); NULL without positives."""
     t = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("split"), F.explode(F.array(*map(F.lit, "ANR"))).alias("kind"), (F.col("l_returnflag") == F.col("kind")).cast("int").alias("y"), (F.col("l_quantity") < 25).cast("int").alias("m"))
-    pos = F.sum("y")
-    return t.groupBy("split", "kind").agg(F.count("*").alias("n"), pos.alias("positives"), F.sum("m").alias("masked"), F.round(F.least(F.lit(50.0), F.try_divide((F.count("*") - pos).cast("double"), pos.cast("double"))), 6).alias("pos_weight"))
+    return S.class_tally(t, ["split", "kind"], "y", "m").withColumn("pos_weight", F.round("pos_weight", 6))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (greatest(CAST(l_returnflag = 'A' AS INT), CAST(l_returnflag = 'R' AS INT)) <> CAST(l_returnflag <> 'N' AS INT)) AS mismatches, round(max(abs(l_discount - l_tax)), 6) AS max_abs_diff, round(avg(abs(l_discount - l_tax)), 6) AS mean_abs_diff FROM lineitem")
 def a16_a20_union_and_difference(spark, sf_dir):
     """Union of channel labels against the label, and differences of two score sets."""
     is_ = lambda f: (F.col("l_returnflag") == f).cast("int")
-    gap = F.abs(F.col("l_discount") - F.col("l_tax"))
-    return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"), F.count_if(F.greatest(is_("A"), is_("R")) != (F.col("l_returnflag") != "N").cast("int")).alias("mismatches"), F.round(F.max(gap), 6).alias("max_abs_diff"), F.round(F.avg(gap), 6).alias("mean_abs_diff"))
+    got = S.union_and_difference(table(spark, sf_dir, "lineitem"), [is_("A"), is_("R")], (F.col("l_returnflag") != "N").cast("int"), "l_discount", "l_tax")
+    return got.withColumns({c: F.round(c, 6) for c in ("max_abs_diff", "mean_abs_diff")})
 
 
 @query("SELECT CAST(least(floor((d + 1) / 2 * 16), 15) AS INT) AS bin, count(*) AS n FROM (SELECT (l_discount - l_tax) * 10 AS d FROM lineitem) WHERE d BETWEEN -1 AND 1 GROUP BY 1")
@@ -319,10 +315,7 @@ def a21_label_overlap(spark, sf_dir):
 )
 def a22_selection_conflicts(spark, sf_dir):
     """Items that two top-P selections share, add and remove."""
-    w = Window.partitionBy("g")
-    r = ranked_items(spark, sf_dir).select("y", *(F.row_number().over(w.orderBy(F.desc(s), "idx")).alias(n) for s, n in (("sa", "ra"), ("sb", "rb"))), F.sum("y").over(w).alias("p"))
-    a, b = F.col("ra") <= F.col("p"), F.col("rb") <= F.col("p")
-    return r.groupBy(F.when(a & b, "both").when(a, "removed").when(b, "added").otherwise("neither").alias("state")).agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
+    return S.selection_conflicts(ranked_items(spark, sf_dir), ["g"], "y", "sa", "sb", ["idx"])
 
 
 @query(
@@ -332,11 +325,9 @@ def a22_selection_conflicts(spark, sf_dir):
 )
 def k2_choose_site(spark, sf_dir):
     """Best candidate by several keys; NULL where the best neither overlaps nor has the code."""
-    o = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("g"), F.struct((F.col("o_orderstatus") == "F").cast("int").alias("overlap"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("code"), (F.col("o_totalprice").cast("bigint") % 5).alias("n"), (-F.col("o_orderkey")).alias("site")).alias("s")
-    )
-    best = o.groupBy("g").agg(F.max("s").alias("s"))
-    return best.select("g", F.when((F.col("s.overlap") == 0) & (F.col("s.code") == 0), None).otherwise(-F.col("s.site")).alias("site"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("site"), "o_orderstatus", "o_orderpriority", "o_totalprice")
+    keys = {"overlap": (F.col("o_orderstatus") == "F").cast("int"), "code": (F.col("o_orderpriority") == "1-URGENT").cast("int"), "n": F.col("o_totalprice").cast("bigint") % 5}
+    return S.best_candidate(o, ["g"], keys, "site", (F.col("overlap") > 0) | (F.col("code") > 0))
 
 
 _HASH = "md5('{salt}|' || CAST({c} AS VARCHAR))"
@@ -348,21 +339,18 @@ _HASH = "md5('{salt}|' || CAST({c} AS VARCHAR))"
 )
 def k3_hard_negatives(spark, sf_dir):
     """The nearest negatives of each complex, as many as its positives call for, ties by hash."""
-    items = ranked_items(spark, sf_dir)
-    w = Window.partitionBy("g")
-    t = items.withColumn("p", F.sum("y").over(w)).where("y = 0").withColumn("m", F.count("*").over(w))
-    t = t.withColumn("r", F.row_number().over(w.orderBy("d", F.md5(F.concat(F.lit("k3|"), F.col("idx").cast("string")).cast("binary")), "idx")))
-    return t.where(F.col("r") <= F.least("m", F.greatest(F.floor(F.col("p") / 40), F.lit(1)), F.lit(8))).select("g", "idx", "d")
+    tie = [F.md5(F.concat(F.lit("k3|"), F.col("idx").cast("string")).cast("binary")), "idx"]
+    return S.nearest_negatives(ranked_items(spark, sf_dir).select("g", "idx", "d", "y"), "g", "y", "d", tie, 40, 8).select("g", "idx", "d")
 
 
 @query(
     """WITH h AS (SELECT o_orderkey, o_orderpriority AS split, sha256('s1|' || CAST(o_orderkey AS VARCHAR)) AS h FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY h) AS r FROM h)
- SELECT split, o_orderkey FROM r WHERE r <= 20"""
+, k AS (SELECT *, row_number() OVER (ORDER BY CAST(r > 20 AS INT), h) AS k FROM r) SELECT split, o_orderkey FROM k WHERE r <= 20 OR k <= 120"""
 )
 def k4_stable_subset(spark, sf_dir):
-    """A deterministic subset of each split, by hash."""
-    h = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("split"), "o_orderkey", F.sha2(F.concat(F.lit("s1|"), F.col("o_orderkey").cast("string")).cast("binary"), 256).alias("h"))
-    return h.withColumn("r", F.row_number().over(Window.partitionBy("split").orderBy("h"))).where("r <= 20").select("split", "o_orderkey")
+    """A deterministic subset of each split, by hash, filled up to 120 rows from what is left."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("split"), "o_orderkey")
+    return S.stable_subset(o, "split", "o_orderkey", "s1|", 20, 120)
 
 
 @query(
@@ -377,16 +365,14 @@ def k5_ml11_take_groups_until(spark, sf_dir):
     """(SELECT 'best' AS which, s_suppkey AS id FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 1) UNION ALL (SELECT 'worst', s_suppkey FROM supplier ORDER BY s_acctbal, s_suppkey LIMIT 1) UNION ALL (SELECT 'middle', s_suppkey FROM supplier ORDER BY abs(s_acctbal - 4500), s_suppkey LIMIT 1)"""
 )
 def k6_select_cases(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    pick = lambda which, *order: s.orderBy(*order, "s_suppkey").limit(1).select(F.lit(which).alias("which"), F.col("s_suppkey").alias("id"))
-    return pick("best", F.desc("s_acctbal")).union(pick("worst", "s_acctbal")).union(pick("middle", F.abs(F.col("s_acctbal") - 4500)))
+    return S.extremes(table(spark, sf_dir, "supplier"), "s_suppkey", {"best": F.desc("s_acctbal"), "worst": F.asc("s_acctbal"), "middle": F.abs(F.col("s_acctbal") - 4500).asc()})
 
 
-@query("SELECT o_orderkey AS id, 'order' AS kind, o_totalprice AS v, NULL::VARCHAR AS segment FROM orders WHERE o_orderkey % 50 = 1 UNION ALL SELECT c_custkey, 'customer', c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 5 = 1")
+@query("SELECT o_orderkey AS id, 'order' AS kind, o_totalprice AS v, NULL::VARCHAR AS segment FROM orders UNION ALL SELECT c_custkey, 'customer', c_acctbal, c_mktsegment FROM customer")
 def s1_union_by_name(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("id"), F.lit("order").alias("kind"), F.col("o_totalprice").alias("v"))
-    c = table(spark, sf_dir, "customer").where("c_custkey % 5 = 1").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("kind"), F.col("c_acctbal").alias("v"), F.col("c_mktsegment").alias("segment"))
-    return o.unionByName(c, allowMissingColumns=True)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("order").alias("kind"), F.col("o_totalprice").alias("v"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("kind"), F.col("c_acctbal").alias("v"), F.col("c_mktsegment").alias("segment"))
+    return S.concatenated([o, c])
 
 
 @query("SELECT o_custkey, min_by(o_orderkey, o_orderkey) AS first_order FROM orders GROUP BY 1")
@@ -398,12 +384,11 @@ def s2_first_by_key(spark, sf_dir):
 def s3_s4_set_audit(spark, sf_dir):
     """Sizes of an intersection, a difference and a union."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    count = lambda df, n: df.agg(F.count("*").alias(n))
-    shared = count(o.where("o_orderkey % 2 = 0").select("o_custkey").intersect(o.where("o_orderkey % 2 = 1").select("o_custkey")), "shared")
-    missing = count(c.select("c_custkey").subtract(o.select("o_custkey")), "missing")
-    codes = count(table(spark, sf_dir, "nation").select("n_nationkey").union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct(), "codes")
-    one = lambda df: df.withColumn("_", F.lit(1))
-    return one(shared).join(one(missing), "_").join(one(codes), "_").drop("_")
+    return S.set_sizes(
+        shared=S.common_keys(*(o.where(F.col("o_orderkey") % 2 == k).select("o_custkey") for k in (0, 1))),
+        missing=c.select("c_custkey").subtract(o.select("o_custkey")),
+        codes=table(spark, sf_dir, "nation").select("n_nationkey").union(table(spark, sf_dir, "supplier").select("s_nationkey")),
+    )
 
 
 @query(
@@ -412,5 +397,4 @@ def s3_s4_set_audit(spark, sf_dir):
 )
 def s5_distinct_positions(spark, sf_dir):
     """Distinct positions of a complex, and whether the strict builder rejects it."""
-    places = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("g"), "l_quantity", "l_discount").agg(F.count("*").alias("c"))
-    return places.groupBy("g").agg(F.count("*").alias("kept"), (F.max("c") > 1).alias("rejected"))
+    return S.distinct_places(table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "g"), ["g"], ["l_quantity", "l_discount"])

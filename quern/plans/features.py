@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import features as X
 from ..operators import rank_metrics as M
+from ..operators import selection as S
 from .fixtures import ATOMS, ITEMS, atoms, ranked_items, table
 from .registry import query
 from .resampling import draw_sql
@@ -67,7 +68,7 @@ def _grid():
 def x4_ml10_grid_tuning(spark, sf_dir):
     """AP of each (alpha, tau) of a grid, in order; the first is the choice.  The grid is exploded, not joined."""
     s = ranked_items(spark, sf_dir).select("y", "sa", "d", _grid()).select("y", F.col("p.alpha").alias("alpha"), F.col("p.tau").alias("tau"), F.round(F.col("p.alpha") * F.col("sa") + (1 - F.col("p.alpha")) * F.exp(-F.col("d") / F.col("p.tau")), 9).alias("s"))
-    a = M.average_precision(s, ["alpha", "tau"], "y", "s").select("alpha", "tau", _r(F.col("ap")).alias("ap"))
+    a = M.average_precision(s, ["alpha", "tau"], "y", "s", pieces=16).select("alpha", "tau", _r(F.col("ap")).alias("ap"))
     return a.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc("ap"), "alpha", "tau")).cast("bigint"))
 
 
@@ -151,15 +152,10 @@ def x10_hashes(spark, sf_dir):
  SELECT id, round(max(t), 6) AS max_tanimoto, min(train) FILTER (t = m) AS nearest FROM (SELECT *, max(t) OVER (PARTITION BY id) AS m FROM p) GROUP BY id"""
 )
 def x11_tanimoto(spark, sf_dir):
-    """Greatest Tanimoto similarity of each of a query set's fingerprints to the training ones, block by block."""
+    """Greatest Tanimoto similarity of each of a stated query set's fingerprints to the training ones."""
     f = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), G.sign_bits(F.col("embedding"), 32).alias("w"))
-    blocks = 16
-    train = f.where("id % 2 = 0").select(F.col("id").alias("train"), F.col("w").alias("tw"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    # the query set is stated and small: a copy of it goes to each block of training rows
-    queries = f.where("id % 10 = 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    p = queries.join(train, "block")
-    best = p.groupBy("id").agg(F.max(F.struct(G.tanimoto(F.col("w"), F.col("tw")).alias("t"), (-F.col("train")).alias("n"))).alias("m"))
-    return best.select("id", _r(F.col("m.t")).alias("max_tanimoto"), (-F.col("m.n")).alias("nearest"))
+    best = S.nearest_tanimoto(f.where("id % 10 = 1"), f.where("id % 2 = 0").select(F.col("id").alias("train"), F.col("w").alias("tw")))
+    return best.select("id", _r(F.col("t")).alias("max_tanimoto"), "nearest")
 
 
 @query("""SELECT p_partkey, upper(trim(p_name)) AS name, split_part(p_type, ' ', 1) AS head, reverse(split_part(reverse(p_type), ' ', 1)) AS tail, unnest(string_split(p_brand || '+' || p_type, '+')) AS part FROM part""")
@@ -206,16 +202,13 @@ def x19_formatting(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ITEMS}, p AS (SELECT a.g, a.idx AS pos, b.idx AS neg, a.sa - b.sa AS gap, abs(a.d - b.d) AS dd FROM items a JOIN items b ON a.g = b.g AND a.y = 1 AND b.y = 0 AND abs(a.d - b.d) <= 0.75 AND a.sa > b.sa WHERE a.d <= 4 AND b.d <= 4)
+    f"""WITH {ITEMS}, p AS (SELECT a.g, a.idx AS pos, b.idx AS neg, a.sa - b.sa AS gap, abs(a.d - b.d) AS dd FROM items a JOIN items b ON a.g = b.g AND a.y = 1 AND b.y = 0 AND abs(a.d - b.d) <= 0.75 AND a.sa > b.sa)
  SELECT g, count(*) AS pairs, round(max(gap - 0.1 * dd), 6) AS best FROM p GROUP BY g"""
 )
 def j11_matched_contrast(spark, sf_dir):
-    """Best (positive, negative) contrast of each complex at nearly the same distance: a band join on rounded distances."""
-    i = ranked_items(spark, sf_dir).where("d <= 4")
-    pos = i.where("y = 1").select("g", "d", "sa", F.floor(F.col("d") / 0.75).alias("band"))
-    neg = i.where("y = 0").select("g", F.col("d").alias("nd"), F.col("sa").alias("ns"), F.explode(F.array(*(F.floor(F.col("d") / 0.75) + s for s in (-1, 0, 1)))).alias("band"))
-    p = pos.join(neg, ["g", "band"]).where((F.abs(F.col("d") - F.col("nd")) <= 0.75) & (F.col("sa") > F.col("ns")))
-    return p.groupBy("g").agg(F.count("*").alias("pairs"), _r(F.max(F.col("sa") - F.col("ns") - 0.1 * F.abs(F.col("d") - F.col("nd")))).alias("best"))
+    """Best (positive, negative) contrast of each complex at nearly the same distance: a band join on rounded distances.
+    Equal items are one row with their number, so that pairs are counted and not listed."""
+    return S.matched_contrast(ranked_items(spark, sf_dir), "g", "y", "d", "sa", 0.75, 0.1).withColumn("best", _r(F.col("best")))
 
 
 @query(
@@ -234,12 +227,9 @@ def j13_neighbours(spark, sf_dir):
 
 @query(f"WITH {ATOMS}, d AS (SELECT a.g, a.id, b.id AS other, {_D} AS d FROM atoms a JOIN atoms b ON a.g = b.g AND a.id <> b.id AND a.ligand = 0 AND b.ligand = 0), k AS (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY d, other) AS k FROM d) SELECT g, id, other, k, round(d, 5) AS distance FROM k WHERE k <= 3")
 def j13_fe2_knn(spark, sf_dir):
-    """Three nearest residues of each, by the complex's key; residues of a complex are few."""
-    p = atoms(spark, sf_dir).where("ligand = 0")
-    q = p.select("g", F.col("id").alias("other"), *(F.col(c).alias(f"o_{c}") for c in "xyz"))
-    d = p.join(q, "g").where("id <> other").withColumn("d", G.distance([F.col(c) for c in "xyz"], [F.col(f"o_{c}") for c in "xyz"]))
-    k = d.withColumn("k", F.row_number().over(Window.partitionBy("g", "id").orderBy("d", "other"))).where("k <= 3")
-    return k.select("g", "id", "other", F.col("k").cast("bigint").alias("k"), _r(F.col("d"), 5).alias("distance"))
+    """Three nearest residues of each, among the points of near cubes, which widen for those that have too few."""
+    k = X.nearest_k(atoms(spark, sf_dir).where("ligand = 0"), "g", "id", 3, 8.0)
+    return k.select("g", F.col("a_key").alias("id"), F.col("b_key").alias("other"), F.col("k").cast("bigint").alias("k"), _r(F.col("distance"), 5).alias("distance"))
 
 
 _CHANNELS = ["c1", "c2", "c3", "c4", "c5"]
@@ -396,10 +386,7 @@ def fe8_candidate_record(spark, sf_dir):
 )
 def fe9_graph_nodes(spark, sf_dir):
     """Nodes of each complex: its centroid, then residues, then ligand atoms, numbered."""
-    p = atoms(spark, sf_dir)
-    centre = p.where("ligand = 0").select("g").distinct().select("g", F.lit(-1).cast("bigint").alias("id"), F.lit(0).alias("kind"))
-    nodes = centre.union(p.select("g", "id", (1 + F.col("ligand")).alias("kind")))
-    return nodes.withColumn("node", (F.row_number().over(Window.partitionBy("g").orderBy("kind", "id")) - 1).cast("bigint"))
+    return S.numbered_nodes(atoms(spark, sf_dir), "g", "id", 1 + F.col("ligand"), F.col("ligand") == 0)
 
 
 @query(

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import io
-
-import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import selection as S
 from ..operators.features import nearest_within
 from ..sources import files, sinks
-from .fixtures import ATOMS, atoms, ranked_items, table
+from .fixtures import ATOMS, ITEMS, atoms, ranked_items, table
 from .registry import query
 
 
@@ -21,19 +18,15 @@ def src1_csv(spark, sf_dir):
     return files.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int", ["n_nationkey", "n_name"])
 
 
-@query()
+@query(
+    f"""WITH {ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY g // 50, (idx - 1) // 10000 ORDER BY g, idx) - 1 AS item FROM items)
+ SELECT 'test' AS split, item, 'labels' AS field, y::DOUBLE AS value FROM r UNION ALL SELECT 'test', item, 'sample_index', g::DOUBLE FROM r UNION ALL SELECT 'test', item, 'score__raw', sa FROM r"""
+)
 def src2_archive(spark, sf_dir):
-    """An NPZ archive of labels and scores, read into long form."""
-    rows = ranked_items(spark, sf_dir).where("g <= 2").select("g", "y", "sa").orderBy("g", "idx").limit(200).collect()
-    raw = io.BytesIO()
-    np.savez(raw, test__labels=np.array([r["y"] for r in rows], np.int8), test__sample_index=np.array([r["g"] for r in rows], np.int32), test__score__raw=np.array([r["sa"] for r in rows]))
-    path = sinks.scratch(spark, "npz")
-    fs = spark._jvm.org.apache.hadoop.fs
-    where = fs.Path(f"{path}/a.npz")
-    out = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(where)
-    out.write(bytearray(raw.getvalue()))
-    out.close()
-    return files.read_archive(spark, path)
+    """NPZ archives of labels and scores, each of up to 10,000 items of up to 50 complexes, read into long form."""
+    i = ranked_items(spark, sf_dir).select("g", "idx", "y", "sa", F.floor(F.col("g") / 50).alias("shelf"), F.floor((F.col("idx") - 1) / 10_000).alias("part"))
+    arrays = {"test__labels": ("y", "int8"), "test__sample_index": ("g", "int32"), "test__score__raw": ("sa", "float64")}
+    return files.parse_archives(sinks.kept_table(sinks.packed_archives(i, ["shelf", "part"], ["g", "idx"], arrays)))
 
 
 _PDB = "printf('%-6s%5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f%22s%2s', CASE WHEN ligand = 1 THEN 'HETATM' ELSE 'ATOM' END, id, 'CA', 'GLY', 'A', id % 50, x, y, z, '', 'C')"
@@ -181,10 +174,9 @@ def b1_list_scores(spark, sf_dir):
 def b2_pocket_residues(spark, sf_dir):
     """Pocket rows exploded on +, greatest score a residue number, 0 without one."""
     o = table(spark, sf_dir, "orders")
-    p = o.select(F.col("o_custkey").alias("g"), F.explode(F.split(F.concat_ws("+", (F.col("o_orderkey") % 30).cast("string"), (F.col("o_orderkey") % 17).cast("string")), r"\+")).alias("number"), F.col("o_totalprice").alias("score"))
-    m = p.groupBy("g", "number").agg(F.max("score").alias("score"))
+    p = o.select(F.col("o_custkey").alias("g"), F.concat_ws("+", (F.col("o_orderkey") % 30).cast("string"), (F.col("o_orderkey") % 17).cast("string")).alias("numbers"), F.col("o_totalprice").alias("score"))
     r = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("g"), F.explode(F.array(*(F.lit(str(i)) for i in range(10)))).alias("number"))
-    return r.join(m, ["g", "number"], "left").select("g", "number", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return S.exploded_scores(r, p, "g", "numbers", "score")
 
 
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
@@ -220,17 +212,15 @@ def b5_interaction_counts(spark, sf_dir):
 def b6_common_subset(spark, sf_dir):
     """Methods compared over what both of them cover."""
     v = table(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O')").groupBy(F.col("o_custkey").alias("g"), F.col("o_orderstatus").alias("method")).agg(F.avg("o_totalprice").alias("v"))
-    both = v.withColumn("k", F.count("*").over(Window.partitionBy("g"))).where("k = 2")
-    return both.groupBy("method").agg(F.count("*").alias("common"), F.round(F.avg("v"), 2).alias("mean"), F.round(F.stddev_samp("v"), 2).alias("sd"))
+    return S.common_subset(v, "g", "method", "v", 2).withColumns({c: F.round(c, 2) for c in ("mean", "sd")})
 
 
 @query(
     """WITH n AS (SELECT c_custkey, count(o_orderkey) AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) SELECT CASE WHEN k = 0 THEN 'missing' WHEN k > 25 THEN 'too large' ELSE 'supported' END AS reason, count(*) AS n FROM n GROUP BY 1"""
 )
 def b7_coverage(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("k"))
-    n = table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left").withColumn("k", F.coalesce("k", F.lit(0)))
-    return n.groupBy(F.when(F.col("k") == 0, "missing").when(F.col("k") > 25, "too large").otherwise("supported").alias("reason")).agg(F.count("*").alias("n"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return S.coverage(table(spark, sf_dir, "customer"), o, "c_custkey", F.when(F.col("k") == 0, "missing").when(F.col("k") > 25, "too large").otherwise("supported"))
 
 
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import learning as L
+from ..operators import networks as N
 from ..operators import rank_metrics
 from .fixtures import ITEMS, ranked_items, table
 from .registry import query
@@ -40,13 +37,24 @@ def ml2_two_input_head(spark, sf_dir):
 
 @query()
 def ml3_ml4_boosted_head(spark, sf_dir):
-    train, _, test = _matrix(spark, sf_dir)
+    """Test AP of boosted trees chosen on validation AP over depths, steps and class weights, and the choice."""
+    train, valid, test = _matrix(spark, sf_dir)
     f = ["v", "prior", "inverse", "price"]
-    return rank_metrics.pooled(L.score_with(L.boosted_head(train, f, "y", trees=5), test, f), "y", "score")
+    (depth, step, balanced), model, _ = L.boosted_grid(train, valid, f, "y", depths=(2, 3), steps=(0.3,), trees=5)
+    return rank_metrics.pooled(L.score_with(model, test, f), "y", "score").select("*", F.lit(depth).alias("depth"), F.lit(step).alias("step"), F.lit(balanced).alias("balanced"))
 
 
 @query()
-def ml5_set_head(spark, sf_dir):
+def ml4_two_input_boosted_head(spark, sf_dir):
+    """The same on [score, prior] alone."""
+    train, valid, test = _matrix(spark, sf_dir)
+    f = ["v", "prior"]
+    (depth, step, balanced), model, _ = L.boosted_grid(train, valid, f, "y", depths=(2,), steps=(0.1, 0.3), balanced=(True,), trees=5)
+    return rank_metrics.pooled(L.score_with(model, test, f), "y", "score").select("*", F.lit(depth).alias("depth"), F.lit(step).alias("step"), F.lit(balanced).alias("balanced"))
+
+
+@query()
+def ml5_pooled_set_head(spark, sf_dir):
     """A perceptron on mean and max pools of encoded pairs."""
     p = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as g", "l_partkey % 20 as res", "l_quantity / 5 as d", "l_discount * 10 as c1", "l_tax * 12 as c2", "l_returnflag")
     d = F.col("d")
@@ -67,6 +75,57 @@ def ml6_ml8_perceptron_head(spark, sf_dir):
     return rank_metrics.pooled(L.score_with(model, L.standardised(test, f, train), f), "y", "score")
 
 
+@query()
+def ml5_set_head(spark, sf_dir):
+    """Test AP of a network on the set of a residue's pairs: a layer of each pair, mean and maximum, a layer, the best step on validation AP."""
+    d = F.col("l_quantity") / 5
+    p = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("g"), (F.col("l_partkey") % 20).alias("res"), F.array(F.col("l_discount") * 10, F.col("l_tax") * 12, F.exp(-d / 2), F.exp(-d / 6), (F.col("l_returnflag") == "A").cast("double")).alias("pair"), (F.col("l_returnflag") == "R").cast("int").alias("hit")
+    )
+    rows = p.groupBy("g", "res").agg(F.array_sort(F.collect_list("pair")).alias("x"), F.array((F.avg("hit") > 0.33).cast("double")).alias("y")).withColumn("mask", F.array(F.lit(1.0)))
+    train, valid, test = (rows.where(F.col("g") % 3 == k) for k in range(3))
+    weights, ap = N.fit(train, valid, ["g", "res"], 5, 1, steps=20)
+    return spark.createDataFrame([(float(ap), float(N.macro_ap(test, weights, ["g", "res"])))], "valid_ap double, ap double")
+
+
+def _typed_pairs(spark, sf_dir):
+    """A pair's distance, two vectors and five masked labels."""
+    r = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey as g", "l_orderkey as o", "l_linenumber as n", "l_partkey as p", "l_quantity / 5 as d", "l_discount * 10 as u1", "l_tax * 12 as u2", "cast(l_partkey % 7 as double) / 7 as v1", "cast(l_orderkey % 5 as double) / 5 as v2", "l_extendedprice / 1e5 as price"
+    )
+    labels = F.array(*(((F.col("d") < 3 + k) & (F.col("u1") * 10 % 5 > k / 2)).cast("double") for k in range(5)))
+    return r.withColumn("y", labels).withColumn("mask", F.array(*((F.col("p") % 6 != k).cast("double") for k in range(5)))).withColumn("key", F.xxhash64("g", "o", "n", "p", "d", "price"))
+
+
+def _by_fold(rows):
+    return (rows.where(F.col("g") % 3 == k).select("key", "x", "y", "mask") for k in range(3))
+
+
+@query()
+def ml6_pair_head(spark, sf_dir):
+    """Test macro AP over five masked channels of a perceptron on two vectors and the distance's radial functions."""
+    r = _typed_pairs(spark, sf_dir)
+    parts = {"residue": [F.col("u1"), F.col("u2")], "ligand": [F.col("v1"), F.col("v2")], "distance": N.radial(F.col("d"), (1.0, 3.0, 5.0, 7.0, 9.0), 1.5)}
+    train, valid, test = _by_fold(r.withColumn("x", N.ablated(parts)))
+    weights, ap = N.fit(train, valid, ["key"], 9, 5, hidden=12, steps=30)
+    return spark.createDataFrame([(float(ap), float(N.macro_ap(test, weights, ["key"])))], "valid_ap double, ap double")
+
+
+@query()
+def ml8_ablated_heads(spark, sf_dir):
+    """Test AP of a perceptron on fingerprint bits and a target vector, whole and with either part left out."""
+    e = F.col("embedding")
+    r = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("vec_id").alias("g"), *((e[i] > 0).cast("double").alias(f"b{i}") for i in range(8)), *(e[i].cast("double").alias(f"t{i}") for i in range(8, 12)))
+    r = r.withColumn("y", F.array(((F.col("b0") + F.col("b1") + F.col("t8") * 4) > 1).cast("double"))).withColumn("mask", F.array(F.lit(1.0)))
+    parts = {"fingerprint": [F.col(f"b{i}") for i in range(8)], "target": [F.col(f"t{i}") for i in range(8, 12)]}
+    out = []
+    for without in (None, *parts):
+        train, valid, test = _by_fold(r.withColumn("x", N.ablated(parts, without)))
+        weights, ap = N.fit(train, valid, ["key"], 12, 1, steps=20)
+        out.append((without or "none", float(ap), float(N.macro_ap(test, weights, ["key"]))))
+    return spark.createDataFrame(out, "without string, valid_ap double, ap double")
+
+
 @query(
     """WITH p AS (SELECT l_suppkey AS g, l_partkey % 20 AS res, (1 / (1 + exp(-l_discount)) + 1 / (1 + exp(-l_tax))) / 2 AS p1, (1 / (1 + exp(-l_quantity / 50)) + 1 / (1 + exp(l_tax))) / 2 AS p2 FROM lineitem) SELECT g, res, round(max(greatest(p1, p2)), 6) AS score FROM p GROUP BY g, res"""
 )
@@ -78,18 +137,10 @@ def ml9_ensemble_scores(spark, sf_dir):
     return p.groupBy("g", "res").agg(F.round(F.max("p"), 6).alias("score"))
 
 
-@query()
+@query(f"WITH {ITEMS} SELECT g, idx, round(0.55 * sa + 0.45 * exp(-d / 12), 6) AS score FROM items")
 def ml12_guarded_inference(spark, sf_dir):
-    """Batched scoring by a vectorised function; a score that is not finite stops the job."""
-
-    @F.pandas_udf("double")
-    def score(v: pd.Series, d: pd.Series) -> pd.Series:
-        out = 0.55 * v + 0.45 * np.exp(-d / 12)
-        if not np.isfinite(out).all():
-            raise ValueError("a score is not finite")
-        return out
-
-    return ranked_items(spark, sf_dir).select("g", "idx", F.round(score("sa", "d"), 6).alias("score"))
+    """Scores of all items; one that is not finite stops the job."""
+    return ranked_items(spark, sf_dir).select("g", "idx", F.round(L.finite(0.55 * F.col("sa") + 0.45 * F.exp(-F.col("d") / 12)), 6).alias("score"))
 
 
 @query(
@@ -101,15 +152,16 @@ def ml13_masked_loss(spark, sf_dir):
 
 @query()
 def r13_grouped_out_of_fold(spark, sf_dir):
-    """One out-of-fold score of each item from group-disjoint folds, and how many each item has."""
+    """The mean out-of-fold score of each item over two repeats of three group-disjoint folds."""
     items = ranked_items(spark, sf_dir).select("g", "idx", "y", F.col("sa").alias("v"), F.exp(-F.col("d") / 12).alias("prior"))
-    folds = L.stratified_folds(items, "g", "y", 3, "r13")
-    both = items.join(folds, "g")
-    parts = []
-    for k in range(3):
-        model = L.boosted_head(both.where(F.col("fold") != k), ["v", "prior"], "y", trees=2, depth=2)
-        parts.append(L.score_with(model, both.where(F.col("fold") == k), ["v", "prior"]).select("g", "idx", "fold", F.round("score", 6).alias("score")))
-    return reduce(lambda a, b: a.union(b), parts)
+    fit = lambda train, features, label: L.boosted_head(train, features, label, trees=2, depth=2)
+    return L.out_of_fold(items, ["g", "idx"], "g", "y", ["v", "prior"], fit, folds=3, repeats=2, seed="r13").select("g", "idx", F.round("score", 6).alias("score"), "repeats")
+
+
+@query("SELECT l_suppkey AS g, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey, l_linenumber, l_extendedprice, l_shipdate) AS idx, 2::BIGINT AS repeats FROM lineitem")
+def r13_out_of_fold_audit(spark, sf_dir):
+    """Every item is scored once a repeat."""
+    return r13_grouped_out_of_fold(spark, sf_dir).select("g", "idx", "repeats")
 
 
 @query("SELECT DISTINCT l_suppkey AS g, 1 AS folds FROM lineitem")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import rank_metrics as M
+from ..operators import selection as S
 from .fixtures import ITEMS, PROBABILITIES, SCORED, probabilities, ranked_items, scored_items, table
 from .registry import query
 
@@ -86,10 +87,7 @@ def m6_pooled_and_macro(spark, sf_dir):
     items = scored_items(spark, sf_dir)
     macro = M.average_precision(items, ["g", "method"], "y", "score").join(M.auroc(items, ["g", "method"], "y", "score"), ["g", "method"])
     macro = macro.groupBy("method").agg(F.avg("ap").alias("macro_ap"), F.avg("auroc").alias("macro_auroc"))
-    one = None
-    for method in ("discount", "price"):
-        row = M.pooled(items.where(F.col("method") == method), "y", "score").select(F.lit(method).alias("method"), F.col("ap").alias("pooled_ap"), F.col("auroc").alias("pooled_auroc"), "prevalence")
-        one = row if one is None else one.union(row)
+    one = M.ap_and_auroc(items, ["method"], "y", "score").select("method", F.col("ap").alias("pooled_ap"), F.col("auroc").alias("pooled_auroc"), "prevalence")
     return _rounded(one.join(macro, "method"), ["method"])
 
 
@@ -176,17 +174,12 @@ def m18_paired_delta(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ITEMS}, p AS (SELECT a.g, a.sa - b.sa AS gap FROM items a JOIN items b ON a.g = b.g AND a.y = 1 AND b.y = 0 AND a.d = b.d AND a.d <= 3)
+    f"""WITH {ITEMS}, p AS (SELECT a.g, a.sa - b.sa AS gap FROM items a JOIN items b ON a.g = b.g AND a.y = 1 AND b.y = 0 AND a.d = b.d)
  SELECT g, count(*) AS pairs, round(avg(CASE WHEN gap > 0 THEN 1.0 WHEN gap = 0 THEN 0.5 ELSE 0.0 END::DOUBLE), 6) AS accuracy FROM p GROUP BY g"""
 )
 def m19_pair_accuracy(spark, sf_dir):
     """Part of (positive, negative) pairs at the same distance that the score orders right, ties half."""
-    near = ranked_items(spark, sf_dir).where("d <= 3")
-    pos, neg = (near.where(F.col("y") == v).groupBy("g", "d", "sa").agg(F.count("*").alias("n")) for v in (1, 0))
-    pairs = pos.join(neg.withColumnsRenamed({"sa": "sn", "n": "m"}), ["g", "d"])
-    won = F.when(F.col("sa") > F.col("sn"), 1.0).when(F.col("sa") == F.col("sn"), 0.5).otherwise(0.0)
-    n = F.col("n") * F.col("m")
-    return pairs.groupBy("g").agg(F.sum(n).alias("pairs"), F.round(F.sum(won * n) / F.sum(n), 6).alias("accuracy"))
+    return S.pair_accuracy(ranked_items(spark, sf_dir), "g", "y", "d", "sa").withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query(
@@ -229,10 +222,8 @@ def w3_w4_assayed_ranks(spark, sf_dir):
  SELECT g, (sum(n) OVER (ORDER BY g) - n)::BIGINT AS begin, sum(n) OVER (ORDER BY g)::BIGINT AS "end", row_number() OVER (ORDER BY g) - 1 AS code FROM c"""
 )
 def w6_w9_offsets(spark, sf_dir):
-    """First and last row of each group in sorted order, and the group's code; windows run over one row a group."""
-    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("g")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy().orderBy("g")
-    return c.select("g", (F.sum("n").over(w) - F.col("n")).alias("begin"), F.sum("n").over(w).alias("end"), (F.dense_rank().over(w) - 1).cast("bigint").alias("code"))
+    """First and last row of each group in sorted order, and the group's code, summed over ranges of groups."""
+    return S.offsets(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g")), "g")
 
 
 @query(
@@ -249,10 +240,8 @@ def w7_holm(spark, sf_dir):
     """SELECT p_brand AS dataset, p_partkey AS id, round(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)::DOUBLE / count(*) OVER (PARTITION BY p_brand), 6) AS ecdf FROM part"""
 )
 def w8_ecdf(spark, sf_dir):
-    w = Window.partitionBy("p_brand")
-    return table(spark, sf_dir, "part").select(
-        F.col("p_brand").alias("dataset"), F.col("p_partkey").alias("id"), F.round(F.row_number().over(w.orderBy("p_retailprice", "p_partkey")) / F.count("*").over(w), 6).alias("ecdf")
-    )
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("dataset"), F.col("p_partkey").alias("id"), "p_retailprice")
+    return p.select("dataset", "id", F.round(S.ecdf(["dataset"], ["p_retailprice", "id"]), 6).alias("ecdf"))
 
 
 @query(f"WITH {ITEMS} SELECT g, idx, sb FROM items QUALIFY row_number() OVER (PARTITION BY g ORDER BY sb DESC, idx) <= 3")
@@ -265,8 +254,7 @@ def w10_head_per_group(spark, sf_dir):
 )
 def w11_a17_best_per_group(spark, sf_dir):
     """The row of the best value of each run, ties by the lower key, as one aggregate."""
-    best = F.max(F.struct(F.col("o_totalprice"), (-F.col("o_orderkey")).alias("k")))
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("run")).agg((-best["k"]).alias("chosen"))
+    return S.best_row(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "run"), ["run"], "o_totalprice", "o_orderkey")
 
 
 @query(

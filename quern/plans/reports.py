@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import cohorts
+from ..operators import selection as S
 from ..sources import sinks
 from ..streaming import windows
 from .fixtures import table
@@ -15,8 +15,8 @@ from .registry import query
 @query("SELECT '| ' || s_name || ' | ' || printf('%.4f', s_acctbal) || ' | ' || CASE WHEN s_suppkey % 5 = 0 THEN 'NA' ELSE printf('%.4f ± %.4f', s_acctbal / 10, s_acctbal / 100) END || ' |' AS line FROM supplier")
 def snk5_markdown_rows(spark, sf_dir):
     v = F.col("s_acctbal")
-    cell = F.when(F.col("s_suppkey") % 5 == 0, "NA").otherwise(F.format_string("%.4f ± %.4f", v / 10, v / 100))
-    return table(spark, sf_dir, "supplier").select(F.format_string("| %s | %.4f | %s |", "s_name", "s_acctbal", cell).alias("line"))
+    interval = F.when(F.col("s_suppkey") % 5 != 0, F.format_string("%.4f ± %.4f", v / 10, v / 100))
+    return sinks.markdown_lines(table(spark, sf_dir, "supplier").select("s_name", "s_acctbal", interval.alias("interval")))
 
 
 @query("SELECT o_orderpriority AS seed, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS f, round(avg(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS o, round(avg(o_totalprice) FILTER (o_orderstatus = 'F') - avg(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS delta FROM orders GROUP BY 1")
@@ -34,8 +34,7 @@ def v4_bin_summary(spark, sf_dir):
 
 @query("SELECT c_mktsegment AS category, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS percent FROM customer GROUP BY 1")
 def v5_shares(spark, sf_dir):
-    n = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("category")).agg(F.count("*").alias("n"))
-    return n.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
+    return S.shares(table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "category"), "category").withColumn("percent", F.round("percent", 4))
 
 
 @query("SELECT p_type AS condition, min_by(p_name, p_partkey) AS label FROM part GROUP BY 1")
@@ -48,10 +47,7 @@ def v6_first_lookup(spark, sf_dir):
 )
 def u1_forbidden_patterns(spark, sf_dir):
     """Forbidden patterns in texts, each with the line of its first place."""
-    d = table(spark, sf_dir, "documents")
-    m = d.select("doc_id", "text", F.explode(F.regexp_extract_all("text", F.lit(r'https?://[^ \n]+|token = "[0-9a-f]{8}'), F.lit(0))).alias("hit"))
-    before = F.substring(F.col("text"), F.lit(1), F.expr("instr(text, hit)") - 1)
-    return m.select("doc_id", "hit", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("line"))
+    return S.pattern_lines(table(spark, sf_dir, "documents"), "doc_id", "text", r'https?://[^ \n]+|token = "[0-9a-f]{8}')
 
 
 @query("SELECT event_type AS run, count(*) AS n, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS mean, round(stddev_samp(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS sd FROM events GROUP BY 1")

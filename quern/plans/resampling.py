@@ -175,8 +175,8 @@ def r18_random_negatives(spark, sf_dir):
     f"""WITH {ITEMS}, d AS (SELECT l_suppkey AS id, round(avg(l_discount) - avg(l_tax) - 0.01, 9) AS delta FROM lineitem GROUP BY 1 HAVING count(*) > 0), {_draws('d', 'id', 'v1', 'delta')}, m AS (SELECT b, avg(delta) AS v FROM boot GROUP BY b) SELECT (SELECT round(avg(delta), 6) FROM d) AS mean_delta, {_INTERVAL} FROM m"""
 )
 def v1_temporal_effect(spark, sf_dir):
-    """Validated paired effect and its interval: ids must be unique and values finite."""
-    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.round(F.avg("l_discount") - F.avg("l_tax") - 0.01, 9).alias("delta"))
-    if d.where(F.col("delta").isNull() | F.isnan("delta") | (F.abs("delta") > 1)).limit(1).count() or d.groupBy("id").count().where("count > 1").limit(1).count():
-        raise ValueError("effects need unique ids and finite differences within [-1, 1]")
+    """Validated paired effect and its interval: ids must be unique, values finite and within [0, 1]."""
+    means = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"))
+    d = means.select("id", F.round(F.col("a") - F.col("b") - 0.01, 9).alias("delta"))
+    R.validated_pairs(means, "id", ["a", "b"])
     return _rounded(R.paired_bootstrap(d, "id", "delta", B, "v1")).withColumn("mean_delta", F.lit(d.agg(F.round(F.avg("delta"), 6)).first()[0]))

@@ -34,9 +34,14 @@ def read_shards(spark: SparkSession, paths: list[str], schema: str, key: str) ->
 
 
 def read_archive(spark: SparkSession, path: str, required: tuple[str, ...] = ("labels", "sample_index")) -> DataFrame:
-    """NPZ archives of predictions with arrays named <split>__<field>: split, item, field, value.
+    """parse_archives() of the NPZ files of a path."""
+    return parse_archives(spark.read.format("binaryFile").load(path), required)
 
-    A file is one task's work; an archive without a required field of a split is an error.
+
+def parse_archives(archives: DataFrame, required: tuple[str, ...] = ("labels", "sample_index")) -> DataFrame:
+    """NPZ archives of predictions, as bytes in content, with arrays named <split>__<field>: split, item, field, value.
+
+    An archive is one task's work; one without a required field of a split is an error.
     """
 
     def run(batches):
@@ -55,7 +60,7 @@ def read_archive(spark: SparkSession, path: str, required: tuple[str, ...] = ("l
                             split, field = f.split("__", 1)
                             yield pd.DataFrame({"split": split, "item": np.arange(len(values)), "field": field, "value": values.astype(float)})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "split string, item bigint, field string, value double")
+    return archives.select("content").mapInPandas(run, "split string, item bigint, field string, value double")
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:

@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
+import io
 import json
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir; a local one only where that is unset)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept_table(df: DataFrame) -> DataFrame:
+    """df, computed once, its lineage cut by a Parquet table in the shared folder."""
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def packed_archives(df: DataFrame, by: list[str], order: list[str], arrays: dict[str, tuple[str, str]]) -> DataFrame:
+    """content: an NPZ archive, as bytes, of the rows of each value of `by`, whose rows must fit a task; arrays: name, column and
+    NumPy type of each array."""
+    import pandas as pd
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, raw = rows.sort_values(order, kind="stable"), io.BytesIO()
+        np.savez(raw, **{name: rows[column].to_numpy(kind) for name, (column, kind) in arrays.items()})
+        return pd.DataFrame({"content": [raw.getvalue()]})
+
+    return df.groupBy(*by).applyInPandas(pack, "content binary")
+
+
 def write_csv(df: DataFrame, path: str, one_file: bool = False, compression: str = "gzip") -> None:
     """CSV with a header; one file only for results that are small."""
     (df.coalesce(1) if one_file else df).write.csv(path, header=True, compression=compression)
@@ -51,6 +76,13 @@ def to_markdown(rows: DataFrame, digits: int = 4, limit: int = 1000) -> str:
     return "\n".join([head, *("| " + " | ".join(map(cell, r)) + " |" for r in got)])
 
 
+def markdown_lines(rows: DataFrame, digits: int = 4) -> DataFrame:
+    """A line of a Markdown table for each row, whatever their number: floating-point numbers to `digits` places, NA for NULL."""
+    cell = lambda c, kind: F.format_string(f"%.{digits}f", c) if kind in ("double", "float") else F.col(c).cast("string")
+    cells = [F.coalesce(F.when(F.col(c).isNotNull(), cell(c, kind)), F.lit("NA")) for c, kind in rows.dtypes]
+    return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
 def append_missing(df: DataFrame, path: str, key: str) -> int:
     """Resumable table: append the rows whose key it lacks; returns how many."""
     spark = df.sparkSession

@@ -1,7 +1,10 @@
 """Operators against plain implementations on small tables, and the traps of their semantics."""
 
+import collections
 import itertools
 import math
+import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -169,3 +172,154 @@ def test_entry_and_guards(spark):
 
     assert e.entry(spark).count() == 2
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_nearest_k_equals_all_pairs(spark):
+    rng = random.Random(5)
+    rows = [(g, 100 * g + i, rng.choice([0.0, 3.0, rng.uniform(-80, 80)]), rng.uniform(-2, 2), float(rng.randrange(3))) for g, n in ((1, 40), (2, 3), (3, 1)) for i in range(n)]
+    points = spark.createDataFrame(rows, "g int, id int, x double, y double, z double")
+    got = sorted((r["g"], r["a_key"], r["k"], r["b_key"]) for r in features.nearest_k(points, "g", "id", 4, 0.5).collect())
+    want = []
+    for g, i, *p in rows:
+        near = sorted((math.dist(p, q), j) for h, j, *q in rows if h == g and j != i)[:4]
+        want += [(g, i, k, j) for k, (_, j) in enumerate(near, 1)]
+    assert got == sorted(want)
+
+
+def test_running_sums_equal_one_window(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, "a", "b"]), float(rng.randrange(40)), i, rng.randrange(5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v double, i int, n int")
+    for down in (True, False):
+        got = {r["i"]: r["s"] for r in rank_metrics.running_sums(df, ["g"], "v", {"s": "n"}, ("i",), down, pieces=7).collect()}
+        for g, v, i, _ in rows:
+            assert got[i] == sum(m for h, w, j, m in rows if h == g and ((w > v if down else w < v) or (w == v and j <= i)))
+
+
+def test_ap_and_auroc_agree_with_the_separate_metrics(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(rng.randrange(4), rng.randrange(2), rng.randrange(30) / 30) for _ in range(600)] + [(9, 1, 0.5), (8, 0, 0.5)], "g int, y int, s double")
+    both = {r["g"]: r for r in rank_metrics.ap_and_auroc(df, ["g"], "y", "s", 5).collect()}
+    for r in rank_metrics.average_precision(df, ["g"], "y", "s").join(rank_metrics.auroc(df, ["g"], "y", "s"), "g").collect():
+        assert both[r["g"]]["ap"] == pytest.approx(r["ap"]) and both[r["g"]]["auroc"] == pytest.approx(r["auroc"])
+    pieced = {r["g"]: r["ap"] for r in rank_metrics.average_precision(df, ["g"], "y", "s", pieces=5).collect()}
+    assert all(pieced[g] == pytest.approx(r["ap"]) for g, r in both.items())
+
+
+def test_validated_pairs_refuse_what_is_not_a_pair(spark):
+    ok = [(1, 0.0, 1.0), (2, 0.5, 0.25)]
+    make = lambda rows: spark.createDataFrame(rows, "id int, a double, b double")
+    assert resample.validated_pairs(make(ok), "id", ["a", "b"]).count() == 2
+    for bad in ([], [*ok, (2, 0.1, 0.1)], [*ok, (None, 0.1, 0.1)], [*ok, (3, float("nan"), 0.1)], [*ok, (3, None, 0.1)], [*ok, (3, 0.1, 1.5)], [*ok, (3, -0.1, 0.5)], [*ok, (3, float("inf"), 0.5)]):
+        with pytest.raises(ValueError):
+            resample.validated_pairs(make(bad), "id", ["a", "b"])
+
+
+def test_matching_of_long_sides_is_linear_in_memory():
+    rng = np.random.default_rng(2)
+    a, b = rng.uniform(size=1500), rng.uniform(size=4000)
+    tracemalloc.start()
+    pairs = matching.match_on_line(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len({i for i, _ in pairs}) == 1500 == len({j for _, j in pairs}) and most < 8_000_000
+
+
+def test_matched_pair_queries_equal_brute_force(spark):
+    """All of the query's table: each complex's matching by a plain table over sorted distances."""
+    from quern.plans import fixtures, registry
+
+    sf = "/root/testdata/sf0.001"
+    rows = fixtures.ranked_items(spark, sf).where("d <= 8").select("g", "y", "d", "sb").collect()
+    least = {}
+    for g in {r["g"] for r in rows}:
+        x, y = (sorted(r["d"] for r in rows if r["g"] == g and r["y"] == v) for v in (1, 0))
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        cost = [[0.0] * (len(y) + 1)]
+        for i, v in enumerate(x):
+            cost.append([math.inf] + [0.0] * len(y))
+            for j, w in enumerate(y):
+                cost[-1][j + 1] = min(cost[-1][j], cost[-2][j] + abs(v - w))
+        least[g] = cost[-1][-1], len(x)
+    near = fixtures.ranked_items(spark, sf).where("d <= 8")
+    got = matching.matched_pairs(near, "g", "y", "d", "sb", math.inf).groupBy("g").agg(F.sum("gap").alias("cost"), F.count("*").alias("n")).collect()
+    assert {r["g"]: (pytest.approx(r["cost"]), r["n"]) for r in got} == {g: v for g, v in least.items() if v[1]}
+    pairs = {r["g"]: r for r in registry.QUERIES["r11_match_pairs"](spark, sf).collect()}
+    kept = matching.matched_pairs(near, "g", "y", "d", "sb", 0.5).collect()
+    assert {g: r["pairs"] for g, r in pairs.items()} == dict(collections.Counter(r["g"] for r in kept))
+    assert all(r["gap"] <= 0.5 for r in kept)
+    effects = registry.QUERIES["r12_matched_effects"](spark, sf).first()
+    mean = sum(r["accuracy"] - 0.5 for r in pairs.values()) / len(pairs)
+    assert effects["low"] <= mean <= effects["high"] and effects["replicates"] == 200
+
+
+def test_boosted_grid_and_out_of_fold_find_a_signal(spark):
+    from quern.operators import learning
+
+    rng = random.Random(3)
+    rows = [(i % 30, i, int((x := rng.random()) + rng.gauss(0, 0.15) > 0.6), x, rng.random()) for i in range(900)]
+    df = spark.createDataFrame(rows, "g int, i int, y int, v double, noise double")
+    setting, model, table = learning.boosted_grid(df.where("g % 3 = 0"), df.where("g % 3 = 1"), ["v", "noise"], "y", depths=(2,), steps=(0.3,), trees=8)
+    assert len(table) == 2 and max(ap for *_, ap in table) == dict(((d, s, w), ap) for d, s, w, ap in table)[setting]
+    assert rank_metrics.pooled(learning.score_with(model, df.where("g % 3 = 2"), ["v", "noise"]), "y", "score").first()["auroc"] > 0.9
+    fit = lambda train, features, label: learning.boosted_head(train, features, label, trees=3, depth=2)
+    out = learning.out_of_fold(df, ["g", "i"], "g", "y", ["v", "noise"], fit, folds=3, repeats=2)
+    both = out.join(df.select("i", "y"), "i")
+    assert both.count() == 900 and both.where("repeats = 2").count() == 900
+    assert rank_metrics.pooled(both, "y", "score").first()["auroc"] > 0.9
+
+
+def test_set_network_gradient_equals_differences_and_order_does_not_matter():
+    from quern.operators import networks as N
+
+    rng = np.random.default_rng(4)
+    weights = N.start(3, 4, 2)
+    x, first = rng.normal(size=(9, 3)), np.array([0, 1, 4, 9])
+    y, mask = (rng.integers(0, 2, (3, 2)).astype(float) for _ in range(2))
+    mask[0] = 1
+    loss, grads = N.gradient(weights, x, first, y, mask)
+    for i, grad in enumerate(grads):
+        for k in range(grad.size):
+            up, down = ([w.copy() for w in weights] for _ in range(2))
+            up[i].reshape(-1)[k] += 1e-6
+            down[i].reshape(-1)[k] -= 1e-6
+            assert grad.reshape(-1)[k] == pytest.approx((N.gradient(up, x, first, y, mask)[0] - N.gradient(down, x, first, y, mask)[0]) / 2e-6, abs=1e-4)
+    mixed = np.concatenate([x[:1], x[1:4][::-1], x[4:][[3, 1, 0, 4, 2]]])
+    assert np.allclose(N.forward(weights, x, first)[0], N.forward(weights, mixed, first)[0])
+
+
+def test_set_network_learns_what_means_do_not_show(spark):
+    """Sets with one odd member, labelled by it: the learnt layer and the maximum tell them apart."""
+    from quern.operators import networks as N
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(600):
+        x = [[rng.uniform(0, 1), rng.uniform(0, 1)] for _ in range(rng.randrange(3, 8))]
+        y = i % 2
+        x[0] = [1.0, 1.0] if y else [1.0, 0.0]
+        rows.append((i, x, [float(y)], [1.0]))
+    df = spark.createDataFrame(rows, "key int, " + N.SCHEMA)
+    weights, _ = N.fit(df.where("key % 3 = 0"), df.where("key % 3 = 1"), ["key"], 2, 1, steps=60, rate=0.05, look=30)
+    assert N.macro_ap(df.where("key % 3 = 2"), weights, ["key"]) > 0.8
+
+
+def test_heads_score_better_than_chance(spark):
+    """Values of the fitted heads' queries, in place of any rows."""
+    from quern.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("ml2_two_input_head", "ml3_ml4_boosted_head", "ml4_two_input_boosted_head"):
+        row = registry.QUERIES[name](spark, sf).first()
+        assert 0 <= row["ap"] <= 1 and row["auroc"] > 0.5 and 0 < row["prevalence"] < 1, (name, row)
+    for name in ("ml5_pooled_set_head", "ml6_ml8_perceptron_head"):
+        row = registry.QUERIES[name](spark, sf).first()
+        assert 0 <= row["ap"] <= 1 and 0 < row["prevalence"] < 1, (name, row)
+    assert registry.QUERIES["ml6_pair_head"](spark, sf).first()["ap"] > 0.5
+    ablated = {r["without"]: r["ap"] for r in registry.QUERIES["ml8_ablated_heads"](spark, sf).collect()}
+    assert ablated["none"] > 0.8 and ablated["none"] > ablated["fingerprint"]
+    grid = registry.QUERIES["ml1_logistic_head"](spark, sf).collect()
+    assert [r["c"] for r in grid] == [0.01, 0.1, 1.0, 10.0] and sum(r["chosen"] for r in grid) == 1
+    assert next(r["ap"] for r in grid if r["chosen"]) == max(r["ap"] for r in grid)
+    platt = registry.QUERIES["m14_platt"](spark, sf).first()
+    assert 0 <= platt["after"] <= 1 and platt["slope"] == platt["slope"]
