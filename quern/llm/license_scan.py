@@ -15,7 +15,6 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import _tables as tables
 
 COVER = 0.5
 

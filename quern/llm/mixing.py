@@ -9,6 +9,8 @@ source, in its (j div blocks)-th pass; blocks are then joined by index.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,8 +36,9 @@ TASK_SLOTS = 1 << 18
 _ROUND = W.mix(np.arange(1, 5, dtype=np.uint64))
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: words [^ \\t-\\r]+ of each text (null: 0)."""
+def sizes(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """doc_id, source, size: words [^ \\t-\\r]+ of each text (null: 0), and the text if it is kept."""
+    more = ["text"] if keep_text else []
 
     def run(batches):
         for batch in W.steps(batches):
@@ -47,10 +50,12 @@ def sizes(docs: DataFrame) -> DataFrame:
                 borders = offsets[:-1][np.diff(offsets) > 0]
                 heads[borders] = inside[borders]
             count = np.concatenate([[0], np.cumsum(heads)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.diff(count[offsets]), pa.int64())], ["doc_id", "source", "size"])
+            own = [batch.column("doc_id"), batch.column("source"), pa.array(np.diff(count[offsets]), pa.int64()), *map(batch.column, more)]
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", "source", "size", *more])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(run, f"doc_id {kind}, source string, size bigint")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, source string, size bigint" + ", text string" * keep_text)
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -77,14 +82,14 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return level.select("source", "rank", "source_size", F.coalesce(F.least(F.col("final.level") * F.col("weight"), F.col("limit")), F.col("limit")).alias("target"))
 
 
-def running_total(df: DataFrame, group: str, order: list, value: str, name: str, pieces: int) -> DataFrame:
+def running_total(df: DataFrame, group: str, order: list, value: str, name: str, pieces: int, ties: tuple = ()) -> DataFrame:
     """df with the total of value over the rows of its group that come before each row.
 
-    Rows come in order of a hash piece of their order columns, then of those.  Each piece is summed by itself and starts at the
+    Rows come in order of a hash piece of their order columns, then of those, then of ties.  Each piece is summed by itself and starts at the
     total of the pieces before it, so a group's rows may lie in `pieces` tasks.
     """
     df = df.withColumn("_piece", F.pmod(F.xxhash64(*order), F.lit(pieces)))
-    within = Window.partitionBy(group, "_piece").orderBy(*order)
+    within = Window.partitionBy(group, "_piece").orderBy(*order, *ties)
     starts = df.groupBy(group, "_piece").agg(F.sum(value).alias("_sum"))
     starts = starts.withColumn("_before", F.sum("_sum").over(Window.partitionBy(group).orderBy("_piece")) - F.col("_sum")).drop("_sum")
     summed = df.withColumn("_own", F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(value))
@@ -170,19 +175,21 @@ def _slots(seed: int):
     return run
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED, keep_text: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, fragments, slots) of the mix.
 
     documents: doc_id, size, rank, source_size, target and begin, the place of the document's
     first word among its source's.  fragments: rank, block, doc_id and words, the part
     of the document in that block of its source.  slots: shard, rank, slot, block: the blocks that each
-    output shard takes.  Joining slots and fragments on (rank, block) is the mix.
+    output shard takes.  Joining slots and fragments on (rank, block) is the mix; see mixed_corpus().  With keep_text, documents
+    have their source and text.
 
     Rows that share a doc_id are documents of their own.  Empty and null texts have no fragments.
     Everything follows from the table's content and the seed, so that reruns agree; equal rows are alike.
     """
     spark = docs.sparkSession
-    sized = tables.written(sizes(docs))
+    sized = tables.written(sizes(docs, keep_text))
+    more = ("text",) if keep_text else ()
     sources = tables.written(targets(sized, weights, share, most))
     plan = (
         sources.where("source_size > 0")
@@ -198,8 +205,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     totals = sorted(groups.select("group", "slots").collect(), key=lambda r: r["group"])  # one row for each DRAWN sources
     slots = round(sum(r["slots"] for r in totals))
     pieces_of = lambda rows: max(PIECES, -(-rows // PIECE_ROWS))
-    placed = sized.join(small(sources), sized.source.eqNullSafe(sources.source)).select("doc_id", "size", "rank", "source_size", "target")
-    placed = running_total(placed, "rank", ["doc_id", "size"], "size", "begin", pieces_of(sized.count()))
+    placed = sized.join(small(sources), sized.source.eqNullSafe(sources.source)).select("doc_id", "size", *more, *([sized.source] if keep_text else []), "rank", "source_size", "target")
+    placed = running_total(placed, "rank", ["doc_id", "size"], "size", "begin", pieces_of(sized.count()), more)
     pieces = placed.where("size > 0").select(
         "rank", "doc_id", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block")
     )
@@ -225,3 +232,44 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     whole = nonempty.join(taken, (nonempty.rank == taken.rank) & (nonempty.begin == taken.begin), "left").select(nonempty.doc_id, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     empty = placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"))
     return whole.unionByName(empty)
+
+
+def _cut(block: int, names: list[str]):
+    """Rows rank, block, begin, doc_id, text: the words of each document that lie in each block of its source, by single spaces."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def run(batches):
+        for batch in W.steps(batches):
+            columns: list[list] = [[], [], [], [], []]
+            for rank, begin, doc_id, text in zip(*(batch.column(c).to_pylist() for c in names)):
+                words, at = word.findall(text), 0
+                while at < len(words):
+                    k = (begin + at) // block
+                    to = (k + 1) * block - begin
+                    for column, value in zip(columns, (rank, k, begin, doc_id, " ".join(words[at:to]))):
+                        column.append(value)
+                    at = to
+            kinds = [batch.schema.field("rank").type, pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["rank", "block", "begin", "doc_id", "text"])
+
+    return run
+
+
+def mixed_corpus(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: doc_id, source, size, source_size, target, shard, slot, words and text of each part of a document that a slot
+    takes, and one row without shard, slot and text, of 0 words, for each document that no slot takes a word of.
+
+    A shard's parts in order of (source, slot, place in the source) are its text.
+    """
+    block = options.get("block", BLOCK)
+    placed, _, dealt = mix_sources(docs, keep_text=True, **options)
+    placed = tables.written(placed)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["rank", "begin", "doc_id", "text"]
+    parts = placed.where("size > 0").select(*names).mapInArrow(_cut(block, names), f"rank int, block bigint, begin bigint, doc_id {kind}, text string")
+    taken = parts.join(dealt, ["rank", "block"]).select("rank", "begin", "shard", "slot", F.size(F.split("text", " ")).cast("bigint").alias("words"), "text")
+    own = placed.where("size > 0").select("doc_id", "source", "size", "source_size", "target", F.col("rank").alias("_rank"), F.col("begin").alias("_begin"))
+    full = own.join(taken, (F.col("rank") == F.col("_rank")) & (F.col("begin") == F.col("_begin")), "left")
+    columns = ["doc_id", "source", "size", "source_size", "target", "shard", "slot"]
+    rest = placed.where("size = 0").select(*columns[:5], F.lit(None).cast("bigint").alias("shard"), F.lit(None).cast("bigint").alias("slot"), F.lit(0).cast("bigint").alias("words"), F.lit(None).cast("string").alias("text"))
+    return full.select(*columns, F.coalesce("words", F.lit(0)).cast("bigint").alias("words"), "text").union(rest)

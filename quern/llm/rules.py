@@ -19,7 +19,7 @@ from . import _tables as tables
 BINS = 24
 RULES = 8
 CONDITIONS = 3
-#: What a rule must reach on the rows that it was not grown on: part of label 0, and rows.
+#: What a rule must reach on the labelled rows that it takes, grown on and pruned on: part of label 0, and rows of it.
 PRECISION = 0.97
 SUPPORT = 3
 

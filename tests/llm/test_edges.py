@@ -52,6 +52,30 @@ def test_odd_rows_and_columns(spark, odd, name):
         assert sorted(map(str, (r["doc_id"] for r in got))) == sorted(str(r[0]) for r in rows["documents"])
 
 
+@pytest.fixture(scope="module")
+def long(spark):
+    """One very long text, a copy of it, and short ones."""
+    text = " ".join(f"w{i % 5000} v{i % 77}." + ("\n" if i % 9 == 0 else "") for i in range(100_000)) + " token=abcdefghijklmnop a@b.org released under the MIT license"
+    rows = {
+        "documents": [(1, text, "en", "s", 9), (2, text, "en", "s", 9), *((i, f"short text {i} " * 30, "en", "t", 9) for i in range(3, 30))],
+        "labels": [(i, i % 2, 0) for i in range(1, 30)],
+        "benchmark": [(1, " ".join(f"w{i} v{i}" for i in range(70, 76)))],
+        "conversations": [(1, 0, "user", text), (1, 1, "assistant", text)],
+    }
+    return tables(spark, "long", rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_very_long_texts(spark, long, name):
+    got = queries.QUERIES[name](spark, long).collect()
+    assert len(got) == (2 if name.startswith("op5_") else 29)
+    one = {r["doc_id"]: r.asDict() for r in got} if not name.startswith("op5_") else {}
+    if one and not name.startswith("op2_"):
+        assert {k: v for k, v in one[1].items() if k not in ("doc_id", "held_out")} == {k: v for k, v in one[2].items() if k not in ("doc_id", "held_out")}
+    for column, want in {"n_assign": 1, "n_email": 1, "base_labels": "mit", "component_id": 1, "size": 200_007, "n_tokens": 200_008}.items():
+        assert not one or column not in one[1] or one[1][column] == want, column
+
+
 def test_pipeline_on_empty_and_odd_tables(spark, empty, odd):
     import corpus_pipeline as p
 

@@ -273,6 +273,25 @@ def test_taken_follows_from_slots(spark):
     assert got == {i: want[i] for i in got}
 
 
+def test_mixed_corpus_is_the_words_that_slots_take(spark):
+    texts = some_texts(80, 5)
+    docs = docs_of(spark, texts)
+    rows = mixing.mixed_corpus(docs).collect()
+    _, _, slots = mixing.mix_sources(docs)
+    got = collections.Counter()
+    for r in rows:
+        got[r["doc_id"]] += r["words"]
+        assert (r["text"] is None) == (r["shard"] is None) == (r["words"] == 0)
+        assert r["text"] is None or f" {r['text']} " in f" {' '.join(SPACED.findall(texts[r['doc_id']]))} "
+    assert got == {r["doc_id"]: r["taken"] for r in mixing.mix_counts(docs).collect()} and len(got) == len(texts)
+    held = collections.Counter()
+    for r in rows:
+        if r["shard"] is not None:
+            held[r["shard"], r["source"], r["slot"]] += r["words"]
+    assert len(held) == slots.count() and max(held.values()) == mixing.BLOCK
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mixed_corpus(docs.repartition(5)).collect()), key=repr)
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 17, 64, 1000):
         p = mixing.permute(np.arange(n), np.full(n, n), np.full(n, 9, np.uint64))
@@ -714,6 +733,16 @@ def test_rules_find_a_planted_threshold(spark):
     assert all(r["kept"] == (r["doc_id"] % 4 != 0) for r in got)
 
 
+def test_rules_tell_held_out_rows(spark):
+    """Rules learnt from four fifths of the labels, on documents of the last fifth; those that base rules fail count as rejected."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = quality.remainder() == 0
+    rows = rules.rule_verdicts(docs, labels.where(~held)).join(labels.where(held), "doc_id").select("kept", "quality").collect()
+    good = [r["kept"] for r in rows if r["quality"] == 1]
+    bad = [r["kept"] for r in rows if r["quality"] == 0]
+    assert len(bad) > 80 and sum(good) / len(good) > 0.95 and 1 - sum(bad) / len(bad) > 0.8, (sum(good), len(good), sum(bad), len(bad))
+
+
 # 9
 
 
@@ -938,5 +967,28 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in p.run(spark, SF).collect()} == clean
 
 
+def test_pipeline_redacts_encoded_secrets(spark):
+    import corpus_pipeline as p
+
+    run = base64.b64encode(SECRET.encode()).decode()
+    quoted = "".join(f"%{b:02X}" for b in base64.b64encode(gzip.compress(SECRET.encode())))
+    texts = [f"x {run} B {run} z", f"q={quoted}", f"key-{run}", SECRET, "clean", None]
+    out = {r["doc_id"]: r["text"] for r in p.secret_scan(spark, docs_of(spark, texts), SF).collect()}
+    assert all(not secrets.find(t or "") for t in out.values()) and out[4] == "clean" and out[5] is None and out[0].startswith("x [assign]")
+
+
+def test_pipeline_gives_the_mixed_corpus(spark):
+    import corpus_pipeline as p
+
+    rows = p.run(spark, SF).collect()
+    taken, whole = collections.Counter(), {}
+    for r in rows:
+        taken[r["doc_id"]] += r["words"]
+        whole[r["doc_id"]] = r["size"], r["source"], r["target"]
+    assert all(0 <= taken[i] <= 2 * whole[i][0] for i in whole)
+    for source, target in {(s, t) for _, s, t in whole.values()}:
+        assert sum(taken[i] for i in whole if whole[i][1] == source) == pytest.approx(target, rel=0.1, abs=2 * mixing.BLOCK)
+
+
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
