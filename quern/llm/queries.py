@@ -1,4 +1,4 @@
-"""The numbered queries op1 to op10: each applies its operator to its whole table."""
+"""The numbered queries op1 to op13: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -62,5 +62,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_language_model, op4_decontaminate, op5_chat, op6_jaccard, op7_personal_data, op8_quality_rules, op9_licenses, op10_quality)}
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_language_model, op4_decontaminate, op5_chat, op6_jaccard, op7_personal_data, op8_quality_rules, op9_licenses, op10_quality, op13_sentencepiece)}
 ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op6_jaccard": jaccard.ORACLE}
