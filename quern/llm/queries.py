@@ -62,6 +62,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import query
+
+    return query(table(spark, sf_dir, "embeddings"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,5 +76,5 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_language_model, op4_decontaminate, op5_chat, op6_jaccard, op7_personal_data, op8_quality_rules, op9_licenses, op10_quality, op13_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_language_model, op4_decontaminate, op5_chat, op6_jaccard, op7_personal_data, op8_quality_rules, op9_licenses, op10_quality, op11_whitening, op13_sentencepiece)}
 ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op6_jaccard": jaccard.ORACLE}
