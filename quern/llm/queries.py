@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard
+from . import chat, decontaminate, jaccard, phrases
 from ._tables import table
 
 
@@ -68,6 +68,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,5 +80,5 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_language_model, op4_decontaminate, op5_chat, op6_jaccard, op7_personal_data, op8_quality_rules, op9_licenses, op10_quality, op11_whitening, op13_sentencepiece)}
-ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op6_jaccard": jaccard.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op3_language_model, op4_decontaminate, op5_chat, op6_jaccard, op7_personal_data, op8_quality_rules, op9_licenses, op10_quality, op11_whitening, op12_collocations, op13_sentencepiece)}
+ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op6_jaccard": jaccard.ORACLE, "op12_collocations": phrases.ORACLE}
