@@ -45,9 +45,12 @@ def nearest_k(points: DataFrame, group: str, key: str, k: int, cell: float) -> D
 
     Points meet by cubes of edge `cell`; those with fewer than k others within that distance meet again by cubes twice as
     wide, until all have theirs.  The driver counts what is left, once a round; rounds grow with the logarithm of the extent.
-    Points without finite coordinates are nobody's neighbours and have none.
+    Points without finite coordinates, group or key are nobody's neighbours and have none.  Of the rows that repeat a key within a group, the
+    one of least coordinates counts.
     """
-    points = points.where(" and ".join(f"abs({c}) < double('infinity')" for c in ("x", "y", "z")))
+    points = points.where(" and ".join(f"abs({c}) < double('infinity')" for c in ("x", "y", "z"))).where(F.col(group).isNotNull() & F.col(key).isNotNull())
+    points = kept_table(points.groupBy(group, key).agg(F.min(F.struct("x", "y", "z")).alias("_at")).select(group, key, "_at.*"))
+    extent = points.agg(F.greatest(*(F.max(c) - F.min(c) for c in ("x", "y", "z")))).first()[0] or 0.0
     size = points.groupBy(group).agg((F.count("*") - 1).alias("_others"))
     todo = points.select(group, key)
     order = Window.partitionBy(group, "a_key").orderBy("distance", "b_key")
@@ -60,7 +63,7 @@ def nearest_k(points: DataFrame, group: str, key: str, k: int, cell: float) -> D
         short = F.coalesce("_n", F.lit(0)) < F.least(F.lit(k), "_others")
         rounds.append(near.join(state.where(~short).select(group, F.col(key).alias("a_key")), [group, "a_key"], "left_semi"))
         todo = kept_table(state.where(short).select(group, key))
-        if not todo.limit(1).count():
+        if not todo.limit(1).count() or cell > extent:  # all points of a group have met by then
             return reduce(DataFrame.unionByName, rounds)
         cell *= 2
 

@@ -105,6 +105,19 @@ def sign_flip(df: DataFrame, key: str, delta: str, replicates: int, seed: str, s
     return flips.agg(F.lit(observed).cast("double").alias("observed"), F.lit(n).cast("bigint").alias("n"), ((1 + hits) / (F.count("*") + 1)).alias("p"))
 
 
+def cluster_sign_flip(df: DataFrame, cluster: str, delta: str, replicates: int, seed: str, slack: float = 1e-15) -> DataFrame:
+    """Observed mean of differences and two-sided p, (1 + hits) / (replicates + 1), of flips of whole clusters: one sign for the sum of each, over all
+    rows.  Rows without a difference are left out; those without a cluster are one."""
+    sums = df.where(F.col(delta).isNotNull()).groupBy(cluster).agg(F.sum(delta).alias("_sum"), F.count("*").alias("_size"))
+    total, n, clusters = sums.agg(F.sum("_sum"), F.sum("_size"), F.count("*")).first()
+    observed = total / n if n else None
+    sign = F.when(draw(seed, F.col("b"), F.coalesce(F.col(cluster).cast("string"), F.lit(""))) % 2 == 0, 1).otherwise(-1)
+    flips = sums.select(cluster, "_sum", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")).groupBy("b").agg((F.sum(F.col("_sum") * sign) / F.lit(n or 1)).alias("null"))
+    hits = F.count_if(F.abs("null") >= abs(observed or 0.0) - slack)
+    shown = [F.lit(observed).cast("double").alias("observed"), F.lit(n or 0).cast("bigint").alias("n"), F.lit(clusters).cast("bigint").alias("clusters")]
+    return flips.agg(*shown, F.when(F.lit(bool(n)), (1 + hits) / F.lit(replicates + 1)).alias("p"))
+
+
 def exact_sign_flip(df: DataFrame, key: str, delta: str) -> DataFrame:
     """Two-sided p over all 2^k sign patterns of k rows (k at most 20)."""
     k = df.count()

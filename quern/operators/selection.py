@@ -221,3 +221,51 @@ def nearest_tanimoto(queries: DataFrame, train: DataFrame, rows: int = 100_000)
     reach = F.explode(F.sequence(F.ceil(F.col("_n") * F.col("_t") - 1e-9).cast("int"), F.greatest(upto, F.col("_n")).cast("int")))
     found = best(least.select("id", "w", reach.alias("_n")))
     return found.select("id", F.col("m.t").alias("t"), (-F.col("m.n")).alias("nearest"))
+
+
+def nearest_fingerprint(queries: DataFrame, train: DataFrame, size: int = 2048, first: int = 4, rows: int = 20_000) -> DataFrame:
+    """Of each query (id, w) the greatest Tanimoto similarity t to training fingerprints (train, tw), and the least id of those that
+    have it.  Fingerprints are arrays of size / 64 longs.
+
+    Bits are ordered from rare to common.  A training fingerprint of similarity t or more shares so many bits with a query of n bits that one
+    of these is among the first of both (prefix filter), and has between n t and n / t bits.  The `first` rarest bits of each query
+    give it a least t, then the inverted index of bits is asked once more for all that can reach that, equal ones included.
+    Postings of a bit lie in blocks of about `rows` rows.  Equal fingerprints are one row.  A query that shares no bit with any has
+    t 0 and the least id of all (t 1 and the least id of the empty ones, if it has no bits and there are such).  Null fingerprints are left out.
+    """
+    from ..functions.geometry import bit_positions, bits_set, tanimoto_words
+    from ..sources.sinks import kept_table
+
+    t = kept_table(train.where("tw is not null").groupBy("tw").agg(F.min("train").alias("train")).withColumn("m", bits_set(F.col("tw"))))
+    q = kept_table(queries.where("w is not null").select("id", "w").withColumn("n", bits_set(F.col("w"))))
+    counts = {r["bit"]: r["count"] for r in t.select(F.explode(bit_positions(F.col("tw"), size)).alias("bit")).groupBy("bit").count().collect()}  # `size` rows at most
+    order = sorted(range(size), key=lambda b: (counts.get(b, 0), b))
+    rank = [0] * size
+    for k, b in enumerate(order):
+        rank[b] = k
+    blocks = max(1, -(-max(counts.values(), default=0) // rows))
+    ranks = F.array(*map(F.lit, rank))
+    ordered = lambda words: F.array_sort(F.transform(bit_positions(words, size), lambda b: F.element_at(ranks, (b + 1).cast("int"))))
+    postings = kept_table(t.select("train", "tw", "m", F.posexplode(ordered(F.col("tw"))).alias("pt", "bit")).withColumn("_b", F.pmod(F.xxhash64("train"), F.lit(blocks))))
+    index = postings.select("bit", "_b", "pt", "m", "train")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """pairs (id, train) of a query and a training fingerprint, each once."""
+        both = pairs.distinct().join(q.select("id", "w"), "id").join(t.select("train", "tw"), "train")
+        return both.groupBy("id").agg(F.max(F.struct(tanimoto_words(F.col("w"), F.col("tw")).alias("t"), (-F.col("train")).alias("n"))).alias("best"))
+
+    bits = q.select("id", "n", F.posexplode(ordered(F.col("w"))).alias("pq", "bit")).withColumn("_b", every)
+    start = best(bits.where(F.col("pq") < first).join(index, ["bit", "_b"]).select("id", "train"))
+    least = start.select("id", F.col("best.t").alias("t"))
+    asked = bits.join(least, "id", "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
+    n, m, share = F.col("n"), F.col("m"), F.col("t")
+    shared = F.greatest(F.ceil(share / (1 + share) * (n + m) - 1e-9), F.lit(1))
+    fits = (F.col("pq") <= n - shared) & (F.col("pt") <= m - shared) & (m >= n * share - 1e-9) & (m * share <= n + 1e-9)
+    met = asked.where(F.col("pq") <= n - F.ceil(n * share - 1e-9)).join(index, ["bit", "_b"]).where(fits).select("id", "train")
+    found = best(met).select("id", F.col("best.t").alias("t"), (-F.col("best.n")).alias("nearest"))
+    low = t.agg(F.min("train").alias("_any"), F.min(F.when(F.col("m") == 0, F.col("train"))).alias("_empty"))  # one row
+    none = F.when((n == 0) & F.col("_empty").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
+    out = q.join(found, "id", "left").join(F.broadcast(low), F.col("_any").isNotNull())
+    rest = F.when((n == 0) & F.col("_empty").isNotNull(), F.col("_empty")).otherwise(F.col("_any"))
+    return out.select("id", F.coalesce("t", none).alias("t"), F.coalesce("nearest", rest).alias("nearest"))

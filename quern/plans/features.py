@@ -158,6 +158,21 @@ def x11_tanimoto(spark, sf_dir):
     return best.select("id", _r(F.col("t")).alias("max_tanimoto"), "nearest")
 
 
+@query(
+    """WITH f AS (SELECT vec_id AS id, list_filter(list_transform(range(64), lambda j: CASE WHEN embedding[j + 1] > 0.05 THEN floor(embedding[j + 1]::DOUBLE * 64)::INT % 32 * 64 + j ELSE -1 END), lambda b: b >= 0) AS bits FROM embeddings),
+ p AS (SELECT a.id, b.id AS train, len(list_intersect(a.bits, b.bits)) AS shared, len(a.bits) + len(b.bits) AS total FROM f a JOIN f b ON a.id % 50 = 0 AND b.id % 2 = 1),
+ s AS (SELECT id, train, coalesce(shared::DOUBLE / nullif(total - shared, 0), 1) AS t FROM p)
+ SELECT id, round(max(t), 6) AS max_tanimoto, min(train) FILTER (t = m) AS nearest FROM (SELECT *, max(t) OVER (PARTITION BY id) AS m FROM s) GROUP BY id"""
+)
+def x11_fingerprints(spark, sf_dir):
+    """The same for fingerprints of 2,048 bits: a bit for each coordinate and level, through an inverted index of rare bits."""
+    e = F.col("embedding")
+    bit = lambda v, j: F.when(v > 0.05, (F.floor(v.cast("double") * 64) % 32 * 64 + j).cast("int"))
+    f = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), G.packed_bits(F.filter(F.transform(e, bit), lambda b: b.isNotNull())).alias("w"))
+    best = S.nearest_fingerprint(f.where("id % 50 = 0"), f.where("id % 2 = 1").select(F.col("id").alias("train"), F.col("w").alias("tw")))
+    return best.select("id", _r(F.col("t")).alias("max_tanimoto"), "nearest")
+
+
 @query("""SELECT p_partkey, upper(trim(p_name)) AS name, split_part(p_type, ' ', 1) AS head, reverse(split_part(reverse(p_type), ' ', 1)) AS tail, unnest(string_split(p_brand || '+' || p_type, '+')) AS part FROM part""")
 def x12_strings(spark, sf_dir):
     p = table(spark, sf_dir, "part")

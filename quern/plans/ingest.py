@@ -141,16 +141,32 @@ def snk1_snk2_snk3_archives(spark, sf_dir):
     return spark.read.parquet(path).groupBy(F.col("split").cast("string").alias("split")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) FILTER (c_custkey <= 900) AS first, count(*) FILTER (c_custkey > 900 AND c_custkey <= 1500) AS second FROM customer")
+@query("SELECT count(*) FILTER (c_custkey % 5 < 3) AS first, count(*) FILTER (c_custkey % 5 >= 3) AS second FROM customer")
 def snk6_resumable(spark, sf_dir):
-    """A resumable table takes each key once."""
+    """A resumable table takes each key once: some keys first, then the whole table."""
     c = table(spark, sf_dir, "customer").select("c_custkey")
     path = sinks.scratch(spark, "cache")
-    first = sinks.append_missing(c.where("c_custkey <= 900"), path, "c_custkey")
-    second = sinks.append_missing(c.where("c_custkey <= 1500"), path, "c_custkey")
+    first = sinks.append_missing(c.where("c_custkey % 5 < 3"), path, "c_custkey")
+    second = sinks.append_missing(c, path, "c_custkey")
     return spark.createDataFrame([(first, second)], "first bigint, second bigint")
 
 
+@query("SELECT c_nationkey AS nation, count(*) AS n, 0::BIGINT AS again, true AS refused FROM customer GROUP BY 1")
+def snk6_complete_cache(spark, sf_dir):
+    """A cache with a completion marker: written once for a source, refused for another one."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    path = sinks.scratch(spark, "complete")
+    count = lambda rows: rows.groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"))
+    sinks.write_cache(c, path, "nation", count)
+    again = sinks.write_cache(c, path, "nation", count)
+    try:
+        sinks.read_cache(c.withColumn("c_nationkey", F.col("c_nationkey") + 1), path)
+        refused = False
+    except ValueError:
+        refused = True
+    return sinks.read_cache(c, path).select("nation", "n", F.lit(again).cast("bigint").alias("again"), F.lit(refused).alias("refused"))
+
+
 @query("SELECT '>' || s_name || chr(10) || repeat('A', (s_suppkey % 5 + 1)::INT) AS record FROM supplier")
 def snk7_fasta(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
 from ..operators import learning as L
 from ..operators import networks as N
 from ..operators import rank_metrics
+from ..sources.sinks import scratch
 from .fixtures import ITEMS, ranked_items, table
 from .registry import query
 
@@ -53,6 +55,27 @@ def ml4_two_input_boosted_head(spark, sf_dir):
     return rank_metrics.pooled(L.score_with(model, test, f), "y", "score").select("*", F.lit(depth).alias("depth"), F.lit(step).alias("step"), F.lit(balanced).alias("balanced"))
 
 
+@query()
+def ml3_leafwise_grid(spark, sf_dir):
+    """Leaf-wise boosting over leaves, least rows, L2 and class weights: validation AP of each setting, which is chosen, and its test AP."""
+    train, valid, test = _matrix(spark, sf_dir)
+    f = ["v", "prior", "inverse", "price"]
+    chosen, model, table_ = B.grid(train, valid, f, "y", ((7, 20, 1.0), (15, 20, 10.0)), rounds=8, rate=0.3, bins=32)
+    ap = rank_metrics.pooled(B.scored(test, model), "y", "score").first()["ap"]
+    rows = [(leaves, least, l2, weighted, float(valid_ap), (leaves, least, l2, weighted) == chosen, float(ap)) for leaves, least, l2, weighted, valid_ap in table_]
+    return spark.createDataFrame(rows, "leaves int, least_rows int, l2 double, balanced boolean, valid_ap double, chosen boolean, test_ap double")
+
+
+@query()
+def ml4_leafwise_two_input(spark, sf_dir):
+    """Test AP of leaf-wise boosting on [score, prior], saved and loaded before it scores."""
+    train, valid, test = _matrix(spark, sf_dir)
+    path = scratch(spark, "model")
+    B.fit(train, ["v", "prior"], "y", leaves=8, rounds=8, rate=0.3, valid=valid, bins=32).save(spark, path)
+    model = B.load(spark, path)
+    return rank_metrics.pooled(B.scored(test, model), "y", "score").withColumn("trees", F.lit(len(model.trees)))
+
+
 @query()
 def ml5_pooled_set_head(spark, sf_dir):
     """A perceptron on mean and max pools of encoded pairs."""

@@ -48,12 +48,14 @@ def r2_sign_flip(spark, sf_dir):
 
 
 @query(
-    f"""WITH {DELTAS}, d AS (SELECT delta, row_number() OVER (ORDER BY id) - 1 AS place FROM deltas WHERE id % 10 = 3), k AS (SELECT count(*) AS k, avg(delta) AS observed FROM d),
+    f"""WITH {DELTAS}, m AS (SELECT cluster % 16 AS id, round(avg(delta), 9) AS delta FROM deltas GROUP BY 1), d AS (SELECT delta, row_number() OVER (ORDER BY id) - 1 AS place FROM m), k AS (SELECT count(*) AS k, avg(delta) AS observed FROM d),
  f AS (SELECT p, sum(delta * (1 - 2 * ((p >> place::INT) & 1))) / max(k) AS v, max(observed) AS observed FROM d CROSS JOIN k CROSS JOIN (SELECT unnest(range((1 << k)::BIGINT)) AS p FROM k) GROUP BY p)
  SELECT round(max(observed), 6) AS observed, round(count(*) FILTER (abs(v) >= abs(observed) - 1e-15)::DOUBLE / count(*), 6) AS p FROM f"""
 )
 def r3_exact_sign_flip(spark, sf_dir):
-    return _rounded(R.exact_sign_flip(deltas(spark, sf_dir).where("id % 10 = 3"), "id", "delta"))
+    """All sign patterns of the mean differences of 16 sets of clusters, however many complexes these hold."""
+    means = deltas(spark, sf_dir).groupBy((F.col("cluster") % 16).alias("id")).agg(F.round(F.avg("delta"), 9).alias("delta"))
+    return _rounded(R.exact_sign_flip(means, "id", "delta"))
 
 
 @query(
@@ -63,6 +65,16 @@ def r4_cluster_bootstrap(spark, sf_dir):
     return _rounded(R.cluster_bootstrap(deltas(spark, sf_dir), "cluster", "delta", B, "r4"))
 
 
+@query(
+    f"""WITH {DELTAS}, c AS (SELECT cluster, sum(delta) AS s FROM deltas GROUP BY cluster), o AS (SELECT avg(delta) AS observed, count(*) AS n, count(DISTINCT cluster) AS clusters FROM deltas),
+ f AS (SELECT b, sum(s * CASE WHEN {draw_sql("'r4f'", 'b', 'cluster')} % 2 = 0 THEN 1 ELSE -1 END) AS v FROM c CROSS JOIN range({B}) r(b) GROUP BY b)
+ SELECT round(observed, 6) AS observed, n, clusters, round((1 + count(*) FILTER (abs(v / n) >= abs(observed) - 1e-15))::DOUBLE / {B + 1}, 6) AS p FROM f CROSS JOIN o GROUP BY observed, n, clusters"""
+)
+def r4_cluster_sign_flip(spark, sf_dir):
+    """Two-sided p of flips of the sums of whole clusters."""
+    return _rounded(R.cluster_sign_flip(deltas(spark, sf_dir), "cluster", "delta", B, "r4f"))
+
+
 @query(
     f"""WITH {ITEMS}, gs AS (SELECT DISTINCT g FROM items), {_draws('gs', 'g', 'r5', 'g')}, m AS (SELECT b, g, count(*) AS times FROM boot GROUP BY b, g),
  t AS (SELECT b, sa, sum(tp * times) AS tp, sum(n * times) AS n FROM m JOIN (SELECT g, sa, sum(y) AS tp, count(*) AS n FROM items GROUP BY g, sa) USING (g) GROUP BY b, sa),

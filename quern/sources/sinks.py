@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -98,6 +99,67 @@ def append_missing(df: DataFrame, path: str, key: str) -> int:
     return n
 
 
+def fingerprint(df: DataFrame) -> str:
+    """A digest of the rows of a table, whatever their order: their number and two sums of hashes of all columns."""
+    columns = [F.to_json(c) if isinstance(df.schema[c].dataType, MapType) else F.col(c) for c in df.columns]
+    n, *sums = df.agg(F.count("*"), *(F.sum(F.xxhash64(F.lit(salt), *columns).cast("decimal(38,0)")) for salt in ("a", "b"))).first()
+    return f"{n}:{sums[0] or 0}:{sums[1] or 0}:{','.join(f'{c}={t}' for c, t in df.dtypes)}"
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), spark._jvm.org.apache.hadoop.fs.Path
+
+
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    """The completion marker of a cache; None where there is none."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at(f"{path}/_manifest")):
+        return None
+    return json.loads(spark.read.text(f"{path}/_manifest", wholetext=True).first()[0])
+
+
+def write_cache(source: DataFrame, path: str, key: str, make) -> int:
+    """A cache of make(source), complete or not there: returns the rows written, 0 where a complete one of the same source stands.
+
+    Rows go to a staged folder beside path, which gets a manifest (fingerprint of the source, rows, least and greatest key) when all are written, and
+    then path's name in one rename.  What a broken run leaves behind has another name and is never read; a cache of another source is
+    set aside first and deleted after the rename.
+    """
+    spark = source.sparkSession
+    of = fingerprint(source)
+    old = _manifest(spark, path)
+    if old is not None and old["source"] == of:
+        return 0
+    fs, at = _files(spark, path)
+    mark = uuid.uuid4().hex
+    staged, aside = f"{path.rstrip('/')}.staged-{mark}", f"{path.rstrip('/')}.aside-{mark}"
+    make(source).write.parquet(staged)
+    rows, low, high = spark.read.parquet(staged).agg(F.count("*"), F.min(key).cast("string"), F.max(key).cast("string")).first()
+    told = json.dumps({"source": of, "rows": rows, "low": low, "high": high}, sort_keys=True)
+    spark.createDataFrame([(told,)], "value string").coalesce(1).write.text(f"{staged}/_manifest")
+    moved = fs.exists(at(path)) and fs.rename(at(path), at(aside))
+    if not fs.rename(at(staged), at(path)):
+        raise OSError(f"{staged} cannot be renamed to {path}")
+    if moved:
+        fs.delete(at(aside), True)
+    return rows
+
+
+def read_cache(source: DataFrame, path: str) -> DataFrame:
+    """The rows of a complete cache of source; a ValueError where it is unfinished, of another source, or has lost rows."""
+    spark = source.sparkSession
+    manifest = _manifest(spark, path)
+    if manifest is None:
+        raise ValueError(f"{path} is not a finished cache")
+    if manifest["source"] != fingerprint(source):
+        raise ValueError(f"{path} was made from another input")
+    rows = spark.read.parquet(path)
+    if rows.count() != manifest["rows"]:
+        raise ValueError(f"{path} does not hold the rows that its manifest names")
+    return rows
+
+
 def write_text(df: DataFrame, path: str, line: str) -> None:
     """One text column as lines (FASTA, SMILES and the like, built with concat_ws)."""
     df.select(line).write.text(path)
