@@ -785,28 +785,23 @@ def test_license_passages_side_by_side_and_in_long_text(spark):
 
 
 def plain_licenses(texts):
-    """labels and score of each text: weights, rarer halves, and every shift of every template, one by one."""
-    words = [ALNUM.findall((t or "").translate(LOW)) for t in texts]
-    vocabulary = {w for _, passages in license_scan.TEMPLATES.values() for p in passages for w in p.split()}
-    held = collections.Counter(w for ws in words for w in set(ws) & vocabulary)
-    weight = {w: math.log((1 + len(texts)) / (1 + held[w])) for w in vocabulary}
+    """labels and score of each text: every shift of every template whose licence has a key phrase there, word by word; no weights."""
     out = []
-    for ws in words:
-        whole, base = f" {' '.join(ws)} ", {b for p, b in license_scan.BASE.items() if f" {p} " in f" {' '.join(ws)} "}
-        labels, best = set(base), 0.0
+    for t in texts:
+        ws = ALNUM.findall((t or "").translate(LOW))
+        whole = f" {' '.join(ws)} "
+        labels, best = {b for p, b in license_scan.BASE.items() if f" {p} " in whole}, 0.0
         for label, (keys, passages) in license_scan.TEMPLATES.items():
             if not any(f" {k} " in whole for k in keys):
                 continue
             for passage in passages:
                 own = passage.split()
-                rare = sorted(range(len(own)), key=lambda i: (-weight[own[i]], i))[: max(2, len(own) // 2)]
-                total = sum(weight[own[i]] for i in rare) or 1.0
                 for shift in range(-len(own), len(ws)):
-                    got = sum(weight[own[i]] for i in rare if 0 <= shift + i < len(ws) and ws[shift + i] == own[i]) / total
-                    best = max(best, min(got, 1.0))
-                    if got >= license_scan.COVER - 1e-12:
+                    agree = sum(0 <= shift + i < len(ws) and ws[shift + i] == own[i] for i in range(len(own)))
+                    if 2 * agree >= len(own):
                         labels.add(label)
-        out.append((",".join(sorted(labels)), 1.0 if base else best))
+                        best = max(best, agree / len(own))
+        out.append((",".join(sorted(labels)), best))
     return out
 
 
@@ -827,10 +822,28 @@ def test_license_labels_and_scores_equal_brute_force(spark):
     texts += [None, "", " and ".join(passages), " and ".join(keys)]
     got = {r["doc_id"]: r for r in license_scan.query(docs_of(spark, texts)).collect()}
     for i, (labels, score) in enumerate(plain_licenses(texts)):
-        assert got[i]["labels"] == labels and got[i]["score"] == pytest.approx(score), (i, texts[i], labels, got[i])
+        assert got[i]["labels"] == labels, (i, texts[i], labels, got[i])
+        assert got[i]["score"] == pytest.approx(score), (i, texts[i], score, got[i])
     assert got[len(texts) - 2]["labels"] == ",".join(sorted(license_scan.TEMPLATES))
 
 
+def test_a_license_has_its_label_in_any_corpus(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    cut = bsd.split(":\n1. ")[1]
+    said = "we do not use the mit license here"
+    plain = [f"unrelated words {i} stand in this file" for i in range(6)]
+    seen = {t: set() for t in (bsd, cut, said)}
+    for texts in ([bsd], [cut], [said], [bsd] * 5, [cut] * 5, [bsd] * 3 + plain, [bsd, cut, said] * 2 + plain, [bsd, cut, said] + plain[:1]):
+        rows = {r["doc_id"]: r for r in license_scan.query(docs_of(spark, texts)).collect()}
+        for i, t in enumerate(texts):
+            if t in seen:
+                seen[t].add((rows[i]["labels"], rows[i]["score"]))
+    assert [len(s) for s in seen.values()] == [1, 1, 1]
+    assert seen[bsd] == {("bsd", 1.0)} and seen[cut] == {("bsd", 1.0)}
+    ((labels, score),) = seen[said]
+    assert labels == "mit" and score == pytest.approx(0.6)  # three of the five words of the shortest notice
+
+
 # 10
 
 
