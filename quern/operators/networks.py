@@ -106,7 +106,7 @@ def macro_ap(rows: DataFrame, weights: list[np.ndarray], keys: list[str]) -> flo
     """Mean over outputs of the average precision over their unmasked rows."""
     both = rows.select(*keys, "y", "mask").join(scored(rows, weights, keys), keys)
     long = both.select(F.posexplode(F.arrays_zip("y", "mask", "p")).alias("output", "v")).select("output", "v.*").where("mask > 0")
-    return rank_metrics.average_precision(long, ["output"], "y", "p", pieces=16).agg(F.avg("ap")).first()[0] or 0.0
+    return rank_metrics.average_precision(long, ["output"], "y", "p", pieces=None).agg(F.avg("ap")).first()[0] or 0.0
 
 
 def fit(train: DataFrame, valid: DataFrame, keys: list[str], width: int, outputs: int, hidden: int = 8, steps: int = 30, rate: float = 0.03, decay: float = 1e-4, look: int = 10, seed: int = 1):

@@ -6,6 +6,8 @@ of a tie column.  A metric that a group does not define is NULL.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,29 +16,71 @@ def _above(group: list[str], order: list) -> Window:
     return Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def running_sums(df: DataFrame, group: list[str], value: str, sums: dict[str, str], tie: tuple[str, ...] = (), descending: bool = True, pieces: int = 64) -> DataFrame:
+#: Rows of a group that one task takes in order; a larger group is cut into pieces of about as many.
+PIECE_ROWS = 1 << 19
+
+
+def _same(left: list[str], right: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)), F.lit(True))
+
+
+def in_pieces(df: DataFrame, group: list[str], value: str, tie: tuple[str, ...] = (), rows: int | None = None, pieces: int | None = None) -> tuple[DataFrame, bool]:
+    """df, written, with _piece and _sub, and whether any group was cut.
+
+    A group of more than `rows` rows (without it PIECE_ROWS, or what makes `pieces` pieces of the largest group) is cut at quantiles of its own values into
+    as many pieces as it needs; _piece ascends with value.  A value that
+    fills a piece has one to itself, cut again by _sub, ascending with the first tie column (a number, date or text).
+    """
+    from ..sources.sinks import kept_table
+
+    kept = kept_table(df)
+    most = kept.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    rows = rows or (PIECE_ROWS if pieces is None else max(1, -(-most // pieces)))
+    if most <= rows:
+        return kept.withColumn("_piece", F.lit(0)).withColumn("_sub", F.lit(0)), False
+    n = -(-most // rows)
+    own = [f"_g{i}" for i in range(len(group))]
+    # a row for each group of more than `rows` rows
+    cuts = kept.groupBy(*(F.col(g).alias(o) for g, o in zip(group, own))).agg(F.count("*").alias("_size"), F.percentile_approx(value, [i / n for i in range(1, n)], max(1000, 20 * n)).alias("_cuts")).where(F.col("_size") > rows)
+    cuts = kept_table(cuts)
+    few = cuts.count() * n <= 1_000_000
+    full = F.filter("_cuts", lambda c, i: (i > 0) & (c == F.get("_cuts", i - 1)))
+    heavy = F.coalesce(F.array_contains(full, F.col(value)), F.lit(False))
+    below = F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c < F.col(value)))).otherwise(0)
+    placed = kept.join(F.broadcast(cuts) if few else cuts, _same(group, own), "left").withColumn("_full", heavy)
+    placed = placed.withColumn("_piece", 2 * below + F.col("_full").cast("int")).drop(*own, "_size", "_cuts")
+    if not tie or not cuts.where(F.size(full) > 0).limit(1).count():
+        return placed.drop("_full").withColumn("_sub", F.lit(0)), True
+    light, dense = (placed.where(c).drop("_full") for c in (~F.col("_full"), F.col("_full")))
+    inner, _ = in_pieces(dense.withColumnRenamed("_piece", "_outer"), [*group, value], tie[0], (), rows)
+    inner = inner.drop("_sub").withColumnRenamed("_piece", "_sub").withColumnRenamed("_outer", "_piece")
+    return light.withColumn("_sub", F.lit(0)).unionByName(inner), True
+
+
+def running_sums(df: DataFrame, group: list[str], value: str, sums: dict[str, str], tie: tuple[str, ...] = (), descending: bool = True, rows: int | None = None, pieces: int | None = None) -> DataFrame:
     """df with the total of columns (name: column) over the rows of its group up to each row, in order of value, then tie.
 
-    Values are cut at approximate quantiles; each piece is summed by itself and starts from the totals of the pieces before
-    it, so no task orders all rows of a group.
+    Each piece of a group (see in_pieces) is summed by itself and starts from the totals of the pieces before it, so no task orders
+    more than about `rows` rows, however large a group is or however often a value repeats (if tie columns tell its rows apart).
     """
-    cuts = df.agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 1000)).first()[0] or []
-    df = df.withColumn("_piece", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: F.col(value) > c)) if cuts else F.lit(0))
+    columns = df.columns
+    df, cut = in_pieces(df, group, value, tie, rows, pieces)
     way = F.desc if descending else F.asc
-    before = Window.partitionBy(*group).orderBy(way("_piece")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*group, "_piece").agg(*(F.sum(c).alias(f"_t{n}") for n, c in sums.items()))  # at most `pieces` rows a group
-    starts = totals.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_piece").alias("_p"), *(F.coalesce(F.sum(f"_t{n}").over(before), F.lit(0)).alias(f"_s{n}") for n in sums))
-    within = Window.partitionBy(*group, "_piece").orderBy(way(value), *tie).rowsBetween(Window.unboundedPreceding, 0)
-    own = df.select("*", *(F.sum(c).over(within).alias(f"_w{n}") for n, c in sums.items()))
-    same = F.col("_piece") == F.col("_p")
-    for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    columns = [c for c in df.columns if c != "_piece"]
-    return own.join(starts, same).select(*columns, *((F.col(f"_s{n}") + F.col(f"_w{n}")).alias(n) for n in sums))
-
-
-def ap_and_auroc(df: DataFrame, group: list[str], label: str, score: str, pieces: int = 64) -> DataFrame:
-    """ap, auroc, prevalence and n of each group from the same partial sums, in one pass over the scores of large groups in pieces."""
+    if not cut:
+        w = _above(group, [way(value), *tie])
+        return df.select(*columns, *(F.sum(c).over(w).alias(n) for n, c in sums.items()))
+    before = Window.partitionBy(*group).orderBy(way("_piece"), "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*group, "_piece", "_sub").agg(*(F.sum(c).alias(f"_t{n}") for n, c in sums.items()))  # a row a piece
+    own = [f"_g{i}" for i in range(len(group))]
+    starts = totals.select(*(F.col(g).alias(o) for g, o in zip(group, own)), F.col("_piece").alias("_p"), F.col("_sub").alias("_q"), *(F.coalesce(F.sum(f"_t{n}").over(before), F.lit(0)).alias(f"_s{n}") for n in sums))
+    within = Window.partitionBy(*group, "_piece", "_sub").orderBy(way(value), *tie).rowsBetween(Window.unboundedPreceding, 0)
+    summed = df.select("*", *(F.sum(c).over(within).alias(f"_w{n}") for n, c in sums.items()))
+    both = summed.join(starts, _same([*group, "_piece", "_sub"], [*own, "_p", "_q"]))
+    return both.select(*columns, *((F.col(f"_s{n}") + F.col(f"_w{n}")).alias(n) for n in sums))
+
+
+def ap_and_auroc(df: DataFrame, group: list[str], label: str, score: str, pieces: int | None = None) -> DataFrame:
+    """ap, auroc, prevalence and n of each group from the same partial sums, in one pass over the scores, large groups in pieces."""
     t = df.groupBy(*group, score).agg(F.sum(label).cast("double").alias("_tp"), F.count("*").cast("double").alias("_n"))
     t = running_sums(t, group, score, {"_ctp": "_tp", "_cn": "_n"}, pieces=pieces)
     tp, fp = F.col("_tp"), F.col("_n") - F.col("_tp")
@@ -51,12 +95,13 @@ def ap_and_auroc(df: DataFrame, group: list[str], label: str, score: str, pieces
     )
 
 
-def average_precision(df: DataFrame, group: list[str], label: str, score: str, weight: str | None = None, name: str = "ap", pieces: int = 1) -> DataFrame:
+def average_precision(df: DataFrame, group: list[str], label: str, score: str, weight: str | None = None, name: str = "ap", pieces: int | None = 1) -> DataFrame:
     """Tie-aware average precision of each group; weights are multiplicities.  Partial sums by
-    (group, score) are formed before the shuffle; pieces: as in running_sums(), for few groups of very many scores."""
+    (group, score) are formed before the shuffle; pieces: None where groups may hold very many scores, which
+    are then ranked in as many pieces as they need; 1 ranks each group in one."""
     w = F.col(weight) if weight else F.lit(1)
     t = df.groupBy(*group, score).agg(F.sum(F.col(label) * w).alias("_tp"), F.sum(w).alias("_n"))
-    if pieces > 1:
+    if pieces != 1:
         t = running_sums(t, group, score, {"_ctp": "_tp", "_cn": "_n"}, pieces=pieces)
         part = F.col("_ctp").cast("double") / F.nullif(F.col("_cn"), F.lit(0))
         return t.groupBy(*group).agg((F.sum(F.col("_tp") * part) / F.nullif(F.sum("_tp"), F.lit(0))).alias(name))
@@ -77,7 +122,7 @@ def auroc(df: DataFrame, group: list[str], label: str, score: str, weight: str |
     return t.groupBy(*group).agg((wins / F.nullif(F.sum("_tp").cast("double") * F.sum("_fp"), F.lit(0.0))).alias(name))
 
 
-def pooled(df: DataFrame, label: str, score: str, pieces: int = 64) -> DataFrame:
+def pooled(df: DataFrame, label: str, score: str, pieces: int | None = None) -> DataFrame:
     """Average precision, AUROC, prevalence and count over all rows, as one row; no task ranks all of them."""
     return ap_and_auroc(df, [], label, score, pieces)
 

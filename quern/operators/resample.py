@@ -19,16 +19,10 @@ def draw(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
-def numbered(df: DataFrame, key: str, pieces: int = 64, name: str = "place") -> DataFrame:
-    """df with each row's place by key, from 0.  Key ranges are counted first and each is numbered by itself,
-    so no task orders all rows."""
-    cuts = df.agg(F.percentile_approx(key, [i / pieces for i in range(1, pieces)], 1000)).first()[0] or []
-    piece = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: F.col(key) > c)) if cuts else F.lit(0)
-    df = df.withColumn("_piece", piece)
-    counts = df.groupBy("_piece").agg(F.count("*").alias("_n"))  # at most `pieces` rows
-    counts = counts.select("_piece", (F.sum("_n").over(Window.partitionBy().orderBy("_piece")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_piece").orderBy(key)) - 1
-    return df.join(F.broadcast(counts), "_piece").withColumn(name, (F.col("_before") + own).cast("bigint")).drop("_piece", "_before")
+def numbered(df: DataFrame, key: str, name: str = "place") -> DataFrame:
+    """df with each row's place by key, from 0; a large table is numbered in pieces (rank_metrics.in_pieces)."""
+    got = rank_metrics.running_sums(df.withColumn("_one", F.lit(1)), [], key, {name: "_one"}, descending=False)
+    return got.withColumn(name, (F.col(name) - 1).cast("bigint")).drop("_one")
 
 
 def resampled(df: DataFrame, key: str, replicates: int, seed: str, n: int | None = None) -> DataFrame:
@@ -138,7 +132,7 @@ def blocked_bootstrap_ap(df: DataFrame, block: str, label: str, score: str, repl
     t = df.groupBy(block, score).agg(F.sum(label).alias("tp"), F.count("*").alias("n"))
     blocks = resampled(df.select(block).distinct(), block, replicates, seed)
     t = blocks.join(t, block).groupBy("b", score).agg(F.sum(F.col("tp") * F.col("times")).alias("tp"), F.sum(F.col("n") * F.col("times")).alias("n"))
-    t = rank_metrics.running_sums(t, ["b"], score, {"ctp": "tp", "cn": "n"}, pieces=16)
+    t = rank_metrics.running_sums(t, ["b"], score, {"ctp": "tp", "cn": "n"})
     return t.groupBy("b").agg((F.sum(F.col("tp") * (F.col("ctp") / F.col("cn"))) / F.nullif(F.sum("tp"), F.lit(0))).alias("ap"))
 
 

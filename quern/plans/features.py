@@ -68,7 +68,7 @@ def _grid():
 def x4_ml10_grid_tuning(spark, sf_dir):
     """AP of each (alpha, tau) of a grid, in order; the first is the choice.  The grid is exploded, not joined."""
     s = ranked_items(spark, sf_dir).select("y", "sa", "d", _grid()).select("y", F.col("p.alpha").alias("alpha"), F.col("p.tau").alias("tau"), F.round(F.col("p.alpha") * F.col("sa") + (1 - F.col("p.alpha")) * F.exp(-F.col("d") / F.col("p.tau")), 9).alias("s"))
-    a = M.average_precision(s, ["alpha", "tau"], "y", "s", pieces=16).select("alpha", "tau", _r(F.col("ap")).alias("ap"))
+    a = M.average_precision(s, ["alpha", "tau"], "y", "s", pieces=None).select("alpha", "tau", _r(F.col("ap")).alias("ap"))
     return a.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc("ap"), "alpha", "tau")).cast("bigint"))
 
 

@@ -7,6 +7,7 @@ import pytest
 
 from quern.functions import geometry as G
 from quern.operators import features as X
+from quern.operators import rank_metrics as M
 from quern.operators import resample as R
 from quern.operators import selection as S
 from quern.plans import registry
@@ -96,3 +97,24 @@ def test_whole_tables_at_the_larger_scale(spark, name):
     rel = duck.sql(registry.ORACLE[name])
     got, want = registry.QUERIES[name](spark, folder).first(), rel.fetchall()[0]
     assert [got[c] for c in rel.columns] == pytest.approx(list(want), abs=2e-6)
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_running_sums_in_pieces(spark, descending):
+    """Large and small groups, disjoint ranges, a value that half of a group has, nulls, and a null group."""
+    rng = random.Random(9)
+    rows = [("a", rng.choice([0.5, rng.random()]), k, 1 + k % 3) for k in range(300)] + [("b", 100 + rng.random(), k, 1) for k in range(150)] + [(None, 7.0, k, 2) for k in range(120)] + [("c", None, 1, 5), ("a", None, 999, 4)]
+    df = spark.createDataFrame(rows, "g string, v double, t int, n int")
+    want = {}
+    for g in {r[0] for r in rows}:
+        total = 0
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: ((-1e9 if r[1] is None else r[1]) * (-1 if descending else 1), r[2])):
+            total += r[3]
+            want[r[:3]] = total
+    for size in (7, 40, 10_000):
+        got = M.running_sums(df, ["g"], "v", {"s": "n"}, ("t",), descending, rows=size).collect()
+        assert {(r.g, r.v, r.t): r.s for r in got} == want and len(got) == len(rows)
+        placed, cut = M.in_pieces(df, ["g"], "v", ("t",), size)
+        assert cut == (size < 300)
+        if cut:  # pieces hold about as many rows as asked, also where a value repeats
+            assert placed.groupBy("g", "_piece", "_sub").count().agg({"count": "max"}).first()[0] <= 3 * size
