@@ -129,6 +129,16 @@ def r11_match_pairs(spark, sf_dir):
     return pairs.groupBy("g").agg(F.count("*").alias("pairs"), F.round(F.avg(F.when(F.col("won") > 0, 1.0).when(F.col("won") == 0, 0.5).otherwise(0.0)), 6).alias("accuracy"))
 
 
+@query()
+def r11_radii_and_calipers(spark, sf_dir):
+    """Pairs, mean gap, accuracy and score difference of matched pairs by radius, caliper and score, from one matching a radius."""
+    items = ranked_items(spark, sf_dir).select("g", "y", (F.col("d") / 4 + F.col("idx") % 97 / 500).alias("d"), F.col("sa").alias("discount"), F.col("sb").alias("price"))
+    pairs = matching.matched_by_radius(items, "g", "y", "d", ["discount", "price"])
+    long = pairs.select("g", "radius", "caliper", "gap", F.explode(F.create_map(F.lit("discount"), F.col("discount_won"), F.lit("price"), F.col("price_won"))).alias("method", "won"))
+    accuracy = F.avg(F.when(F.col("won") > 0, 1.0).when(F.col("won") == 0, 0.5).otherwise(0.0))
+    return long.groupBy("radius", "caliper", "method").agg(F.countDistinct("g").alias("complexes"), F.count("*").alias("pairs"), F.round(F.avg("gap"), 6).alias("gap"), F.round(accuracy, 6).alias("accuracy"), F.round(F.avg("won"), 6).alias("won"))
+
+
 @query()
 def r12_matched_effects(spark, sf_dir):
     """Bootstrap of the mean accuracy of matched pairs over complexes."""

@@ -1,8 +1,11 @@
 """Operators of the latest round against brute force."""
 
+import math
 import random
+import time
 
 import duckdb
+import numpy as np
 import pytest
 
 from quern.functions import geometry as G
@@ -10,6 +13,7 @@ from quern.operators import features as X
 from quern.operators import rank_metrics as M
 from quern.operators import resample as R
 from quern.operators import selection as S
+from quern.operators.matching import match_on_line, matched_by_radius, matched_pairs, sections
 from quern.plans import registry
 from quern.sources import sinks
 
@@ -118,3 +122,60 @@ def test_running_sums_in_pieces(spark, descending):
         assert cut == (size < 300)
         if cut:  # pieces hold about as many rows as asked, also where a value repeats
             assert placed.groupBy("g", "_piece", "_sub").count().agg({"count": "max"}).first()[0] <= 3 * size
+
+
+def least_cost(a, b):
+    """Of matching all of the shorter side in order, by a table."""
+    a, b = sorted((sorted(a), sorted(b)), key=len)
+    cost = [0.0] * (len(b) + 1)
+    for v in a:
+        new = [math.inf]
+        for j, w in enumerate(b):
+            new.append(min(new[-1], cost[j] + abs(v - w)))
+        cost = new
+    return min(cost) if a else 0.0
+
+
+def test_regret_matching_is_optimal_and_fast():
+    rng = random.Random(3)
+    for _ in range(1500):
+        scale = rng.choice([3, 10, 1000])
+        a, b = ([rng.randrange(scale) / 4 for _ in range(rng.randrange(9))] for _ in range(2))
+        pairs = match_on_line(np.array(a), np.array(b))
+        assert len(pairs) == min(len(a), len(b)) == len({i for i, _ in pairs}) == len({j for _, j in pairs})
+        assert math.isclose(sum(abs(a[i] - b[j]) for i, j in pairs), least_cost(a, b), abs_tol=1e-9)
+    times = []
+    for n in (20_000, 80_000):
+        a, b = np.random.default_rng(n).random((2, n))
+        start = time.perf_counter()
+        match_on_line(a, b)
+        times.append(time.perf_counter() - start)
+    assert times[1] < 10 * times[0]  # n x m would be 16 times
+
+
+@pytest.mark.parametrize("share", [0.1, 0.45, 0.8])
+def test_matching_in_sections_loses_nothing(spark, share):
+    rng = random.Random(int(share * 100))
+    rows = [("large", int(rng.random() < share), round(rng.random() * 40, 2), rng.random()) for _ in range(1500)]
+    rows += [("small", k % 2, float(k), 0.5) for k in range(9)] + [("one", 1, 1.0, 1.0), (None, 0, 2.0, 0.0), (None, 1, 2.5, 0.0), ("small", 1, None, 0.5), ("small", None, 3.0, 0.5)]
+    df = spark.createDataFrame(rows, "g string, y int, d double, s double")
+    parts = sections(df.where("d is not null and y is not null"), "g", "y", "d", ["s"], rows=60)
+    assert parts.where("g = 'large'").select("_section").distinct().count() > (1 if share != 0.45 else 0)
+    got = matched_pairs(df, "g", "y", "d", "s", None, rows=60).collect()
+    for g in ("large", "small", "one", None):
+        pos, neg = ([r[2] for r in rows if r[0] == g and r[1] == y and r[2] is not None] for y in (1, 0))
+        own = [r for r in got if r.g == g]
+        assert len(own) == min(len(pos), len(neg))
+        assert math.isclose(sum(r.gap for r in own), least_cost(pos, neg), abs_tol=1e-6)
+
+
+def test_radii_and_calipers_from_one_matching(spark):
+    rng = random.Random(8)
+    rows = [(k % 3, int(rng.random() < 0.4), rng.random() * 9, rng.random(), rng.random()) for k in range(200)]
+    df = spark.createDataFrame(rows, "g int, y int, d double, u double, v double")
+    got = matched_by_radius(df, "g", "y", "d", ["u", "v"], (6.0, 8.0), (0.05, 0.5)).collect()
+    for radius in (6.0, 8.0):
+        each = matched_pairs(df.where(f"d <= {radius}"), "g", "y", "d", ["u", "v"], None).collect()
+        for caliper in (0.05, 0.5):
+            want = sorted((r.g, r.gap, r.u_won, r.v_won) for r in each if r.gap <= caliper)
+            assert want and sorted((r.g, r.gap, r.u_won, r.v_won) for r in got if (r.radius, r.caliper) == (radius, caliper)) == want
