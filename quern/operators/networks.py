@@ -54,9 +54,15 @@ def gradient(weights: list[np.ndarray], x: np.ndarray, first: np.ndarray, y: np.
     return loss, [x.T @ dh, dh.sum(0), pooled.T @ dr, dr.sum(0), r.T @ d, d.sum(0)]
 
 
+def _rows(lists: pa.Array) -> np.ndarray:
+    """Lists of equal length as a matrix, from their buffer."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(float)
+
+
 def _sets(batch: pa.RecordBatch):
-    members = [np.array(v, float) for v in batch.column("x").to_pylist()]
-    return np.concatenate(members), np.concatenate([[0], np.cumsum([len(m) for m in members])])
+    column = batch.column("x")
+    first = column.offsets.to_numpy().astype(np.int64)
+    return _rows(column.flatten()), first - first[0]
 
 
 def _flat(weights: list[np.ndarray]) -> np.ndarray:
@@ -76,7 +82,7 @@ def _summed(rows: DataFrame, weights: list[np.ndarray]) -> tuple[float, np.ndarr
         for batch in batches:
             if batch.num_rows:
                 x, first = _sets(batch)
-                y, mask = (np.array(batch.column(c).to_pylist(), float) for c in ("y", "mask"))
+                y, mask = (_rows(batch.column(c)) for c in ("y", "mask"))
                 loss, grads = gradient(weights, x, first, y, mask)
                 own = np.concatenate([_flat(grads), [loss, mask.sum()]])
                 total = own if total is None else total + own
@@ -126,6 +132,76 @@ def fit(train: DataFrame, valid: DataFrame, keys: list[str], width: int, outputs
     return best
 
 
+def _stepped(rows: DataFrame, weights: list[np.ndarray], batch_sets: int, rate: float, decay: float, positive: float, seed: int) -> tuple[float, np.ndarray]:
+    """Mean loss of an epoch and the weights after it: every task takes AdamW steps over minibatches of its own rows, in a seeded order within each
+    Arrow batch, and the tasks' weights are averaged by their rows.  What comes back is one row a weight."""
+    from pyspark import TaskContext
+
+    def run(batches):
+        flat, n, losses, step = _flat(weights), 0, np.zeros(2), 0
+        moment, scale = np.zeros_like(flat), np.zeros_like(flat)
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, first = _sets(batch)
+            y, mask = (_rows(batch.column(c)) for c in ("y", "mask"))
+            mask = mask * np.where(y == 1, positive, 1.0)
+            order = rng.permutation(batch.num_rows)
+            for at in range(0, len(order), batch_sets):
+                own = order[at : at + batch_sets]
+                size = first[own + 1] - first[own]
+                members = np.repeat(first[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                loss, grads = gradient(_shaped(flat, weights), x[members], np.concatenate([[0], np.cumsum(size)]), y[own], mask[own])
+                shown, step = max(mask[own].sum(), 1e-12), step + 1
+                g = _flat(grads) / shown
+                moment, scale = 0.9 * moment + 0.1 * g, 0.99 * scale + 0.01 * g * g
+                flat = flat * (1 - rate * decay) - rate * (moment / (1 - 0.9**step)) / (np.sqrt(scale / (1 - 0.99**step)) + 1e-8)
+                losses += loss, shown
+            n += batch.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 2)), pa.array(np.concatenate([flat * n, losses])), pa.array(np.full(len(flat) + 2, float(n)))], ["i", "v", "n"])
+
+    got = rows.select("x", "y", "mask").mapInArrow(run, "i bigint, v double, n double").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy("i").collect()
+    if not got:
+        return 0.0, _flat(weights)
+    v, n = (np.array([r[c] for r in got]) for c in ("v", "n"))
+    if not np.isfinite(v).all():
+        raise FloatingPointError("the loss is not finite")
+    return v[-2] / max(v[-1], 1e-12), v[:-2] / n[:-2]
+
+
+def fit_minibatches(
+    train: DataFrame, valid: DataFrame, keys: list[str], width: int, outputs: int, configurations: tuple[tuple[int, float], ...] = ((32, 0.001), (64, 0.0003)), epochs: int = 10, patience: int = 3, batch_sets: int = 256, decay: float = 1e-4, balanced: bool = True, seed: int = 1
+):
+    """Weights of the best macro AP on valid over (hidden width, rate) configurations and their epochs, and the trace.
+
+    Rows are dealt to tasks by a hash of their keys once; an epoch is one job (see _stepped), after which valid is scored.  A configuration
+    ends after `patience` epochs without a better AP.  balanced: positives weigh as much as negatives.  Rows: keys, x, y, mask.
+    """
+    dealt = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30))
+    train = kept_table(train.repartition(dealt).sortWithinPartitions(dealt))
+    valid = kept_table(valid)
+    shown = train.select(F.explode(F.arrays_zip("y", "mask")).alias("v")).where("v.mask > 0").agg(F.count("*"), F.sum("v.y")).first()
+    positive = (shown[0] - shown[1]) / shown[1] if balanced and shown[1] else 1.0
+    best, trace = None, []
+    for hidden, rate in configurations:
+        weights = start(width, hidden, outputs, seed)
+        own = None
+        for epoch in range(1, epochs + 1):
+            loss, flat = _stepped(train, weights, batch_sets, rate, decay, positive, seed * 1000 + epoch)
+            weights = _shaped(flat, weights)
+            ap = macro_ap(valid, weights, keys)
+            trace.append({"hidden": hidden, "rate": rate, "epoch": epoch, "loss": float(loss), "valid_ap": float(ap)})
+            if best is None or ap > best[1]:
+                best = weights, ap
+            if own is None or ap > own[0]:
+                own = ap, epoch
+            elif epoch - own[1] >= patience:
+                break
+    return best[0], trace
+
+
 def radial(d: Column, centres: tuple[float, ...], width: float) -> list[Column]:
     return [F.exp(-F.pow((d - c) / width, F.lit(2)) / 2) for c in centres]
 

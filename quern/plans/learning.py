@@ -111,6 +111,21 @@ def ml5_set_head(spark, sf_dir):
     return spark.createDataFrame([(float(ap), float(N.macro_ap(test, weights, ["g", "res"])))], "valid_ap double, ap double")
 
 
+@query()
+def ml5_minibatch_set_head(spark, sf_dir):
+    """The same network in minibatches: tasks step by themselves and their weights are averaged, epochs end by validation AP; over widths and rates."""
+    d = F.col("l_quantity") / 5
+    p = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("g"), (F.col("l_partkey") % 20).alias("res"), F.array(F.col("l_discount") * 10, F.col("l_tax") * 12, F.exp(-d / 2), F.exp(-d / 6), (F.col("l_returnflag") == "A").cast("double")).alias("pair"), (F.col("l_returnflag") == "R").cast("int").alias("hit")
+    )
+    rows = p.groupBy("g", "res").agg(F.array_sort(F.collect_list("pair")).alias("x"), F.array((F.avg("hit") > 0.33).cast("double")).alias("y")).withColumn("mask", F.array(F.lit(1.0)))
+    train, valid, test = (rows.where(F.col("g") % 3 == k) for k in range(3))
+    weights, trace = N.fit_minibatches(train, valid, ["g", "res"], 5, 1, configurations=((8, 0.03), (16, 0.01)), epochs=4)
+    best = max(t["valid_ap"] for t in trace)
+    ap, prevalence = float(N.macro_ap(test, weights, ["g", "res"])), test.agg(F.avg(F.col("y")[0])).first()[0]
+    return spark.createDataFrame([(float(best), ap, prevalence, len(trace))], "valid_ap double, ap double, prevalence double, epochs int")
+
+
 def _typed_pairs(spark, sf_dir):
     """A pair's distance, two vectors and five masked labels."""
     r = table(spark, sf_dir, "lineitem").selectExpr(
@@ -175,10 +190,10 @@ def ml13_masked_loss(spark, sf_dir):
 
 @query()
 def r13_grouped_out_of_fold(spark, sf_dir):
-    """The mean out-of-fold score of each item over two repeats of three group-disjoint folds."""
+    """The mean out-of-fold score of each item over two repeats of five group-disjoint folds."""
     items = ranked_items(spark, sf_dir).select("g", "idx", "y", F.col("sa").alias("v"), F.exp(-F.col("d") / 12).alias("prior"))
     fit = lambda train, features, label: L.boosted_head(train, features, label, trees=2, depth=2)
-    return L.out_of_fold(items, ["g", "idx"], "g", "y", ["v", "prior"], fit, folds=3, repeats=2, seed="r13").select("g", "idx", F.round("score", 6).alias("score"), "repeats")
+    return L.out_of_fold(items, ["g", "idx"], "g", "y", ["v", "prior"], fit, folds=5, repeats=2, seed="r13").select("g", "idx", F.round("score", 6).alias("score"), "repeats")
 
 
 @query("SELECT l_suppkey AS g, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey, l_linenumber, l_extendedprice, l_shipdate) AS idx, 2::BIGINT AS repeats FROM lineitem")
@@ -187,6 +202,18 @@ def r13_out_of_fold_audit(spark, sf_dir):
     return r13_grouped_out_of_fold(spark, sf_dir).select("g", "idx", "repeats")
 
 
+@query("SELECT count(DISTINCT l_suppkey) AS groups, count(*) AS items, count(*) FILTER (l_returnflag = 'R') AS positives, true AS even FROM lineitem")
+def r13_even_folds(spark, sf_dir):
+    """Groups, items and positives over five folds; even: each fold's classes are within the largest group of a fifth."""
+    items = ranked_items(spark, sf_dir)
+    sizes = items.groupBy("g").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+    each = sizes.join(L.even_folds(items, "g", "y", 5, "r13"), "g").groupBy("fold").agg(F.count("*").alias("groups"), F.sum("n").alias("items"), F.sum("p").alias("positives"), F.max("n").alias("most"))
+    off = lambda c: F.max(F.abs(c - F.lit(0.2) * F.col("all"))) <= F.max("most")
+    total = each.select(F.sum("groups").alias("groups"), F.sum("items").alias("items"), F.sum("positives").alias("positives"))
+    all_p, all_n = (each.crossJoin(total.select(F.col(c).alias("all"))).agg(off(F.col(c)).alias(f"even_{c}")) for c in ("positives", "items"))
+    return total.crossJoin(all_p).crossJoin(all_n).select("groups", "items", "positives", (F.col("even_positives") & F.col("even_items")).alias("even"))
+
+
 @query("SELECT DISTINCT l_suppkey AS g, 1 AS folds FROM lineitem")
 def r13_fold_audit(spark, sf_dir):
     """Every group lies in one fold."""

@@ -10,6 +10,8 @@ import pytest
 
 from quern.functions import geometry as G
 from quern.operators import features as X
+from quern.operators import learning as L
+from quern.operators import networks as N
 from quern.operators import rank_metrics as M
 from quern.operators import resample as R
 from quern.operators import selection as S
@@ -179,3 +181,64 @@ def test_radii_and_calipers_from_one_matching(spark):
         for caliper in (0.05, 0.5):
             want = sorted((r.g, r.gap, r.u_won, r.v_won) for r in each if r.gap <= caliper)
             assert want and sorted((r.g, r.gap, r.u_won, r.v_won) for r in got if (r.radius, r.caliper) == (radius, caliper)) == want
+
+
+@pytest.mark.parametrize("kinds", [200_000, 3])
+def test_even_folds_of_skewed_groups(spark, monkeypatch, kinds):
+    monkeypatch.setattr(L, "KINDS", kinds)
+    rng = random.Random(5)
+    rows = []
+    for g in range(160):
+        n = int(min(400, rng.paretovariate(0.9)) * 2)
+        share = rng.choice([0.0, 0.05, 0.3, 0.9])
+        rows += [(f"g{g}", int(rng.random() < share)) for _ in range(n)]
+    rows += [(None, 1)] * 3
+    df = spark.createDataFrame(rows, "g string, y int")
+    folds = {r.g: r.fold for r in L.even_folds(df, "g", "y", 5, "s").collect()}
+    assert set(folds) == {r[0] for r in rows} and set(folds.values()) == set(range(5))
+    for y in (0, 1):
+        own = [sum(1 for g, v in rows if v == y and folds[g] == f) for f in range(5)]
+        largest = max(sum(1 for g, v in rows if v == y and g == name) for name in folds)
+        assert max(own) - min(own) <= largest, (y, own, largest)
+    again = {r.g: r.fold for r in L.even_folds(df.repartition(7), "g", "y", 5, "s").collect()}
+    assert again == folds != {r.g: r.fold for r in L.even_folds(df, "g", "y", 5, "t").collect()}
+
+
+def test_minibatches_learn_and_end(spark):
+    rng = np.random.default_rng(2)
+
+    def rows(n, seed):
+        rng = np.random.default_rng(seed)
+        out = []
+        for k in range(n):
+            x = rng.normal(size=(rng.integers(1, 6), 3))
+            out.append((k, x.tolist(), [float(x[:, 0].max() > 1.2)], [1.0]))
+        return spark.createDataFrame(out, "k int, " + N.SCHEMA)
+
+    train, valid, test = rows(1500, 1).repartition(3), rows(400, 2), rows(800, 3)
+    weights, trace = N.fit_minibatches(train, valid, ["k"], 3, 1, ((8, 0.02), (4, 0.0)), epochs=8, patience=2, batch_sets=64)
+    share = np.mean([r.y[0] for r in test.collect()])
+    assert N.macro_ap(test, weights, ["k"]) > share + 0.4
+    assert [t["epoch"] for t in trace if t["rate"] == 0.0] == [1, 2, 3]  # nothing moves: ended by patience
+    first = [t for t in trace if t["rate"] > 0]
+    assert first[-1]["loss"] < first[0]["loss"]
+    again, _ = N.fit_minibatches(train, valid, ["k"], 3, 1, ((8, 0.02),), epochs=2, batch_sets=64)
+    once, _ = N.fit_minibatches(train, valid, ["k"], 3, 1, ((8, 0.02),), epochs=2, batch_sets=64)
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(again, once))
+
+
+def test_sets_are_read_from_buffers():
+    import pyarrow as pa
+
+    x = [[[1.0, 2.0]], [[3.0, 4.0], [5.0, 6.0]], [[7.0, 8.0]]]
+    batch = pa.RecordBatch.from_arrays([pa.array(x)], ["x"])
+    for cut in (batch, batch.slice(1)):
+        members, first = N._sets(cut)
+        assert members.tolist() == [m for s in cut.column("x").to_pylist() for m in s]
+        assert first.tolist() == np.cumsum([0, *map(len, cut.column("x").to_pylist())]).tolist()
+
+
+@pytest.mark.parametrize("name", ["ml4_leafwise_two_input", "ml5_minibatch_set_head", "ml2_two_input_head", "ml3_ml4_boosted_head"])
+def test_heads_beat_chance(spark, name):
+    r = registry.QUERIES[name](spark, "/root/testdata/sf0.001").first()
+    assert r.ap > r.prevalence + 0.02, r
