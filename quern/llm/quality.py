@@ -19,10 +19,11 @@ from . import _tables as tables
 from . import _words as W
 
 PASSAGE = 64
-#: Labelled documents, by hash of their id, that the weights are learnt from at most, and bytes of their texts: documents
-#: enter whole, and one whose text does not fit beside those before it stays out.
+#: Labelled documents, by hash of their id, that the weights are learnt from at most, and bytes of their texts.  Documents enter whole, in the order
+#: of the hash, until the first that does not fit, so that short ones have no advantage; those over LARGE of the bytes are passed over.
 SAMPLE = 4000
 SAMPLE_BYTES = 1 << 23
+LARGE = 1 / 8
 THRESHOLD = 0.3
 HIDDEN = 16
 #: Buckets of words, of word pairs, and of word beginnings and endings.
@@ -51,6 +52,44 @@ _CLASSES = [c.astype(np.uint8) for c in _CLASSES]
 FEATURES = len(_CLASSES) + 8
 
 
+class Rows:
+    """Rows of features: format, dense, then the few buckets that a passage fills; a matrix for `@` and `.T @`."""
+
+    def __init__(self, format_: np.ndarray, first: np.ndarray, bucket: np.ndarray, value: np.ndarray):
+        self.format, self.first, self.bucket, self.value = format_, first, bucket, value
+        self.shape = len(format_), format_.shape[1] + LEXICAL
+
+    def __matmul__(self, weights: np.ndarray) -> np.ndarray:
+        k = self.format.shape[1]
+        out = self.format @ weights[:k]
+        full = np.flatnonzero(np.diff(self.first))
+        if len(full):
+            out[full] += np.add.reduceat(weights[k:][self.bucket] * self.value[:, None], self.first[full])
+        return out
+
+    @property
+    def T(self) -> _Turned:
+        return _Turned(self)
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> Rows:
+        """The rows of several ranges, one after another."""
+        rows = np.concatenate([np.arange(a, b) for a, b in zip(begin, end)])
+        size = np.diff(self.first)[rows]
+        places = np.repeat(self.first[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return Rows(self.format[rows], np.concatenate([[0], np.cumsum(size)]), self.bucket[places], self.value[places])
+
+
+class _Turned:
+    def __init__(self, rows: Rows):
+        self.rows = rows
+
+    def __matmul__(self, d: np.ndarray) -> np.ndarray:
+        r = self.rows
+        own = d[np.repeat(np.arange(len(d)), np.diff(r.first))] * r.value[:, None]
+        lexical = np.stack([np.bincount(r.bucket, own[:, j], LEXICAL) for j in range(d.shape[1])], 1)
+        return np.concatenate([r.format.T @ d, lexical])
+
+
 class Passages(NamedTuple):
     """Passages of texts, one after another."""
 
@@ -67,6 +106,18 @@ class Passages(NamedTuple):
         out = np.bincount(np.concatenate(places), minlength=(end - begin) * LEXICAL).astype(np.float32).reshape(-1, LEXICAL)
         return np.sqrt(out) / np.sqrt(np.maximum(1, out.sum(1, keepdims=True)))
 
+    def sparse(self, begin: int, end: int) -> Rows:
+        """As matrix(begin, end)."""
+        places = [np.zeros(0, np.int64)]
+        for at, bucket in self.tokens:
+            a, b = np.searchsorted(at, [begin, end])
+            places.append((at[a:b].astype(np.int64) - begin) * LEXICAL + bucket[a:b])
+        place, count = np.unique(np.concatenate(places), return_counts=True)
+        row, bucket = place // LEXICAL, place % LEXICAL
+        total = np.bincount(row, count, end - begin)
+        value = np.sqrt(count.astype(np.float32)) / np.sqrt(np.maximum(1, total))[row].astype(np.float32)
+        return Rows(self.format[begin:end].astype(np.float32), np.searchsorted(row, np.arange(end - begin + 1)), bucket, value)
+
     def matrix(self, begin: int, end: int) -> np.ndarray:
         return np.concatenate([self.format[begin:end].astype(np.float32), self.lexical(begin, end)], 1)
 
@@ -184,10 +235,9 @@ def gradient(weights: list[np.ndarray], x: np.ndarray, first: np.ndarray, y: np.
 
 def learn(x, first: np.ndarray, y: np.ndarray, rounds: int | None = None, rate: float = 0.01, decay: float = 1e-4, batch: int = BATCH) -> list[np.ndarray]:
     """Weights after `rounds` passes over the bags (unless given: 6, and as many as come to STEPS steps), in batches of a
-    fixed random order; x is a matrix or gives that of passages begin to end when it is called."""
+    fixed random order; x is a matrix or Rows."""
     rounds = max(6, -(-STEPS // max(1, -(-len(y) // batch)))) if rounds is None else rounds
-    rows = x if callable(x) else lambda a, b: x[a:b]
-    weights = _start(rows(0, 1).shape[1])
+    weights = _start(x.shape[1])
     moment = [np.zeros_like(w) for w in weights]
     scale = [np.zeros_like(w) for w in weights]
     rng, step = np.random.default_rng(3), 0
@@ -195,7 +245,7 @@ def learn(x, first: np.ndarray, y: np.ndarray, rounds: int | None = None, rate:
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
             bags, step = np.sort(order[at : at + batch]), step + 1
-            own = np.concatenate([rows(first[k], first[k + 1]) for k in bags])
+            own = x.of(first[bags], first[bags + 1]) if isinstance(x, Rows) else np.concatenate([x[first[k] : first[k + 1]] for k in bags])
             grads = gradient(weights, own, np.concatenate([[0], np.cumsum(first[bags + 1] - first[bags])]), y[bags])
             for i, g in enumerate(grads):
                 g = g + decay * weights[i]
@@ -222,7 +272,7 @@ class Classifier:
         got = passages(texts)
         got = got._replace(format=(got.format - self.mean) / self.spread)
         n = int(got.first[-1])
-        h = np.concatenate([hidden(self.weights, got.matrix(a, min(a + BLOCK, n))) for a in range(0, n, BLOCK)])
+        h = np.concatenate([hidden(self.weights, got.sparse(a, min(a + BLOCK, n))) for a in range(0, n, BLOCK)])
         return attend(self.weights, h, got.first)[0].astype(np.float64)
 
 
@@ -243,9 +293,12 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_byt
     order = [F.xxhash64("doc_id"), "doc_id", "quality", F.octet_length("text"), F.xxhash64("text")]
     picked, left = [], most_bytes
     for r in rows.orderBy(*order).select("row", F.octet_length("text").alias("size")).limit(sample).collect():
-        if r["size"] <= left:
-            picked.append((r["row"],))
-            left -= r["size"]
+        if r["size"] > most_bytes * LARGE:
+            continue
+        if r["size"] > left:
+            break
+        picked.append((r["row"],))
+        left -= r["size"]
     rows_picked = rows.join(F.broadcast(rows.sparkSession.createDataFrame(picked, "row bigint")), "row").select("doc_id", "quality", "text").collect()
     tables.drop(rows)
     return sorted((r["quality"], r["text"]) for r in rows_picked)
@@ -263,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     got = joined([passages(batch.column("text")) for batch in W.steps([texts])])
     mean, spread = got.format.mean(0), got.format.std(0) + 1e-3
     got = got._replace(format=(got.format - mean) / spread)
-    return Classifier(learn(got.matrix, got.first, y), mean, spread, float(y.mean()))
+    return Classifier(learn(got.sparse(0, int(got.first[-1])), got.first, y), mean, spread, float(y.mean()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

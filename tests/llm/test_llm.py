@@ -1005,3 +1005,25 @@ def test_pipeline_gives_the_mixed_corpus(spark):
 
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_sparse_rows_are_those_of_the_matrix():
+    rng = np.random.default_rng(3)
+    got = quality.joined([quality.passages(pa.array(t, pa.string())) for t in (some_texts(20, 5), ["", None], ["word " * 700])])
+    n = int(got.first[-1])
+    dense, sparse = got.matrix(0, n), got.sparse(0, n)
+    w, d = rng.normal(size=(dense.shape[1], 4)), rng.normal(size=(n, 4))
+    assert sparse.shape == dense.shape
+    assert np.allclose(sparse @ w, dense @ w, atol=1e-5) and np.allclose(sparse.T @ d, dense.T @ d, atol=1e-5)
+    begin, end = got.first[[5, 2, 21]], got.first[[6, 3, 22]]
+    rows = np.concatenate([np.arange(a, b) for a, b in zip(begin, end)])
+    assert np.allclose(sparse.of(begin, end) @ w, dense[rows] @ w, atol=1e-5)
+    assert np.allclose(got.sparse(3, 9) @ w, dense[3:9] @ w, atol=1e-5)
+
+
+def test_quality_sample_does_not_lean_to_short_texts(spark):
+    docs = spark.createDataFrame([(i, "w " * (20 if i % 2 else 400)) for i in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(400)], "doc_id bigint, quality int")
+    got = quality.sample_of(docs, labels, 4000, 40_000)
+    long = sum(len(t) > 500 for _, t in got) / len(got)
+    assert 60 < len(got) < 150 and 0.35 < long < 0.65, (len(got), long)
