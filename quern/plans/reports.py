@@ -76,3 +76,16 @@ def streaming_windows(spark, sf_dir):
 def batch_windows(spark, sf_dir):
     got = windows.windowed(table(spark, sf_dir, "events"))
     return got.select(F.unix_timestamp(F.col("w.start")).alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT method, 3::BIGINT AS repeats, n, true AS timed, true AS ran_tasks, method = 'grouped' AS shuffled FROM (SELECT unnest(['counted', 'grouped']) AS method), (SELECT count(*) AS n FROM lineitem)")
+def u3_efficiency(spark, sf_dir):
+    """Two ways to look at a table, each measured three times after a warm-up: that times, tasks and shuffled bytes are recorded."""
+    from ..measure import measured
+
+    items = table(spark, sf_dir, "lineitem")
+    n = items.count()
+    works = {"counted": lambda: items.select("l_quantity").write.format("noop").mode("overwrite").save(), "grouped": lambda: items.repartition("l_partkey").write.format("noop").mode("overwrite").save()}
+    got = {name: measured(spark, work, repeats=3) for name, work in works.items()}
+    rows = [(name, int(m["repeats"]), n, m["median"] > 0 and m["sd"] is not None, m["tasks"] > 0, m["shuffle_mb"] > 0) for name, m in got.items()]
+    return spark.createDataFrame(rows, "method string, repeats bigint, n bigint, timed boolean, ran_tasks boolean, shuffled boolean")

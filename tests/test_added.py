@@ -8,6 +8,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quern.functions import geometry as G
 from quern.operators import features as X
 from quern.operators import learning as L
@@ -242,3 +244,15 @@ def test_sets_are_read_from_buffers():
 def test_heads_beat_chance(spark, name):
     r = registry.QUERIES[name](spark, "/root/testdata/sf0.001").first()
     assert r.ap > r.prevalence + 0.02, r
+
+
+def test_measured_repeats_and_records(spark):
+    from quern.measure import measured
+
+    calls = []
+    got = measured(spark, lambda: calls.append(spark.range(50_000).repartition(4).groupBy((F.col("id") % 7).alias("k")).count().collect()), repeats=4, warm=2)
+    assert len(calls) == 6 and got["repeats"] == 4 and got["sd"] is not None
+    assert got["jobs"] >= 1 and got["tasks"] >= 5 and got["shuffle_mb"] > 0 and got["task_s"] >= 0 and got["peak_mb"] >= 0
+    once = measured(spark, lambda: calls.append(time.sleep(0.2)), repeats=9, most_s=0.3)
+    assert once["repeats"] == 2 and once["tasks"] == 0
+    assert measured(spark, lambda: None, repeats=1)["sd"] is None
