@@ -22,35 +22,74 @@ NEIGHBOURS = (3, 5, 8)
 FAR = 80.0
 
 
+#: Points of either side of a cube that one task takes; fuller cubes are dealt in blocks of as many.
+CUBE_ROWS = 4000
+
+
+def _met(a: DataFrame, b: DataFrame, group: str, a_id: str, b_id: str, coords: list[str], cell: float, rows: int | None = None) -> DataFrame:
+    """a (in its cube q0, q1, q2) joined with the points of b (at coords) in the 27 cubes around.
+
+    Where many points lie in few cubes, the two sides of a full cube are dealt into blocks by hash and each block of one meets each of the
+    other, so its pairs spread over tasks.  Numbers of points are counted by cube first; where no cube is full that is all it costs.
+    """
+    rows = rows or CUBE_ROWS
+    q = ["q0", "q1", "q2"]
+    home = [F.floor(F.col(c) / cell).cast("bigint") for c in coords]
+
+    def around(df: DataFrame) -> DataFrame:
+        for i in q:
+            df = df.withColumn(i, F.explode(F.array(*(F.col(i) + s for s in (-1, 0, 1)))))
+        return df
+
+    own = a.groupBy(group, *q).agg(F.count("*").alias("_na"))
+    near = around(b.groupBy(group, *(h.alias(i) for h, i in zip(home, q))).agg(F.count("*").alias("_nb"))).groupBy(group, *q).agg(F.sum("_nb").alias("_nb"))
+    full = own.join(near, [group, *q]).where(F.col("_na") * F.col("_nb") > rows * rows)
+    full = kept_table(full.select(group, *q, F.ceil(F.col("_na") / rows).cast("int").alias("_ka"), F.ceil(F.col("_nb") / rows).cast("int").alias("_kb")))
+    b = around(b.select("*", *(h.alias(i) for h, i in zip(home, q))))
+    n = full.count()
+    if not n:
+        return a.join(b, [group, *q])
+    full = F.broadcast(full) if n <= 20_000 else full
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    each = lambda c: F.explode(F.sequence(F.lit(0), one(c) - 1))
+    dealt = lambda df, key, k: F.pmod(F.xxhash64(key), one(k)).cast("int")
+    a = a.join(full, [group, *q], "left").withColumn("_sa", dealt(a, a_id, "_ka")).withColumn("_sb", each("_kb")).drop("_ka", "_kb")
+    b = b.join(full, [group, *q], "left").withColumn("_sb", dealt(b, b_id, "_kb")).withColumn("_sa", each("_ka")).drop("_ka", "_kb")
+    return a.join(b, [group, *q, "_sa", "_sb"]).drop("_sa", "_sb")
+
+
 def pairs_within(points: DataFrame, group: str, key: str, cell: float, coords: tuple[str, str, str] = ("x", "y", "z"), of: DataFrame | None = None) -> DataFrame:
     """Ordered pairs (a_key, b_key, distance) of different points of a group not further than `cell` apart; of: the points
     (group, key) that a_key is taken from, all without it.
 
     Points fall into cubes of that edge; one side is exploded over the 27 cubes around its own and
-    both meet in an equi join, so only near points meet.
+    both meet in an equi join, so only near points meet; full cubes spread over tasks (see _met).
     """
     cube = [F.floor(F.col(c) / cell).cast("bigint") for c in coords]
     own = points if of is None else points.join(of, [group, key], "left_semi")
     a = own.select(F.col(group), F.col(key).alias("a_key"), *(F.col(c).alias(f"a_{c}") for c in coords), *(q.alias(f"q{i}") for i, q in enumerate(cube)))
     b = points.select(F.col(group), F.col(key).alias("b_key"), *(F.col(c).alias(f"b_{c}") for c in coords))
-    for i, c in enumerate(coords):
-        base = F.floor(F.col(f"b_{c}") / cell).cast("bigint")
-        b = b.withColumn(f"q{i}", F.explode(F.array(*(base + s for s in (-1, 0, 1)))))
     d = distance([F.col(f"a_{c}") for c in coords], [F.col(f"b_{c}") for c in coords])
-    return a.join(b, [group, "q0", "q1", "q2"]).where("a_key <> b_key").withColumn("distance", d).where(F.col("distance") <= cell).select(group, "a_key", "b_key", "distance")
+    return _met(a, b, group, "a_key", "b_key", [f"b_{c}" for c in coords], cell).where("a_key <> b_key").withColumn("distance", d).where(F.col("distance") <= cell).select(group, "a_key", "b_key", "distance")
 
 
 def nearest_k(points: DataFrame, group: str, key: str, k: int, cell: float) -> DataFrame:
     """group, a_key, b_key, distance, k: the k nearest other points of each (all of them in a smaller group), ties by key.
 
-    Points meet by cubes of edge `cell`; those with fewer than k others within that distance meet again by cubes twice as
-    wide, until all have theirs.  The driver counts what is left, once a round; rounds grow with the logarithm of the extent.
+    Points meet by cubes of edge `cell`, halved until no cube holds more than CUBE_ROWS points (but for points at one place), so that crowded places take
+    few pairs; those with fewer than k others within that distance meet again by cubes twice as wide, until all have theirs.  The driver counts what is left, once a round; rounds grow with the logarithm of the extent.
     Points without finite coordinates, group or key are nobody's neighbours and have none.  Of the rows that repeat a key within a group, the
     one of least coordinates counts.
     """
     points = points.where(" and ".join(f"abs({c}) < double('infinity')" for c in ("x", "y", "z"))).where(F.col(group).isNotNull() & F.col(key).isNotNull())
     points = kept_table(points.groupBy(group, key).agg(F.min(F.struct("x", "y", "z")).alias("_at")).select(group, key, "_at.*"))
     extent = points.agg(F.greatest(*(F.max(c) - F.min(c) for c in ("x", "y", "z")))).first()[0] or 0.0
+    for _ in range(40):
+        cube = [F.floor(F.col(c) / cell).alias(c) for c in ("x", "y", "z")]
+        crowded = points.groupBy(group, *cube).agg(F.count("*").alias("_n"), *(F.max(c).alias(f"_h{c}") for c in ("x", "y", "z")), *(F.min(c).alias(f"_l{c}") for c in ("x", "y", "z")))
+        if not crowded.where((F.col("_n") > CUBE_ROWS) & (F.greatest(*(F.col(f"_h{c}") - F.col(f"_l{c}") for c in ("x", "y", "z"))) > 0)).limit(1).count():
+            break
+        cell /= 2
     size = points.groupBy(group).agg((F.count("*") - 1).alias("_others"))
     todo = points.select(group, key)
     order = Window.partitionBy(group, "a_key").orderBy("distance", "b_key")
@@ -70,14 +109,10 @@ def nearest_k(points: DataFrame, group: str, key: str, k: int, cell: float) -> D
 
 def nearest_within(points: DataFrame, targets: DataFrame, group: str, tolerance: float, coords: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
     """Each point with its nearest target of the group within the tolerance, by the same cubes: id, target, distance."""
-    p = points.select(group, "id", *coords)
+    p = points.select(group, "id", *coords, *(F.floor(F.col(c) / tolerance).cast("bigint").alias(f"q{i}") for i, c in enumerate(coords)))
     t = targets.select(group, F.col("id").alias("target"), *(F.col(c).alias(f"t_{c}") for c in coords))
-    for i, c in enumerate(coords):
-        p = p.withColumn(f"q{i}", F.floor(F.col(c) / tolerance).cast("bigint"))
-        base = F.floor(F.col(f"t_{c}") / tolerance).cast("bigint")
-        t = t.withColumn(f"q{i}", F.explode(F.array(*(base + s for s in (-1, 0, 1)))))
     d = distance([F.col(c) for c in coords], [F.col(f"t_{c}") for c in coords])
-    near = p.join(t, [group, "q0", "q1", "q2"]).withColumn("distance", d).where(F.col("distance") <= tolerance)
+    near = _met(p, t, group, "id", "target", [f"t_{c}" for c in coords], tolerance).withColumn("distance", d).where(F.col("distance") <= tolerance)
     return near.groupBy(group, "id").agg(F.min(F.struct("distance", "target")).alias("m")).select(group, "id", "m.target", "m.distance")
 
 

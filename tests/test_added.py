@@ -256,3 +256,24 @@ def test_measured_repeats_and_records(spark):
     once = measured(spark, lambda: calls.append(time.sleep(0.2)), repeats=9, most_s=0.3)
     assert once["repeats"] == 2 and once["tasks"] == 0
     assert measured(spark, lambda: None, repeats=1)["sd"] is None
+
+
+@pytest.mark.parametrize("rows", [4000, 6])
+def test_neighbours_in_uneven_density(spark, monkeypatch, rows):
+    """A crowd, some points at one place, and far ones: pairs, nearest targets and nearest k equal brute force, also where cubes are dealt in blocks."""
+    monkeypatch.setattr(X, "CUBE_ROWS", rows)
+    rng = np.random.default_rng(4)
+    xyz = np.concatenate([rng.normal(0, 0.4, (60, 3)), np.ones((9, 3)) * 0.5, rng.normal(0, 30, (25, 3))])
+    group = ["g" if k % 4 else "h" for k in range(len(xyz))]
+    df = spark.createDataFrame([(g, k, *map(float, p)) for k, (g, p) in enumerate(zip(group, xyz))], "g string, id int, x double, y double, z double")
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1))
+    near = {(r.a_key, r.b_key) for r in X.pairs_within(df, "g", "id", 2.0).collect()}
+    assert near == {(a, b) for a in range(len(xyz)) for b in range(len(xyz)) if a != b and group[a] == group[b] and d[a, b] <= 2.0}
+    got = {(r.a_key, r.k): r.distance for r in X.nearest_k(df, "g", "id", 3, 2.0).collect()}
+    for a in range(len(xyz)):
+        others = sorted(d[a, b] for b in range(len(xyz)) if b != a and group[b] == group[a])
+        assert [got[a, k] for k in (1, 2, 3)] == pytest.approx(others[:3])
+    found = {r.id: (r.target, r.distance) for r in X.nearest_within(df.where("id % 3 = 0"), df.where("id % 3 > 0"), "g", 2.0).collect()}
+    for a in range(0, len(xyz), 3):
+        options = sorted((d[a, b], b) for b in range(len(xyz)) if b % 3 and group[b] == group[a] and d[a, b] <= 2.0)
+        assert (a in found) == bool(options) and (not options or found[a][1] == pytest.approx(options[0][0]))
