@@ -62,7 +62,11 @@ def encode(c: Column, names: list[str], unknown: int = 0, first: int = 1) -> Col
     return F.when(F.coalesce(at, F.lit(0)) == 0, unknown).otherwise(at - 1 + first).cast("int")
 
 
-def element_of(name: Column, pairs: tuple[str, ...] = ("CL", "BR", "MG", "MN", "FE", "ZN", "CA", "NA")) -> Column:
+# Elements of two letters that atom names begin with.
+TWO_LETTERS = ("CL", "BR", "MG", "MN", "FE", "ZN", "CA", "NA")
+
+
+def element_of(name: Column, pairs: tuple[str, ...] = TWO_LETTERS) -> Column:
     """Element of an atom name: a known two-letter one, else the first letter, else UNK."""
     letters = F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), "[^A-Z]", "")
     return F.when(F.substring(letters, 1, 2).isin(*pairs), F.substring(letters, 1, 2)).when(F.length(letters) > 0, F.substring(letters, 1, 1)).otherwise("UNK")
