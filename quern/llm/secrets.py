@@ -35,12 +35,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|apos|amp|lt|gt|equals|colon);)")
+_PERCENT_U = re.compile(r"%u([0-9A-Fa-f]{4})")
+_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|apos|amp|lt|gt|equals|colon);)|\\([\x22'\\/])|\\([0-7]{3})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")
 #: Decoders whose layers are rewritten texts, and how many in a row are undone one by one before all that are left go at once.
 _ESCAPERS, _ONE_BY_ONE = ("url", "unicode"), 3
-_LAST_ESCAPE = re.compile(r"(?:%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|apos|amp|lt|gt|equals|colon);))\Z")
-_ENDS_ESCAPE = frozenset("0123456789abcdefABCDEF;}")
+_LAST_ESCAPE = re.compile(r"(?:%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|apos|amp|lt|gt|equals|colon);)|\\([\x22'\\/])|\\([0-7]{3})|%u([0-9A-Fa-f]{4}))\Z")
+_ENDS_ESCAPE = frozenset("0123456789abcdefABCDEF;}\"'\\/")
 #: Base64 over line breaks: lines of 16 or more, and a last line of any length.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]{16,}+)*+(?:\r?\n[A-Za-z0-9+/_-]++)?")
 _BREAK = re.compile(r"[\r\n]")
@@ -136,6 +137,8 @@ def _percent(layer: Layer) -> Layer | None:
     for m in _PERCENT.finditer(layer.text):
         text, own = _characters(bytes.fromhex(m[0].replace("%", "")))
         pieces.append((m.start(), m.end(), text, [(m.start() + 3 * a, m.start() + 3 * b) for a, b in own]))
+    if "%u" in layer.text:
+        pieces = sorted([*pieces, *((m.start(), m.end(), _unescaped(int(m[1], 16)), [(m.start(), m.end())]) for m in _PERCENT_U.finditer(layer.text))])
     return layer.replaced(pieces, "url") if pieces else None
 
 
@@ -146,6 +149,10 @@ def _escapes(layer: Layer) -> Layer | None:
     for m in _ESCAPE.finditer(layer.text):
         if m[5]:
             new = html.unescape(m[5])
+        elif m[6]:
+            new = m[6]
+        elif m[7]:
+            new = chr(int(m[7], 8))
         else:
             new = _unescaped(int(next(g for g in m.groups() if g), 16))
         pieces.append((m.start(), m.end(), new, [(m.start(), m.end())] * len(new)))
@@ -165,7 +172,14 @@ def _all_escapes(layer: Layer) -> Layer | None:
         begin.append(at)
         end.append(at + 1)
         while out[-1] in _ENDS_ESCAPE and (m := _LAST_ESCAPE.search("".join(out[-12:]))):
-            new = html.unescape(m[6]) if m[6] else _unescaped(int(next(g for g in m.groups() if g), 16))
+            if m[6]:
+                new = html.unescape(m[6])
+            elif m[7]:
+                new = m[7]
+            elif m[8]:
+                new = chr(int(m[8], 8))
+            else:
+                new = _unescaped(int(next(g for g in m.groups() if g), 16))
             first = begin[-len(m[0])]
             del out[-len(m[0]) :], begin[-len(m[0]) :], end[-len(m[0]) :]
             out += new

@@ -1027,3 +1027,26 @@ def test_quality_sample_does_not_lean_to_short_texts(spark):
     got = quality.sample_of(docs, labels, 4000, 40_000)
     long = sum(len(t) > 500 for _, t in got) / len(got)
     assert 60 < len(got) < 150 and 0.35 < long < 0.65, (len(got), long)
+
+
+def test_secrets_behind_simple_escapes(spark):
+    """Quotes as JSON in JSON has them, however often, octal and %u escapes; spans reach over the escaped text."""
+    said = 'password": "hunter2hunter2x'
+    once = said.replace('"', '\\"')
+    twice = once.replace("\\", "\\\\").replace('"', '\\"')
+    deep = said
+    for _ in range(6):
+        deep = deep.replace("\\", "\\\\").replace('"', '\\"')
+    octal = "".join(f"\\{ord(c):03o}" for c in "password=hunter2hunter2x")
+    marked = "".join(f"%u{ord(c):04x}" for c in "password=hunter2hunter2x")
+    texts = [f'{{\\"{once}\\"}}', f"x {twice} y", f"x {deep} y", f"a {octal} b", f"a {marked} b", "%u0070assword=hunter2hunter2x", r"path C:\\dir\160\"plain\" \/ words", "https:\\/\\/a.org\\/token=hunter2hunter2"]
+    got = {r["doc_id"]: [s.split(":") for s in r["spans"].split(",") if s] for r in secrets.secret_spans(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        spans = [(k, t[int(a) : int(b)]) for k, a, b in got[i]]
+        if i == 6:
+            assert spans == []
+        else:
+            assert any(k == "assign" and s.endswith(("x", "0078", "\\170", "hunter2")) for k, s in spans), (t, spans)
+    assert got[3] == [["assign", "2", str(2 + len(octal))]] and got[4] == [["assign", "2", str(2 + len(marked))]]
+    rows = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs_of(spark, texts)).collect()}
+    assert all("hunter2" not in t for t in rows.values())
