@@ -107,13 +107,17 @@ class Passages(NamedTuple):
         return np.sqrt(out) / np.sqrt(np.maximum(1, out.sum(1, keepdims=True)))
 
     def sparse(self, begin: int, end: int) -> Rows:
-        """As matrix(begin, end)."""
+        """As matrix(begin, end), made in blocks."""
+        if end - begin > BLOCK:
+            parts = [self.sparse(a, min(a + BLOCK, end)) for a in range(begin, end, BLOCK)]
+            first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.first) for p in parts]))])
+            return Rows(np.concatenate([p.format for p in parts]), first, np.concatenate([p.bucket for p in parts]), np.concatenate([p.value for p in parts]))
         places = [np.zeros(0, np.int64)]
         for at, bucket in self.tokens:
             a, b = np.searchsorted(at, [begin, end])
             places.append((at[a:b].astype(np.int64) - begin) * LEXICAL + bucket[a:b])
         place, count = np.unique(np.concatenate(places), return_counts=True)
-        row, bucket = place // LEXICAL, place % LEXICAL
+        row, bucket = place // LEXICAL, (place % LEXICAL).astype(np.int16)
         total = np.bincount(row, count, end - begin)
         value = np.sqrt(count.astype(np.float32)) / np.sqrt(np.maximum(1, total))[row].astype(np.float32)
         return Rows(self.format[begin:end].astype(np.float32), np.searchsorted(row, np.arange(end - begin + 1)), bucket, value)
