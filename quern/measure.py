@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import statistics
 import time
 import uuid
@@ -14,7 +15,8 @@ def used(spark: SparkSession, group: str) -> dict[str, float]:
     """Of the jobs of a job group, from the status store: jobs, tasks, task seconds, CPU seconds, MB read, shuffled and spilled, and the execution memory
     in MB of the stage that took most."""
     sc = spark.sparkContext
-    sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)  # records come after the jobs
+    with contextlib.suppress(Exception):  # records come after the jobs; late ones are not counted
+        sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
     jobs = list(tracker.getJobIdsForGroup(group))
     stages = {s for j in jobs if (info := tracker.getJobInfo(j)) for s in info.stageIds}
