@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import geometry as G
+from quern.operators import calibration as C
 from quern.operators import features as X
 from quern.operators import learning as L
 from quern.operators import networks as N
@@ -277,3 +278,14 @@ def test_neighbours_in_uneven_density(spark, monkeypatch, rows):
     for a in range(0, len(xyz), 3):
         options = sorted((d[a, b], b) for b in range(len(xyz)) if b % 3 and group[b] == group[a] and d[a, b] <= 2.0)
         assert (a in found) == bool(options) and (not options or found[a][1] == pytest.approx(options[0][0]))
+
+
+def test_platt_calibration_lowers_the_error(spark):
+    rng = np.random.default_rng(6)
+    z = rng.normal(0, 1.2, 3000)
+    y = rng.random(3000) < 1 / (1 + np.exp(-(z - 0.5)))
+    df = spark.createDataFrame([(int(a), float(3 * b)) for a, b in zip(y, z)], "y int, z double")  # three times too sure, and off by a half
+    slope, intercept = C.platt(df, "y", "z")
+    assert abs(slope - 1 / 3) < 0.05 and abs(intercept + 0.5) < 0.15
+    error = lambda p: C.ece(df.withColumn("p", p), [], "y", "p").first()["ece"]
+    assert error(C.sigmoid(F.col("z") * slope + intercept)) < 0.3 * error(C.sigmoid(F.col("z")))
