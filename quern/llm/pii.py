@@ -1,13 +1,15 @@
 """Personal data: proposed spans, boosted trees, calibrated thresholds.
 
 The base rules' spans are taken as they are.  What they leave of a text is searched by generators of high recall
-(numbers of nine digits or more in any grouping, spelt-out addresses, dotted numbers with marked dots).
-Boosted trees score each proposal by its format and the words before it, and a threshold for each kind selects what is
-redacted beside the base spans.
+(numbers of nine digits or more in any grouping; addresses whose at sign or dots are bracketed, spelt out or set apart; dotted
+numbers with such dots).  A number of 14 or 15 digits is proposed as a card and as a phone.
+Boosted trees score each proposal by its format and its context, and a threshold for each kind selects what is
+redacted beside the base spans.  Context is learnt: how much likelier a word is before base spans of a kind than elsewhere
+before what is proposed, counted over the whole corpus.
 
 Labels come from the corpus itself.  Each base span is rewritten in forms that the rules do not know: spelt out, without
-its plus, grouped otherwise - and, as what must not be taken, with a broken checksum, a part over 255, numbers for a host,
-as a date or a plain number.  Rewritten spans keep the words that stood before them.  Trees are fitted on two thirds of
+its plus, with 00 for it, grouped otherwise - and, as what must not be taken, with a broken checksum, a part over 255, numbers for a host,
+as a date, in thousands or as a plain number, and for "name at host" the word that stood before it in the place of the name.  Rewritten spans keep the words that stood before them.  Trees are fitted on two thirds of
 them; thresholds are set on the last third, at PRECISION.
 
 Everything is DataFrame expressions: trees become conditional expressions over the proposals of a row.
@@ -15,6 +17,8 @@ Everything is DataFrame expressions: trees become conditional expressions over t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +31,12 @@ TREES = 12
 DEPTH = 4
 #: Part of right ones among the rewritten spans above a kind's threshold.
 PRECISION = 0.98
-#: Code points before a span that its features read.
+#: Code points before a span that its features read, and words of them.
 BEFORE = 24
+WORDS_BEFORE = 2
+#: Words that contexts are learnt for: the most frequent ones of those that stand before LEAST spans or more.
+CONTEXT = 300
+LEAST = 20
 
 # Possessive repeats cannot backtrack, so no text is slow and no long one exhausts the stack;
 # what they match is the same, as what follows a repeat never begins like its body.
@@ -39,13 +47,14 @@ BASE = {
     "card": (None, r"[0-9](?:[\x20-]?[0-9]){13,}+"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-#: generator: (kind or null for kind by number of digits, pattern) of what the base rules leave.
+_AT = r"(?:\x20?[\[({<](?:at|@)[\])}>]\x20?|\x20at\x20|\x20?@\x20?)"
+_DOT = r"(?:\x20?[\[({<](?:dot|\.)[\])}>]\x20?|\x20dot\x20|\x20\.\x20)"
+#: generator: (kind or null for kinds by number of digits, pattern) of what the base rules leave.
 GENERATORS = {
-    "spelt": ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[a-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[a-z0-9-]++)++"),
-    "marked": ("ip", r"(?i)(?<![0-9])[0-9]++(?:\x20?[\[(](?:\.|dot)[\])]\x20?[0-9]++){3}"),
+    "spelt": ("email", rf"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++{_AT}[a-z0-9-]++(?:(?:{_DOT}|\.)[a-z0-9-]++)++"),
+    "marked": ("ip", rf"(?i)(?<![0-9])[0-9]++(?:(?:{_DOT}|\.)[0-9]++){{3}}"),
     "number": (None, r"(?<![0-9])[(]?[0-9](?:[\x20().-]{0,2}[0-9]){8,}+"),
 }
-_CUES = r"(?i)(?:phone|tel|call|mobile|fax|card|visa|account|mail|contact|ip|host|address)[^\n]{0,12}$"
 _FOUND = "struct<start:int,text:string,before:string>"
 
 
@@ -113,24 +122,24 @@ def _strict(generator: str, text: Column) -> Column:
 
 
 #: Format and context features of a proposal.
-FEATURES = ("kind", "digits", "length", "separators", "plus", "checksum", "octet", "cue", "groups", "letters", "glued", "tail", "first_run", "last_run", "longest_run", "brackets")
+FEATURES = ("kind", "digits", "length", "separators", "checksum", "octets", "context", "groups", "letters", "glued", "tail", "first_run", "last_run", "longest_run", "brackets", "sign", "dots", "marks", "lead")
 
 
 def features(text: Column, before: Column, kind: Column) -> list[Column]:
-    """The features of a proposal, by name, from what it says, the code points before it and its kind (a place in KINDS)."""
+    """The features of a proposal, by name, from what it says, the code points before it and its kind (a place in KINDS);
+    context is not among them, but the words that it is made of are."""
+    local = F.regexp_extract(text, r"^[A-Za-z0-9._%+-]*", 0)
     n = F.length(_digits(text))
     runs = F.filter(F.split(text, "[^0-9]+"), lambda x: x != "")
     longest = F.array_max(F.transform(runs, F.length))
-    four = F.when(F.size(runs) == 4, F.array_max(F.transform(runs, lambda r: F.when(F.length(r) > 3, 999).otherwise(r.cast("int"))))).otherwise(-1)
+    octets = F.when(F.size(runs) == 4, F.array_max(F.transform(runs, lambda r: F.when(F.length(r) > 3, 999).otherwise(r.cast("int")))) <= 255).otherwise(False)
     made = {
         "kind": kind,
         "digits": n,
         "length": F.length(text),
         "separators": F.length(F.regexp_replace(text, "[^\\x20().-]", "")),
-        "plus": F.startswith(text, F.lit("+")),
         "checksum": F.when((n >= 12) & (n <= 19), luhn(_digits(text))).otherwise(False),
-        "octet": four,
-        "cue": F.rlike(before, F.lit(_CUES)),
+        "octets": octets,
         "groups": F.size(F.split(text, "[^0-9A-Za-z]+")),
         "letters": F.length(F.regexp_replace(text, "[^A-Za-z]", "")),
         "glued": F.rlike(before, F.lit("[0-9A-Za-z+.-]$")),
@@ -138,9 +147,18 @@ def features(text: Column, before: Column, kind: Column) -> list[Column]:
         "first_run": F.coalesce(F.length(F.get(runs, 0)), F.lit(0)),
         "last_run": F.coalesce(F.length(F.element_at(F.when(F.size(runs) > 0, runs), -1)), F.lit(0)),
         "longest_run": F.coalesce(longest, F.lit(0)),
-        "brackets": F.length(F.regexp_replace(text, "[^\\[\\]()]", "")),
+        "brackets": F.length(F.regexp_replace(text, r"[^\[\](){}<>]", "")),
+        "sign": F.when(F.rlike(text, F.lit(r"(?i)[\[({<](?:at|@)[\])}>]")), 3).when(F.contains(text, F.lit("@")), 2).when(F.rlike(text, F.lit(r"(?i)\x20at\x20")), 1).otherwise(0),
+        "dots": F.size(F.regexp_extract_all(text, F.lit(rf"(?i){_DOT}"), F.lit(0))),
+        "marks": F.length(F.regexp_replace(local, "[A-Za-z]", "")),
+        "lead": F.startswith(text, F.lit("00")),
     }
-    return [made[f].cast("double").alias(f) for f in FEATURES]
+    return [*(made[f].cast("double").alias(f) for f in FEATURES if f != "context"), _words_before(before).alias("words")]
+
+
+def _words_before(before: Column) -> Column:
+    words = F.regexp_extract_all(F.lower(before), F.lit(r"\p{L}{2,}"), F.lit(0))
+    return F.when(F.size(words) > WORDS_BEFORE, F.slice(words, -WORDS_BEFORE, WORDS_BEFORE)).otherwise(words)
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -172,7 +190,7 @@ def proposals(docs: DataFrame) -> DataFrame:
         df = df.withColumn("text", F.when(F.col(f"n_{name}") > 0, _blanked(name, "text", pattern)).otherwise(F.col("text")))
     df = df.select("doc_id", "text", "base", "seeds", *(_matches(F.col("text"), pattern).alias(f"{name}_found") for name, (_, pattern) in GENERATORS.items()))
     df = df.select("doc_id", "base", "seeds", *(_placed(name, "text", pattern) for name, (_, pattern) in GENERATORS.items()))
-    return df.select("doc_id", "base", "seeds", F.concat(*(F.transform(name, _proposal(kind)) for name, (kind, _) in GENERATORS.items())).alias("proposed"))
+    return df.select("doc_id", "base", "seeds", F.concat(*(_proposed(name, kind) for name, (kind, _) in GENERATORS.items())).alias("proposed"))
 
 
 def _stands(name: str):
@@ -193,44 +211,68 @@ def _blanked(name: str, text: str, pattern: str) -> Column:
     return F.array_join(F.zip_with(F.split(text, pattern, -1), _matches(F.col(text), pattern), blank), "")
 
 
-def _number_kind(text: Column) -> Column:
-    return F.when(F.length(_digits(text)) >= 14, KINDS.index("card")).otherwise(KINDS.index("phone"))
+_CARD, _PHONE = KINDS.index("card"), KINDS.index("phone")
 
 
-def _proposal(kind: str | None):
-    def run(s: Column) -> Column:
-        own = F.lit(KINDS.index(kind)) if kind else _number_kind(s["text"])
-        return F.struct(s["start"].alias("start"), (s["start"] + F.length(s["text"])).alias("end"), *features(s["text"], s["before"], own))
+def _number_kinds(text: Column) -> Column:
+    """What a number may be, a card before a phone."""
+    n = F.length(_digits(text))
+    card, phone = F.lit(_CARD), F.lit(_PHONE)
+    return F.when(n > 15, F.array(card)).when(n >= 14, F.array(card, phone)).otherwise(F.array(phone))
+
 
-    return run
+def _proposed(name: str, kind: str | None) -> Column:
+    """The proposals of a generator's matches, one for each kind that a match may be of."""
+    one = lambda s, own: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["text"])).alias("end"), *features(s["text"], s["before"], own))
+    if kind:
+        return F.transform(name, lambda s: one(s, F.lit(KINDS.index(kind))))
+    return F.flatten(F.transform(name, lambda s: F.transform(_number_kinds(s["text"]), lambda own: one(s, own))))
 
 
-def rewritten(kind: Column, text: Column, pick: Column) -> Column:
+def rewritten(kind: Column, text: Column, before: Column, pick: Column) -> Column:
     """Forms of a base span that the base rules do not know: array of struct<kind, text, label>; pick, a whole number, varies them."""
-    local, host = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
+    word = F.regexp_extract(before, r"([A-Za-z]{2,})[^A-Za-z]*$", 1)
+    vary = lambda step, *of: F.element_at(F.array(*of), (F.pmod(F.floor(pick / step), F.lit(len(of))) + 1).cast("int"))
+    name = F.substring_index(text, "@", 1)
+    letters = F.coalesce(F.nullif(F.regexp_replace(name, "[^A-Za-z]", ""), F.lit("")), name)
+    marked = F.concat(letters, F.pmod(pick, F.lit(10)).cast("string"))
+    local = vary(11, name, letters, marked, name)
+    host = vary(5, F.substring_index(text, "@", -1), F.substring_index(F.substring_index(text, "@", -1), ".", -2))
     digits = _digits(text)
     bare = F.ltrim(F.regexp_replace(text, "^[+]", ""))
     choose = lambda *of: F.element_at(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in of)), (F.pmod(pick, F.lit(len(of))) + 1).cast("int"))
-    grouped = lambda d, by: F.regexp_replace(d, F.lit("([0-9]{4})(?=[0-9])"), F.concat(F.lit("$1"), by))
+    runs = lambda step, *sizes: vary(step, *(F.lit(f"([0-9]{{{n}}})(?=[0-9])") for n in sizes))
+    grouped = lambda d, by, of=F.lit("([0-9]{4})(?=[0-9])"): F.regexp_replace(d, of, F.concat(F.lit("$1"), by))
     joined = lambda by, *of: F.call_function("concat_ws", by, *of)  # noqa: E731  F.concat_ws takes no column to join by
     last = F.substring(digits, -1, 1).cast("int")
     broken = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), ((last + 1 + F.pmod(F.floor(pick / 7), F.lit(9))) % 10).cast("string"))
     regroup = lambda d: joined(choose("-", " ", "."), F.substring(d, -10, 3), F.substring(d, -7, 3), F.substring(d, -4, 4))
     parts = F.split(text, r"\.")
+    over = (256 + F.pmod(F.floor(pick / 7), F.lit(744))).cast("string")
     forms = {
         "email": [
             (F.concat(local, choose(" [at] ", "[at]", " (at) ", "(at)"), F.replace(host, F.lit("."), choose(" [dot] ", ".", "[dot]", " (dot) ", "(dot)"))), 1),
             (F.concat(local, choose(" (at) ", "[at]"), F.replace(host, F.lit("."), choose(".", "(dot)", " [dot] "))), 1),
             (F.concat(local, choose(" [at] ", "(at)"), F.replace(F.regexp_replace(host, "[A-Za-z]", "5"), F.lit("."), choose(" [dot] ", "."))), 0),
             (F.concat(local, choose(" [at] ", "(at)", "[at]"), F.regexp_replace(host, r"\.[^.]*$", ""), F.lit("."), F.substring(host, -1, 1)), 0),
+            (F.concat(local, F.lit(" at "), F.replace(host, F.lit("."), F.lit(" dot "))), 1),
+            (F.concat(local, choose("@", " @ "), F.replace(host, F.lit("."), choose("[.]", "[dot]", " . ", " dot "))), 1),
+            (F.concat(vary(11, name, marked), F.lit(" at "), host), 1),
+            (F.concat(word, F.lit(" at "), host), 0),
+            (F.concat(word, choose(" at ", " @ "), F.regexp_replace(host, "[A-Za-z]", "5")), 0),
         ],
         "ip": [
             (joined(choose("[.]", " [.] ", "[dot]", "(dot)", " (dot) "), parts), 1),
-            (joined(choose("[.]", "(.)", " [dot] "), F.concat(F.lit("2"), F.lpad(F.get(parts, 0), 3, "6")), F.get(parts, 1), F.get(parts, 2), F.get(parts, 3)), 0),
+            (joined(choose(" dot ", " . "), parts), 1),
+            (F.concat(F.substring_index(text, ".", 3), choose("[.]", "(dot)", "{.}"), F.get(parts, 3)), 1),
+            (F.concat(F.substring_index(text, ".", 3), F.lit("."), over), 0),
+            (joined(choose(" dot ", " . "), F.get(parts, 0), over, F.get(parts, 2), F.get(parts, 3)), 0),
+            (joined(choose("[.]", "(.)", " [dot] "), over, F.get(parts, 1), F.get(parts, 2), F.get(parts, 3)), 0),
         ],
         "card": [
             (grouped(digits, choose(".", "  ", ". ", "--", " - ")), 1),
-            (grouped(digits, choose("  ", ".", "-.")), 1),
+            (grouped(digits, choose("  ", ".", "-."), runs(3, 3, 5, 2, 6)), 1),
+            (grouped(broken, choose("  ", ".", "-."), runs(3, 3, 5, 2, 6)), 0),
             (grouped(broken, choose(".", "  ", ". ", "--", " - ")), 0),
             (grouped(broken, choose("", "-", " ", ".")), 0),
         ],
@@ -239,6 +281,11 @@ def rewritten(kind: Column, text: Column, pick: Column) -> Column:
             (regroup(digits), 1),
             (F.concat(F.lit("("), F.substring(digits, -10, 3), F.lit(") "), F.substring(digits, -7, 3), choose("-", " ", "."), F.substring(digits, -4, 4)), 1),
             (F.concat(F.substring(digits, 1, 1), choose(" ", "-", "."), regroup(digits)), 1),
+            (F.concat(F.lit("00"), F.substring(digits, 1, 2), choose(" ", "-", "."), grouped(F.substring(digits, 3, 10), choose(" ", "-", "."), runs(3, 2, 3, 4, 5))), 1),
+            (F.concat(F.lit("("), F.substring(digits, -10, 3), F.lit(") "), grouped(F.substring(digits, -7, 7), choose(" ", "-", "."), runs(3, 2, 3, 4))), 1),
+            (F.concat(F.lit("00"), F.substring(digits, 1, 2), choose(" ", "-", "."), grouped(F.concat(F.substring(digits, 3, 10), F.substring(digits, 2, 1)), choose(" ", "-", "."), runs(3, 2, 3, 4, 5))), 1),
+            (F.concat(F.lit("00"), bare), 1),
+            (F.regexp_replace(F.substring(digits, 1, 12), F.lit("(?<=[0-9])(?=(?:[0-9]{3})+$)"), choose(" ", ".")), 0),
             (digits, 0),
             (F.concat(F.lit("20"), F.substring(digits, -8, 2), choose("-", "."), F.substring(digits, -6, 2), choose("-", "."), F.substring(digits, -4, 2), F.lit(" "), F.substring(digits, -2, 2)), 0),
             (F.concat(F.substring(digits, -7, 7), F.lit("."), F.substring(digits, -4, 4)), 0),
@@ -246,27 +293,50 @@ def rewritten(kind: Column, text: Column, pick: Column) -> Column:
         ],
     }
     out = F.array().cast("array<struct<kind:int,text:string,label:int>>")
-    for name, made in forms.items():
-        own = F.array(*(F.struct(F.lit(KINDS.index(name)).alias("kind"), t.alias("text"), F.lit(label).alias("label")) for t, label in made))
-        out = F.when(kind == KINDS.index(name), own).otherwise(out)
+    for of, made in forms.items():
+        own = F.array(*(F.struct(F.lit(KINDS.index(of)).alias("kind"), t.alias("text"), F.lit(label).alias("label")) for t, label in made))
+        out = F.when(kind == KINDS.index(of), own).otherwise(out)
     return out
 
 
+def _plain(found: DataFrame) -> DataFrame:
+    """Proposals that are digits only."""
+    return found.where("size(proposed) > 0").select("doc_id", F.explode("proposed").alias("p")).where("p.separators = 0 and p.letters = 0 and p.dots = 0")
+
+
 def examples(found: DataFrame, seeds: int = SEEDS) -> DataFrame:
-    """key, label and features of rewritten base spans, and of numbers without any separator, of `seeds` of either at most, those of
-    least hash.  A rewritten span counts if a generator takes all of it."""
+    """key, label, features and words of rewritten base spans, and of numbers without any separator, of `seeds` of either at most, those of
+    least hash.  A rewritten span counts if a generator takes all of it; a number that may be of two kinds is an example of either."""
     each = found.where("size(seeds) > 0").select("doc_id", F.posexplode("seeds").alias("at", "s")).select(F.xxhash64("doc_id", "at", "s").alias("key"), "s.*")
     each = each.orderBy("key", "kind", "text", "before").limit(seeds)
-    forms = each.select("key", "before", F.explode(rewritten(F.col("kind"), F.col("text"), F.abs(F.col("key") % 1_000_003))).alias("f")).select("key", "before", "f.*")
+    forms = each.select("key", "before", F.explode(rewritten(F.col("kind"), F.col("text"), F.col("before"), F.abs(F.col("key") % 1_000_003))).alias("f")).select("key", "before", "f.*")
     whole = F.lit(False)
     for kind, pattern in GENERATORS.values():
-        right = (F.col("kind") == KINDS.index(kind)) if kind else F.col("kind").isin(KINDS.index("card"), KINDS.index("phone"))
+        right = (F.col("kind") == KINDS.index(kind)) if kind else F.col("kind").isin(_CARD, _PHONE)
         whole = whole | (right & (F.regexp_extract("text", pattern, 0) == F.col("text")))
-    number = F.when(F.col("kind") >= KINDS.index("card"), _number_kind(F.col("text"))).otherwise(F.col("kind"))
-    forms = forms.where(whole).select("key", F.col("label").cast("double").alias("label"), *features(F.col("text"), F.col("before"), number))
-    plain = found.where("size(proposed) > 0").select("doc_id", F.explode("proposed").alias("p")).where("p.separators = 0 and p.letters = 0")
-    plain = plain.select(F.xxhash64("doc_id", "p").alias("key"), "p.*").orderBy("key").limit(seeds)
-    return forms.unionByName(plain.select("key", F.lit(0.0).alias("label"), *FEATURES))
+    said = F.when(F.col("kind") >= _CARD, _number_kinds(F.col("text"))).otherwise(F.array("kind"))
+    forms = forms.where(whole).withColumn("said", F.explode(said)).withColumn("label", F.when(F.col("said") == F.col("kind"), F.col("label")).otherwise(0).cast("double"))
+    forms = forms.select("key", "label", *features(F.col("text"), F.col("before"), F.col("said")))
+    plain = _plain(found).select(F.xxhash64("doc_id", "p").alias("key"), "p.*").orderBy("key").limit(seeds)
+    return forms.unionByName(plain.drop("start", "end").withColumn("label", F.lit(0.0)))
+
+
+def contexts(found: DataFrame) -> dict[tuple[int, str], float]:
+    """(kind, word): log of how much likelier the word is before base spans of the kind than before the rest of base spans and plain
+    numbers.  All of found is counted; CONTEXT words come back."""
+    seeds = found.where("size(seeds) > 0").select(F.explode("seeds").alias("s")).select("s.kind", _words_before(F.col("s.before")).alias("words"))
+    rows = seeds.union(_plain(found).select(F.lit(-1), "p.words"))
+    of = range(-1, len(KINDS))
+    each = rows.select("kind", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("words"))).alias("word"))  # "": the row itself
+    counts = each.groupBy("word").agg(*(F.count_if(F.col("kind") == k).alias(f"n{k}") for k in of), F.count("*").alias("n"))
+    counts = counts.where(F.col("n") >= LEAST).orderBy(F.col("n").desc(), "word").limit(CONTEXT + 1).collect()
+    total = next((r for r in counts if r["word"] == ""), None)
+    out = {}
+    for r in counts:
+        for k in of[1:] if r["word"] else ():
+            own, rest = (r[f"n{k}"] + 0.5) / (total[f"n{k}"] + 1), (r["n"] - r[f"n{k}"] + 0.5) / (total["n"] - total[f"n{k}"] + 1)
+            out[k, r["word"]] = round(math.log(own / rest), 4)
+    return out
 
 
 def _tree(node, c) -> Column:
@@ -281,8 +351,15 @@ def _tree(node, c) -> Column:
 class Scorer:
     """Boosted trees and a threshold for each kind; without proposals to learn from, nothing is selected."""
 
-    def __init__(self, trees=(), weights=(), thresholds=None):
-        self.trees, self.weights, self.thresholds = trees, weights, thresholds or {}
+    def __init__(self, trees=(), weights=(), thresholds=None, contexts=None):
+        self.trees, self.weights, self.thresholds, self.contexts = trees, weights, thresholds or {}, contexts or {}
+
+    def context(self, kind: Column, words: Column) -> Column:
+        if not self.contexts:
+            return F.lit(0.0)
+        table = F.create_map(*(F.lit(x) for (k, word), value in self.contexts.items() for x in (f"{k} {word}", value)))
+        value = lambda w: F.coalesce(F.try_element_at(table, F.concat_ws(" ", kind.cast("int").cast("string"), w)), F.lit(0.0))
+        return F.aggregate(words, F.lit(0.0), lambda a, w: a + value(w))
 
     def score(self, c) -> Column:
         total = F.lit(0.0)
@@ -304,7 +381,8 @@ def fit(found: DataFrame, seeds: int = SEEDS) -> Scorer:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = tables.written(examples(found, seeds))
+    known = contexts(found)
+    rows = tables.written(examples(found, seeds).withColumn("context", Scorer(contexts=known).context(F.col("kind"), F.col("words"))).drop("words"))
     if rows.select("label").distinct().count() < 2:
         tables.drop(rows)
         return Scorer()
@@ -314,7 +392,7 @@ def fit(found: DataFrame, seeds: int = SEEDS) -> Scorer:
         tables.drop(rows)
         return Scorer()
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.4, seed=5, minInstancesPerNode=3).fit(vectors.where("part > 0"))
-    scorer = Scorer(model.trees, model.treeWeights)
+    scorer = Scorer(model.trees, model.treeWeights, contexts=known)
     seen = rows.where(part == 0).withColumn("bin", F.floor(scorer.score({f: F.col(f) for f in FEATURES}) * 100))
     counts = seen.groupBy("kind", "bin").agg(F.sum("label").alias("right"), F.count("*").alias("n")).collect()  # at most 101 rows a kind
     for kind in range(len(KINDS)):
@@ -330,12 +408,16 @@ def fit(found: DataFrame, seeds: int = SEEDS) -> Scorer:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans of each row of docs: arrays of struct<start, kind, end>, by start, then kind (a place in KINDS),
     in code points, end exclusive; spans holds base and what the trees select of the rest.  A null text is empty; without base
-    spans to learn from, nothing is added."""
+    spans to learn from, nothing is added.  Rows that share an id, or are the same, are judged each for itself; no other column is read."""
     found = tables.written(proposals(docs))
     scorer = fit(found)
-    chosen = F.transform(F.filter("proposed", scorer.selects), lambda p: F.struct(p["start"].alias("start"), p["kind"].cast("int").alias("kind"), p["end"].alias("end")))
     if not scorer.thresholds:
-        chosen = F.slice("base", 1, 0)
+        return found.select("doc_id", "base", F.col("base").alias("spans"))
+    scored = F.transform("proposed", lambda p: p.withField("context", scorer.context(p["kind"], p["words"])))
+    # of a number that passes as a card and as a phone, which stand side by side, the card stays
+    again = lambda all_, p, i: (p["kind"] == _PHONE) & F.coalesce(F.get(all_, i - 1)["start"] == p["start"], F.lit(False))
+    chosen = _let(F.filter(scored, scorer.selects), lambda all_: F.filter(all_, lambda p, i: ~again(all_, p, i)))
+    chosen = F.transform(chosen, lambda p: F.struct(p["start"].alias("start"), p["kind"].cast("int").alias("kind"), p["end"].alias("end")))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", chosen)).alias("spans"))
 
 

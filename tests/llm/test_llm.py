@@ -682,6 +682,68 @@ def test_pii_trees_add_spans_that_the_base_rules_miss(spark):
     assert precision >= 0.95, (precision, said)
 
 
+def unseen_pii(n=80):
+    """Forms that no training form has, and look-alikes of them: (text, kind or None, start, end)."""
+    rng = random.Random(11)
+    some = ["over", "there", "then", "lies", "nothing", "here", "ask"]
+    say = lambda: " ".join(rng.choice(some) for _ in range(rng.randrange(3, 9)))
+    digits = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+    parts = lambda: [str(rng.randrange(1, 250)) for _ in range(4)]
+    out = []
+    for i in range(n):
+        card = digits(15)
+        card += next(c for c in "0123456789" if luhn(card + c))
+        wrong = card[:-1] + str((int(card[-1]) + 1 + i % 9) % 10)
+        odd = lambda c: "  ".join((c[:6], c[6:10], c[10:]))
+        right = [
+            ("email", f"jane{i} AT example DOT com"),
+            ("email", f"jane{i} {{at}} mail {{dot}} example {{dot}} org"),
+            ("email", f"j.doe{i} <at> example <dot> net"),
+            ("email", f"jane{i}@mail{{dot}}example{{dot}}com"),
+            ("ip", "{.}".join(parts())),
+            ("ip", " <dot> ".join(parts())),
+            ("phone", f"0044 {digits(2)} {digits(4)} {digits(4)}"),
+            ("phone", f"({digits(3)}) {digits(3)} {digits(2)} {digits(2)}"),
+            ("card", odd(card)),
+        ]
+        fake = [
+            f"population {rng.randrange(1, 9)} {digits(3)} {digits(3)} {digits(3)}",
+            odd(wrong),
+            "{.}".join(["3" + digits(2), *parts()[1:]]),
+            f"{rng.choice(some)} at docs.example.org",
+            f"serial {digits(13)}",
+        ]
+        for kind, span in (*right, *((None, f) for f in fake)):
+            begin = say()
+            out.append((f"{begin} {span} {say()}", kind, len(begin) + 1, len(begin) + 1 + len(span)))
+    return out
+
+
+def test_pii_of_forms_that_training_never_saw(spark):
+    planted = unseen_pii()
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1 - i, p[0]) for i, p in enumerate(planted)], "doc_id bigint, text string"))
+    got = {r["doc_id"]: r for r in pii.find_personal_data(docs).where("doc_id < 0").collect()}
+    hit, said = collections.Counter(), 0
+    for i, (_, kind, start, end) in enumerate(planted):
+        added = [(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in got[-1 - i]["spans"]]
+        hit[kind] += any(k == kind and a <= start and b >= end for k, a, b in added)
+        said += bool(added)
+    recall = {k: hit[k] / sum(p[1] == k for p in planted) for k in pii.KINDS}
+    precision = sum(hit[k] for k in pii.KINDS) / max(1, said)
+    assert all(r >= 0.8 for r in recall.values()), (recall, precision)
+    assert precision >= 0.9, (recall, precision)
+
+
+def test_pii_learns_contexts_from_all_rows(spark):
+    texts = ["reach bo on +49 170 1234567 whenever or rather write to a@b.org"] * 30 + ["serial number 12345678901 and part number 98765432109"] * 30
+    found = pii.proposals(docs_of(spark, texts))
+    known = pii.contexts(found)
+    phone, mail = pii.KINDS.index("phone"), pii.KINDS.index("email")
+    assert known[phone, "on"] > 1 > 0 > known[phone, "number"]
+    assert known[mail, "write"] > 1 > 0 > known[mail, "on"]
+    assert pii.contexts(pii.proposals(docs_of(spark, ["nothing", None]))) == {}
+
+
 def test_pii_of_texts_with_very_many_matches(spark):
     many = " ".join(f"a{i}@b{i}.org 1.2.3.{i % 256} +49 (170) 123-{i:05d}" for i in range(20_000))
     loose = " ".join(f"b{i} [at] c [dot] org 170 123 {i:05d}" for i in range(20_000))
