@@ -247,6 +247,13 @@ def test_heads_beat_chance(spark, name):
     assert r.ap > r.prevalence + 0.02, r
 
 
+def test_perceptron_beats_chance_and_platt_lowers_the_error(spark):
+    r = registry.QUERIES["ml6_ml8_perceptron_head"](spark, "/root/testdata/sf0.001").first()
+    assert r.ap > r.prevalence + 0.05 and r.auroc > 0.55, r
+    platt = registry.QUERIES["m14_platt"](spark, "/root/testdata/sf0.001").first()
+    assert platt.after < platt.before / 2, platt
+
+
 def test_measured_repeats_and_records(spark):
     from quern.measure import measured
 
