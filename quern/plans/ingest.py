@@ -34,7 +34,7 @@ _PDB = "printf('%-6s%5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f%22s%2s', CASE WHEN li
 
 def _pdb_lines(spark, sf_dir):
     p = atoms(spark, sf_dir)
-    line = F.format_string("%-6s%5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f%22s%2s", F.when(F.col("ligand") == 1, "HETATM").otherwise("ATOM"), "id", F.lit("CA"), F.when(F.col("id") % 3 == 0, "ALA").otherwise("GLY"), F.lit("A"), F.col("id") % 50, "x", "y", "z", F.lit(""), F.lit("C"))
+    line = F.format_string("%-6s%5s %-4s %3s %1s%4d    %8.3f%8.3f%8.3f%22s%2s", F.when(F.col("ligand") == 1, "HETATM").otherwise("ATOM"), files.pdb_serial(F.col("id")), F.lit("CA"), F.when(F.col("id") % 3 == 0, "ALA").otherwise("GLY"), F.lit("A"), F.col("id") % 50, "x", "y", "z", F.lit(""), F.lit("C"))
     bad = p.where("id % 40 = 0").select("g", F.lit("ATOM  12x45 broken").alias("line"), F.lit(-1).cast("bigint").alias("line_no"))
     return p.select("g", line.alias("line"), F.col("id").alias("line_no")).union(bad)
 

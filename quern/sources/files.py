@@ -69,16 +69,34 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
+#: Five digits of base 36 from A0000 on, in capitals and then in small letters, go on where 99999 ends (hybrid-36, of the PDB format).
+_FIRST, _SPAN = 10 * 36**4, 26 * 36**4
+
+
+def pdb_serial(number: Column) -> Column:
+    """The five columns of an atom's number, right-justified; in hybrid-36 from 100,000 on.  A number that these cannot hold stops the job."""
+    over = number - 100_000
+    digits = F.lpad(F.conv((over % _SPAN + _FIRST).cast("string"), 10, 36), 5, "0")
+    wide = F.when(over < _SPAN, digits).when(over < 2 * _SPAN, F.lower(digits)).otherwise(F.raise_error(F.lit("an atom's number does not fit its five columns")))
+    return F.when(number.between(-9999, 99_999), F.lpad(number.cast("string"), 5, " ")).when(over >= 0, wide).otherwise(F.raise_error(F.lit("an atom's number does not fit its five columns")))
+
+
+def parsed_serial(text: Column) -> Column:
+    """The number that pdb_serial wrote; null where it is none."""
+    value = F.conv(text, 36, 10).cast("bigint") - _FIRST + 100_000
+    return F.when(text.rlike("^[A-Z][0-9A-Z]{4}$"), value).when(text.rlike("^[a-z][0-9a-z]{4}$"), value + _SPAN).otherwise(text.try_cast("int")).cast("int")
+
+
 def parse_pdb(lines: DataFrame) -> DataFrame:
     """Atoms of fixed-width lines: record, serial, name, resname, chain, resnr (text: it keeps the insertion code), x, y, z, element.
 
-    Lines that are no atoms or whose numbers do not parse are skipped.
+    Serials beyond 99,999 are read as hybrid-36.  Lines that are no atoms or whose numbers do not parse are skipped.
     """
     cut = lambda a, b: F.trim(F.substring("line", a, b - a + 1))
     atoms = lines.where(F.substring("line", 1, 6).isin("ATOM  ", "HETATM")).select(
         *(c for c in lines.columns if c != "line"),
         cut(1, 6).alias("record"),
-        cut(7, 11).try_cast("int").alias("serial"),
+        parsed_serial(cut(7, 11)).alias("serial"),
         cut(13, 16).alias("name"),
         cut(18, 20).alias("resname"),
         cut(22, 22).alias("chain"),
