@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import features as X
+from quern.operators import selection as S
+from quern.sources import files
 
 
 def test_closest_pairs_equal_all_pairs(spark):
@@ -26,3 +28,33 @@ def test_closest_pairs_equal_all_pairs(spark):
                 want.setdefault((g, i, j), []).append((math.sqrt((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2), n, m))
     assert got == {k: {(n, m, d) for d, n, m in v if d == min(v)[0]} for k, v in want.items()}
     assert X.closest_pairs(make(a, "i"), make([], "j"), "g", "i", "j").count() == 0
+
+
+def test_pdb_numbers_beyond_five_digits(spark):
+    numbers = [0, 7, -3, 99_999, 100_000, 100_001, 125_000, 1_000_000, 43_770_015, 43_770_016, 87_440_031]
+    df = spark.createDataFrame([(n,) for n in numbers], "n bigint").withColumn("s", files.pdb_serial(F.col("n")))
+    rows = df.withColumn("line", F.concat(F.lit("ATOM  "), "s", F.lit("  CA  GLY A   1    " + "   1.000" * 3 + " " * 22 + " C"))).drop("s")
+    got = files.parse_pdb(rows).collect()
+    assert sorted((r.n, r.serial, r.x, r.element) for r in got) == sorted((n, n, 1.0, "C") for n in numbers)
+    assert {r.s for r in df.where("n >= 99999").collect()} >= {"99999", "A0000", "A0001", "ZZZZZ", "a0000", "zzzzz"}
+    with pytest.raises(Exception, match="five columns"):
+        spark.range(87_440_032, 87_440_033).select(files.pdb_serial(F.col("id"))).collect()
+
+
+def test_searches_compare_in_blocks(spark):
+    """Pairs are met inside tasks: no operator of the plan makes rows of them."""
+    rng = np.random.default_rng(2)
+    w = [int(v) for v in rng.integers(0, 1 << 12, 400)]
+    train, asked = w[:300] + [0], w[300:] + [0, w[0], -1]
+    t = lambda a, b: (a & b).bit_count() / (a | b).bit_count() if a | b else 1.0
+    full = lambda v: v & (1 << 64) - 1
+    want = {}
+    for i, a in enumerate(asked):
+        m = max(t(full(a), b) for b in train)
+        want[i] = m, min(j for j, b in enumerate(train) if t(full(a), b) == m)
+    make = lambda v, a, b: spark.createDataFrame([*enumerate(v), (999, None)], f"{a} bigint, {b} bigint")
+    for rows in (100_000, 7):
+        best = S.nearest_tanimoto(make(asked, "id", "w"), make(train, "train", "tw"), rows)
+        assert {r.id: (r.t, r.nearest) for r in best.collect()} == want
+        assert "Join" not in best._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in S.nearest_fingerprint(*(df.withColumn(c, F.array(c)) for df, c in ((make(asked, "id", "w"), "w"), (make(train, "train", "tw"), "tw"))), size=64)._jdf.queryExecution().optimizedPlan().toString()
