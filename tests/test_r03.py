@@ -7,8 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quern.operators import boosting as B
 from quern.operators import features as X
+from quern.operators import learning as L
+from quern.operators import networks as N
+from quern.operators import resample as R
 from quern.operators import selection as S
+from quern.plans import fixtures, registry
 from quern.sources import files
 
 
@@ -71,3 +76,57 @@ def test_pairs_carry_values_and_nearest_meet_few(spark, monkeypatch):
     d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2)) + np.eye(1500) * 9
     assert got == {(i, k + 1): int(j) for i in range(1500) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
     assert sum(m.count() for m in met) < 200 * 1500
+
+
+def test_boosting_keeps_equal_rows_once(spark):
+    df = spark.range(5000).select((F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), ((F.col("id") % 5 > 2) != (F.col("id") % 3 == 1)).cast("int").alias("y"))
+    rows = df.select("a", "b", F.col("y").cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit(False).alias("held"))
+    binned = B._binned(rows, B.Model(["a", "b"], [[0.0, 1.0, 2.0, 3.0], [0.0, 1.0]], 0.0, []))
+    assert binned.count() == 15 and binned.agg(F.sum("n")).first()[0] == 5000
+    many, one = (B.fit(d, ["a", "b"], "y", leaves=8, rounds=4, rate=0.3, least_rows=n) for d, n in ((df, 200), (df.distinct().unionByName(df.distinct()), 1)))
+    assert B.scored(df, many).where(((F.col("score") > 0.5).cast("int")) != F.col("y")).count() == 0
+    assert [t.feature for t in many.trees][0] == [t.feature for t in one.trees][0]
+
+
+def test_draws_spread_over_tasks(spark, monkeypatch):
+    df = spark.range(500).select((F.col("id") % 2).alias("g"), "id")
+    plain = sorted(map(tuple, R.resampled_within(df, "g", "id", 7, "s").collect()))
+    monkeypatch.setattr(R, "DRAWS_BLOCK", 100)
+    assert sorted(map(tuple, R.resampled_within(df, "g", "id", 7, "s").collect())) == plain
+    assert sum(r[-1] for r in plain) == 500 * 7
+    assert R.resampled_within(df, "g", "id", 7, "s").count() == len(plain)
+
+
+def test_complexes_are_dealt_by_their_number_of_items(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, fixtures.ranked_items(spark, sf).collect()))
+    monkeypatch.setattr(fixtures, "TASK_ITEMS", 700)
+    dealt = fixtures.ranked_items(spark, sf, dealt=True)
+    assert dealt.rdd.getNumPartitions() == -(-len(want) // 700) and sorted(map(tuple, dealt.collect())) == want
+    for name in ("fe4_context", "w3_w4_assayed_ranks", "m8_spearman", "a22_selection_conflicts"):
+        assert "RepartitionByExpression" in registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_radial_columns_compile(spark):
+    assert "lambda" not in registry.QUERIES["x5_radial_basis"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merged_rows_leave_trees_and_gradients(spark):
+    df = spark.range(4000).select((F.col("id") % 11).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), ((F.col("id") % 11 + F.col("id") % 7) > 8).cast("int").alias("y"), "id")
+    a, b = (L.score_with(L.boosted_head(df, ["a", "b"], "y", trees=2, depth=2, merged=m), df, ["a", "b"]).orderBy("id").collect() for m in (False, True))
+    assert [r.score for r in a] == pytest.approx([r.score for r in b], abs=1e-9)
+    rows = df.select(F.col("id").alias("key"), F.array(F.array("a", "b")).alias("x"), F.array(F.col("y").cast("double")).alias("y"), F.array(F.lit(1.0)).alias("mask"))
+    (u, p), (v, q) = (N.fit(rows, rows, ["key"], 2, 1, steps=5, look=5, merged=m) for m in (False, True))
+    assert p == pytest.approx(q) and all(np.allclose(x, y) for x, y in zip(u, v))
+
+
+def test_networks_take_sets_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(k, rng.random((k % 5 + 1, 3)).tolist(), [float(k % 2)], [1.0]) for k in range(60)], "key int, " + N.SCHEMA)
+    w = N.start(3, 4, 1)
+    loss, g = N._summed(rows, w)
+    p = N.scored(rows, w, ["key"]).orderBy("key").collect()
+    monkeypatch.setattr(N, "CHUNK_MEMBERS", 4)
+    got, h = N._summed(rows, w)
+    assert got == pytest.approx(loss) and np.allclose(g, h)
+    assert [r.p[0] for r in N.scored(rows, w, ["key"]).orderBy("key").collect()] == pytest.approx([r.p[0] for r in p])
