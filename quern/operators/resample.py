@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import kept_table
 from . import rank_metrics
 
 
@@ -37,17 +38,25 @@ def resampled(df: DataFrame, key: str, replicates: int, seed: str, n: int | None
     return numbered(df, key).join(counts, "place").drop("place")
 
 
+#: Draws that one task makes or counts.
+DRAWS_BLOCK = 1 << 20
+
+
 def resampled_within(df: DataFrame, group: str, key: str, replicates: int, seed: str) -> DataFrame:
     """Rows of each group drawn with replacement from the group, as many as it has, for each replicate: df's columns, b and times.
 
-    Methods that stand side by side in df share their draws; groups have draws of their own.  A group's rows are
-    numbered in one window, so groups should be strata of complexes, not of their rows.
+    Methods that stand side by side in df share their draws; groups have draws of their own.  Large groups are numbered in pieces, and
+    draws are made in blocks of DRAWS_BLOCK and counted in tasks of about as many, so no task holds a group.
     """
-    w = Window.partitionBy(group)
-    placed = df.withColumn("place", (F.row_number().over(w.orderBy(key)) - 1).cast("bigint")).withColumn("_n", F.count("*").over(w))
-    draws = placed.select(group, F.col("place").alias("i"), "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    draws = draws.select(group, "b", (draw(seed, F.col(group), F.col("b"), F.col("i")) % F.col("_n")).alias("place"))
-    return placed.drop("_n").join(draws.groupBy(group, "b", "place").agg(F.count("*").alias("times")), [group, "place"]).drop("place")
+    placed = rank_metrics.running_sums(df.withColumn("_one", F.lit(1)), [group], key, {"place": "_one"}, descending=False)
+    placed = kept_table(placed.withColumn("place", (F.col("place") - 1).cast("bigint")).drop("_one"))
+    tasks = max(1, -(-placed.count() * replicates // DRAWS_BLOCK))
+    sizes = placed.groupBy(group).agg(F.count("*").alias("_n"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), (n - 1).cast("bigint")))
+    blocks = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_at", upto(F.ceil(F.col("_n") / DRAWS_BLOCK))).repartition(min(tasks, 2000), group, "b", "_at")
+    draws = blocks.withColumn("i", F.explode(F.sequence(F.col("_at") * DRAWS_BLOCK, F.least((F.col("_at") + 1) * DRAWS_BLOCK, F.col("_n")) - 1)))
+    draws = draws.select(group, "b", (draw(seed, F.col(group), F.col("b"), F.col("i")) % F.col("_n")).alias("place")).repartition(min(tasks, 2000), group, "place")
+    return placed.join(draws.groupBy(group, "b", "place").agg(F.count("*").alias("times")), [group, "place"]).drop("place")
 
 
 def interval(df: DataFrame, value: str, group: list[str] = []) -> DataFrame:  # noqa: B006
