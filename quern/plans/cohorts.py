@@ -315,7 +315,7 @@ def a21_label_overlap(spark, sf_dir):
 )
 def a22_selection_conflicts(spark, sf_dir):
     """Items that two top-P selections share, add and remove."""
-    return S.selection_conflicts(ranked_items(spark, sf_dir), ["g"], "y", "sa", "sb", ["idx"])
+    return S.selection_conflicts(ranked_items(spark, sf_dir, dealt=True), ["g"], "y", "sa", "sb", ["idx"])
 
 
 @query(

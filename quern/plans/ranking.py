@@ -112,7 +112,7 @@ def m7_multilabel(spark, sf_dir):
  SELECT g, round(corr(a, b), 6) AS rho FROM r GROUP BY g HAVING count(*) >= 3"""
 )
 def m8_spearman(spark, sf_dir):
-    return _rounded(M.spearman(ranked_items(spark, sf_dir), ["g"], "d", "sb"), ["g"])
+    return _rounded(M.spearman(ranked_items(spark, sf_dir, dealt=True), ["g"], "d", "sb"), ["g"])
 
 
 @query(f"WITH {ITEMS}, w AS (SELECT *, CAST(d AS BIGINT) % 4 AS m FROM items) SELECT g, round(ap, 6) AS ap FROM ({_ap_sql('w', 'g', 'sa', 'm')})")
@@ -197,7 +197,7 @@ def m20_largest_losses(spark, sf_dir):
  round((sb - avg(sb) OVER (PARTITION BY g)) / stddev_pop(sb) OVER (PARTITION BY g), 5) AS zscore FROM items"""
 )
 def w1_w2_group_rank_zscore(spark, sf_dir):
-    return ranked_items(spark, sf_dir).select("g", "idx", F.round(M.group_rank(["g"], ["sb", "idx"]), 6).alias("graph_rank"), F.round(M.group_zscore(["g"], "sb"), 5).alias("zscore"))
+    return ranked_items(spark, sf_dir, dealt=True).select("g", "idx", F.round(M.group_rank(["g"], ["sb", "idx"]), 6).alias("graph_rank"), F.round(M.group_zscore(["g"], "sb"), 5).alias("zscore"))
 
 
 @query(
@@ -208,7 +208,7 @@ def w1_w2_group_rank_zscore(spark, sf_dir):
 def w3_w4_assayed_ranks(spark, sf_dir):
     """Minimum rank descending, average rank as a part, and the stable order."""
     w = Window.partitionBy("g")
-    return ranked_items(spark, sf_dir).select(
+    return ranked_items(spark, sf_dir, dealt=True).select(
         "g",
         "idx",
         F.rank().over(w.orderBy(F.desc("sa"))).cast("bigint").alias("rank_min"),
