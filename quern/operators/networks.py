@@ -65,6 +65,19 @@ def _sets(batch: pa.RecordBatch):
     return _rows(column.flatten()), first - first[0]
 
 
+#: Members of sets that go through a network at a time.
+CHUNK_MEMBERS = 1 << 15
+
+
+def _chunks(batch: pa.RecordBatch):
+    """Parts of a batch of about CHUNK_MEMBERS members each (a larger set is one)."""
+    ends, at = batch.column("x").offsets.to_numpy().astype(np.int64), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_MEMBERS, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _flat(weights: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([w.reshape(-1) for w in weights])
 
@@ -80,9 +93,9 @@ def _summed(rows: DataFrame, weights: list[np.ndarray]) -> tuple[float, np.ndarr
     def run(batches):
         total = None
         for batch in batches:
-            if batch.num_rows:
-                x, first = _sets(batch)
-                y, mask = (_rows(batch.column(c)) for c in ("y", "mask"))
+            for part in _chunks(batch):
+                x, first = _sets(part)
+                y, mask = (_rows(part.column(c)) for c in ("y", "mask"))
                 loss, grads = gradient(weights, x, first, y, mask)
                 own = np.concatenate([_flat(grads), [loss, mask.sum()]])
                 total = own if total is None else total + own
@@ -99,10 +112,10 @@ def scored(rows: DataFrame, weights: list[np.ndarray], keys: list[str]) -> DataF
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                p, _ = forward(weights, *_sets(batch))
+            for part in _chunks(batch):
+                p, _ = forward(weights, *_sets(part))
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*map(batch.column, keys), values], [*keys, "p"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, keys), values], [*keys, "p"])
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
     return rows.select(*keys, "x").mapInArrow(run, f"{kinds}, p array<double>")
@@ -110,13 +123,17 @@ def scored(rows: DataFrame, weights: list[np.ndarray], keys: list[str]) -> DataF
 
 def macro_ap(rows: DataFrame, weights: list[np.ndarray], keys: list[str]) -> float:
     """Mean over outputs of the average precision over their unmasked rows."""
-    both = rows.select(*keys, "y", "mask").join(scored(rows, weights, keys), keys)
-    long = both.select(F.posexplode(F.arrays_zip("y", "mask", "p")).alias("output", "v")).select("output", "v.*").where("mask > 0")
+    long = scored(rows, weights, ["y", "mask"]).select(F.posexplode(F.arrays_zip("y", "mask", "p")).alias("output", "v")).select("output", "v.*").where("mask > 0")
     return rank_metrics.average_precision(long, ["output"], "y", "p", pieces=None).agg(F.avg("ap")).first()[0] or 0.0
 
 
-def fit(train: DataFrame, valid: DataFrame, keys: list[str], width: int, outputs: int, hidden: int = 8, steps: int = 30, rate: float = 0.03, decay: float = 1e-4, look: int = 10, seed: int = 1):
-    """Weights of the step of best macro AP on valid, which is looked at every `look` steps, and that AP.  Rows: keys, x, y, mask."""
+def fit(train: DataFrame, valid: DataFrame, keys: list[str], width: int, outputs: int, hidden: int = 8, steps: int = 30, rate: float = 0.03, decay: float = 1e-4, look: int = 10, seed: int = 1, merged: bool = False):
+    """Weights of the step of best macro AP on valid, which is looked at every `look` steps, and that AP.  Rows: keys, x, y, mask.
+
+    merged: equal rows become one whose mask is as many times theirs, which leaves losses and gradients as they are; worth it where many are equal.
+    """
+    if merged:
+        train = train.groupBy("x", "y", "mask").agg(F.count("*").cast("double").alias("_n")).withColumn("mask", F.transform("mask", lambda v: v * F.col("_n"))).drop("_n")
     train, valid = kept_table(train), kept_table(valid)
     weights = start(width, hidden, outputs, seed)
     flat = _flat(weights)
