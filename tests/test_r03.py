@@ -11,6 +11,7 @@ from quern.operators import boosting as B
 from quern.operators import features as X
 from quern.operators import learning as L
 from quern.operators import networks as N
+from quern.operators import rank_metrics
 from quern.operators import resample as R
 from quern.operators import selection as S
 from quern.plans import fixtures, registry
@@ -130,3 +131,41 @@ def test_networks_take_sets_in_parts(spark, monkeypatch):
     got, h = N._summed(rows, w)
     assert got == pytest.approx(loss) and np.allclose(g, h)
     assert [r.p[0] for r in N.scored(rows, w, ["key"]).orderBy("key").collect()] == pytest.approx([r.p[0] for r in p])
+
+
+def test_logistic_grid_is_fitted_in_common_passes(spark):
+    """Least losses for every C, as Spark's own fits with a narrow tolerance, in few jobs."""
+    from pyspark.ml.classification import LogisticRegression
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 3)) * [1, 4, 0.2]
+    y = rng.random(900) < 1 / (1 + np.exp(-(x @ [2.0, -0.7, 3.0] - 2)))
+    df = spark.createDataFrame([(*map(float, r), int(t), k) for k, (r, t) in enumerate(zip(x, y))], "a double, b double, c double, y int, id int").repartition(3).cache()
+    train, valid, f = df.where("id % 3 > 0"), df.where("id % 3 = 0"), ["a", "b", "c"]
+    spark.sparkContext.setJobGroup("logistic", "logistic")
+    c, model, table = L.logistic_head(train, valid, f, "y")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("logistic")) < 50
+    n = train.count()
+    for k, (own, ap) in enumerate(table):
+        fit = LogisticRegression(featuresCol="_x", labelCol="y", weightCol="_w", standardization=False, regParam=1 / (own * n), maxIter=1000, tol=1e-14).fit(L._vectors(L.balanced_weights(train, "y"), f))
+        one = L.logistic_head(train, valid, f, "y", (own,))[1]
+        assert one.weights == pytest.approx(list(fit.coefficients), abs=1e-5) and one.intercept == pytest.approx(fit.intercept, abs=1e-5)
+        assert ap == pytest.approx(rank_metrics.pooled(L.score_with(fit, valid, f), "y", "score").first()["ap"], abs=1e-6)
+    assert c == max(table, key=lambda t: (t[1], -t[0]))[0] and [t[0] for t in table] == [0.01, 0.1, 1.0, 10.0]
+
+
+def test_logistic_head_of_odd_tables(spark):
+    """Separable and constant columns, one class, and values that no head may take."""
+    make = lambda rows: spark.createDataFrame(rows, "a double, b double, y int")
+    apart = make([(float(k), 1.0, int(k >= 20)) for k in range(40)])
+    _, model, table = L.logistic_head(apart, apart, ["a", "b"], "y", (1.0, 1e6))
+    assert [t[1] for t in table] == [1.0, 1.0] and model.weights[0] > 0 and model.weights[1] == pytest.approx(0, abs=1e-3)
+    for label in (0, 1):
+        _, model, table = L.logistic_head(make([(1.0, 2.0, label), (2.0, 2.0, label)]), apart, ["a", "b"], "y", (1.0,))
+        assert {r.score for r in L.score_with(model, apart, ["a", "b"]).collect()} == {float(label)} and table[0][1] == 0.5
+    for odd in ((None, 1.0, 1), (math.nan, 1.0, 1), (1.0, math.inf, 0), (1.0, 1.0, 2), (1.0, 1.0, None)):
+        with pytest.raises(Exception, match="finite"):
+            L.logistic_head(apart.unionByName(make([odd])), apart, ["a", "b"], "y", (1.0,))
+    with pytest.raises(Exception, match="finite"):
+        L.logistic_head(apart, apart.unionByName(make([(None, 1.0, 1)])), ["a", "b"], "y", (1.0,))
