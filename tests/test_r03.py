@@ -169,3 +169,42 @@ def test_logistic_head_of_odd_tables(spark):
             L.logistic_head(apart.unionByName(make([odd])), apart, ["a", "b"], "y", (1.0,))
     with pytest.raises(Exception, match="finite"):
         L.logistic_head(apart, apart.unionByName(make([(None, 1.0, 1)])), ["a", "b"], "y", (1.0,))
+
+
+def _two_columns(spark, n=24_000):
+    u, v, w = F.col("id") * 7919 % 41, F.col("id") * 104_729 % 43, F.col("id") * 31 % 23
+    return spark.range(n).select("id", (u / 41).alias("a"), (v / 43).alias("b"), F.lit(2.0).alias("same"), ((u * 2 + v + w) > 75).cast("int").alias("y"))
+
+
+def test_boosted_grid_looks_at_all_rows_whatever_their_layout(spark):
+    df, f = _two_columns(spark), ["a", "b", "same"]
+    got = []
+    for parts in (2, 5):
+        rows = df.repartition(parts)
+        setting, model, table = L.boosted_grid(rows.where("id % 3 > 0"), rows.where("id % 3 = 0"), f, "y", depths=(2,), steps=(0.3,), trees=3)
+        got.append((setting, table, {r.id: r.score for r in L.score_with(model, df, f).collect()}))
+        assert L.score_with(model, df, f).columns == [*df.columns, "score"]
+    (s, t, p), (r, u, q) = got
+    assert s == r and [x[-1] for x in t] == pytest.approx([x[-1] for x in u], abs=1e-9) and len(p) == 24_000
+    assert all(p[k] == pytest.approx(q[k], abs=1e-9) for k in p)
+    plain = rank_metrics.pooled(L.score_with(model, df, f), "y", "score").first()
+    assert tuple(L.pooled_scores(model, df, f, "y").first()) == pytest.approx(tuple(plain)) and plain.n == 24_000 and plain.auroc > 0.8
+
+
+def test_boosted_grid_of_equal_bins_is_that_of_all_rows(spark):
+    """Bins with their numbers give the trees of the rows themselves, weighted or not; values that are no numbers stop the job."""
+    df, f = _two_columns(spark, 6000), ["a", "b"]
+    train, valid = df.where("id % 3 > 0"), df.where("id % 3 = 0")
+    for weighted in (False, True):
+        _, model, table = L.boosted_grid(train, valid, f, "y", depths=(2,), steps=(0.3,), balanced=(weighted,), trees=3)
+        rows, held = (L.balanced_weights(L._binned(d, f, model.cuts)[0].drop(*f), "y") for d in (train, valid))
+        every = L.boosted_head(rows, ["_bin0", "_bin1"], "y", 3, 2, 0.3, held, "_w" if weighted else None)
+        want = {r.id: r.score for r in L.score_with(every, held, ["_bin0", "_bin1"]).collect()}
+        got = {r.id: r.score for r in L.score_with(model, valid, f).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
+        assert table[0][-1] == pytest.approx(rank_metrics.pooled(L.score_with(every, held, ["_bin0", "_bin1"]), "y", "score").first()["ap"])
+    lower, _ = L._binned(spark.createDataFrame([(v,) for v in (-1.0, 0.0, 0.5, 1.0, 7.0)], "a double"), ["a"], [[0.0, 1.0]])
+    assert [r._bin0 for r in lower.orderBy("a").collect()] == [0, 0, 1, 1, 2]
+    for odd in (None, math.nan):
+        with pytest.raises(Exception):  # noqa: B017  Spark's own
+            L.boosted_grid(train.unionByName(spark.createDataFrame([(1, odd, 1.0, 2.0, 1)], train.schema)), valid, f, "y", depths=(2,), steps=(0.3,), trees=2)
