@@ -2,8 +2,11 @@
 
 1. A document is the set of hashes of its distinct shingles of n words; equal sets are one node.
 2. Sizes fall into bands.  Two sets that link lie in one band or in neighbours, and differ
-   in at most d shingles, where d follows from the band.  Hashing shingles into d + 1
-   parts, linked sets agree on some whole part: a tile is (band, part, content of the part).
+   in at most d shingles, where d follows from the band.  Hashing shingles into d + 1 + w
+   parts, linked sets agree on w + 1 whole parts at least: a tile is (band, part, content of the part).
+   A set gives no tile for its w parts of fewest shingles: what it leaves out are no more than w of the parts
+   that two linked sets agree on, and never the fullest of these.  So linked sets still share a tile, and empty or
+   tiny parts, which any two sets may share, make none: else unrelated sets hang together, ever more with their number.
    The nodes of a tile hang on its least node; connected parts of that graph are candidate groups.
 3. Inside a group, sets are compared within size bands: bitmaps of their shingles bound the
    overlap from above, and what passes is intersected exactly, as sorted arrays.  A
@@ -30,6 +33,8 @@ FILTER_BITS = 1 << 23
 BLOCK = 20_000
 BLOCK_BYTES = 1 << 26
 _BAND = 1.3
+#: Parts of fewest shingles that give no tile, to those that do.
+SPARE = 0.3
 
 
 def bands(largest: int, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +88,9 @@ def _tiles(hashes: np.ndarray, first: np.ndarray, fresh: np.ndarray | None = Non
         use = np.flatnonzero((size > 0 if fresh is None else fresh) & (tile >= 0) & ((down == 0) | (size <= reach[tile])) & (parts[tile] > 1))
         if not len(use):
             continue
-        n = parts[tile[use]]
+        given = parts[tile[use]]
+        spare = np.ceil(SPARE * given).astype(np.int64)
+        n = given + spare
         begin = np.concatenate([[0], np.cumsum(n)])
         slot = np.full(len(size), -1)
         slot[use] = np.arange(len(use))
@@ -95,8 +102,11 @@ def _tiles(hashes: np.ndarray, first: np.ndarray, fresh: np.ndarray | None = Non
         np.add.at(content, begin[mine] + part, W.mix(own ^ W._BASE))
         place = np.arange(begin[-1]) - np.repeat(begin[:-1], n)
         label = np.repeat(tile[use], n) * (1 << 32) + place
-        keys.append(W.mix(content ^ W.mix(label.astype(np.uint64))))
-        owner.append(np.repeat(use, n))
+        # of each set in order of (shingles, place): all parts but the spare ones
+        order = np.lexsort((place, np.bincount(begin[mine] + part, minlength=begin[-1]), np.repeat(np.arange(len(use)), n)))
+        kept = order[place >= np.repeat(spare, n)]
+        keys.append(W.mix(content[kept] ^ W.mix(label[kept].astype(np.uint64))))
+        owner.append(np.repeat(use, given))
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(len(size) + 1, np.int64)
     keys, owner = np.concatenate(keys), np.concatenate(owner)
@@ -170,6 +180,7 @@ class _Tile:
         for row, own in zip(self.bits, self.sets):
             slot = own & np.uint64(width - 1)
             np.bitwise_or.at(row, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+        self.ones = np.bitwise_count(self.bits).sum(1, dtype=np.int64)
 
     def linked(self, at: int, wanted: np.ndarray) -> list[int]:
         """Sets that link with set `at`, among those wanted: those of a fitting size whose bitmap does not
@@ -180,10 +191,9 @@ class _Tile:
         if not len(other):
             return []
         need = -(-self.num * (self.size[at] + self.size[other]) // (self.den + self.num))
-        mine, theirs = self.bits[at], self.bits[other]
-        bound = np.minimum(
-            self.size[at] - np.bitwise_count(mine & ~theirs).sum(1).astype(np.int64), self.size[other] - np.bitwise_count(~mine & theirs).sum(1).astype(np.int64)
-        )
+        # a bit that one set alone has stands for a shingle of its own
+        both = np.bitwise_count(self.bits[other] & self.bits[at]).sum(1, dtype=np.int64)
+        bound = np.minimum(self.size[at] - self.ones[at], self.size[other] - self.ones[other]) + both
         out, own = [], self.sets[at]
         for to, least in zip(other[bound >= need], need[bound >= need]):
             place = np.searchsorted(own, self.sets[to])
